@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspan.llm import bpe, embed_dedup, media, packing, simhash, token_store
+from siftspan.llm import bpe, embed_dedup, line_dedup, media, packing, quality, secrets, simhash, token_store, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -25,10 +25,35 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(spark, spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.9)
 
 
+def held_out() -> Column:
+    """Rows that labels are not learned from: crc32(doc_id as text) mod 5 is 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False)).alias("held_out")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    lexicon = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, lexicon).select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    crf = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, crf).select("doc_id", held_out(), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(spark, documents(spark, sf_dir))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(spark, documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.write(spark, documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), end_id=2)
     return token_store.scan(spark, folder)
@@ -47,16 +72,49 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
+        "op2_toxicity": op2_toxicity,
         "op3_bpe": op3_bpe,
+        "op4_quality": op4_quality,
+        "op5_secrets": op5_secrets,
         "op6_token_store": op6_token_store,
+        "op7_line_dedup": op7_line_dedup,
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_media": op10_media,
+        "pipeline": pipeline,
     }
 
 
+def op5_sql() -> str:
+    """Spans of every rule from the pieces between matches, as the operator has them, without an index."""
+    parts = []
+    for rank, rule in enumerate(secrets.BASE + secrets.ADDED):
+        pattern = "'" + rule.pattern.replace("'", "''") + "'"
+        parts.append(f"""
+            SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, k,
+                   coalesce(list_sum(list_transform(gaps[1:k], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(hits[1:k-1], lambda g: length(g))), 0) AS s,
+                   length(hits[k]) AS n, length(sized[k]) AS z, {rule.least} AS least
+            FROM (SELECT doc_id, hits, sized, gaps, unnest(range(1, len(hits) + 1)) AS k
+                  FROM (SELECT doc_id, regexp_extract_all(x, {pattern}, 0) AS hits, regexp_extract_all(x, {pattern}, {rule.group}) AS sized, string_split_regex(x, {pattern}) AS gaps FROM t WHERE regexp_matches(x, {pattern})))""")
+    base = ", ".join(f"'{r.kind}'" for r in secrets.BASE)
+    counts = ", ".join(f"CAST(coalesce(count(*) FILTER (kind = '{r.kind}'), 0) AS BIGINT) AS n_{r.kind}" for r in secrets.BASE)
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+        found AS ({" UNION ALL ".join(parts)}),
+        kept AS (SELECT doc_id, kind, rank, s, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT) AS one FROM found WHERE z >= least),
+        sums AS (SELECT doc_id, {counts}, string_agg(one, ',' ORDER BY s, rank) FILTER (kind IN ({base})) AS b, string_agg(one, ',' ORDER BY s, rank) AS a FROM kept GROUP BY doc_id)
+        SELECT t.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+        FROM t LEFT JOIN sums USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_secrets": op5_sql()}

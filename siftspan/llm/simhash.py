@@ -132,3 +132,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 4, words
     ids = member.groupBy("component").agg(F.min("least").alias("component_id"))
     named, _ = cut(spark, member.join(ids, "component").select("bits", "component_id"), "prints-named")
     return prints.join(named, "bits").select("doc_id", "bits", "component_id")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, one for each component: the row of its smallest id.
+
+    Texts without words are one component. Rows that share an id are one document, of which one row stays. Rows with a
+    null id stay only if their component has no other id. Same columns; an empty table gives no rows.
+    """
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    found = near_duplicates(spark, docs.select(F.col(id_col).cast("long").alias(id_col), text_col), radius, words, id_col, text_col)
+    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_own")).distinct()
+    return docs.withColumn("_own", own).join(firsts, "_own", "left_semi").dropDuplicates(["_own"]).drop("_own")
