@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from siftspan.plans import analysis_queries, retrieval_queries
+
+MODULES: list = [retrieval_queries, analysis_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
