@@ -1,9 +1,12 @@
-"""Range joins by cells: rows that share a cell meet in blocks of bounded size, and cells join independently.
+"""Range joins by cells: rows that share a cell meet in groups of bounded size, and cells join independently.
 
 Every row has one home cell and may be copied to cells of smaller number, where it is a guest. A pair is compared in
 the smaller home cell of the two: home with home, or home with guest; two guests never are. So each pair that the
-copying rule can't exclude is compared once. A cell of more than `block` rows is split by a hash of the row ids into
-blocks, and each pair of blocks is a group of its own, so no group holds more than two blocks whatever the cell holds.
+copying rule can't exclude is compared once.
+
+In a cell, home rows are queries and all rows are targets. Queries and targets are dealt by a hash of their ids to
+blocks of about `block` rows, and each pair of a query block and a target block is a group of its own: a group holds
+two blocks at most, whatever the cell holds. Most cells have one query block, so that a guest travels once.
 
 Groups return no pairs: for each row the number of its links in the group, and a forest that connects what the group
 links. Their sums and the components of all forests are those of the whole link graph.
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 
 from siftspan.llm.common import components, cut
 
+TARGET, QUERY = 1, 2
+
 
 def spanning(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
     """Merges the labels of linked rows in place: each row ends with the least row number of its component so far."""
@@ -41,43 +46,40 @@ def spanning(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 def linked(spark: SparkSession, rows: DataFrame, block: int, find: Callable[[pd.DataFrame, pd.DataFrame], object], label: str, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Links of `rows(id long, home boolean, cell long, ...)`: (id, n_links) of rows that have any, (node, component).
 
-    A link counts as many times as the column `weight` of its other end says, once without one.
-
-    `find(a, b)` yields arrays (i, j) of row numbers of linked rows of two frames; a block may meet itself.
+    A link counts as many times as the column `weight` of its other end says, once without one. `find(queries,
+    targets)` yields arrays (i, j) of row numbers of linked rows of two frames.
     """
-    rows, _ = cut(spark, rows, f"{label}-rows")
-    counts = rows.groupBy("cell").count()
+    counts = rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("h"))
     # As many numbers as cells: the callers bound them by their pivots or their grid.
-    sizes = {r["cell"]: max(1, math.ceil(r["count"] / block)) for r in counts.where(F.col("count") > block).collect()}
-    n = F.lit(1)
-    if sizes:
-        split = spark.createDataFrame(list(sizes.items()), "cell long, n int")
-        rows = rows.join(F.broadcast(split), "cell", "left")
-        n = F.coalesce("n", F.lit(1))
-    mine = F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int")
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    rows = rows.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    split = [(r["cell"], max(1, math.ceil(r["h"] / block)), max(1, math.ceil(r["n"] / block))) for r in counts.where(F.col("n") > block).collect()]
+    queries, targets = F.lit(1), F.lit(1)
+    if split:
+        rows = rows.join(F.broadcast(spark.createDataFrame(split, "cell long, _nq int, _nt int")), "cell", "left")
+        queries, targets = F.coalesce("_nq", F.lit(1)), F.coalesce("_nt", F.lit(1))
+    q, t = (F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int") for n in (queries, targets))
+    copies = F.concat(
+        F.transform(F.sequence(F.lit(0), queries - 1), lambda k: F.struct(k.alias("q"), t.alias("t"), F.when(F.col("home") & (k == q), TARGET | QUERY).otherwise(TARGET).alias("role"))),
+        F.when(F.col("home"), F.filter(F.transform(F.sequence(F.lit(0), targets - 1), lambda k: F.struct(q.alias("q"), k.alias("t"), F.lit(QUERY).alias("role"))), lambda c: c["t"] != t)).otherwise(F.array().cast("array<struct<q:int,t:int,role:int>>")),
+    )
+    keep = [c for c in rows.columns if c not in ("_nq", "_nt")]
+    dealt = rows.select(*keep, F.explode(copies).alias("c")).select(*keep, "c.*")
 
     def group(frame: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = frame["lo"].iloc[0], frame["hi"].iloc[0]
         frame = frame.sort_values("id", kind="stable").reset_index(drop=True)
-        ids, home = frame["id"].to_numpy(), frame["home"].to_numpy(bool)
+        ids, home, role = frame["id"].to_numpy(), frame["home"].to_numpy(bool), frame["role"].to_numpy()
         many = frame[weight].to_numpy(np.int64) if weight else np.ones(len(frame), np.int64)
-        lower = frame["mine"].to_numpy() == lo
         links, labels = np.zeros(len(frame), np.int64), np.arange(len(frame))
-        h1, g1 = np.flatnonzero(home & lower), np.flatnonzero(~home & lower)
-        h2, g2 = (h1, g1) if lo == hi else (np.flatnonzero(home & ~lower), np.flatnonzero(~home & ~lower))
-        for one, two in ((h1, h2), (h1, g2)) if lo == hi else ((h1, h2), (h1, g2), (g1, h2)):
-            for i, j in find(frame.iloc[one], frame.iloc[two]):
-                i, j = one[i], two[j]
-                if one is two:
-                    i, j = i[i < j], j[i < j]
-                np.add.at(links, i, many[j])
-                np.add.at(links, j, many[i])
-                spanning(labels, i, j)
+        one, two = np.flatnonzero(role & QUERY), np.flatnonzero(role & TARGET)
+        for i, j in find(frame.iloc[one], frame.iloc[two]):
+            i, j = one[i], two[j]
+            new = ~home[j] | (i < j)  # rows are ordered by id, and two home rows are compared from the smaller one
+            i, j = i[new], j[new]
+            np.add.at(links, i, many[j])
+            np.add.at(links, j, many[i])
+            spanning(labels, i, j)
         out = links > 0
         return pd.DataFrame({"id": ids[out], "n": links[out], "root": ids[labels[out]]})
 
-    made = rows.drop("other", "n").groupBy("cell", "lo", "hi").applyInPandas(group, "id long, n long, root long")
+    made = dealt.groupBy("cell", "q", "t").applyInPandas(group, "id long, n long, root long")
     made, _ = cut(spark, made, f"{label}-links")
     return made.groupBy("id").agg(F.sum("n").alias("n_links")), components(spark, made.select(F.col("id").alias("a"), F.col("root").alias("b")), label)

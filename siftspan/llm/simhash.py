@@ -22,7 +22,7 @@ from siftspan.llm.cells import linked
 from siftspan.llm.common import cut, text_slices
 
 SEGMENTS, WIDTH = 4, 2
-BLOCK = 8192
+BLOCK = 65536
 #: Shingles whose bits are counted at once.
 PART = 1 << 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
