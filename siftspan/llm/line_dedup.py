@@ -1,35 +1,56 @@
 """Deduplication of lines across documents by pairwise alignment.
 
-A document is cut into units: lines, and within a line sentences of four words or more (a shorter one stays with the
-one before). Units are compared by a hash of their words. Of all documents that hold a unit, the first one in order
-(by id, then by a hash of the text) is its owner, and every later document forms one pair with it: pairs grow with the
-units, not with the square of a group, and no unit is too frequent to take part. The rarity that anchors need is that
-of patience diff: in a pair, the anchors are shared units that occur once in either document. The longest increasing
-run of anchors (patience sorting) is the alignment; from each anchor it grows over neighbouring units that the two
-documents share in step. Units that are aligned with an earlier document and follow one another form blocks, and a
-block of `min_words` words or more is deleted from the later document. Units of fewer than four words count as gaps
-that neither break nor make a block.
+A document is cut into units that end to end are its text: lines, and within a line sentences; sentences of fewer than
+four words that follow one another on a line are one unit. Units are compared by a hash of their words. Of all
+documents that hold a unit, the first one in order of ids is its owner, and every later document forms one pair with
+it: pairs grow with the units, not with the square of a group, and no unit is too frequent to take part. The rarity
+that anchors need is that of patience diff: in a pair, the anchors are shared units that occur once in either
+document. The longest increasing run of anchors (patience sorting) is the alignment; from each anchor it grows over
+neighbouring units that the two documents share in step. Units that are aligned with an earlier document and follow
+one another form blocks, and a block of `min_words` words or more is deleted from the later document. Units of fewer
+than four words have no owner; they neither break nor make a block.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from siftspan.llm.common import cut
+from siftspan.llm.common import cut, text_slices
 
 MIN_WORDS = 20
-#: A unit ends after a newline, or after a sentence if the next one has four words or more on the same line.
-UNIT_ENDS = r"(?<=\n)|(?<=[.!?] )(?=(?:[^\s.!?]+ ){3}\S)"
 SHORT = 4
-
-
-def units(text):
-    """The units of a text column, end to end the whole text."""
-    return F.split(text, UNIT_ENDS)
+#: Bytes of deletions that are sent to every task instead of bringing all texts to them: above, the join shuffles.
+SEND_BYTES = 32 << 20
+_END = re.compile(r"[.!?] |\n")
+
+
+def units_of(text: str) -> list[str]:
+    """The units of a text, end to end the whole text."""
+    out, at, run = [], 0, 0  # run: where short sentences that are not out yet begin
+    for m in _END.finditer(text):
+        end = m.end()
+        if len(text[at:end].split(None, SHORT)) >= SHORT:
+            if run < at:
+                out.append(text[run:at])
+            out.append(text[at:end])
+            run = end
+        elif text[end - 1] == "\n":
+            out.append(text[run:end])
+            run = end
+        at = end
+    if at < len(text) and run < at and len(text[at:].split(None, SHORT)) >= SHORT:
+        out.append(text[run:at])
+        run = at
+    return out + [text[run:]] * (run < len(text))
 
 
 def aligned(rows: list[tuple]) -> set[int]:
@@ -89,55 +110,85 @@ def blocks(positions: set[int], words: dict[int, int], short: set[int], min_word
 
 
 def duplicated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, drop array<int>) of documents that lose units; th is xxhash64 of the text.
+    """(doc, th, drop array<int>): numbers of the units that a document loses; th is xxhash64 of its text.
 
-    Rows of equal id and text are one document. Null texts have no units; null ids come first in the order.
+    `doc` is the id, or a hash of the text where the id is null. Rows of equal id are never held against one another;
+    those of different texts are told apart by th. Null texts have no units.
     """
-    doc = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th")).alias("doc")
-    one = docs.select(doc, F.posexplode(units(F.col(text_col).cast("string"))).alias("pos", "unit"))
-    words = F.size(F.filter(F.split(F.col("unit"), r"\s+"), lambda w: w != ""))
-    # A hash of the words with single spaces between them.
-    rows = one.select("doc", "pos", words.alias("words"), F.xxhash64(F.regexp_replace(F.btrim("unit"), r"\s+", " ")).alias("h"))
-    rows, _ = cut(spark, rows, "lines")
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("th")).where(F.col("text").isNotNull())
+
+    def cut_up(batches):
+        for batch in batches:
+            doc, th = batch.column("doc").to_pylist(), batch.column("th").to_pylist()
+            at = 0
+            for keys, texts in text_slices([pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text")], names=["doc", "text"])]):
+                n, words, hashes = [], [], []
+                for t in texts:
+                    parts = [u.split() for u in units_of(t)]
+                    n.append(len(parts))
+                    words += map(len, parts)
+                    hashes += [xxhash.xxh64_intdigest(" ".join(p)) for p in parts]
+                n = np.array(n, np.int64)
+                which = np.repeat(np.arange(at, at + len(keys)), n)
+                pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                yield pa.record_batch([pa.array(np.array(doc, np.int64)[which]), pa.array(np.array(th, np.int64)[which]), pa.array(pos.astype(np.int32)), pa.array(np.array(words, np.int32)), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["doc", "th", "pos", "words", "h"])
+                at += len(keys)
+
+    rows, _ = cut(spark, keyed.mapInArrow(cut_up, "doc long, th long, pos int, words int, h long"), "lines")
     long_ones = rows.where(F.col("words") >= SHORT)
-    # The owner of a unit, combined before the shuffle: the first document, its first place, and whether it is its only one.
-    first = long_ones.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("o"), F.max("doc").alias("last"))
-    shared, _ = cut(spark, first.where(F.col("last") != F.col("o.doc")).select("h", F.col("o.doc").alias("owner"), F.col("o.pos").alias("at")), "lines-shared")
-    held, _ = cut(spark, long_ones.join(shared, "h").select("doc", "pos", "words", "h", "owner", "at"), "lines-held")
-    times = held.groupBy("doc", "h").agg(F.count("*").alias("times"), F.min("pos").alias("pos"), F.collect_list(F.struct("pos", "words")).alias("places"), F.first("owner").alias("owner"), F.first("at").alias("at"))
-    times, _ = cut(spark, times, "lines-times")
-    twice = times.where((F.col("doc") == F.col("owner")) & (F.col("times") > 1)).select("h", F.lit(False).alias("once_there"))
-    later = times.where(F.col("doc") != F.col("owner")).join(twice, "h", "left")
-    row = F.transform("places", lambda p: F.struct(p["pos"].alias("pos"), F.col("owner").alias("owner"), F.col("at").alias("at"), (F.coalesce("once_there", F.lit(True)) & (F.col("times") == 1)).alias("once"), p["words"].alias("words")))
-    by_doc = later.select("doc", F.explode(row).alias("r")).groupBy("doc").agg(F.collect_list("r").alias("rows"))
-    enough = by_doc.where(F.aggregate("rows", F.lit(0), lambda a, r: a + r["words"]) >= min_words)
-    gaps = rows.where(F.col("words") < SHORT).join(enough.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("pos", "words")).alias("gaps"))
-
-    @F.pandas_udf("array<int>")
+    # Owners: documents are counted as their least and greatest, combined before the shuffle.
+    owners = long_ones.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
+    shared, _ = cut(spark, owners.where(F.col("last") != F.col("owner")).select("h", "owner"), "lines-shared")
+    held, _ = cut(spark, long_ones.join(shared, "h"), "lines-held")
+    # In the owner: the first place of a unit, and whether it is the only one.
+    there, _ = cut(spark, held.where(F.col("doc") == F.col("owner")).groupBy("h").agg(F.min("pos").alias("at"), (F.count("*") == 1).alias("once_there")), "lines-there")
+    later = held.where(F.col("doc") != F.col("owner")).join(there, "h")
+    row = F.struct("pos", "owner", "at", "once_there", "h", "words")
+    by_doc, _ = cut(spark, later.groupBy("doc", "th").agg(F.collect_list(row).alias("rows"), F.sum("words").alias("n")).where(F.col("n") >= min_words).drop("n"), "lines-by-doc")
+    gaps = rows.where(F.col("words") < SHORT).join(by_doc.select("doc", "th"), ["doc", "th"], "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "words")).alias("gaps"))
+
+    @F.pandas_udf(ArrayType(IntegerType()))
     def drop(found: pd.Series, gaps: pd.Series) -> pd.Series:
         out = []
         for rows, short in zip(found, gaps, strict=True):
-            tuples = [(r["pos"], (r["owner"]["doc_id"], r["owner"]["th"]), r["at"], r["once"]) for r in rows]
-            words = {r["pos"]: r["words"] for r in rows}
+            times: dict = {}
+            for r in rows:
+                times[r["h"]] = times.get(r["h"], 0) + 1
+            tuples = [(r["pos"], r["owner"], r["at"], r["once_there"] and times[r["h"]] == 1) for r in rows]
             small = {g["pos"]: g["words"] for g in short} if short is not None else {}
-            out.append(sorted(blocks(aligned(tuples), words | small, set(small), min_words)))
+            out.append(sorted(blocks(aligned(tuples), {r["pos"]: r["words"] for r in rows} | small, set(small), min_words)))
         return pd.Series(out)
 
-    found = enough.join(gaps, "doc", "left").select("doc", drop("rows", "gaps").alias("drop"))
-    return found.where(F.size("drop") > 0).select("doc.doc_id", "doc.th", "drop")
+    found = by_doc.join(gaps, ["doc", "th"], "left").select("doc", "th", drop("rows", "gaps").alias("drop"))
+    return found.where(F.size("drop") > 0)
+
+
+@F.pandas_udf(StringType())
+def without(texts: pd.Series, drops: pd.Series) -> pd.Series:
+    """Texts without the units of the given numbers; nulls stay null."""
+    out = []
+    for text, drop in zip(texts, drops, strict=True):
+        gone = set() if drop is None else set(drop.tolist())
+        out.append(None if text is None else "".join(u for k, u in enumerate(units_of(text)) if k not in gone))
+    return pd.Series(out, dtype=object)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with the deleted units out of their texts, and a column `dropped_units` (0: as it was).
 
     A document that an earlier one holds whole is left with an empty text (or with its short units outside of blocks).
-    Null texts stay null, null ids are matched as equal, repeated rows of equal id and text are treated alike, and
-    columns of `docs` keep their names and order; an empty table gives no rows.
+    Null texts stay null; a null id stands after or before others by a hash of the text; repeated rows of equal id and
+    text are treated alike, and columns of `docs` keep their names and order; an empty table gives no rows. The
+    deletions meet the texts by key: where they are small (SEND_BYTES, checked) they are sent to the texts, otherwise
+    both are shuffled.
     """
     found, _ = cut(spark, duplicated(spark, docs, min_words, id_col, text_col), "lines-drop")
-    found = found.select(F.col("doc_id").alias("_own_id"), F.col("th").alias("_own_th"), F.col("drop").alias("_drop"))
-    text = F.col(text_col)
-    kept = F.array_join(F.filter(units(text), lambda u, k: ~F.array_contains("_drop", k)), "")
-    joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_own_id")) & (F.xxhash64(text_col) == F.col("_own_th")), "left")
-    new = F.when(F.col("_drop").isNull(), text).otherwise(kept)
-    return joined.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.size("_drop"), F.lit(0)).alias("dropped_units"))
+    size = found.agg(F.coalesce(F.sum(F.size("drop") * 4 + 48), F.lit(0)).alias("bytes")).first()["bytes"]
+    found = found.select(F.col("doc").alias("_own_doc"), F.col("th").alias("_own_th"), F.col("drop").alias("_drop"))
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))).withColumn("_th", F.xxhash64(text))
+    joined = keyed.join(F.broadcast(found) if size <= SEND_BYTES else found, (F.col("_doc") == F.col("_own_doc")) & (F.col("_th") == F.col("_own_th")), "left")
+    # Only texts that lose something go through Python: the others are null to it.
+    new = F.coalesce(without(F.when(F.col("_drop").isNotNull(), text), F.col("_drop")), F.col(text_col))
+    return joined.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.when(F.col("_drop").isNotNull(), F.size("_drop")), F.lit(0)).alias("dropped_units"))
