@@ -50,16 +50,42 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Edges that one task takes whole, in a union-find of about 100 bytes an edge; more of them take the distributed way.
+TASK_EDGES = 1 << 20
+
+
+def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges of a task."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
 def components(spark: SparkSession, edges: DataFrame, label: str = "cc", max_rounds: int = 60) -> DataFrame:
     """Connected components of `edges(a long, b long)`: rows (node long, component long), the smallest node of each.
 
-    Alternating large-star and small-star steps on edges that point from the larger to the smaller node. Each step is
-    a grouped minimum (combined before the shuffle, so a hub costs one row a task) and a join with those minima; both
-    sides of the join are tables of the shared folder, so that AQE can split the rows of a hub. Nothing is collected
-    but a count a round. Loops and repeated edges are ignored; an edge with a null end raises nothing and is dropped.
+    Up to TASK_EDGES distinct edges, counted first, are the work of one task. More of them take alternating large-star
+    and small-star steps on edges that point from the larger to the smaller node. Each step is a grouped minimum
+    (combined before the shuffle, so a hub costs one row a task) and a join with those minima; both sides of the join
+    are tables of the shared folder, so that AQE can split the rows of a hub. Nothing is collected but a count a
+    round. Loops and repeated edges are ignored; an edge with a null end is dropped.
     """
     big, small = F.greatest("a", "b"), F.least("a", "b")
     e, path = cut(spark, edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(big.alias("a"), small.alias("b")).distinct(), label)
+    if e.count() <= TASK_EDGES:
+        return e.coalesce(1).mapInArrow(_forest, "node long, component long")
     for _ in range(max_rounds):
         # A node with two out-edges, or a target that has an out-edge itself, means that stars have not formed yet.
         least, least_path = cut(spark, e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), label)

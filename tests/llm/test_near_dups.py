@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from siftspan.llm import cells, common, embed_dedup, line_dedup, simhash
@@ -23,7 +24,9 @@ def classes(n, pairs):
     return [root(x) for x in range(n)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "TASK_EDGES", most)
     draw = random.Random(4)
     pairs = [(draw.randrange(120), draw.randrange(120)) for _ in range(90)] + [(200 + k, 201 + k) for k in range(40)]
     edges = spark.createDataFrame([*pairs, (None, 3), (5, 5)], "a long, b long")
