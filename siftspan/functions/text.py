@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 BLANK = " \t\n\r\f\u000b"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, also where `use` refers to it inside of a lambda over many elements."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANK))
 
@@ -35,10 +42,13 @@ def dot_sentences(c: Column) -> Column:
 
 def word_windows(c: Column, size: int) -> Column:
     """Windows of `size` words, half overlapping; the first that reaches the end is the last."""
-    words = F.filter(F.split(c, r"\s+"), lambda t: t != "")
     stride = max(1, size // 2)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(stride)), lambda s: (s == 0) | (s - stride + size < F.size(words)))
-    return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+
+    def cut(words: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(stride)), lambda s: (s == 0) | (s - stride + size < F.size(words)))
+        return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, size), " "))
+
+    return let(F.filter(F.split(c, r"\s+"), lambda t: t != ""), cut)
 
 
 def entity(c: Column) -> Column:

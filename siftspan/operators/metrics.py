@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftspan.functions.text import contains_yes, dot_sentences, token_f1, ws_tokens
+from siftspan.functions.text import contains_yes, dot_sentences, let, token_f1, ws_tokens
 from siftspan.functions.vector import cosine, embed_all
 
 NAMES = ("faithfulness", "answer_relevance", "context_relevance", "coherence", "context_recall", "context_precision", "answer_correctness", "latency_score")
@@ -19,8 +19,8 @@ def joined(contexts: Column) -> Column:
 
 def faithfulness(answer: Column, contexts: Column) -> Column:
     """Share of the answer's words, repeats included, that the contexts have."""
-    a, c = ws_tokens(answer), F.array_distinct(ws_tokens(joined(contexts)))
-    return F.when((F.size(a) == 0) | (F.size(c) == 0), 0.0).otherwise(F.size(F.filter(a, lambda t: F.array_contains(c, t))) / F.size(a))
+    share = lambda a, c: F.when((F.size(a) == 0) | (F.size(c) == 0), 0.0).otherwise(F.size(F.filter(a, lambda t: F.array_contains(c, t))) / F.size(a))
+    return let(ws_tokens(answer), lambda a: let(F.array_intersect(a, ws_tokens(joined(contexts))), lambda c: share(a, c)))
 
 
 def answer_relevance(query: Column, answer: Column, q: Column, a: Column) -> Column:
