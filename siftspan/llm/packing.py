@@ -1,8 +1,8 @@
 """Packing of token sequences into windows of at most `size` tokens, in order, by dynamic programming.
 
 The documents of a partition form one stream of tokens. Windows end at cut points: ends of documents (free), ends of
-sentences (a small penalty, as the document is truncated there) and, only where two cut points lie more than a window
-apart, any place between them (a large penalty). With cost(i) the least cost of packing the stream up to cut point i,
+sentences (a small penalty, as the document is truncated there), ends of clauses (a larger one) and, only where two
+cut points lie more than a window apart, any place between them (a large penalty). With cost(i) the least cost of packing the stream up to cut point i,
 
     cost(i) = penalty(i) + min over cut points j with 0 < i - j <= size of cost(j) + size - (i - j),
 
@@ -23,20 +23,21 @@ from pyspark.sql import DataFrame
 from siftspan.llm import bpe
 from siftspan.llm.common import text_slices
 
-SENTENCE, INSIDE = 8, 256  # penalties in tokens of padding: a document cut after a sentence, or inside of one
+SENTENCE, CLAUSE, INSIDE = 8, 12, 256  # penalties in tokens of padding of cuts after a sentence, a clause, any token
 BUFFER = 1 << 18  # tokens that are packed together
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, doc_row long"
 
 
-def sentence_ends(tokens: list[str]) -> np.ndarray:
-    """Which token ids end a sentence or a line, by their strings (a newline is U+010A in byte symbols)."""
-    return np.array([t.removesuffix("</w>")[-1:] in (".", "!", "?", "Ċ", "。") for t in tokens])
+def boundaries(tokens: list[str]) -> np.ndarray:
+    """By token id: 1 if it ends a sentence or a line (a newline is U+010A in byte symbols), 2 a clause, else 0."""
+    last = [t.removesuffix("</w>")[-1:] for t in tokens]
+    return np.array([1 if c in (".", "!", "?", "Ċ", "。") else 2 if c in (",", ";", ":") else 0 for c in last], np.int8)
 
 
-def cut_points(ends: np.ndarray, sentences: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a window may end, ascending, with penalties. `ends`: of documents; `sentences`: other places."""
-    places = np.union1d(ends, sentences)
-    penalty = np.where(np.isin(places, ends), 0, SENTENCE)
+def cut_points(ends: np.ndarray, sentences: np.ndarray, size: int, clauses: np.ndarray = np.zeros(0, np.int64)) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a window may end, ascending, with penalties. `ends`: of documents; the others are inside of them."""
+    places, first = np.unique(np.concatenate([ends, sentences, clauses]).astype(np.int64), return_index=True)
+    penalty = np.repeat([0, SENTENCE, CLAUSE], [len(ends), len(sentences), len(clauses)])[first]
     before = np.concatenate([[0], places[:-1]])
     wide = np.flatnonzero(places - before > size)
     if len(wide):
@@ -78,7 +79,7 @@ def windows(places: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     return out[::-1]
 
 
-def pack_stream(docs, is_end: np.ndarray, size: int, first_id: int, buffer: int = BUFFER):
+def pack_stream(docs, kinds: np.ndarray, size: int, first_id: int, buffer: int = BUFFER):
     """Lists of pieces (doc_id, start, length, crc32, doc_tokens, sequence_id, offset, row) of (id, row, ids) in order.
 
     Every id of every document lies in one piece; pieces of a sequence are in stream order without gaps.
@@ -93,8 +94,8 @@ def pack_stream(docs, is_end: np.ndarray, size: int, first_id: int, buffer: int
         sizes = np.array([len(d[2]) - d[3] for d in held], np.int64)
         ends = np.cumsum(sizes)
         flat = np.concatenate([d[2][d[3] :] for d in held])
-        inner = np.flatnonzero(is_end[flat]) + 1
-        cuts = windows(*cut_points(ends, inner[inner < tokens], size), size)
+        kind = kinds[flat[: tokens - 1]]
+        cuts = windows(*cut_points(ends, np.flatnonzero(kind == 1) + 1, size, np.flatnonzero(kind == 2) + 1), size)
         rows, k, at = [], 0, 0
         for end in cuts if last or len(cuts) < 2 else cuts[:-1]:
             offset, begin = 0, at
@@ -139,7 +140,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
 
     def run(batches):
         coder = bpe.load(path)
-        is_end = sentence_ends(coder.tokens)
+        kinds = boundaries(coder.tokens)
 
         def stream():
             row = 0
@@ -150,7 +151,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
                     yield key, row, np.append(flat[e - n : e], np.int32(end_id))
                     row += 1
 
-        for rows in pack_stream(stream(), is_end, size, TaskContext.get().partitionId() << 33):
+        for rows in pack_stream(stream(), kinds, size, TaskContext.get().partitionId() << 33):
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
