@@ -29,6 +29,19 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) ->
             yield ids.slice(at).to_pylist(), [t or "" for t in texts.slice(at).to_pylist()]
 
 
+#: Rows of an Arrow batch, where the session does not ask for fewer: texts are long, and Spark's 10,000 rows of them
+#: are held several times over by the executor and its Python workers.
+BATCH_ROWS = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors: spark.checkpoint.dir, or one under the warehouse where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuts"

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspan.llm import bpe, embed_dedup, line_dedup, media, packing, quality, secrets, simhash, token_store, toxicity
+from siftspan.llm.common import modest_batches
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +19,7 @@ def vocabulary(name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
