@@ -118,5 +118,14 @@ def op5_sql() -> str:
         FROM t LEFT JOIN sums USING (doc_id)"""
 
 
+#: Links by all pairs of usable vectors, and what each vector reaches by them.
+OP1_SQL = """
+    WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+    r AS (SELECT vec_id, vec_id AS o FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.o),
+    n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1), c AS (SELECT vec_id, min(o) AS component_id FROM r GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secrets": op5_sql()}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op5_secrets": op5_sql()}
