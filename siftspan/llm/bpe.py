@@ -88,7 +88,8 @@ class _Table:
 class Bpe:
     """An encoder and decoder of one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, max_codes: int | None = None):
+        self.max_codes = max_codes or MAX_CODES
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -215,7 +216,7 @@ class Bpe:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and how many each has."""
-        if len(self.chunk_codes) > MAX_CODES or len(self.word_codes) > MAX_CODES:
+        if len(self.chunk_codes) > self.max_codes or len(self.word_codes) > self.max_codes:
             self.reset()
         look = self.chunk_codes.__getitem__
         codes = []
@@ -263,10 +264,11 @@ class Bpe:
 _LOADED: dict[str, Bpe] = {}
 
 
-def load(path: str) -> Bpe:
-    """The encoder of a file, kept by the worker process."""
+def load(path: str, max_codes: int | None = None) -> Bpe:
+    """The encoder of a file, kept by the worker process; `max_codes` bounds its dictionaries (about 200 bytes a code)."""
     if path not in _LOADED:
         _LOADED[path] = Bpe(path)
+    _LOADED[path].max_codes = max_codes or MAX_CODES
     return _LOADED[path]
 
 

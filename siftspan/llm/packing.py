@@ -129,17 +129,18 @@ def pack_stream(docs, kinds: np.ndarray, size: int, first_id: int, buffer: int =
         yield rows
 
 
-def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", max_codes: int | None = None) -> DataFrame:
     """Pieces of every document in sequences of at most `size` tokens, in the order in which the rows are read.
 
     A document is the ids of its whole text and then `end_id`, so that a null or empty text is one token. Rows with
     the same id or text are packed each for itself (doc_row tells them apart within a partition). The stream of a
     partition is packed by its task alone: no shuffle, memory for one buffer of about BUFFER tokens or one document,
-    and sequence ids that start at 2^33 times the partition's number. An empty table gives no rows.
+    and sequence ids that start at 2^33 times the partition's number. An empty table gives no rows. `max_codes` bounds
+    the encoder's dictionaries: fewer take less memory and more time.
     """
 
     def run(batches):
-        coder = bpe.load(path)
+        coder = bpe.load(path, max_codes)
         kinds = boundaries(coder.tokens)
 
         def stream():
