@@ -9,12 +9,19 @@ document. The longest increasing run of anchors (patience sorting) is the alignm
 neighbouring units that the two documents share in step. Units that are aligned with an earlier document and follow
 one another form blocks, and a block of `min_words` words or more is deleted from the later document. Units of fewer
 than four words have no owner; they neither break nor make a block.
+
+Alignment with the first owner alone would leave out passages whose units stand several times in either document, or
+whose own first holder is another document than that of their units. So passages have owners as well: the least run of
+units with `min_words` words or more from each unit on, and up to each unit, is a window, and a window that an earlier
+document holds is deleted. Windows cover every block of consecutive units that stands in any earlier document, however
+often it stands in either; they grow with the units, and only units that two documents hold make them.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -94,6 +101,36 @@ def aligned(rows: list[tuple]) -> set[int]:
     return out
 
 
+def windows(rank: list[int], words: list[int], hashes: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
+    """(hash, first, last) of the least runs of `min_words` words or more from each unit on and up to each unit.
+
+    Units are given in order; they follow one another where their ranks do. first and last are their numbers here.
+    """
+    out = []
+    data = hashes.tobytes()
+    at = 0
+    for to in range(1, len(rank) + 1):
+        if to < len(rank) and rank[to] == rank[to - 1] + 1:
+            continue
+        sums = [0, *accumulate(words[at:to])]
+        if sums[-1] >= min_words:
+            found, end, start = set(), 0, 0
+            for a in range(to - at):
+                while end <= to - at and sums[end] - sums[a] < min_words:
+                    end += 1
+                if end > to - at:
+                    break
+                found.add((a, end))
+            for b in range(1, to - at + 1):
+                while sums[b] - sums[start + 1] >= min_words:
+                    start += 1
+                if sums[b] - sums[start] >= min_words:
+                    found.add((start, b))
+            out += [(xxhash.xxh64_intdigest(data[8 * (at + a) : 8 * (at + b)]), at + a, at + b - 1) for a, b in sorted(found)]
+        at = to
+    return out
+
+
 def blocks(positions: set[int], words: dict[int, int], short: set[int], min_words: int) -> list[int]:
     """The positions of blocks of `min_words` words or more; short units between aligned ones belong to the block."""
     out: list[int] = []
@@ -132,15 +169,41 @@ def duplicated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS,
                 n = np.array(n, np.int64)
                 which = np.repeat(np.arange(at, at + len(keys)), n)
                 pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                yield pa.record_batch([pa.array(np.array(doc, np.int64)[which]), pa.array(np.array(th, np.int64)[which]), pa.array(pos.astype(np.int32)), pa.array(np.array(words, np.int32)), pa.array(np.array(hashes, np.uint64).view(np.int64))], names=["doc", "th", "pos", "words", "h"])
+                # Rank among the long units: one runs on from text to text, as only differences within one matter.
+                rank = np.cumsum(np.array(words, np.int64) >= SHORT)
+                yield pa.record_batch([pa.array(np.array(doc, np.int64)[which]), pa.array(np.array(th, np.int64)[which]), pa.array(pos.astype(np.int32)), pa.array(np.array(words, np.int32)), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(rank.astype(np.int32))], names=["doc", "th", "pos", "words", "h", "rank"])
                 at += len(keys)
 
-    rows, _ = cut(spark, keyed.mapInArrow(cut_up, "doc long, th long, pos int, words int, h long"), "lines")
+    rows, _ = cut(spark, keyed.mapInArrow(cut_up, "doc long, th long, pos int, words int, h long, rank int"), "lines")
     long_ones = rows.where(F.col("words") >= SHORT)
     # Owners: documents are counted as their least and greatest, combined before the shuffle.
     owners = long_ones.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
     shared, _ = cut(spark, owners.where(F.col("last") != F.col("owner")).select("h", "owner"), "lines-shared")
     held, _ = cut(spark, long_ones.join(shared, "h"), "lines-held")
+    # Windows of every document that holds shared units, and the first document of each.
+    unit = F.struct("pos", "rank", "words", "h")
+    runs = held.groupBy("doc", "th").agg(F.sort_array(F.collect_list(unit)).alias("units"), F.sum("words").alias("n")).where(F.col("n") >= min_words).select("doc", "th", "units")
+
+    def windowed(batches):
+        for batch in batches:
+            units = batch.column("units")
+            flat = units.flatten()
+            pos, rank, words, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            ends = np.cumsum(units.value_lengths().to_numpy(zero_copy_only=False))
+            which, w, first, last = [], [], [], []
+            for k, (at, to) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                for x, a, b in windows(rank[at:to].tolist(), words[at:to].tolist(), h[at:to], min_words):
+                    which.append(k)
+                    w.append(x)
+                    first.append(at + a)
+                    last.append(at + b)
+            which = pa.array(which, pa.int32())
+            yield pa.record_batch([batch.column("doc").take(which), batch.column("th").take(which), pa.array(np.array(w, np.uint64).view(np.int64)), pa.array(pos[np.array(first, np.int64)], pa.int32()), pa.array(pos[np.array(last, np.int64)], pa.int32())], names=["doc", "th", "w", "first", "last"])
+
+    made, _ = cut(spark, runs.mapInArrow(windowed, "doc long, th long, w long, first int, last int"), "lines-windows")
+    holders = made.groupBy("w").agg(F.min("doc").alias("holder"), F.max("doc").alias("other")).where(F.col("holder") != F.col("other")).select("w", "holder")
+    holders, _ = cut(spark, holders, "lines-holders")
+    repeated, _ = cut(spark, made.join(holders, "w").where(F.col("doc") != F.col("holder")).groupBy("doc", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "lines-repeated")
     # In the owner: the first place of a unit, and whether it is the only one.
     there, _ = cut(spark, held.where(F.col("doc") == F.col("owner")).groupBy("h").agg(F.min("pos").alias("at"), (F.count("*") == 1).alias("once_there")), "lines-there")
     later = held.where(F.col("doc") != F.col("owner")).join(there, "h")
@@ -149,18 +212,21 @@ def duplicated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS,
     gaps = rows.where(F.col("words") < SHORT).join(by_doc.select("doc", "th"), ["doc", "th"], "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "words")).alias("gaps"))
 
     @F.pandas_udf(ArrayType(IntegerType()))
-    def drop(found: pd.Series, gaps: pd.Series) -> pd.Series:
+    def drop(found: pd.Series, gaps: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
-        for rows, short in zip(found, gaps, strict=True):
+        for rows, short, held in zip(found, gaps, spans, strict=True):
+            rows = [] if rows is None else rows
             times: dict = {}
             for r in rows:
                 times[r["h"]] = times.get(r["h"], 0) + 1
             tuples = [(r["pos"], r["owner"], r["at"], r["once_there"] and times[r["h"]] == 1) for r in rows]
             small = {g["pos"]: g["words"] for g in short} if short is not None else {}
-            out.append(sorted(blocks(aligned(tuples), {r["pos"]: r["words"] for r in rows} | small, set(small), min_words)))
+            gone = set(blocks(aligned(tuples), {r["pos"]: r["words"] for r in rows} | small, set(small), min_words))
+            gone.update(p for x in (() if held is None else held) for p in range(x["first"], x["last"] + 1))
+            out.append(sorted(gone))
         return pd.Series(out)
 
-    found = by_doc.join(gaps, ["doc", "th"], "left").select("doc", "th", drop("rows", "gaps").alias("drop"))
+    found = by_doc.join(gaps, ["doc", "th"], "left").join(repeated, ["doc", "th"], "full").select("doc", "th", drop("rows", "gaps", "spans").alias("drop"))
     return found.where(F.size("drop") > 0)
 
 

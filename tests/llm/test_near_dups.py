@@ -155,3 +155,25 @@ def test_aligned_order():
     # Anchors in crossed order keep the longest increasing run; repeated units join by growing from an anchor.
     rows = [(0, 1, 5, True), (1, 1, 6, True), (2, 1, 7, False), (5, 1, 1, True)]
     assert line_dedup.aligned(rows) == {0, 1, 2}
+
+
+def test_line_dedup_passage_repeated_in_both(spark, make):
+    own = [f"Text {k} begins with {k} words of {k * k} its own kind.\n" for k in range(5)]
+    mid = [f"Between them text {k} says {k + 9} other things.\n" for k in range(5)]
+    twice = [own[k] + PASSAGE + "\n" + mid[k] + PASSAGE for k in (0, 1)]
+    texts = [*twice, own[2] + PASSAGE, own[3] + (PASSAGE + "\n") * 13 + mid[3]]
+    new = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark, make(texts)).collect()}
+    assert new == {0: texts[0], 1: own[1] + mid[1], 2: own[2], 3: own[3] + mid[3]}
+
+
+def test_windows_cover_every_repeated_block():
+    draw = random.Random(5)
+    for _ in range(100):
+        size = {u: draw.randint(4, 25) for u in range(6)}
+        a, b = ([draw.randrange(6) for _ in range(draw.randint(1, 25))] for _ in range(2))
+        made = [line_dedup.windows(list(range(len(x))), [size[u] for u in x], np.array(x, np.int64), 20) for x in (a, b)]
+        held = {w for w, _, _ in made[0]}
+        got = {p for w, i, j in made[1] if w in held for p in range(i, j + 1)}
+        runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+        want = {p for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(b[i:j]) in runs and sum(size[u] for u in b[i:j]) >= 20 for p in range(i, j)}
+        assert got == want
