@@ -14,7 +14,9 @@ Alignment with the first owner alone would leave out passages whose units stand
 whose own first holder is another document than that of their units. So passages have owners as well: the least run of
 units with `min_words` words or more from each unit on, and up to each unit, is a window, and a window that an earlier
 document holds is deleted. Windows cover every block of consecutive units that stands in any earlier document, however
-often it stands in either; they grow with the units, and only units that two documents hold make them.
+often it stands in either; they grow with the units, and only units that two documents hold make them. Blocks that the
+owner holds in order but with other text between, outside of the longest run of anchors, are found as stretches:
+units that follow one another here, with growing (first) places in one owner.
 """
 
 from __future__ import annotations
@@ -146,6 +148,18 @@ def blocks(positions: set[int], words: dict[int, int], short: set[int], min_word
     return out + (run if sum(words.get(x, 0) for x in run) >= min_words else [])
 
 
+def moved(rows: list[tuple], words: dict[int, int], short: set[int], min_words: int) -> set[int]:
+    """Positions in blocks whose first places in one owner grow, wherever the alignment with it goes. `rows`: as in `aligned`."""
+    out: set[int] = set()
+    stretch: list[tuple] = []
+    for row in [*sorted(rows, key=lambda r: r[0]), None]:
+        if stretch and (row is None or row[1] != stretch[-1][1] or row[2] <= stretch[-1][2] or not all(g in short for g in range(stretch[-1][0] + 1, row[0]))):
+            out.update(blocks({r[0] for r in stretch}, words, short, min_words))
+            stretch = []
+        stretch.append(row)
+    return out
+
+
 def duplicated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, th, drop array<int>): numbers of the units that a document loses; th is xxhash64 of its text.
 
@@ -221,7 +235,9 @@ def duplicated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS,
                 times[r["h"]] = times.get(r["h"], 0) + 1
             tuples = [(r["pos"], r["owner"], r["at"], r["once_there"] and times[r["h"]] == 1) for r in rows]
             small = {g["pos"]: g["words"] for g in short} if short is not None else {}
-            gone = set(blocks(aligned(tuples), {r["pos"]: r["words"] for r in rows} | small, set(small), min_words))
+            sizes = {r["pos"]: r["words"] for r in rows} | small
+            gone = moved(tuples, sizes, set(small), min_words)
+            gone.update(blocks(aligned(tuples), sizes, set(small), min_words))
             gone.update(p for x in (() if held is None else held) for p in range(x["first"], x["last"] + 1))
             out.append(sorted(gone))
         return pd.Series(out)

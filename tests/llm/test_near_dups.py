@@ -177,3 +177,13 @@ def test_windows_cover_every_repeated_block():
         runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
         want = {p for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(b[i:j]) in runs and sum(size[u] for u in b[i:j]) >= 20 for p in range(i, j)}
         assert got == want
+
+
+def test_line_dedup_moved_blocks(spark, make):
+    x = [f"The block called x has a sentence {k} of eleven words here.\n" for k in range(2)]
+    y = [f"Of the other block, y, this is sentence {k} of twelve words.\n" for k in range(3)]
+    own = [f"Text {k} begins with {k} words of {k * k} its own kind.\n" for k in range(3)]
+    first = own[0] + y[0] + "Between them stands something else in the first.\n" + y[1] + y[2] + "And here is more that is only in it.\n" + x[0] + "Once more it has a line of its own.\n" + x[1]
+    texts = [first, own[1] + "".join(x + y), own[2] + "".join(x + y)]
+    new = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark, make(texts)).collect()}
+    assert new == {0: first, 1: own[1], 2: own[2]}
