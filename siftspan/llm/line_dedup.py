@@ -8,7 +8,8 @@ that anchors need is that of patience diff: in a pair, the anchors are shared un
 document. The longest increasing run of anchors (patience sorting) is the alignment; from each anchor it grows over
 neighbouring units that the two documents share in step. Units that are aligned with an earlier document and follow
 one another form blocks, and a block of `min_words` words or more is deleted from the later document. Units of fewer
-than four words have no owner; they neither break nor make a block.
+than four words have no owner in this; they neither break nor make a block. Each character of a script that is written
+without spaces (Chinese, Japanese, Thai and others) counts as a word.
 
 Alignment with the first owner alone would leave out passages whose units stand several times in either document, or
 whose own first holder is another document than that of their units. So passages have owners as well: the least run of
@@ -39,7 +40,16 @@ MIN_WORDS = 20
 SHORT = 4
 #: Bytes of deletions that are sent to every task instead of bringing all texts to them: above, the join shuffles.
 SEND_BYTES = 32 << 20
-_END = re.compile(r"[.!?] |\n")
+_END = re.compile(r"[.!?] |[。！？｡]|\n")
+#: Characters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+
+
+def length(unit: str, most: int = -1) -> int:
+    """Words of a unit; each character of a script without spaces is one. Above `most`, any number above it or `most` + 1."""
+    if not unit.isascii():
+        unit = _UNSPACED.sub(" x ", unit)
+    return len(unit.split(None, most))
 
 
 def units_of(text: str) -> list[str]:
@@ -47,7 +57,7 @@ def units_of(text: str) -> list[str]:
     out, at, run = [], 0, 0  # run: where short sentences that are not out yet begin
     for m in _END.finditer(text):
         end = m.end()
-        if len(text[at:end].split(None, SHORT)) >= SHORT:
+        if length(text[at:end], SHORT) >= SHORT:
             if run < at:
                 out.append(text[run:at])
             out.append(text[at:end])
@@ -56,7 +66,7 @@ def units_of(text: str) -> list[str]:
             out.append(text[run:end])
             run = end
         at = end
-    if at < len(text) and run < at and len(text[at:].split(None, SHORT)) >= SHORT:
+    if at < len(text) and run < at and length(text[at:], SHORT) >= SHORT:
         out.append(text[run:at])
         run = at
     return out + [text[run:]] * (run < len(text))
@@ -176,41 +186,46 @@ def duplicated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS,
             for keys, texts in text_slices([pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text")], names=["doc", "text"])]):
                 n, words, hashes = [], [], []
                 for t in texts:
-                    parts = [u.split() for u in units_of(t)]
-                    n.append(len(parts))
-                    words += map(len, parts)
-                    hashes += [xxhash.xxh64_intdigest(" ".join(p)) for p in parts]
+                    units = units_of(t)
+                    n.append(len(units))
+                    words += map(length, units)
+                    hashes += [xxhash.xxh64_intdigest(" ".join(u.split())) for u in units]
                 n = np.array(n, np.int64)
                 which = np.repeat(np.arange(at, at + len(keys)), n)
                 pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                # Rank among the long units: one runs on from text to text, as only differences within one matter.
-                rank = np.cumsum(np.array(words, np.int64) >= SHORT)
-                yield pa.record_batch([pa.array(np.array(doc, np.int64)[which]), pa.array(np.array(th, np.int64)[which]), pa.array(pos.astype(np.int32)), pa.array(np.array(words, np.int32)), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(rank.astype(np.int32))], names=["doc", "th", "pos", "words", "h", "rank"])
+                # Ranks among the units with words and among the long ones: they run on from text to text, as only
+                # differences within one matter.
+                line, rank = (np.cumsum(np.array(words, np.int64) >= least) for least in (1, SHORT))
+                yield pa.record_batch([pa.array(np.array(doc, np.int64)[which]), pa.array(np.array(th, np.int64)[which]), pa.array(pos.astype(np.int32)), pa.array(np.array(words, np.int32)), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(line.astype(np.int32)), pa.array(rank.astype(np.int32))], names=["doc", "th", "pos", "words", "h", "line", "rank"])
                 at += len(keys)
 
-    rows, _ = cut(spark, keyed.mapInArrow(cut_up, "doc long, th long, pos int, words int, h long, rank int"), "lines")
-    long_ones = rows.where(F.col("words") >= SHORT)
+    rows, _ = cut(spark, keyed.mapInArrow(cut_up, "doc long, th long, pos int, words int, h long, line int, rank int"), "lines")
+    worded = rows.where(F.col("words") > 0)
     # Owners: documents are counted as their least and greatest, combined before the shuffle.
-    owners = long_ones.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
+    owners = worded.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
     shared, _ = cut(spark, owners.where(F.col("last") != F.col("owner")).select("h", "owner"), "lines-shared")
-    held, _ = cut(spark, long_ones.join(shared, "h"), "lines-held")
+    held, _ = cut(spark, worded.join(shared, "h"), "lines-held")
     # Windows of every document that holds shared units, and the first document of each.
-    unit = F.struct("pos", "rank", "words", "h")
+    unit = F.struct("pos", "line", "rank", "words", "h")
     runs = held.groupBy("doc", "th").agg(F.sort_array(F.collect_list(unit)).alias("units"), F.sum("words").alias("n")).where(F.col("n") >= min_words).select("doc", "th", "units")
 
     def windowed(batches):
         for batch in batches:
             units = batch.column("units")
             flat = units.flatten()
-            pos, rank, words, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            pos, line, rank, words, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
             ends = np.cumsum(units.value_lengths().to_numpy(zero_copy_only=False))
             which, w, first, last = [], [], [], []
             for k, (at, to) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-                for x, a, b in windows(rank[at:to].tolist(), words[at:to].tolist(), h[at:to], min_words):
+                found = set()
+                long_ones = at + np.flatnonzero(words[at:to] >= SHORT)
+                for these, place in ((np.arange(at, to), line), (long_ones, rank))[len(long_ones) == to - at :]:
+                    found |= {(x, int(these[a]), int(these[b])) for x, a, b in windows(place[these].tolist(), words[these].tolist(), h[these], min_words)}
+                for x, a, b in found:
                     which.append(k)
                     w.append(x)
-                    first.append(at + a)
-                    last.append(at + b)
+                    first.append(a)
+                    last.append(b)
             which = pa.array(which, pa.int32())
             yield pa.record_batch([batch.column("doc").take(which), batch.column("th").take(which), pa.array(np.array(w, np.uint64).view(np.int64)), pa.array(pos[np.array(first, np.int64)], pa.int32()), pa.array(pos[np.array(last, np.int64)], pa.int32())], names=["doc", "th", "w", "first", "last"])
 
@@ -219,8 +234,9 @@ def duplicated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS,
     holders, _ = cut(spark, holders, "lines-holders")
     repeated, _ = cut(spark, made.join(holders, "w").where(F.col("doc") != F.col("holder")).groupBy("doc", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "lines-repeated")
     # In the owner: the first place of a unit, and whether it is the only one.
-    there, _ = cut(spark, held.where(F.col("doc") == F.col("owner")).groupBy("h").agg(F.min("pos").alias("at"), (F.count("*") == 1).alias("once_there")), "lines-there")
-    later = held.where(F.col("doc") != F.col("owner")).join(there, "h")
+    long_held = held.where(F.col("words") >= SHORT)
+    there, _ = cut(spark, long_held.where(F.col("doc") == F.col("owner")).groupBy("h").agg(F.min("pos").alias("at"), (F.count("*") == 1).alias("once_there")), "lines-there")
+    later = long_held.where(F.col("doc") != F.col("owner")).join(there, "h")
     row = F.struct("pos", "owner", "at", "once_there", "h", "words")
     by_doc, _ = cut(spark, later.groupBy("doc", "th").agg(F.collect_list(row).alias("rows"), F.sum("words").alias("n")).where(F.col("n") >= min_words).drop("n"), "lines-by-doc")
     gaps = rows.where(F.col("words") < SHORT).join(by_doc.select("doc", "th"), ["doc", "th"], "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "words")).alias("gaps"))

@@ -187,3 +187,16 @@ def test_line_dedup_moved_blocks(spark, make):
     texts = [first, own[1] + "".join(x + y), own[2] + "".join(x + y)]
     new = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark, make(texts)).collect()}
     assert new == {0: first, 1: own[1], 2: own[2]}
+
+
+def test_line_dedup_short_lines_and_unspaced_scripts(spark, make):
+    own = [f"Text {k} begins with {k} words of {k * k} its own kind.\n" for k in range(3)]
+    verse = "".join(f"item {k}\n\nof {k * 7} b\n" for k in range(9))
+    assert max(map(line_dedup.length, line_dedup.units_of(verse))) < line_dedup.SHORT
+    chinese = "春天的早晨我们在河边散步。孩子们看见一只白色的鸟飞过水面！然后大家一起回家吃饭。"
+    japanese = "これは空白のない日本語の文章の例であり単語の数を数えることができません"
+    assert line_dedup.length("汉字 ab 漢") == 4 and len(line_dedup.units_of(chinese)) == 3
+    texts = [own[0] + verse, own[1] + verse, own[2] + "item 1\nof 7 b\nas it is", chinese, japanese, chinese, "别的话。" + japanese]
+    new = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark, make(texts)).collect()}
+    assert new[1].strip() == own[1].strip() and [new[5], new[6]] == ["", "别的话。"]
+    assert all(new[k] == texts[k] for k in (0, 2, 3, 4))
