@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
@@ -174,7 +174,8 @@ def duplicated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS,
     """(doc, th, drop array<int>): numbers of the units that a document loses; th is xxhash64 of its text.
 
     `doc` is the id, or a hash of the text where the id is null. Rows of equal id are never held against one another;
-    those of different texts are told apart by th. Null texts have no units.
+    those of different texts are told apart by th. Repeated rows of equal id and text count once: units are gathered as
+    sets. Null texts have no units.
     """
     text = F.col(text_col).cast("string")
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("th")).where(F.col("text").isNotNull())
@@ -205,9 +206,12 @@ def duplicated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS,
     owners = worded.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
     shared, _ = cut(spark, owners.where(F.col("last") != F.col("owner")).select("h", "owner"), "lines-shared")
     held, _ = cut(spark, worded.join(shared, "h"), "lines-held")
+    def total(units: str) -> Column:
+        return F.aggregate(units, F.lit(0).cast("long"), lambda n, u: n + u["words"])
+
     # Windows of every document that holds shared units, and the first document of each.
     unit = F.struct("pos", "line", "rank", "words", "h")
-    runs = held.groupBy("doc", "th").agg(F.sort_array(F.collect_list(unit)).alias("units"), F.sum("words").alias("n")).where(F.col("n") >= min_words).select("doc", "th", "units")
+    runs = held.groupBy("doc", "th").agg(F.sort_array(F.collect_set(unit)).alias("units")).where(total("units") >= min_words)
 
     def windowed(batches):
         for batch in batches:
@@ -235,11 +239,11 @@ def duplicated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS,
     repeated, _ = cut(spark, made.join(holders, "w").where(F.col("doc") != F.col("holder")).groupBy("doc", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "lines-repeated")
     # In the owner: the first place of a unit, and whether it is the only one.
     long_held = held.where(F.col("words") >= SHORT)
-    there, _ = cut(spark, long_held.where(F.col("doc") == F.col("owner")).groupBy("h").agg(F.min("pos").alias("at"), (F.count("*") == 1).alias("once_there")), "lines-there")
+    there, _ = cut(spark, long_held.where(F.col("doc") == F.col("owner")).groupBy("h").agg(F.min(F.struct("th", "pos")).alias("least"), F.max(F.struct("th", "pos")).alias("most")).select("h", F.col("least.pos").alias("at"), (F.col("least") == F.col("most")).alias("once_there")), "lines-there")
     later = long_held.where(F.col("doc") != F.col("owner")).join(there, "h")
     row = F.struct("pos", "owner", "at", "once_there", "h", "words")
-    by_doc, _ = cut(spark, later.groupBy("doc", "th").agg(F.collect_list(row).alias("rows"), F.sum("words").alias("n")).where(F.col("n") >= min_words).drop("n"), "lines-by-doc")
-    gaps = rows.where(F.col("words") < SHORT).join(by_doc.select("doc", "th"), ["doc", "th"], "left_semi").groupBy("doc", "th").agg(F.collect_list(F.struct("pos", "words")).alias("gaps"))
+    by_doc, _ = cut(spark, later.groupBy("doc", "th").agg(F.collect_set(row).alias("rows")).where(total("rows") >= min_words), "lines-by-doc")
+    gaps = rows.where(F.col("words") < SHORT).join(by_doc.select("doc", "th"), ["doc", "th"], "left_semi").groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "words")).alias("gaps"))
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def drop(found: pd.Series, gaps: pd.Series, spans: pd.Series) -> pd.Series:

@@ -200,3 +200,10 @@ def test_line_dedup_short_lines_and_unspaced_scripts(spark, make):
     new = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark, make(texts)).collect()}
     assert new[1].strip() == own[1].strip() and [new[5], new[6]] == ["", "别的话。"]
     assert all(new[k] == texts[k] for k in (0, 2, 3, 4))
+
+
+@pytest.mark.parametrize("ids", [[1, 1, 2, 3], [1, 2, 2, 3], [1, 1, 2, 2]])
+def test_line_dedup_repeated_rows(spark, make, ids):
+    own = {k: f"Text {k} begins with {k} words of {k * k} its own kind.\n" for k in (1, 2, 3)}
+    got = line_dedup.dedup(spark, make([own[k] + PASSAGE for k in ids], ids)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((k, own[k] + PASSAGE * (k == 1)) for k in ids)
