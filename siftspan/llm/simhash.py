@@ -5,10 +5,14 @@ differ in d bits have vectors at Manhattan distance d at most, so the distance i
 of cells of WIDTH counts a side; a fingerprint is copied to the cells of smaller number that it could reach within the
 radius, cells are joined in blocks, and every pair that meets is verified by its differing bits. Equal fingerprints
 are one row before the join, so groups of copies cost nothing there.
+
+Where a radius is too wide for the grid to leave anything out, fingerprints are joined in blocks of one cell instead.
+Links can also ask for a Jaccard similarity of the shingles: then what the fingerprints link are candidates alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -23,27 +27,36 @@ from siftspan.llm.common import cut, text_slices
 
 SEGMENTS, WIDTH = 4, 2
 BLOCK = 65536
+#: The widest radius for the grid; rows with shingles in a block.
+GRID_RADIUS, SHINGLE_BLOCK = 8, 4096
 #: Shingles whose bits are counted at once.
 PART = 1 << 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str, words: int = 4) -> int:
-    """The SimHash of a whole text: see `fingerprints`."""
+def shingles(text: str, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the runs of `words` words of a whole text in parts, repeats included: see `fingerprints`."""
     parts = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()  # bytes.split cuts at 0x20 and 0x09 to 0x0D
     if not parts:
-        return 0
-    if len(parts) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(parts), 42)
+        return
     joined = b" ".join(parts)
+    digest = xxhash.xxh64_intdigest
+    if len(parts) <= words:
+        yield np.array([digest(joined, 42)], "<u8")
+        return
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = len(parts) - words + 1
-    digest = xxhash.xxh64_intdigest
-    bits = np.zeros(64, np.int64)
     for at in range(0, n, PART):
         to = min(n, at + PART)
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[at:to].tolist(), ends[at + words - 1 : to + words - 1].tolist(), strict=True)], "<u8")
+        yield np.array([digest(joined[a:b], 42) for a, b in zip(starts[at:to].tolist(), ends[at + words - 1 : to + words - 1].tolist(), strict=True)], "<u8")
+
+
+def fingerprint(text: str, words: int = 4) -> int:
+    """The SimHash of a whole text: see `fingerprints`."""
+    n, bits = 0, np.zeros(64, np.int64)
+    for h in shingles(text, words):
+        n += len(h)
         bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(bits * 2 > n, bitorder="little").view("<u8")[0])
 
@@ -113,7 +126,49 @@ def links(spark: SparkSession, prints: DataFrame, radius: int) -> tuple[DataFram
             if len(i):
                 yield i + at, j
 
-    return linked(spark, cells_of(prints, radius), BLOCK, find, "simhash")
+    if radius <= GRID_RADIUS:
+        return linked(spark, cells_of(prints, radius), BLOCK, find, "simhash")
+    prints, _ = cut(spark, prints, "prints-all")
+    # Eight blocks or more, so that tasks share the pairs, unless they were small.
+    block = min(BLOCK, max(SHINGLE_BLOCK, prints.count() // 8))
+    return linked(spark, prints.select("id", F.lit(True).alias("home"), F.lit(0).cast("long").alias("cell")), block, find, "simhash")
+
+
+def alike(spark: SparkSession, texts: DataFrame, radius: int, words: int, jaccard: float) -> DataFrame:
+    """(node, component) of the `th` of `texts(th long, text, bits long, cell long)`: links are within a cell.
+
+    Texts link if their fingerprints differ in at most `radius` bits and their sets of shingles have a Jaccard
+    similarity of `jaccard` or more; sets without shingles are equal. Pairs that links join already are not verified.
+    """
+
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(np.concatenate([np.empty(0, "<u8"), *shingles(t.as_py() or "", words)])).view(np.int64) for t in batch.column("text")]
+            at = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.empty(0, np.int64), *found]))
+            yield pa.record_batch([batch.column("th"), batch.column("bits"), batch.column("cell"), pa.ListArray.from_arrays(pa.array(at), flat)], names=["id", "bits", "cell", "shingles"])
+
+    def find(a: pd.DataFrame, b: pd.DataFrame):
+        x, y = a["bits"].to_numpy().view(np.uint64), b["bits"].to_numpy().view(np.uint64)
+        left, right = a["shingles"].tolist(), b["shingles"].tolist()
+        n, m = np.array([len(v) for v in left], np.int64), np.array([len(v) for v in right], np.int64)
+        known = {k: i for i, k in enumerate(dict.fromkeys([*a["id"].tolist(), *b["id"].tolist()]))}
+        one, two = (np.array([known[k] for k in f["id"].tolist()], np.int64) for f in (a, b))
+        label = np.arange(len(known))
+        for i in range(len(x) if len(y) else 0):
+            near = (np.bitwise_count(y ^ x[i]) <= radius) & (np.minimum(m, n[i]) >= jaccard * np.maximum(m, n[i]))
+            for j in np.flatnonzero(near & (label[two] != label[one[i]])).tolist():
+                p, q = label[one[i]], label[two[j]]
+                if p == q:
+                    continue
+                both = len(np.intersect1d(left[i], right[j], assume_unique=True))
+                if both >= jaccard * (n[i] + m[j] - both):
+                    label[label == max(p, q)] = min(p, q)
+                    yield np.array([i]), np.array([j])
+
+    rows = texts.mapInArrow(sets, "id long, bits long, cell long, shingles array<long>").withColumn("home", F.lit(True))
+    rows, _ = cut(spark, rows, "shingles")
+    return linked(spark, rows, SHINGLE_BLOCK, find, "alike")[1]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,13 +189,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 4, words
     return prints.join(named, "bits").select("doc_id", "bits", "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text", jaccard: float = 0.0) -> DataFrame:
     """The rows of `docs`, one for each component: the row of its smallest id.
 
-    Texts without words are one component. Rows that share an id are one document, of which one row stays. Rows with a
-    null id stay only if their component has no other id. Same columns; an empty table gives no rows.
+    Components are those of links of at most `radius` bits between fingerprints of `words` words, with `jaccard` of
+    those links whose shingles are that similar. Texts without words are one component. Of the rows of a component, the
+    first by id (nulls last) stays; rows that share an id are one document. Same columns; an empty table gives no rows.
     """
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    found = near_duplicates(spark, docs.select(F.col(id_col).cast("long").alias(id_col), text_col), radius, words, id_col, text_col)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_own")).distinct()
-    return docs.withColumn("_own", own).join(firsts, "_own", "left_semi").dropDuplicates(["_own"]).drop("_own")
+    text = F.col(text_col).cast("string")
+    prints = fingerprints(docs.select(F.xxhash64(text).alias("th"), text.alias("text")), "th", "text", words)
+    prints, _ = cut(spark, prints.groupBy(F.col("doc_id").alias("th")).agg(F.first("bits").alias("bits")), "prints")
+    _, found = links(spark, prints.select(F.col("bits").alias("id")).distinct(), radius)
+    named = prints.join(found.select(F.col("node").alias("bits"), "component"), "bits", "left").select("th", "bits", F.coalesce("component", "bits").alias("cell"))
+    named, _ = cut(spark, named, "prints-named")
+    if jaccard:
+        several = named.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("cell")
+        candidates, _ = cut(spark, named.join(several, "cell"), "prints-candidates")
+        texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(candidates.select("th"), "th", "left_semi").dropDuplicates(["th"])
+        found = alike(spark, texts.join(candidates, "th").select("th", "text", "bits", "cell"), radius, words, jaccard)
+        named = named.join(found.select(F.col("node").alias("th"), "component"), "th", "left").select("th", F.coalesce("component", "th").alias("cell"))
+    # One row of each component, and one of the rows that repeat it.
+    ids = docs.select(F.xxhash64(text).alias("th"), F.col(id_col).cast("long").alias("id")).groupBy("th").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
+    firsts = named.join(ids, "th").groupBy("cell").agg(F.min(F.struct("first.none", "first.id", "th")).alias("first")).select(F.col("first.id").alias("_id"), F.col("first.th").alias("_th"))
+    own = docs.withColumn("_own", F.col(id_col).cast("long")).withColumn("_own_th", F.xxhash64(text))
+    return own.join(firsts, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_th") == F.col("_th")), "left_semi").dropDuplicates(["_own"]).drop("_own", "_own_th")

@@ -207,3 +207,27 @@ def test_line_dedup_repeated_rows(spark, make, ids):
     own = {k: f"Text {k} begins with {k} words of {k * k} its own kind.\n" for k in (1, 2, 3)}
     got = line_dedup.dedup(spark, make([own[k] + PASSAGE for k in ids], ids)).collect()
     assert sorted((r["doc_id"], r["text"]) for r in got) == sorted((k, own[k] + PASSAGE * (k == 1)) for k in ids)
+
+
+def test_simhash_stage_by_similarity(spark, make, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "SHINGLE_BLOCK", 7)
+    draw = random.Random(11)
+    texts = []
+    for k in range(12):
+        base = [f"w{draw.randrange(10 ** 6)}" for _ in range(200)]
+        texts += [" ".join(base)]
+        for edits in (1, 2, 3, 4, 6, 9):
+            new = list(base)
+            for at in draw.sample(range(200), edits):
+                new[at] = f"x{draw.randrange(10 ** 6)}"
+            texts.append(" ".join(new))
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    bits = [simhash.fingerprint(t, 5) for t in texts]
+    n = range(len(texts))
+    similar = [(i, j) for i in n for j in n if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    links = [(i, j) for i, j in similar if (bits[i] ^ bits[j]).bit_count() <= corpus_pipeline.NEAR_BITS]
+    assert len(links) >= 0.9 * len(similar) > sum((bits[i] ^ bits[j]).bit_count() <= 4 for i, j in similar)
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, make(texts), "").collect()}
+    assert kept == set(classes(len(texts), links))
