@@ -194,7 +194,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 4, words: int =
 
     Components are those of links of at most `radius` bits between fingerprints of `words` words, with `jaccard` of
     those links whose shingles are that similar. Texts without words are one component. Of the rows of a component, the
-    first by id (nulls last) stays; rows that share an id are one document. Same columns; an empty table gives no rows.
+    first by id (nulls last), then by a hash of the text stays: a shared id or a null one does not make rows one. Same
+    columns; an empty table gives no rows.
     """
     text = F.col(text_col).cast("string")
     prints = fingerprints(docs.select(F.xxhash64(text).alias("th"), text.alias("text")), "th", "text", words)
@@ -212,4 +213,4 @@ def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 4, words: int =
     ids = docs.select(F.xxhash64(text).alias("th"), F.col(id_col).cast("long").alias("id")).groupBy("th").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
     firsts = named.join(ids, "th").groupBy("cell").agg(F.min(F.struct("first.none", "first.id", "th")).alias("first")).select(F.col("first.id").alias("_id"), F.col("first.th").alias("_th"))
     own = docs.withColumn("_own", F.col(id_col).cast("long")).withColumn("_own_th", F.xxhash64(text))
-    return own.join(firsts, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_th") == F.col("_th")), "left_semi").dropDuplicates(["_own"]).drop("_own", "_own_th")
+    return own.join(firsts, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_th") == F.col("_th")), "left_semi").dropDuplicates(["_own", "_own_th"]).drop("_own", "_own_th")

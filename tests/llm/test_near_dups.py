@@ -231,3 +231,10 @@ def test_simhash_stage_by_similarity(spark, make, monkeypatch):
     assert len(links) >= 0.9 * len(similar) > sum((bits[i] ^ bits[j]).bit_count() <= 4 for i, j in similar)
     kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, make(texts), "").collect()}
     assert kept == set(classes(len(texts), links))
+
+
+def test_simhash_null_and_repeated_ids(spark, make):
+    texts = [f"text {k} has its own words {k * k} and more {k + 7} of them {k * 11} here" for k in range(6)]
+    docs = make([texts[0], texts[1], texts[2], texts[0], texts[3], texts[4], texts[4], texts[5]], [1, None, None, 2, 2, 3, 3, 3])
+    kept = simhash.keep_one(spark, docs)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", texts[0]), ("None", texts[1]), ("None", texts[2]), ("2", texts[3]), ("3", texts[4]), ("3", texts[5])])
