@@ -15,6 +15,7 @@ that covers their rounding; every link is decided by the cosine in double precis
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,8 @@ from siftspan.llm.common import cut
 #: Rows of a block; vectors to a pivot; pivots at most (they are sent to every task: 4096 of 64 doubles are 2 MB).
 BLOCK, PER_PIVOT, MAX_PIVOTS = 8192, 4096, 4096
 MARGIN = 1e-4
+#: Lengths of vectors that have pivots of their own, the most frequent ones; each other length is one cell of a join of all.
+LENGTHS = 100
 
 
 def matrix(column) -> np.ndarray:
@@ -62,13 +65,21 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     good, _ = cut(spark, usable(vectors, id_col, vector_col), "vectors")
     classes, _ = cut(spark, good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("id", F.xxhash64("v")), "vector-classes")
     n = classes.count()
-    lengths = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().limit(100).collect()] if n else []
+    sized = classes.withColumn("cell", F.size("v").cast("long"))
+    lengths = [r["cell"] for r in sized.groupBy("cell").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cell").limit(LENGTHS + 1).collect()] if n else []
+    others = len(lengths) > LENGTHS
+    lengths = lengths[:LENGTHS]
     found, members = [], []
     for d in lengths:
-        a, b = _join(spark, classes.where(F.size("v") == d) if len(lengths) > 1 else classes, n, threshold)
+        a, b = _join(spark, classes.where(F.size("v") == d) if others or len(lengths) > 1 else classes, n, threshold)
         found.append(a)
         members.append(b)
-    if not lengths:
+    if others:
+        rest = sized.where(~F.col("cell").isin(lengths)) if lengths else sized
+        a, b = linked(spark, rest.select("id", "v", "copies", F.lit(True).alias("home"), "cell"), BLOCK, _finder(threshold), "vectors", "copies")
+        found.append(a)
+        members.append(b)
+    if not found:
         return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     links, member = found[0], members[0]
     for a, b in zip(found[1:], members[1:], strict=True):
@@ -83,6 +94,24 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def _finder(threshold: float) -> Callable:
+    """`find` of `cells.linked`: rows whose vectors have a cosine of `threshold` or more."""
+
+    def find(a: pd.DataFrame, b: pd.DataFrame):
+        if not len(a) or not len(b):
+            return
+        x, y = matrix(a["v"]), matrix(b["v"])
+        p, q = ((z / np.linalg.norm(z / np.abs(z).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(z).max(axis=1, keepdims=True)).astype(np.float32) for z in (x, y))
+        for at in range(0, len(x), 256):
+            i, j = np.nonzero(p[at : at + 256] @ q.T >= threshold - MARGIN)
+            for k in range(0, len(i), 1 << 17):
+                u, w = i[k : k + (1 << 17)] + at, j[k : k + (1 << 17)]
+                ok = cosine(x[u], y[w]) >= threshold
+                yield u[ok], w[ok]
+
+    return find
+
+
 def _join(spark: SparkSession, classes: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Links among distinct vectors of one length: (id, n_links), counting copies, and (node, component)."""
     wanted = min(MAX_PIVOTS, max(1, math.ceil(n / PER_PIVOT)))
@@ -126,16 +155,4 @@ def _join(spark: SparkSession, classes: DataFrame, n: int, threshold: float) ->
 
     placed = classes.select("id", "v", "copies").mapInArrow(place, "id long, v array<double>, copies long, home boolean, cell long")
 
-    def find(a: pd.DataFrame, b: pd.DataFrame):
-        if not len(a) or not len(b):
-            return
-        x, y = matrix(a["v"]), matrix(b["v"])
-        p, q = ((z / np.linalg.norm(z / np.abs(z).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(z).max(axis=1, keepdims=True)).astype(np.float32) for z in (x, y))
-        for at in range(0, len(x), 256):
-            i, j = np.nonzero(p[at : at + 256] @ q.T >= threshold - MARGIN)
-            for k in range(0, len(i), 1 << 17):
-                u, w = i[k : k + (1 << 17)] + at, j[k : k + (1 << 17)]
-                ok = cosine(x[u], y[w]) >= threshold
-                yield u[ok], w[ok]
-
-    return linked(spark, placed, BLOCK, find, "vectors", weight="copies")
+    return linked(spark, placed, BLOCK, _finder(threshold), "vectors", weight="copies")

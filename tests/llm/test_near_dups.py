@@ -238,3 +238,13 @@ def test_simhash_null_and_repeated_ids(spark, make):
     docs = make([texts[0], texts[1], texts[2], texts[0], texts[3], texts[4], texts[4], texts[5]], [1, None, None, 2, 2, 3, 3, 3])
     kept = simhash.keep_one(spark, docs)
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", texts[0]), ("None", texts[1]), ("None", texts[2]), ("2", texts[3]), ("3", texts[4]), ("3", texts[5])])
+
+
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "LENGTHS", 1, raising=False)
+    rows = []
+    for d in range(1, 106):
+        v = np.cos(np.arange(1, d + 1) * d)
+        rows += [(2 * d, v.tolist(), 0, "c", 1, "h"), (2 * d + 1, (v * (3 + 0.01 * np.arange(d) / d)).tolist(), 0, "c", 1, "h")]
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark, vectors(spark, rows)).collect()}
+    assert len(got) == 210 and all((r["n_links"], r["component_id"]) == (1, k - k % 2) for k, r in got.items())
