@@ -1,7 +1,7 @@
 """Secret scans through a trigram inverted index, in DataFrame functions alone.
 
 Every rule is a regular expression with a Boolean query over trigrams that each match must hold: alternatives of
-conjunctions, derived from its mandatory literals. The index has postings (trigram, document) for the trigrams that
+conjunctions, from literals that are written by hand beside its expression. The index has postings (trigram, document) for the trigrams that
 the queries name, on lower-cased text. Conjunctions intersect postings, alternatives unite them, and the candidates of
 a rule are verified by its expression. A rule without a mandatory trigram scans every document.
 
