@@ -1,40 +1,40 @@
 """Deduplication of lines across documents by pairwise alignment.
 
 A document is cut into units that end to end are its text: lines, and within a line sentences; sentences of fewer than
-four words that follow one another on a line are one unit. Units are compared by a hash of their words. Of all
-documents that hold a unit, the first one in order of ids is its owner, and every later document forms one pair with
-it: pairs grow with the units, not with the square of a group, and no unit is too frequent to take part. The rarity
-that anchors need is that of patience diff: in a pair, the anchors are shared units that occur once in either
-document. The longest increasing run of anchors (patience sorting) is the alignment; from each anchor it grows over
-neighbouring units that the two documents share in step. Units that are aligned with an earlier document and follow
-one another form blocks, and a block of `min_words` words or more is deleted from the later document. Units of fewer
-than four words have no owner in this; they neither break nor make a block. Each character of a script that is written
-without spaces (Chinese, Japanese, Thai and others) counts as a word.
-
-Alignment with the first owner alone would leave out passages whose units stand several times in either document, or
-whose own first holder is another document than that of their units. So passages have owners as well: the least run of
-units with `min_words` words or more from each unit on, and up to each unit, is a window, and a window that an earlier
-document holds is deleted. Windows cover every block of consecutive units that stands in any earlier document, however
-often it stands in either; they grow with the units, and only units that two documents hold make them. Blocks that the
-owner holds in order but with other text between, outside of the longest run of anchors, are found as stretches:
-units that follow one another here, with growing (first) places in one owner.
+four words that follow one another on a line are one unit. Units are compared by a hash of their words. Each character
+of a script that is written without spaces (Chinese, Japanese, Thai and others) counts as a word.
+
+What two documents may share is found through runs: the least run of units with `min_words` words or more from each
+unit on, and up to each unit. A run's hash is that of its units. Single lines can be frequent, runs of them are rare;
+where a run is frequent all the same, no cap is needed, as it makes one pair for each later document: that document
+and the first one in order of ids which holds the run. So pairs grow with the text, never with the square of a group.
+
+Each pair is aligned by patience diff over its shared runs: runs that occur once in either document are anchors, and
+their longest increasing sequence (patience sorting) is the alignment. What it leaves, passages that were moved or that
+occur several times, is aligned again, by as few increasing sequences as cover it. Runs of one sequence that touch make
+a block, and the later document loses its blocks. A block lies in one pair: it is a stretch of consecutive units of
+the later document that stands in the earlier one as well, and it has `min_words` words or more. Nothing is put together
+from several earlier documents, and since the runs of a block cover it, every such stretch goes.
+
+Units of fewer than four words neither make nor break a block: runs are taken among all units with words, and among
+the longer ones alone.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from itertools import accumulate
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import StringType
 
-from siftspan.llm.common import cut, text_slices
+from siftspan.llm.common import cut, remove, text_slices
 
 MIN_WORDS = 20
 SHORT = 4
@@ -43,254 +43,229 @@ SEND_BYTES = 32 << 20
 _END = re.compile(r"[.!?] |[。！？｡]|\n")
 #: Characters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
 _UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
-
-
-def length(unit: str, most: int = -1) -> int:
-    """Words of a unit; each character of a script without spaces is one. Above `most`, any number above it or `most` + 1."""
-    if not unit.isascii():
-        unit = _UNSPACED.sub(" x ", unit)
-    return len(unit.split(None, most))
-
-
-def units_of(text: str) -> list[str]:
-    """The units of a text, end to end the whole text."""
-    out, at, run = [], 0, 0  # run: where short sentences that are not out yet begin
-    for m in _END.finditer(text):
-        end = m.end()
-        if length(text[at:end], SHORT) >= SHORT:
-            if run < at:
-                out.append(text[run:at])
-            out.append(text[at:end])
-            run = end
-        elif text[end - 1] == "\n":
-            out.append(text[run:end])
-            run = end
+#: An odd number whose powers weigh the units of a run, and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def units_of(text: str) -> list[tuple[int, int, int]]:
+    """(end, words, hash) of the units of a text, which are end to end the whole text."""
+    unspaced = not text.isascii() and _UNSPACED.search(text) is not None
+    count = (lambda part, words: len(_UNSPACED.sub(" x ", part).split())) if unspaced else (lambda part, words: len(words))
+    digest = xxhash.xxh64_intdigest
+    out: list[tuple[int, int, int]] = []
+    at, n, held = 0, 0, []  # held: the words of short sentences that are not out yet, n of them
+
+    def put(end: int, size: int, words: list[str]) -> None:
+        out.append((end, size, digest(" ".join(words).encode("utf-8", "surrogatepass"))))
+
+    for m in [*_END.finditer(text), None]:
+        end = m.end() if m else len(text)
+        if end == at and not m:
+            break
+        part = text[at:end]
+        words = part.split()
+        size = count(part, words)
+        if size >= SHORT and (at == 0 or out and out[-1][0] == at):
+            put(end, size, words)
+        elif size >= SHORT:
+            put(at, n, held)
+            put(end, size, words)
+            n, held = 0, []
+        else:
+            n, held = n + size, held + words
+            if not m or text[end - 1] == "\n":
+                put(end, n, held)
+                n, held = 0, []
         at = end
-    if at < len(text) and run < at and length(text[at:], SHORT) >= SHORT:
-        out.append(text[run:at])
-        run = at
-    return out + [text[run:]] * (run < len(text))
-
-
-def aligned(rows: list[tuple]) -> set[int]:
-    """Positions of a document that are aligned with an earlier one.
-
-    `rows`: (pos, owner, owner_pos, once) of the units that an earlier document owns; `once`: the unit occurs once in
-    this document and once in the owner.
-    """
-    by_owner: dict = {}
-    for pos, owner, at, once in rows:
-        by_owner.setdefault(owner, []).append((pos, at, once))
-    out: set[int] = set()
-    for shared in by_owner.values():
-        shared.sort()
-        anchors = [(p, a) for p, a, once in shared if once]
-        # Patience sorting by place in the owner: piles, and for each anchor the top of the pile to its left.
-        tops: list[int] = []
-        top_at: list[int] = []
-        back: list[int] = []
-        for k, (_, a) in enumerate(anchors):
-            pile = bisect_left(tops, a)
-            back.append(top_at[pile - 1] if pile else -1)
-            if pile == len(tops):
-                tops.append(a)
-                top_at.append(k)
-            else:
-                tops[pile], top_at[pile] = a, k
-        k = top_at[-1] if top_at else -1
-        chain = []
-        while k >= 0:
-            chain.append(anchors[k])
-            k = back[k]
-        pairs = {(p, a) for p, a, _ in shared}
-        for p, a in chain:
-            out.add(p)
-            for step in (1, -1):
-                q, b = p + step, a + step
-                while (q, b) in pairs and q not in out:
-                    out.add(q)
-                    q, b = q + step, b + step
+    if at and (not out or out[-1][0] < at):
+        put(at, n, held)
     return out
 
 
-def windows(rank: list[int], words: list[int], hashes: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
-    """(hash, first, last) of the least runs of `min_words` words or more from each unit on and up to each unit.
+def runs(doc: np.ndarray, words: np.ndarray, hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, end, hash) of the least runs of `min_words` words or more from each unit on and up to each unit.
 
-    Units are given in order; they follow one another where their ranks do. first and last are their numbers here.
+    Units, all with words, lie end to end for many documents (`doc`, ascending); no run spans two of them.
     """
+    m = len(doc)
+    if not m:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    start, end = np.searchsorted(doc, doc, "left"), np.searchsorted(doc, doc, "right")
+    a = np.arange(m)
+    e = np.searchsorted(sums, sums[:-1] + min_words, "left")
+    s = np.searchsorted(sums, sums[1:] - min_words, "right") - 1
+    on, up = e <= end, s >= start
+    code = np.unique(np.concatenate([a[on] * (m + 1) + e[on], s[up] * (m + 1) + a[up] + 1]))
+    first, last = np.divmod(code, m + 1)
+    with np.errstate(over="ignore"):
+        power, inverse = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(m, x, np.uint64)])) for x in (_BASE, _INVERSE))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes.astype(np.uint64) * power[:-1], dtype=np.uint64)])
+        h = (total[last] - total[first]) * inverse[first]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(_BASE)
+    return first, last, h ^ (h >> np.uint64(29))
+
+
+def increasing(places: list[int]) -> list[int]:
+    """Numbers of the elements of the longest increasing sequence, by patience sorting."""
+    tops: list[int] = []
+    top_at: list[int] = []
+    back: list[int] = []
+    for k, a in enumerate(places):
+        pile = bisect_left(tops, a)
+        back.append(top_at[pile - 1] if pile else -1)
+        if pile == len(tops):
+            tops.append(a)
+            top_at.append(k)
+        else:
+            tops[pile], top_at[pile] = a, k
+    k, out = top_at[-1] if top_at else -1, []
+    while k >= 0:
+        out.append(k)
+        k = back[k]
+    return out[::-1]
+
+
+def aligned(rows: list[tuple[int, int, int, int, bool]]) -> list[tuple[int, int]]:
+    """Blocks (begin, end) of a document that are aligned with one earlier document.
+
+    `rows`: (begin, end, hash, begin in the earlier document, whether it occurs there once) of the runs that both hold.
+    """
+    rows = sorted(rows)
+    times = Counter(r[2] for r in rows)
+    anchors = [k for k, r in enumerate(rows) if r[4] and times[r[2]] == 1]
+    chain = [anchors[k] for k in increasing([rows[k][3] for k in anchors])]
+    sequences = [chain]
+    # The rest in as few increasing sequences as it takes: each run goes to the one that ends nearest before it.
+    ends: list[int] = []  # ascending, as what they say is negated
+    rest: list[list[int]] = []
+    for k in sorted(set(range(len(rows))) - set(chain)):
+        at = bisect_left(ends, -rows[k][3] + 1)
+        if at == len(ends):
+            ends.append(-rows[k][3])
+            rest.append([k])
+        else:
+            ends[at] = -rows[k][3]
+            rest[at].append(k)
     out = []
-    data = hashes.tobytes()
-    at = 0
-    for to in range(1, len(rank) + 1):
-        if to < len(rank) and rank[to] == rank[to - 1] + 1:
-            continue
-        sums = [0, *accumulate(words[at:to])]
-        if sums[-1] >= min_words:
-            found, end, start = set(), 0, 0
-            for a in range(to - at):
-                while end <= to - at and sums[end] - sums[a] < min_words:
-                    end += 1
-                if end > to - at:
-                    break
-                found.add((a, end))
-            for b in range(1, to - at + 1):
-                while sums[b] - sums[start + 1] >= min_words:
-                    start += 1
-                if sums[b] - sums[start] >= min_words:
-                    found.add((start, b))
-            out += [(xxhash.xxh64_intdigest(data[8 * (at + a) : 8 * (at + b)]), at + a, at + b - 1) for a, b in sorted(found)]
-        at = to
-    return out
+    for sequence in sequences + rest:
+        last = None
+        for k in sequence:
+            begin, end = rows[k][:2]
+            if last is not None and begin <= last[1]:
+                last[1] = max(last[1], end)
+            else:
+                last = [begin, end]
+                out.append(last)
+    return [(b, e) for b, e in out]
 
 
-def blocks(positions: set[int], words: dict[int, int], short: set[int], min_words: int) -> list[int]:
-    """The positions of blocks of `min_words` words or more; short units between aligned ones belong to the block."""
-    out: list[int] = []
-    run: list[int] = []
-    for p in sorted(positions):
-        gap = run and all(g in short for g in range(run[-1] + 1, p))
-        if run and not gap:
-            out += run if sum(words.get(x, 0) for x in run) >= min_words else []
-            run = []
-        if run:
-            run += range(run[-1] + 1, p)
-        run.append(p)
-    return out + (run if sum(words.get(x, 0) for x in run) >= min_words else [])
-
-
-def moved(rows: list[tuple], words: dict[int, int], short: set[int], min_words: int) -> set[int]:
-    """Positions in blocks whose first places in one owner grow, wherever the alignment with it goes. `rows`: as in `aligned`."""
-    out: set[int] = set()
-    stretch: list[tuple] = []
-    for row in [*sorted(rows, key=lambda r: r[0]), None]:
-        if stretch and (row is None or row[1] != stretch[-1][1] or row[2] <= stretch[-1][2] or not all(g in short for g in range(stretch[-1][0] + 1, row[0]))):
-            out.update(blocks({r[0] for r in stretch}, words, short, min_words))
-            stretch = []
-        stretch.append(row)
-    return out
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans as few that do not touch."""
+    out: list[list[int]] = []
+    for begin, end in sorted(spans):
+        if out and begin <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([begin, end])
+    return [(b, e) for b, e in out]
 
 
-def duplicated(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, th, drop array<int>): numbers of the units that a document loses; th is xxhash64 of its text.
+def shared_blocks(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """(doc, th, begins array<int>, ends array<int>): the spans of characters that a document loses; cuts to remove.
 
-    `doc` is the id, or a hash of the text where the id is null. Rows of equal id are never held against one another;
-    those of different texts are told apart by th. Repeated rows of equal id and text count once: units are gathered as
-    sets. Null texts have no units.
+    `doc` is the id, or a hash of the text where the id is null; th is xxhash64 of the text. Rows of equal id are never
+    held against one another; those of different texts are told apart by th. Repeated rows of equal id and text count
+    once, as runs are gathered as sets. Null texts have no units.
     """
     text = F.col(text_col).cast("string")
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("doc"), text.alias("text"), F.xxhash64(text).alias("th")).where(F.col("text").isNotNull())
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text")).where(F.col("text").isNotNull())
 
     def cut_up(batches):
         for batch in batches:
-            doc, th = batch.column("doc").to_pylist(), batch.column("th").to_pylist()
+            doc, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "th"))
             at = 0
             for keys, texts in text_slices([pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text")], names=["doc", "text"])]):
-                n, words, hashes = [], [], []
-                for t in texts:
-                    units = units_of(t)
-                    n.append(len(units))
-                    words += map(length, units)
-                    hashes += [xxhash.xxh64_intdigest(" ".join(u.split())) for u in units]
-                n = np.array(n, np.int64)
-                which = np.repeat(np.arange(at, at + len(keys)), n)
-                pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                # Ranks among the units with words and among the long ones: they run on from text to text, as only
-                # differences within one matter.
-                line, rank = (np.cumsum(np.array(words, np.int64) >= least) for least in (1, SHORT))
-                yield pa.record_batch([pa.array(np.array(doc, np.int64)[which]), pa.array(np.array(th, np.int64)[which]), pa.array(pos.astype(np.int32)), pa.array(np.array(words, np.int32)), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(line.astype(np.int32)), pa.array(rank.astype(np.int32))], names=["doc", "th", "pos", "words", "h", "line", "rank"])
+                made = [units_of(t) for t in texts]
+                n = np.array([len(u) for u in made], np.int64)
+                flat = [u for units in made for u in units]
+                end, words = (np.fromiter((u[k] for u in flat), np.int64, len(flat)) for k in (0, 1))
+                hashes = np.fromiter((u[2] for u in flat), np.uint64, len(flat))
+                which = np.repeat(np.arange(len(texts)), n)
+                begin = np.concatenate([[0], end[:-1]])[: len(end)]
+                begin[(np.cumsum(n) - n)[n > 0]] = 0
+                whole = np.flatnonzero(words > 0)
+                first, last, h = runs(which[whole], words[whole], hashes[whole], min_words)
+                parts = [(whole[first], whole[last - 1], h)]
+                long_ones = np.flatnonzero(words >= SHORT)
+                if len(long_ones) < len(whole):
+                    first, last, h = runs(which[long_ones], words[long_ones], hashes[long_ones], min_words)
+                    place = np.searchsorted(whole, long_ones)
+                    gaps = place[last - 1] - place[first] > last - 1 - first  # other runs were found among all units
+                    parts.append((long_ones[first[gaps]], long_ones[last[gaps] - 1], h[gaps]))
+                first, last, h = (np.concatenate(c) for c in zip(*parts, strict=True))
+                key = which[first] + at
+                yield pa.record_batch([pa.array(doc[key]), pa.array(th[key]), pa.array(h.view(np.int64)), pa.array(begin[first].astype(np.int32)), pa.array(end[last].astype(np.int32))], names=["doc", "th", "run", "begin", "end"])
                 at += len(keys)
 
-    rows, _ = cut(spark, keyed.mapInArrow(cut_up, "doc long, th long, pos int, words int, h long, line int, rank int"), "lines")
-    worded = rows.where(F.col("words") > 0)
-    # Owners: documents are counted as their least and greatest, combined before the shuffle.
-    owners = worded.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"))
-    shared, _ = cut(spark, owners.where(F.col("last") != F.col("owner")).select("h", "owner"), "lines-shared")
-    held, _ = cut(spark, worded.join(shared, "h"), "lines-held")
-    def total(units: str) -> Column:
-        return F.aggregate(units, F.lit(0).cast("long"), lambda n, u: n + u["words"])
-
-    # Windows of every document that holds shared units, and the first document of each.
-    unit = F.struct("pos", "line", "rank", "words", "h")
-    runs = held.groupBy("doc", "th").agg(F.sort_array(F.collect_set(unit)).alias("units")).where(total("units") >= min_words)
-
-    def windowed(batches):
+    made, made_at = cut(spark, keyed.mapInArrow(cut_up, "doc long, th long, run long, begin int, end int"), "lines-runs")
+    # Holders are counted as their least and greatest, combined before the shuffle.
+    holders = made.groupBy("run").agg(F.min("doc").alias("holder"), F.max("doc").alias("other")).where(F.col("holder") != F.col("other")).select("run", "holder")
+    held, held_at = cut(spark, made.join(holders, "run"), "lines-held")
+    there = held.where(F.col("doc") == F.col("holder")).groupBy("run").agg(F.min("begin").alias("at"), F.max("begin").alias("to"), F.min("th").alias("one"), F.max("th").alias("two"))
+    there = there.select("run", "at", ((F.col("at") == F.col("to")) & (F.col("one") == F.col("two"))).alias("once"))
+    later = held.where(F.col("doc") != F.col("holder")).join(there, "run")
+    fields = ("holder", "begin", "end", "run", "at", "once")
+    by_doc = later.groupBy("doc", "th").agg(F.collect_set(F.struct(*fields)).alias("rows"))
+
+    def align(batches):
         for batch in batches:
-            units = batch.column("units")
-            flat = units.flatten()
-            pos, line, rank, words, h = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
-            ends = np.cumsum(units.value_lengths().to_numpy(zero_copy_only=False))
-            which, w, first, last = [], [], [], []
-            for k, (at, to) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-                found = set()
-                long_ones = at + np.flatnonzero(words[at:to] >= SHORT)
-                for these, place in ((np.arange(at, to), line), (long_ones, rank))[len(long_ones) == to - at :]:
-                    found |= {(x, int(these[a]), int(these[b])) for x, a, b in windows(place[these].tolist(), words[these].tolist(), h[these], min_words)}
-                for x, a, b in found:
-                    which.append(k)
-                    w.append(x)
-                    first.append(a)
-                    last.append(b)
-            which = pa.array(which, pa.int32())
-            yield pa.record_batch([batch.column("doc").take(which), batch.column("th").take(which), pa.array(np.array(w, np.uint64).view(np.int64)), pa.array(pos[np.array(first, np.int64)], pa.int32()), pa.array(pos[np.array(last, np.int64)], pa.int32())], names=["doc", "th", "w", "first", "last"])
-
-    made, _ = cut(spark, runs.mapInArrow(windowed, "doc long, th long, w long, first int, last int"), "lines-windows")
-    holders = made.groupBy("w").agg(F.min("doc").alias("holder"), F.max("doc").alias("other")).where(F.col("holder") != F.col("other")).select("w", "holder")
-    holders, _ = cut(spark, holders, "lines-holders")
-    repeated, _ = cut(spark, made.join(holders, "w").where(F.col("doc") != F.col("holder")).groupBy("doc", "th").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "lines-repeated")
-    # In the owner: the first place of a unit, and whether it is the only one.
-    long_held = held.where(F.col("words") >= SHORT)
-    there, _ = cut(spark, long_held.where(F.col("doc") == F.col("owner")).groupBy("h").agg(F.min(F.struct("th", "pos")).alias("least"), F.max(F.struct("th", "pos")).alias("most")).select("h", F.col("least.pos").alias("at"), (F.col("least") == F.col("most")).alias("once_there")), "lines-there")
-    later = long_held.where(F.col("doc") != F.col("owner")).join(there, "h")
-    row = F.struct("pos", "owner", "at", "once_there", "h", "words")
-    by_doc, _ = cut(spark, later.groupBy("doc", "th").agg(F.collect_set(row).alias("rows")).where(total("rows") >= min_words), "lines-by-doc")
-    gaps = rows.where(F.col("words") < SHORT).join(by_doc.select("doc", "th"), ["doc", "th"], "left_semi").groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "words")).alias("gaps"))
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def drop(found: pd.Series, gaps: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for rows, short, held in zip(found, gaps, spans, strict=True):
-            rows = [] if rows is None else rows
-            times: dict = {}
-            for r in rows:
-                times[r["h"]] = times.get(r["h"], 0) + 1
-            tuples = [(r["pos"], r["owner"], r["at"], r["once_there"] and times[r["h"]] == 1) for r in rows]
-            small = {g["pos"]: g["words"] for g in short} if short is not None else {}
-            sizes = {r["pos"]: r["words"] for r in rows} | small
-            gone = moved(tuples, sizes, set(small), min_words)
-            gone.update(blocks(aligned(tuples), sizes, set(small), min_words))
-            gone.update(p for x in (() if held is None else held) for p in range(x["first"], x["last"] + 1))
-            out.append(sorted(gone))
-        return pd.Series(out)
-
-    found = by_doc.join(gaps, ["doc", "th"], "left").join(repeated, ["doc", "th"], "full").select("doc", "th", drop("rows", "gaps", "spans").alias("drop"))
-    return found.where(F.size("drop") > 0)
+            lists = batch.column("rows")
+            flat = lists.flatten()
+            holder, *rest = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(len(fields)))
+            stops = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+            spans = []
+            for at, to in zip([0, *stops[:-1]], stops, strict=True):
+                pairs: dict[int, list] = {}
+                for h, *row in zip(holder[at:to].tolist(), *(c[at:to].tolist() for c in rest), strict=True):
+                    pairs.setdefault(h, []).append(tuple(row))
+                spans.append(merged([b for rows in pairs.values() for b in aligned(rows)]))
+            yield pa.record_batch([batch.column("doc"), batch.column("th"), *(pa.array([[s[k] for s in x] for x in spans], pa.list_(pa.int32())) for k in (0, 1))], names=["doc", "th", "begins", "ends"])
+
+    return by_doc.mapInArrow(align, "doc long, th long, begins array<int>, ends array<int>"), [made_at, held_at]
 
 
 @F.pandas_udf(StringType())
-def without(texts: pd.Series, drops: pd.Series) -> pd.Series:
-    """Texts without the units of the given numbers; nulls stay null."""
+def without(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+    """Texts without spans, which are in order and do not touch; a null text or null spans give null."""
     out = []
-    for text, drop in zip(texts, drops, strict=True):
-        gone = set() if drop is None else set(drop.tolist())
-        out.append(None if text is None else "".join(u for k, u in enumerate(units_of(text)) if k not in gone))
+    for text, gone, to in zip(texts, begins, ends, strict=True):
+        out.append(None if text is None or gone is None else "".join(text[a:b] for a, b in zip([0, *to], [*gone, len(text)], strict=True)))
     return pd.Series(out, dtype=object)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with the deleted units out of their texts, and a column `dropped_units` (0: as it was).
+    """The rows of `docs` without their repeated blocks, and columns `dropped_blocks` and `dropped_chars` (0: as it was).
 
     A document that an earlier one holds whole is left with an empty text (or with its short units outside of blocks).
     Null texts stay null; a null id stands after or before others by a hash of the text; repeated rows of equal id and
-    text are treated alike, and columns of `docs` keep their names and order; an empty table gives no rows. The
-    deletions meet the texts by key: where they are small (SEND_BYTES, checked) they are sent to the texts, otherwise
-    both are shuffled.
+    text are treated alike, and columns of `docs` keep their names and order (columns of `docs` called dropped_blocks
+    or dropped_chars are replaced); an empty table gives no rows. The deletions meet the texts by key: where they are
+    small (SEND_BYTES, checked) they are sent to the texts, otherwise both are shuffled.
     """
-    found, _ = cut(spark, duplicated(spark, docs, min_words, id_col, text_col), "lines-drop")
-    size = found.agg(F.coalesce(F.sum(F.size("drop") * 4 + 48), F.lit(0)).alias("bytes")).first()["bytes"]
-    found = found.select(F.col("doc").alias("_own_doc"), F.col("th").alias("_own_th"), F.col("drop").alias("_drop"))
+    blocks, cuts = shared_blocks(spark, docs, min_words, id_col, text_col)
+    found, _ = cut(spark, blocks, "lines-blocks")
+    for path in cuts:
+        remove(spark, path)
+    size = found.agg(F.coalesce(F.sum(F.size("begins") * 8 + 64), F.lit(0)).alias("bytes")).first()["bytes"]
+    found = found.select(F.struct("doc", "th").alias("key"), "begins", "ends")
+    kept = [c for c in docs.columns if c not in ("dropped_blocks", "dropped_chars")]
     text = F.col(text_col).cast("string")
-    keyed = docs.withColumn("_doc", F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))).withColumn("_th", F.xxhash64(text))
-    joined = keyed.join(F.broadcast(found) if size <= SEND_BYTES else found, (F.col("_doc") == F.col("_own_doc")) & (F.col("_th") == F.col("_own_th")), "left")
+    # The columns of `docs` travel in one struct, so that none of their names can clash.
+    keyed = docs.select(F.struct(*kept).alias("row"), F.struct(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("doc"), F.xxhash64(text).alias("th")).alias("own"), text.alias("whole"))
+    joined = keyed.join(F.broadcast(found) if size <= SEND_BYTES else found, F.col("own") == F.col("key"), "left")
     # Only texts that lose something go through Python: the others are null to it.
-    new = F.coalesce(without(F.when(F.col("_drop").isNotNull(), text), F.col("_drop")), F.col(text_col))
-    return joined.select(*[new.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.coalesce(F.when(F.col("_drop").isNotNull(), F.size("_drop")), F.lit(0)).alias("dropped_units"))
+    new = F.coalesce(without(F.when(F.col("begins").isNotNull(), F.col("whole")), F.col("begins"), F.col("ends")), F.col("row")[text_col])
+    lost = F.aggregate(F.zip_with("begins", "ends", lambda b, e: e - b), F.lit(0), lambda n, x: n + x)
+    return joined.select(*[(new if c == text_col else F.col("row")[c]).alias(c) for c in kept], F.when(F.col("begins").isNull(), 0).otherwise(F.size("begins")).alias("dropped_blocks"), F.coalesce(lost, F.lit(0)).alias("dropped_chars"))

@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, cell long, v string, h string, label int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, cell long, v string, h string, label int, doc string, th string, run string, `begin` string, row string, key string, own string, whole string, _own string, _th string, _own_th string, bits string, component string, node string, term string, y string, _id string, home string, kind string"
 
 
 @pytest.fixture
@@ -8,7 +8,7 @@ def make(spark):
     """Documents with extra columns whose names clash with those that operators use inside."""
     def make_(texts, ids=None):
         ids = range(len(texts)) if ids is None else ids
-        return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x", 1, "v", "h", 2) for i, t in zip(ids, texts, strict=True)], SCHEMA)
+        return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), "x", 1, "v", "h", 2, *["x"] * 19) for i, t in zip(ids, texts, strict=True)], SCHEMA)
 
     return make_
 

@@ -117,12 +117,17 @@ def test_blocks_cover_all_pairs(spark):
 PASSAGE = "A first sentence with several words in it. Another sentence that follows the first one closely. And a third to be quite sure of it."
 
 
+def pieces(text):
+    ends = [u[0] for u in line_dedup.units_of(text)]
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def test_units():
     draw = random.Random(1)
     for _ in range(300):
-        t = "".join(draw.choice(["word ", "As. ", "x! ", "a b c d. ", "\n", "end?", " "]) for _ in range(draw.randint(0, 40)))
-        assert "".join(line_dedup.units_of(t)) == t
-    assert line_dedup.units_of("One two three four. As. Is so. Five six seven eight.\nZ") == ["One two three four. ", "As. Is so. ", "Five six seven eight.\n", "Z"]
+        t = "".join(draw.choice(["word ", "As. ", "x! ", "a b c d. ", "\n", "end?", " ", "漢字。"]) for _ in range(draw.randint(0, 40)))
+        assert "".join(pieces(t)) == t and "" not in pieces(t)
+    assert pieces("One two three four. As. Is so. Five six seven eight.\nZ") == ["One two three four. ", "As. Is so. ", "Five six seven eight.\n", "Z"]
 
 
 def test_line_dedup(spark, make):
@@ -130,7 +135,7 @@ def test_line_dedup(spark, make):
     texts = [f"{own[0]}\n{PASSAGE}\nTail zero.", f"{own[1]} {PASSAGE} Then more own words of one.", f"{own[2]}\nLicensed under some licence text.", f"{own[3]}\nLicensed under some licence text.", f"{own[0]}\n{PASSAGE}\nTail zero.", None, ""]
     docs = make(texts, [10, 11, 12, 13, 14, 15, None])
     got = line_dedup.dedup(spark, docs)
-    assert got.columns == [*docs.columns, "dropped_units"]
+    assert got.columns == [*docs.columns, "dropped_blocks", "dropped_chars"]
     new = {r["doc_id"]: r["text"] for r in got.collect()}
     assert new[10] == texts[0] and new[12] == texts[2] and new[13] == texts[3] and new[15] is None and new[None] == ""
     assert PASSAGE not in new[11] and own[1] in new[11] and "own words of one" in new[11]
@@ -151,10 +156,60 @@ def test_shuffled_join_is_the_same(spark, make, monkeypatch):
     assert a == {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark, make(texts)).collect()}
 
 
-def test_aligned_order():
-    # Anchors in crossed order keep the longest increasing run; repeated units join by growing from an anchor.
-    rows = [(0, 1, 5, True), (1, 1, 6, True), (2, 1, 7, False), (5, 1, 1, True)]
-    assert line_dedup.aligned(rows) == {0, 1, 2}
+def test_patience():
+    draw = random.Random(2)
+    for _ in range(100):
+        x = [draw.randrange(30) for _ in range(draw.randint(0, 12))]
+        best = max(sum(m >> k & 1 for k in range(len(x))) for m in range(1 << len(x)) if all(p < q for p, q in zip(*[[v for k, v in enumerate(x) if m >> k & 1][i:] for i in (0, 1)])))
+        got = [x[k] for k in line_dedup.increasing(x)]
+        assert len(got) == best and got == sorted(set(got))
+    # One moved passage and one that occurs several times are blocks of their own.
+    rows = [(0, 9, 1, 50, True), (9, 19, 2, 60, True), (30, 39, 3, 10, True), (50, 59, 4, 20, False), (70, 79, 4, 20, False)]
+    assert sorted(line_dedup.aligned(rows)) == [(0, 19), (30, 39), (50, 59), (70, 79)]
+
+
+def slow_dedup(texts, min_words):
+    """Of (id, text): each text without the stretches of units that one text of a smaller id has as well."""
+    cut = [[(p, " ".join(p.split()), line_dedup.units_of(t)[k][1]) for k, p in enumerate(pieces(t))] for _, t in texts]
+
+    def sequences(units):
+        for least in (1, line_dedup.SHORT):
+            yield [k for k, u in enumerate(units) if u[2] >= least]
+
+    def stretches(units, order):
+        for i in range(len(order)):
+            for j in range(i + 1, len(order) + 1):
+                if sum(units[k][2] for k in order[i:j]) >= min_words:
+                    yield i, j, tuple(units[k][1] for k in order[i:j])
+
+    out = []
+    for (i, _), units in zip(texts, cut, strict=True):
+        gone = set()
+        for least, order in enumerate(sequences(units)):
+            earlier = {s for (o, _), other in zip(texts, cut, strict=True) if o < i for a, b, s in stretches(other, list(sequences(other))[least])}
+            gone |= {k for a, b, s in stretches(units, order) if s in earlier for k in range(order[a], order[b - 1] + 1)}
+        out.append("".join(u[0] for k, u in enumerate(units) if k not in gone))
+    return out
+
+
+def test_line_dedup_is_brute_force(spark, make):
+    """Random texts of few units, in crossed order, repeated, with repeated rows and ids and short units between."""
+    draw = random.Random(8)
+    units = [" ".join(draw.choice("abcdefgh") + str(k) for _ in range(draw.randint(4, 15))) + ("." if k % 2 else "") + draw.choice(["\n", " "] if k % 2 else ["\n"]) for k in range(14)] + ["1.\n", "so it is\n", "\n"]
+    for _ in range(3):
+        texts = [(draw.randrange(12), "".join(draw.choice(units) for _ in range(draw.randint(1, 14)))) for _ in range(24)]
+        texts += draw.sample(texts, 3)
+        docs = make([t for _, t in texts], [i for i, _ in texts])
+        got = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup(spark, docs).collect())
+        assert got == sorted(zip([i for i, _ in texts], slow_dedup(texts, 20), strict=True))
+
+
+def test_no_block_of_several_owners(spark, make):
+    """Four sentences of which each stands in another earlier document are no block."""
+    four = [f"Sentence {k} of all of them has nine words here.\n" for k in "abcd"]
+    texts = [f"Document {k} has its own words number {k} here.\n" + four[k] for k in range(4)] + ["".join(four), "".join(four)]
+    new = {r["doc_id"]: r for r in line_dedup.dedup(spark, make(texts)).collect()}
+    assert all(new[k]["text"] == texts[k] for k in range(5)) and new[5]["text"] == "" and new[5]["dropped_blocks"] == 1
 
 
 def test_line_dedup_passage_repeated_in_both(spark, make):
@@ -166,36 +221,37 @@ def test_line_dedup_passage_repeated_in_both(spark, make):
     assert new == {0: texts[0], 1: own[1] + mid[1], 2: own[2], 3: own[3] + mid[3]}
 
 
-def test_windows_cover_every_repeated_block():
+def test_runs_cover_every_repeated_block():
     draw = random.Random(5)
     for _ in range(100):
-        size = {u: draw.randint(4, 25) for u in range(6)}
-        a, b = ([draw.randrange(6) for _ in range(draw.randint(1, 25))] for _ in range(2))
-        made = [line_dedup.windows(list(range(len(x))), [size[u] for u in x], np.array(x, np.int64), 20) for x in (a, b)]
-        held = {w for w, _, _ in made[0]}
-        got = {p for w, i, j in made[1] if w in held for p in range(i, j + 1)}
-        runs = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
-        want = {p for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(b[i:j]) in runs and sum(size[u] for u in b[i:j]) >= 20 for p in range(i, j)}
+        size = np.array([draw.randint(4, 25) for u in range(6)])
+        a, b = ([draw.randrange(6) for _ in range(draw.randint(0, 25))] for _ in range(2))
+        name = np.array([xxhash.xxh64_intdigest(str(u)) for u in range(6)], np.uint64)
+        doc = np.repeat([0, 1], [len(a), len(b)])
+        first, end, h = line_dedup.runs(doc, size[np.array(a + b, int)], name[np.array(a + b, int)], 20)
+        held = {x for i, x in zip(first, h, strict=True) if i < len(a)}
+        got = {p for i, j, x in zip(first, end, h, strict=True) if i >= len(a) and x in held for p in range(i - len(a), j - len(a))}
+        stretches = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+        want = {p for i in range(len(b)) for j in range(i + 1, len(b) + 1) if tuple(b[i:j]) in stretches and sum(size[u] for u in b[i:j]) >= 20 for p in range(i, j)}
         assert got == want
 
 
 def test_line_dedup_moved_blocks(spark, make):
-    x = [f"The block called x has a sentence {k} of eleven words here.\n" for k in range(2)]
-    y = [f"Of the other block, y, this is sentence {k} of twelve words.\n" for k in range(3)]
+    x = "".join(f"The block called x has a sentence {k} of eleven words here.\n" for k in range(2))
+    y = "".join(f"Of the other block, y, this is sentence {k} of twelve words.\n" for k in range(3))
     own = [f"Text {k} begins with {k} words of {k * k} its own kind.\n" for k in range(3)]
-    first = own[0] + y[0] + "Between them stands something else in the first.\n" + y[1] + y[2] + "And here is more that is only in it.\n" + x[0] + "Once more it has a line of its own.\n" + x[1]
-    texts = [first, own[1] + "".join(x + y), own[2] + "".join(x + y)]
-    new = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark, make(texts)).collect()}
-    assert new == {0: first, 1: own[1], 2: own[2]}
+    first = own[0] + y + "And here is more that is only in it.\n" + x
+    new = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark, make([first, own[1] + x + y, own[2] + y + own[2] + x])).collect()}
+    assert new == {0: first, 1: own[1], 2: own[2] * 2}
 
 
 def test_line_dedup_short_lines_and_unspaced_scripts(spark, make):
     own = [f"Text {k} begins with {k} words of {k * k} its own kind.\n" for k in range(3)]
     verse = "".join(f"item {k}\n\nof {k * 7} b\n" for k in range(9))
-    assert max(map(line_dedup.length, line_dedup.units_of(verse))) < line_dedup.SHORT
+    assert max(u[1] for u in line_dedup.units_of(verse)) < line_dedup.SHORT
     chinese = "春天的早晨我们在河边散步。孩子们看见一只白色的鸟飞过水面！然后大家一起回家吃饭。"
     japanese = "これは空白のない日本語の文章の例であり単語の数を数えることができません"
-    assert line_dedup.length("汉字 ab 漢") == 4 and len(line_dedup.units_of(chinese)) == 3
+    assert [u[1] for u in line_dedup.units_of("汉字 ab 漢")] == [4] and len(pieces(chinese)) == 3
     texts = [own[0] + verse, own[1] + verse, own[2] + "item 1\nof 7 b\nas it is", chinese, japanese, chinese, "别的话。" + japanese]
     new = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark, make(texts)).collect()}
     assert new[1].strip() == own[1].strip() and [new[5], new[6]] == ["", "别的话。"]
