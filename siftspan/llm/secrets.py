@@ -1,9 +1,9 @@
 """Secret scans through a trigram inverted index, in DataFrame functions alone.
 
-Every rule is a regular expression with a Boolean query over trigrams that each match must hold: alternatives of
-conjunctions, from literals that are written by hand beside its expression. The index has postings (trigram, document) for the trigrams that
-the queries name, on lower-cased text. Conjunctions intersect postings, alternatives unite them, and the candidates of
-a rule are verified by its expression. A rule without a mandatory trigram scans every document.
+Every rule is a regular expression, from which a Boolean query over trigrams is derived (`trigrams.query`): alternatives
+of conjunctions, of which each match holds one. The index has postings (trigram, document) for the trigrams that the
+queries name, on lower-cased text. Conjunctions intersect postings, alternatives unite them, and the candidates of a
+rule are verified by its expression. A rule without a mandatory trigram scans every document.
 
 Places come from the pieces between matches: the lengths of the pieces and matches before one add up to its start.
 """
@@ -16,41 +16,65 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspan.llm import trigrams
 from siftspan.llm.common import cut
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. `group` of a match must have `least` characters; `literals`: one of each inner tuple's parts is in every match."""
+    """A kind of secret. `group` of a match must have `least` characters."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 1
-    literals: tuple[tuple[str, ...], ...] = ()
 
 
-#: The base rules in the order in which equal starts are listed, then the added ones.
-ASSIGN = Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",)))
-ACCESS = Rule("access", r"AKIA[A-Z0-9]+", 0, 20, (("AKIA",),))
+#: The base rules in the order in which equal starts are listed, then the added ones, of the public
+#: formats of keys and tokens. Classes are spelled out, so that all engines of expressions read them alike.
+ASSIGN = Rule("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6)
+ACCESS = Rule("access", r"AKIA[A-Z0-9]+", 0, 20)
 HEX = Rule("hex", r"[0-9a-f]{24,}", 0, 24)
 BASE = (ASSIGN, ACCESS, HEX)
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, (("-----BEGIN ", "PRIVATE KEY-----"),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, (("eyJ", ".eyJ"),)),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, (("ghp_",), ("gho_",), ("ghu_",), ("ghs_",), ("ghr_",))),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pgp", r"-----BEGIN PGP PRIVATE KEY BLOCK-----"),
+    Rule("putty", r"PuTTY-User-Key-File-[23]"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("github_fine", r"github_pat_[A-Za-z0-9_]{22,}"),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    Rule("slack", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
+    Rule("slack_hook", r"https://hooks\.slack\.com/(services|workflows)/[A-Za-z0-9+/]{20,}"),
+    Rule("stripe", r"(sk|rk)_(live|test)_[A-Za-z0-9]{16,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
+    Rule("google_oauth", r"GOCSPX-[A-Za-z0-9_-]{28}"),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
+    Rule("npm", r"npm_[A-Za-z0-9]{36}"),
+    Rule("pypi", r"pypi-AgEIcHlwaS5vcmc[A-Za-z0-9_-]{50,}"),
+    Rule("mailgun", r"key-[0-9a-z]{32}"),
+    Rule("mailchimp", r"[0-9a-f]{32}-us[0-9]{1,2}"),
+    Rule("telegram", r"[0-9]{8,10}:AA[A-Za-z0-9_-]{33}"),
+    Rule("shopify", r"shp(at|ca|pa|ss)_[0-9a-f]{32}"),
+    Rule("digitalocean", r"do[opr]_v1_[0-9a-f]{64}"),
+    Rule("huggingface", r"hf_[A-Za-z0-9]{34,}"),
+    Rule("vault", r"hv[bs]\.[A-Za-z0-9_-]{24,}"),
+    Rule("docker", r"dckr_pat_[A-Za-z0-9_-]{27}"),
+    Rule("postman", r"PMAK-[0-9a-f]{24}-[0-9a-f]{34}"),
+    Rule("grafana", r"glsa_[A-Za-z0-9]{32}_[0-9a-f]{8}"),
+    Rule("azure", r"AccountKey=[A-Za-z0-9+/]{80,}={0,2}"),
+    Rule("bearer", r"(?i)bearer\x20+[A-Za-z0-9._~+/-]{20,}"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._%+-]+:[A-Za-z0-9._%+!*-]+@"),
 )
 
 
 def query(rule: Rule) -> list[list[str]]:
     """The trigrams of each alternative of a rule; an empty list if it has to scan fully."""
-    out = []
-    for parts in rule.literals:
-        grams = sorted({p.lower()[k : k + 3] for p in parts for k in range(len(p) - 2)})
-        if not grams:
-            return []
-        out.append(grams)
-    return out
+    return sorted(sorted(q) for q in trigrams.query(rule.pattern)) if trigrams.query(rule.pattern) != trigrams.ALL else []
+
+
+def all_grams(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted({g for r in rules for q in query(r) for g in q})
 
 
 def key(id_col: str, text_col: str) -> Column:
@@ -60,25 +84,34 @@ def key(id_col: str, text_col: str) -> Column:
 
 def postings(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(trigram, doc): the inverted index over the trigrams that the queries of the rules name."""
-    grams = sorted({g for r in rules for q in query(r) for g in q})
     low = docs.select(key(id_col, text_col).alias("doc"), F.lower(text_col).alias("low"))
-    found = F.filter(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]), lambda g: g.isNotNull())
+    found = F.filter(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in all_grams(rules)]).cast("array<string>"), lambda g: g.isNotNull())
     return low.select("doc", F.explode(found).alias("trigram"))
 
 
+#: Bits of a long that number trigrams.
+WORD = 62
+
+
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(doc, one boolean a rule with a query): the union of its alternatives, each an intersection of postings.
 
-    Postings of a document meet by a grouped OR of one bit a trigram, combined before the shuffle: all of a
-    conjunction's bits set is membership in the intersection of its postings.
+    Postings of a document meet by grouped ORs of one bit a trigram, WORD trigrams to a long, combined before the
+    shuffle: all of a conjunction's bits set is membership in the intersection of its postings.
     """
-    grams = sorted({g for r in rules for q in query(r) for g in q})
-    bit = F.element_at(F.create_map(*[F.lit(x) for k, g in enumerate(grams) for x in (g, 1 << k)]), F.col("trigram"))
-    sets = index.groupBy("doc").agg(F.bit_or(bit.cast("long")).alias("bits"))
+    grams = all_grams(rules)
+    place = F.array_position(F.array(*map(F.lit, grams)).cast("array<string>"), F.col("trigram")).cast("int") - 1
+    words = range(-(-len(grams) // WORD))
+    bit = F.expr(f"shiftleft(1L, place % {WORD})")
+    sets = index.select("doc", place.alias("place")).groupBy("doc").agg(F.count("*").alias("n"), *[F.bit_or(F.when(F.floor(F.col("place") / WORD) == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"bits{w}") for w in words])
 
     def holds(q: list[str]) -> Column:
-        mask = sum(1 << grams.index(g) for g in q)
-        return F.col("bits").bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long")
+        hit = F.lit(True)
+        for w in words:
+            mask = sum(1 << grams.index(g) % WORD for g in q if grams.index(g) // WORD == w)
+            if mask:
+                hit = hit & (F.col(f"bits{w}").bitwiseAND(F.lit(mask).cast("long")) == F.lit(mask).cast("long"))
+        return hit
 
     flags = {}
     for r in rules:
@@ -113,20 +146,23 @@ def spans(rule: Rule, text: Column) -> Column:
 def scan(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of `docs` with `_spans`: the spans of all rules, by start and then by the order of the rules.
 
-    A null text is empty. Rows that repeat an id are verified each for itself. Columns named _doc, _spans or may_*
-    are reserved. The join brings candidates to documents by key; keys are ids, so no group of copies shares one.
+    A null text is empty. Rows that repeat an id are verified each for itself. The columns travel in one struct, so
+    only a column called _spans would clash: it is replaced. The join brings candidates to documents by key; keys are
+    ids, so no group of copies shares one.
     """
     found, _ = cut(spark, candidates(postings(docs, rules, id_col, text_col), rules), "secrets")
-    joined = docs.withColumn("_doc", key(id_col, text_col)).join(found, F.col("_doc") == F.col("doc"), "left").drop("doc") if "doc" not in docs.columns else docs.withColumn("_doc", key(id_col, text_col)).join(found.withColumnRenamed("doc", "_cand"), F.col("_doc") == F.col("_cand"), "left").drop("_cand")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kept = [c for c in docs.columns if c != "_spans"]
+    keyed = docs.select(F.struct(*kept).alias("row"), key(id_col, text_col).alias("own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("whole"))
+    joined = keyed.join(found.select("doc", F.struct("*").alias("may")), F.col("own") == F.col("doc"), "left")
+    text = F.col("whole")
     empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
     parts = []
     for r in rules:
-        may = F.coalesce(F.col(f"may_{r.kind}"), F.lit(False)) if query(r) else F.regexp_like(text, F.lit(r.pattern))
+        may = F.coalesce(F.col("may")[f"may_{r.kind}"], F.lit(False)) if query(r) else F.regexp_like(text, F.lit(r.pattern))
         parts.append(F.when(may, spans(r, text)).otherwise(empty))
-    order = {r.kind: k for k, r in enumerate(rules)}
-    ranked = F.array_sort(F.transform(F.concat(*parts), lambda s: F.struct(s["start"].alias("start"), F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    return joined.withColumn("_spans", ranked).drop("_doc", *[f"may_{r.kind}" for r in rules if query(r)])
+    names = F.array(*[F.lit(r.kind) for r in rules])
+    ranked = F.array_sort(F.transform(F.concat(*parts), lambda s: F.struct(s["start"].alias("start"), F.array_position(names, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return joined.select(*[F.col("row")[c].alias(c) for c in kept], ranked.alias("_spans"))
 
 
 def listed(spans_col: Column) -> Column:

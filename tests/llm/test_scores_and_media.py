@@ -1,14 +1,17 @@
 """Toxicity and quality on held-out rows, secrets and JPEGs against brute force, and the pipeline."""
 
 import random
+import re
 import zlib
 from hashlib import sha256
 
 import duckdb
+import hypothesis
+import hypothesis.strategies
 import numpy as np
 import pytest
 
-from siftspan.llm import media, quality, queries, secrets, toxicity
+from siftspan.llm import media, quality, queries, secrets, toxicity, trigrams
 
 
 def test_fold():
@@ -105,6 +108,43 @@ def test_index_finds_all(spark, make):
     got = {r["doc"] for r in secrets.candidates(index, secrets.BASE).where("may_assign").collect()}
     assert {r["doc_id"] for r in docs.collect() if any(k == "assign" for k, _, _ in secrets.brute_force(r["text"]))} <= got
     assert secrets.query(secrets.HEX) == [] and ["aki", "kia"] in secrets.query(secrets.ACCESS)
+    assert len(secrets.all_grams(secrets.BASE + secrets.ADDED)) > secrets.WORD
+
+
+@pytest.mark.parametrize("rule", secrets.BASE + secrets.ADDED, ids=lambda r: r.kind)
+def test_no_match_escapes_its_query(rule):
+    asked = trigrams.query(rule.pattern)
+    assert asked == trigrams.ALL or rule is not secrets.HEX
+
+    @hypothesis.settings(max_examples=40, database=None, deadline=None, suppress_health_check=list(hypothesis.HealthCheck))
+    @hypothesis.given(hypothesis.strategies.from_regex(re.compile(rule.pattern, re.ASCII), fullmatch=True))
+    def check(text):
+        low = text.lower()
+        assert any(all(g in low for g in q) for q in asked)
+
+    check()
+
+
+def test_queries_of_random_expressions():
+    draw = random.Random(4)
+
+    def make_(depth):
+        kind = draw.randrange(7 if depth else 2)
+        if kind < 2:
+            return draw.choice(["ab", "xyz", "K", "[bc]", "[a-d]", "[^a]", ".", "\\.", "\\x41", "(?:)", "de", "\\d"])
+        a, b = make_(depth - 1), make_(depth - 1)
+        return [f"{a}{b}", f"(?:{a}|{b})", f"({a})?{b}", f"(?:{a})+", f"(?:{a}){{{draw.randint(0, 2)},{draw.randint(2, 3)}}}{b}"][kind - 2]
+
+    for _ in range(150):
+        pattern = make_(4)
+        asked = trigrams.query(pattern)
+
+        @hypothesis.settings(max_examples=8, database=None, deadline=None, suppress_health_check=list(hypothesis.HealthCheck))
+        @hypothesis.given(hypothesis.strategies.from_regex(re.compile(pattern, re.ASCII), fullmatch=True, alphabet=hypothesis.strategies.characters(max_codepoint=126)))
+        def check(text):
+            assert any(all(g in text.lower() for g in q) for q in asked), (pattern, text)
+
+        check()
 
 
 def test_jpeg_round_trip():
