@@ -99,11 +99,14 @@ def entity_lines(c: Column) -> Column:
 
 
 def thought_query(c: Column, fallback: Column) -> Column:
-    """struct(thought, query): the first line that starts with QUERY: splits the text; without it the fallback."""
-    found = F.regexp_extract(c, r"(?im)^\s*QUERY:[ \t]*(.*)$", 1)
+    """struct(thought, query): the first line that starts with QUERY: splits the text; without it the fallback.
+
+    The thought is what stands before that line, or the whole text if nothing does; the query may be empty.
+    """
+    found = F.regexp_extract(c, r"(?im)^\s*QUERY:(.*)$", 1)
     has = F.regexp_like(c, F.lit(r"(?im)^\s*QUERY:"))
-    thought = F.regexp_extract(c, r"(?is)^(.*?)(?:^|\n)\s*QUERY:", 1)
-    return F.struct(F.when(has, strip(thought)).otherwise(strip(c)).alias("thought"), F.when(has & (strip(found) != ""), strip(found)).otherwise(fallback).alias("query"))
+    before = strip(F.regexp_extract(c, r"(?is)^(.*?)(?:^|\n)\s*QUERY:", 1))
+    return F.struct(F.when(has & (before != ""), before).otherwise(strip(c)).alias("thought"), F.when(has, strip(found)).otherwise(fallback).alias("query"))
 
 
 def claim_lines(c: Column) -> Column:
@@ -112,23 +115,29 @@ def claim_lines(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, "\n"), clean), lambda x: x != "")
 
 
+#: The kinds of relevance and of notes; what a missing or unknown one is taken for.
+RELEVANCE, NOTE_TYPES = ("relevant", "partially_relevant", "irrelevant"), ("standard", "conflicting", "complementary")
+
+
 def note_blocks(c: Column) -> Column:
     """array<struct(relevance, key_info, connection, note_type)> by position of blocks between blank lines.
 
-    Fields that are missing or of no known kind take partially_relevant and standard, or an empty text.
+    Fields are the last lines RELEVANCE:, KEY_INFO:, CONNECTION: and TYPE: of a block, of the kinds the last known ones;
+    missing ones are partially_relevant, empty, empty and standard.
     """
 
     def one(block: Column) -> Column:
-        of = lambda name: strip(F.regexp_extract(block, rf"(?im)^\s*{name}:[ \t]*(.*)$", 1))
-        relevance, kind = F.lower(of("RELEVANCE")), F.lower(of("NOTE_TYPE"))
-        return F.struct(
-            F.when(relevance.isin("relevant", "partially_relevant", "irrelevant"), relevance).otherwise("partially_relevant").alias("relevance"),
-            of("KEY_INFO").alias("key_info"),
-            of("CONNECTION").alias("connection"),
-            F.when(kind.isin("standard", "contradictory", "supplementary"), kind).otherwise("standard").alias("note_type"),
-        )
-
-    return F.transform(F.split(c, r"\n\n"), one)
+        def of(name: str) -> Column:
+            lines = F.regexp_extract_all(block, F.lit(rf"(?im)^\s*{name}:[ \t]*(.*)$"), F.lit(1))
+            return F.transform(lines, strip)
+
+        def kind(name: str, known: tuple[str, ...], other: str) -> Column:
+            return F.coalesce(F.try_element_at(F.filter(F.transform(of(name), F.lower), lambda x: x.isin(*known)), F.lit(-1)), F.lit(other))
+
+        text = lambda name: F.coalesce(F.try_element_at(of(name), F.lit(-1)), F.lit(""))
+        return F.struct(kind("RELEVANCE", RELEVANCE, "partially_relevant").alias("relevance"), text("KEY_INFO").alias("key_info"), text("CONNECTION").alias("connection"), kind("TYPE", NOTE_TYPES, "standard").alias("note_type"))
+
+    return F.transform(F.split(strip(c), r"\n\n"), one)
 
 
 def critique(c: Column) -> Column:

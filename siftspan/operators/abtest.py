@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,9 +25,9 @@ def moments(scores: DataFrame) -> DataFrame:
 
 
 def effect(rows: DataFrame) -> DataFrame:
-    """Cohen's d with the pooled deviation: 0 for an arm of one, or if the deviation is under 1e-10."""
+    """Cohen's d of A over B with the pooled deviation: 0 for an arm of one, or if the deviation is under 1e-10."""
     pooled = F.sqrt(((F.col("n_a") - 1) * F.col("std_a") ** 2 + (F.col("n_b") - 1) * F.col("std_b") ** 2) / (F.col("n_a") + F.col("n_b") - 2))
-    return rows.withColumn("effect_size", F.when((F.col("n_a") < 2) | (F.col("n_b") < 2), 0.0).when(pooled < 1e-10, 0.0).otherwise((F.col("mean_b") - F.col("mean_a")) / pooled))
+    return rows.withColumn("effect_size", F.when((F.col("n_a") < 2) | (F.col("n_b") < 2), 0.0).when(pooled < 1e-10, 0.0).otherwise((F.col("mean_a") - F.col("mean_b")) / pooled))
 
 
 @F.pandas_udf(DoubleType())
@@ -43,6 +45,30 @@ def normal_p(z: pd.Series) -> pd.Series:
     return pd.Series([D.normal_two_sided(x) for x in z])
 
 
+def compare(spark: SparkSession, samples_a: DataFrame, samples_b: DataFrame, test: str = "welch_t", metrics: tuple[str, ...] | None = None, alpha: float = 0.05, bonferroni: bool = True, rounds: int = 10_000, name_a: str = "Pipeline A", name_b: str = "Pipeline B", **kwargs) -> DataFrame:
+    """A row a metric: two sets of evaluation samples scored by `metrics.evaluate` and compared by the named test.
+
+    test: welch_t, mann_whitney_u, bootstrap (permutation) or paired_t (samples pair by sample_id). The level is divided
+    by the number of metrics with `bonferroni`. The winner is the name of the arm with the larger mean, if significant.
+    """
+    from siftspan.operators.metrics import evaluate
+
+    rows = None
+    for arm, samples in (("A", samples_a), ("B", samples_b)):
+        one = (evaluate(samples, metrics, **kwargs) if metrics else evaluate(samples, **kwargs)).select("metric", F.lit(arm).alias("arm"), F.col("sample_id").alias("pos"), "score")
+        rows = one if rows is None else rows.unionByName(one)
+    if test == "welch_t":
+        out = welch(rows, alpha, bonferroni)
+    elif test == "mann_whitney_u":
+        out = mann_whitney(rows, alpha, bonferroni)
+    elif test in ("bootstrap", "paired_t"):
+        found = permutation(spark, rows, rounds).withColumnRenamed("observed", "statistic") if test == "bootstrap" else paired(rows).drop("n", "mean_diff", "std_diff")
+        out = _decide(effect(moments(rows)).join(found, "metric", "left").withColumn("p_value", F.coalesce("p_value", F.lit(1.0))), alpha, bonferroni, test)
+    else:
+        raise ValueError(f"no such test: {test}")
+    return out.withColumn("winner", F.when(F.col("winner") == "A", name_a).when(F.col("winner") == "B", name_b)).withColumn("num_samples", F.col("n_a") + F.col("n_b")).withColumn("test", F.lit(test))
+
+
 def _decide(rows: DataFrame, alpha: float, bonferroni: bool, test: str) -> DataFrame:
     level = F.lit(alpha) / F.count("*").over(W.partitionBy()) if bonferroni else F.lit(alpha)
     rows = rows.withColumn("alpha", level).withColumn("significant", F.coalesce(F.col("p_value") < F.col("alpha"), F.lit(False)))
@@ -50,24 +76,35 @@ def _decide(rows: DataFrame, alpha: float, bonferroni: bool, test: str) -> DataF
     return rows.withColumn("winner", winner).withColumn("test", F.lit(test))
 
 
+def _without_spread(diff: Column) -> Column:
+    """The statistic of a difference without any spread: infinite, or null for none."""
+    return F.when(diff > 0, float("inf")).when(diff < 0, float("-inf"))
+
+
 def welch_statistic(scores: DataFrame) -> DataFrame:
-    """Moments, effect, Welch's t of B against A and its degrees of freedom, and the pooled standard error."""
+    """Moments, effect, Welch's t of A against B and its degrees of freedom, and the pooled standard error."""
     va, vb = F.col("std_a") ** 2 / F.col("n_a"), F.col("std_b") ** 2 / F.col("n_b")
     rows = effect(moments(scores))
     small = (F.col("n_a") < 2) | (F.col("n_b") < 2)
-    df = (va + vb) ** 2 / (va**2 / (F.col("n_a") - 1) + vb**2 / (F.col("n_b") - 1))
-    t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(va + vb)
-    return rows.withColumn("statistic", F.when(small, 0.0).when(va + vb == 0, F.lit(None)).otherwise(t)).withColumn("df", F.when(small | (va + vb == 0), F.lit(None)).otherwise(df)).withColumn("se", F.sqrt(va + vb))
+    diff = F.col("mean_a") - F.col("mean_b")
+    t = F.when(small, 0.0).when(va + vb > 0, diff / F.sqrt(va + vb)).otherwise(_without_spread(diff))
+    df = F.when(va + vb > 0, (va + vb) ** 2 / (va**2 / (F.col("n_a") - 1) + vb**2 / (F.col("n_b") - 1))).otherwise(1.0)
+    return rows.withColumn("statistic", t).withColumn("df", F.when(~small, df)).withColumn("se", F.sqrt(va + vb))
+
+
+def _interval(rows: DataFrame) -> DataFrame:
+    """ci_lo and ci_hi of mean A - mean B: 95 %, Welch's error (`se`), n_a + n_b - 2 degrees; 0 for an arm under two."""
+    small = (F.col("n_a") < 2) | (F.col("n_b") < 2)
+    half = t_975(F.greatest(F.col("n_a") + F.col("n_b") - 2, F.lit(1)).cast("double")) * F.col("se")
+    diff = F.col("mean_a") - F.col("mean_b")
+    return rows.withColumn("ci_lo", F.when(small, 0.0).otherwise(diff - half)).withColumn("ci_hi", F.when(small, 0.0).otherwise(diff + half))
 
 
 def welch(scores: DataFrame, alpha: float = 0.05, bonferroni: bool = True) -> DataFrame:
-    """Welch's t test a metric; the interval of the mean difference is the 95 % one with n_a + n_b - 2 degrees."""
+    """Welch's t test a metric, with the interval of the mean difference; an arm under two gives 0, p 1 and (0, 0)."""
     rows = welch_statistic(scores)
     small = (F.col("n_a") < 2) | (F.col("n_b") < 2)
-    half = t_975((F.col("n_a") + F.col("n_b") - 2).cast("double")) * F.col("se")
-    rows = rows.withColumn("p_value", F.when(small, 1.0).otherwise(t_p("statistic", "df")))
-    diff = F.col("mean_b") - F.col("mean_a")
-    rows = rows.withColumn("ci_lo", F.when(small, 0.0).otherwise(diff - half)).withColumn("ci_hi", F.when(small, 0.0).otherwise(diff + half))
+    rows = _interval(rows.withColumn("p_value", F.when(small, 1.0).otherwise(t_p("statistic", "df"))))
     return _decide(rows.drop("df", "se"), alpha, bonferroni, "welch_t")
 
 
@@ -83,13 +120,16 @@ def rank_sums(scores: DataFrame) -> DataFrame:
 
 
 def mann_whitney(scores: DataFrame, alpha: float = 0.05, bonferroni: bool = True) -> DataFrame:
-    """Two-sided U test: exact without ties where the smaller arm has 8 or fewer, else normal with corrections."""
+    """Two-sided U test: exact without ties where the smaller arm has 8 or fewer, else normal with corrections.
+
+    The interval is that of the mean difference, as for Welch's test; an arm under two gives 0, p 1 and (0, 0).
+    """
     @F.pandas_udf(DoubleType())
     def p(u: pd.Series, n: pd.Series, m: pd.Series, ties: pd.Series) -> pd.Series:
         out = []
         for u_, n_, m_, t_ in zip(u, n.astype(int), m.astype(int), ties, strict=True):
             total = n_ + m_
-            if n_ == 0 or m_ == 0:
+            if n_ < 2 or m_ < 2:
                 out.append(1.0)
             elif t_ == 0 and min(n_, m_) <= 8 and n_ * m_ <= 4000:
                 out.append(D.mann_whitney_exact(u_, n_, m_))
@@ -98,33 +138,54 @@ def mann_whitney(scores: DataFrame, alpha: float = 0.05, bonferroni: bool = True
                 out.append(min(1.0, D.normal_two_sided(max(0.0, abs(u_ - n_ * m_ / 2) - 0.5) / var**0.5)) if var > 0 else 1.0)
         return pd.Series(out)
 
-    rows = effect(moments(scores)).join(rank_sums(scores).select("metric", F.col("u").alias("statistic"), "ties"), "metric")
-    rows = rows.withColumn("p_value", p("statistic", "n_a", "n_b", "ties")).drop("ties").withColumn("ci_lo", F.lit(0.0)).withColumn("ci_hi", F.lit(0.0))
-    return _decide(rows, alpha, bonferroni, "mann_whitney")
+    small = (F.col("n_a") < 2) | (F.col("n_b") < 2)
+    rows = welch_statistic(scores).drop("statistic", "df").join(rank_sums(scores).select("metric", F.col("u").alias("statistic"), "ties"), "metric")
+    rows = _interval(rows.withColumn("p_value", p("statistic", "n_a", "n_b", "ties")).withColumn("statistic", F.when(small, 0.0).otherwise(F.col("statistic"))))
+    return _decide(rows.drop("ties", "se"), alpha, bonferroni, "mann_whitney")
+
+
+#: The prime of the rounds' hash, and the scores that are sent to every task (16 bytes each).
+PRIME, SEND_ROWS = 2147483647, 1 << 20
 
 
 def permutation(spark: SparkSession, scores: DataFrame, rounds: int = 10_000, seed: int = 42) -> DataFrame:
-    """(metric, observed, p_value, ci_lo, ci_hi) of `scores(metric, arm, pos, score)`.
+    """(metric, observed, p_value, ci_lo, ci_hi) of `scores(metric, arm, pos, score)`; differences are A - B.
 
-    A round orders all scores of a metric by md5(seed, round, arm, pos) and calls the first n_a of them A. p is the
-    share of rounds with a difference as large as the observed one; the interval is that of the rounds' differences.
-    Every round of a metric is a group of its own, so the work spreads over rounds.
+    A round orders all scores of a metric by (a x + b) mod PRIME, with x from md5(seed, arm, pos) and a and b from
+    md5(seed, round), then by arm and pos, and calls the first n_a of them A. p is the share of rounds with a difference
+    as large as the observed one; the interval is that of the rounds' differences. Up to SEND_ROWS scores (counted) are
+    sent to tasks that share the rounds; with more, every round of a metric is a shuffled group of its own.
     """
-    counts = scores.groupBy("metric").agg(F.count_if(F.col("arm") == "A").alias("n_a"), F.count("*").alias("n"), F.sum("score").alias("total"), (F.avg(F.when(F.col("arm") == "B", F.col("score"))) - F.avg(F.when(F.col("arm") == "A", F.col("score")))).alias("observed"))
-    reps = spark.range(rounds).withColumnRenamed("id", "rep")
-    dealt = scores.crossJoin(reps).withColumn("h", F.md5(F.concat_ws("-", F.lit(seed), F.col("rep"), F.col("arm"), F.col("pos"))))
-    rank = F.row_number().over(W.partitionBy("metric", "rep").orderBy("h"))
-    diffs = dealt.withColumn("k", rank).join(counts.select("metric", "n_a", "n", "total", "observed"), "metric").groupBy("metric", "rep", "n_a", "n", "total", "observed").agg(F.sum(F.when(F.col("k") <= F.col("n_a"), F.col("score")).otherwise(0.0)).alias("s"))
-    diffs = diffs.withColumn("d", F.round((F.col("total") - F.col("s")) / (F.col("n") - F.col("n_a")) - F.col("s") / F.col("n_a"), 9))
+    number = lambda text, first: F.conv(F.substring(F.md5(text), first, 7), 16, 10).cast("long")
+    dealt = scores.where(F.col("score").isNotNull()).select("metric", "arm", "pos", F.col("score").cast("double").alias("score"), number(F.concat_ws("-", F.lit(seed), F.col("arm"), F.col("pos")), 1).alias("x"))
+    reps = spark.range(rounds).select(F.col("id").alias("rep"), (number(F.concat_ws("-", F.lit(seed), F.col("id")), 1) + 1).alias("a"), number(F.concat_ws("-", F.lit(seed), F.col("id")), 9).alias("b"))
+    counts = dealt.groupBy("metric").agg(F.count_if(F.col("arm") == "A").alias("n_a"), F.count("*").alias("n"), F.sum("score").alias("total"), (F.avg(F.when(F.col("arm") == "A", F.col("score"))) - F.avg(F.when(F.col("arm") == "B", F.col("score")))).alias("observed")).where((F.col("n_a") > 0) & (F.col("n_a") < F.col("n")))
+    if dealt.count() <= SEND_ROWS:
+        arrays = {name: (part["score"].to_numpy(), part["x"].to_numpy(), int((part["arm"] == "A").sum())) for name, part in dealt.toPandas().sort_values(["arm", "pos"], kind="stable").groupby("metric")}
+
+        def run(batches):
+            for batch in batches:
+                rep, a, b = (batch.column(c).to_numpy() for c in ("rep", "a", "b"))
+                for name, (score, x, n_a) in arrays.items():
+                    sums = np.array([score[np.argsort((p * x + q) % PRIME, kind="stable")[:n_a]].sum() for p, q in zip(a, b, strict=True)], np.float64)
+                    yield pa.record_batch([pa.array([name] * len(rep), pa.string()), pa.array(rep), pa.array(sums)], names=["metric", "rep", "s"])
+
+        sums = reps.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "metric string, rep long, s double")
+    else:
+        order = W.partitionBy("metric", "rep").orderBy((F.col("a") * F.col("x") + F.col("b")) % PRIME, "arm", "pos")
+        every = dealt.crossJoin(F.broadcast(reps)).withColumn("k", F.row_number().over(order)).join(counts.select("metric", "n_a"), "metric")
+        sums = every.where(F.col("k") <= F.col("n_a")).groupBy("metric", "rep").agg(F.sum("score").alias("s"))
+    rest = (F.col("total") - F.col("s")) / (F.col("n") - F.col("n_a"))
+    diffs = sums.join(F.broadcast(counts), "metric").withColumn("d", F.round(F.col("s") / F.col("n_a") - rest, 9))
     return diffs.groupBy("metric").agg(F.round(F.first("observed"), 6).alias("observed"), F.avg((F.abs("d") >= F.round(F.abs("observed"), 9)).cast("double")).alias("p_value"), F.expr("percentile(d, 0.025)").alias("ci_lo"), F.expr("percentile(d, 0.975)").alias("ci_hi"))
 
 
 def paired_statistic(scores: DataFrame) -> DataFrame:
-    """(metric, n, mean_diff, std_diff, statistic) over positions that both arms have, up to the shorter one's end."""
+    """(metric, n, mean_diff, std_diff, statistic) of A - B over positions that both arms have, up to the shorter one's end."""
     pairs = scores.groupBy("metric", "pos").agg(F.max(F.when(F.col("arm") == "A", F.col("score"))).alias("a"), F.max(F.when(F.col("arm") == "B", F.col("score"))).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    d = F.col("b") - F.col("a")
+    d = F.col("a") - F.col("b")
     rows = pairs.groupBy("metric").agg(F.count("*").alias("n"), F.avg(d).alias("mean_diff"), F.coalesce(F.stddev_samp(d), F.lit(0.0)).alias("std_diff"))
-    return rows.withColumn("statistic", F.when((F.col("n") >= 2) & (F.col("std_diff") > 0), -F.col("mean_diff") / (F.col("std_diff") / F.sqrt(F.col("n").cast("double")))))
+    return rows.withColumn("statistic", F.when(F.col("n") < 2, 0.0).when(F.col("std_diff") > 0, F.col("mean_diff") / (F.col("std_diff") / F.sqrt(F.col("n").cast("double")))).otherwise(_without_spread(F.col("mean_diff"))))
 
 
 def paired(scores: DataFrame) -> DataFrame:

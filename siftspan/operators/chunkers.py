@@ -1,8 +1,8 @@
 """Chunkers: documents (doc_id, text, ...) to chunks (chunk_id, doc_id, chunk_index, content, ...), one to many.
 
-Fixed and recursive chunkers are expressions alone. The semantic chunker embeds groups of sentences by an expression
-or a pandas UDF. The structure-aware chunker walks lines in order, which expressions can't, so it is a Python UDTF's
-work done in Arrow batches.
+The fixed chunker is expressions alone. The recursive one folds over pieces, which expressions do with copies that grow
+as the square of a text's chunks, and the structure-aware one walks lines in order: both work on offsets in Arrow
+batches. The semantic chunker embeds groups of sentences by an expression or a pandas UDF.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from siftspan.functions.text import sentences, strip
 from siftspan.functions.vector import cosine, embed
 
-SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")
+#: Separators in the order in which they are tried.
+SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 
 
 def _windows(size: int, overlap: int, length: Column) -> Column:
@@ -65,40 +67,65 @@ def fixed_tokens(docs: DataFrame, size: int = 512, overlap: int = 64, encode: Ca
     return out.select(F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "doc_id", "chunk_index", "content", "token_start", "token_end", F.lit("fixed").alias("chunking_strategy"))
 
 
+def pieces_of(text: str, size: int, overlap: int, separators: tuple[str, ...], keep: bool = True) -> Iterator[tuple[int, int]]:
+    """Spans of the pieces of a text that are not blank: cut at the first separator that they hold until they fit.
+
+    What holds no separator is cut into windows; the one that reaches the end is the last. Kept separators end a piece.
+    """
+    todo = [(0, len(text), 0)]  # spans that lie ahead, the next one last, with the separators that were tried on them
+    while todo:
+        begin, end, level = todo.pop()
+        if end - begin <= size:
+            if text[begin:end].strip():
+                yield begin, end
+            continue
+        while level < len(separators) and text.find(separators[level], begin, end) < 0:
+            level += 1
+        if level == len(separators):
+            for at in range(begin, end, max(1, size - overlap)):
+                if text[at : min(at + size, end)].strip():
+                    yield at, min(at + size, end)
+                if at + size >= end:
+                    break
+            continue
+        mark, inner, at = separators[level], [], begin
+        while (found := text.find(mark, at, end)) >= 0:
+            inner.append((at, found + len(mark) if keep else found, level + 1))
+            at = found + len(mark)
+        todo += reversed([*inner, (at, end, level + 1)])
+
+
+def merged_chunks(text: str, size: int, overlap: int, separators: tuple[str, ...] = SEPARATORS, keep: bool = True) -> list[str]:
+    """Pieces put together while they fit; the next chunk begins with the last `overlap` characters of the one before."""
+    out: list[str] = []
+    parts: list[str] = []
+    length = 0
+    for begin, end in pieces_of(text, size, overlap, separators, keep):
+        if parts and length + end - begin > size:
+            out.append("".join(parts))
+            parts = [out[-1][-overlap:]] if overlap else []
+            length = sum(map(len, parts))
+        parts.append(text[begin:end])
+        length += end - begin
+    return [*out, "".join(parts)] if parts else out
+
+
 def recursive(docs: DataFrame, size: int = 512, overlap: int = 64, separators: tuple[str, ...] = SEPARATORS, keep_separator: bool = True) -> DataFrame:
     """Pieces cut at the first separators until they fit, merged greedily, the last `overlap` characters carried over.
 
-    One pass a separator: pieces that fit, or that don't hold it, go through unchanged. What no separator cuts is cut
-    into windows. The merge is one fold over the pieces of a text.
+    A chunk can be longer than `size` by the characters carried over. Chunks are stripped; blank ones go, and the index
+    counts them.
     """
-    text = F.coalesce("text", F.lit(""))
-    whole = F.array(F.struct(text.alias("s"), (F.length(text) <= size).alias("ok")))
-    pieces = whole
-
-    def level(sep: str) -> Callable[[Column], Column]:
-        def one(p: Column) -> Column:
-            parts = F.split(p["s"], rf"\Q{sep}\E")
-            n = F.size(parts)
-            joined = F.transform(parts, lambda x, k: F.when(k < n - 1, F.concat(x, F.lit(sep))).otherwise(x)) if keep_separator else parts
-            real = F.filter(joined, lambda x: strip(x) != "")
-            cut = F.transform(real, lambda x: F.struct(x.alias("s"), (F.length(x) <= size).alias("ok")))
-            return F.when(p["ok"] | (n < 2), F.array(p)).otherwise(cut)
-
-        return one
-
-    for sep in separators:
-        pieces = F.flatten(F.transform(pieces, level(sep)))
-    hard = F.flatten(F.transform(pieces, lambda p: F.when(p["ok"], F.array(p["s"])).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.length(p["s"]) - 1, F.lit(0)), F.lit(max(1, size - overlap))), lambda s: F.substring(p["s"], s + 1, F.lit(size))))))
-    rows = docs.select("doc_id", text.alias("t"), hard.alias("pieces"))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
-
-    def merge(acc: Column, p: Column) -> Column:
-        fits = F.length(acc["cur"]) + F.length(p) <= size
-        tail = F.when(F.length(acc["cur"]) > overlap, F.substring(acc["cur"], F.length(acc["cur"]) - overlap + 1, F.lit(overlap))).otherwise(acc["cur"]) if overlap else F.lit("")
-        return F.struct(F.when(fits | (acc["cur"] == ""), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"]))).alias("out"), F.when(fits, F.concat(acc["cur"], p)).when(acc["cur"] == "", p).otherwise(F.concat(tail, p)).alias("cur"))
-
-    merged = F.aggregate("pieces", start, merge, lambda acc: F.when(acc["cur"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["cur"]))))
-    out = rows.select("doc_id", F.posexplode(F.when(F.length("t") <= size, F.array("t")).otherwise(merged)).alias("chunk_index", "c")).select("doc_id", "chunk_index", strip(F.col("c")).alias("content")).where(F.col("content") != "")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [[c.strip() for c in merged_chunks(t or "", size, overlap, separators, keep_separator)] for t in batch.column("text").to_pylist()]
+            kept = [(row, k, c) for row, chunks in enumerate(made) for k, c in enumerate(chunks) if c]
+            rows, index, content = zip(*kept, strict=True) if kept else ((), (), ())
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(index, pa.int32()), pa.array(content, pa.string())], names=["doc_id", "chunk_index", "content"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, chunk_index int, content string")
     return out.select(F.concat_ws("_recchunk_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "doc_id", "chunk_index", "content", F.lit("recursive").alias("chunking_strategy"))
 
 
@@ -143,76 +170,81 @@ def semantic(docs: DataFrame, percentile: float = 90.0, min_size: int = 50, max_
     return many.unionByName(one)
 
 
-_HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
-_LIST = re.compile(r"^\s*(?:[-*+]|\d+\.)")
+#: What opens a heading, a list item and a table row.
+_HEADING = re.compile(r"(#{1,6})\s+(.*)")
+_ITEM = re.compile(r"\s*[-*+]|\d+\.\s")
+_ROW = re.compile(r"\|.*\|")
+
+
+def _opens(line: str) -> str:
+    """The kind of block that a line begins: code, heading, table, list, quote, or none for a paragraph or blank line."""
+    if line.strip().startswith("```"):
+        return "code"
+    for kind, form in (("heading", _HEADING), ("table", _ROW), ("list", _ITEM)):
+        if form.match(line):
+            return kind
+    return "quote" if line.startswith(">") else ""
+
+
+def _goes_on(kind: str, line: str) -> bool:
+    """Whether a line belongs to the block of that kind before it."""
+    if kind == "code":
+        return not line.strip().startswith("```")
+    if kind == "table":
+        return bool(_ROW.match(line))
+    if kind == "list":
+        return bool(_ITEM.match(line)) or (line.startswith("  ") and line.strip() != "")
+    if kind == "quote":
+        return line.strip() != ""
+    return kind == "paragraph" and line.strip() != "" and not _opens(line)
 
 
 def blocks_of(text: str) -> list[tuple[str, str, int, int, int]]:
-    """(type, content, level, first line, last line) of the structural blocks of a text; blank lines belong to none."""
+    """(type, content, level, first line, last line) of the structural blocks of a text; blank lines belong to none.
+
+    A fence reaches to the next one, which it includes, or to the end. An item begins with a mark, or in the first
+    column with a number, a full stop and white space; two spaces continue it. A quote goes on to the next blank line.
+    """
     lines = text.split("\n")
     found, k = [], 0
-    special = lambda x: x.startswith("```") or _HEADING.match(x) or x.startswith("|") or _LIST.match(x) or x.startswith(">")
     while k < len(lines):
-        line, first, kind, level = lines[k], k, "paragraph", 0
-        bare = line.strip()
-        if not bare:
-            k += 1
+        kind = _opens(lines[k]) or ("paragraph" if lines[k].strip() else "")
+        first, k = k, k + 1
+        if not kind:
             continue
-        head = _HEADING.match(line)
-        if bare.startswith("```"):
-            kind, k = "code", k + 1
-            while k < len(lines) and not lines[k].strip().startswith("```"):
-                k += 1
-            k = min(k + 1, len(lines))
-        elif head:
-            kind, level, k = "heading", len(head[1]), k + 1
-        elif bare.startswith("|"):
-            kind = "table"
-            while k < len(lines) and lines[k].strip().startswith("|"):
-                k += 1
-        elif _LIST.match(line):
-            kind = "list"
-            while k < len(lines) and lines[k].strip() and (_LIST.match(lines[k]) or lines[k][:1] in (" ", "\t")):
-                k += 1
-        elif bare.startswith(">"):
-            kind = "quote"
-            while k < len(lines) and lines[k].strip():
-                k += 1
-        else:
+        while k < len(lines) and _goes_on(kind, lines[k]):
             k += 1
-            while k < len(lines) and lines[k].strip() and not special(lines[k].strip() if lines[k].strip()[:1] in "`|>" else lines[k]):
-                k += 1
+        if kind == "code":
+            k = min(k + 1, len(lines))
+        level = len(_HEADING.match(lines[first])[1]) if kind == "heading" else 0
         found.append((kind, "\n".join(lines[first:k]), level, first, k - 1))
     return found
 
 
-def assemble(blocks: list[tuple[str, str, int, int, int]], size: int = 512, preserve: bool = True) -> list[str]:
-    """Chunks of blocks: a heading opens one, code and tables are never cut, and an overflow starts with the last heading."""
+def assemble(blocks: list[tuple[str, str, int, int, int]], size: int = 512, preserve: bool = True, headings: bool = True) -> list[str]:
+    """Chunks of blocks: a heading opens one, and where the next block does not fit a new one begins with the last heading.
+
+    Code and tables are never cut, and what holds one beyond the size is closed at once, without the heading for what
+    follows. Blocks that aren't preserved count two characters more, for the blank line.
+    """
     out: list[str] = []
     current: list[str] = []
     heading, used = "", 0
-
-    def flush() -> None:
-        nonlocal current, used
-        if current:
-            out.append("\n\n".join(current))
-        current, used = [], 0
-
     for kind, content, *_ in blocks:
-        if kind == "heading":
-            flush()
-            heading, current, used = content, [content], len(content)
-            continue
         whole = preserve and kind in ("code", "table")
-        extra = len(content) if whole else len(content) + 2
-        if used + extra > size and current and current != [heading]:
-            flush()
-            if heading:
-                current, used = [heading], len(heading)
+        extra = len(content) + (0 if whole or kind == "heading" else 2)
+        if current and (kind == "heading" or used + extra > size):
+            out.append("\n\n".join(current))
+            current = [heading] if heading and kind != "heading" else []
+            used = sum(map(len, current))
+        if kind == "heading" and headings:
+            heading = content
         current.append(content)
         used += extra
-    flush()
-    return out
+        if whole and used > size:
+            out.append("\n\n".join(current))
+            current, used = [], 0
+    return [*out, "\n\n".join(current)] if current else out
 
 
 def structured(docs: DataFrame, size: int = 512, preserve: bool = True) -> DataFrame:

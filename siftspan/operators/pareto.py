@@ -42,21 +42,50 @@ def optimal(points: DataFrame, objectives: list[str], minimise: tuple[str, ...]
     return points.join(ids, "point_id", "left_semi")
 
 
+def _edges(long: DataFrame) -> DataFrame:
+    """(point_id, objective, p, n, span) of `long(point_id, objective, v)`: the neighbouring values, null at the ends.
+
+    Each objective is sorted in ranges: a window runs over a range, and what lies beyond its ends comes from the last
+    and first row of the ranges beside it, of which there are as many as partitions.
+    """
+    ranged = long.repartitionByRange("objective", "v", "point_id").select("*", F.spark_partition_id().alias("part"))
+    by = W.partitionBy("part", "objective").orderBy("v", "point_id")
+    rows = ranged.select("*", F.lag("v").over(by).alias("p"), F.lead("v").over(by).alias("n"))
+    ends = ranged.groupBy("objective", "part").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    order = W.partitionBy("objective").orderBy("part")
+    whole = W.partitionBy("objective")
+    ends = ends.select("objective", "part", F.lag("high").over(order).alias("before"), F.lead("low").over(order).alias("after"), (F.max("high").over(whole) - F.min("low").over(whole)).alias("span"))
+    return rows.join(F.broadcast(ends), ["objective", "part"]).select("point_id", "objective", F.coalesce("p", "before").alias("p"), F.coalesce("n", "after").alias("n"), "span")
+
+
 def crowding(points: DataFrame, objectives: list[str]) -> DataFrame:
     """(point_id, crowding_distance, is_boundary): per objective the gap between neighbours over the range, summed;
     the first and last of any objective are boundary points, whose distance is null (infinite)."""
-    long = points.unpivot(["point_id"], objectives, "objective", "v")
-    by = W.partitionBy("objective").orderBy("v", "point_id")
-    all_ = W.partitionBy("objective")
-    span = F.max("v").over(all_) - F.min("v").over(all_)
-    rows = long.select("point_id", "objective", F.lag("v").over(by).alias("p"), F.lead("v").over(by).alias("n"), span.alias("span"))
+    rows = _edges(points.unpivot(["point_id"], objectives, "objective", "v"))
     rows = rows.withColumn("edge", F.col("p").isNull() | F.col("n").isNull()).withColumn("d", F.when(F.col("span") > 1e-10, (F.col("n") - F.col("p")) / F.col("span")).otherwise(0.0))
     out = rows.groupBy("point_id").agg(F.max("edge").alias("is_boundary"), F.sum("d").alias("d"))
     return out.select("point_id", F.when(~F.col("is_boundary"), F.round("d", 6)).alias("crowding_distance"), "is_boundary")
 
 
-def suggest(points: DataFrame, weights: dict[str, float], signed: bool = False, minimise: tuple[str, ...] = ()) -> DataFrame:
-    """One row: the point with the largest weighted sum (ties: the smaller id). Unsigned sums reward objectives that
-    are to be minimised as well; `signed` subtracts those."""
-    total: Column = reduce(lambda a, b: a + b, [F.coalesce(o, F.lit(0.0)) * (-w if signed and o in minimise else w) for o, w in weights.items()])
-    return points.withColumn("utility", F.round(total, 6)).orderBy(F.col("utility").desc(), "point_id").limit(1)
+def analyse(points: DataFrame, objectives: list[str], minimise: tuple[str, ...] = ()) -> DataFrame:
+    """Every row of `points` with n_dominating, is_optimal, crowding_distance, is_boundary and frontier_rank.
+
+    Crowding is that of the frontier alone. frontier_rank orders the frontier by falling crowding distance, boundary
+    points (infinite) first, then by id; dominated points have nulls there and a distance of 0.
+    """
+    counted = frontier(points, objectives, minimise)
+    best = points.join(counted.where("is_optimal").select("point_id"), "point_id", "left_semi")
+    crowd = crowding(_signed(best, objectives, minimise), objectives)
+    crowd = crowd.withColumn("frontier_rank", F.row_number().over(W.orderBy(F.col("is_boundary").desc(), F.col("crowding_distance").desc(), "point_id")))
+    out = points.join(counted, "point_id").join(crowd, "point_id", "left")
+    return out.withColumn("crowding_distance", F.when(F.col("is_optimal"), F.col("crowding_distance")).otherwise(0.0))
+
+
+def suggest(points: DataFrame, weights: dict[str, float] | None, objectives: list[str] | None = None, minimise: tuple[str, ...] = ()) -> DataFrame:
+    """One row of the frontier: with weights the largest weighted sum of raw values (`utility`, ties: the smaller id);
+    without, the first by crowding distance. `objectives` are those of the weights if not given."""
+    objectives = objectives or list(weights or {})
+    if weights is None:
+        return analyse(points, objectives, minimise).where(F.col("frontier_rank") == 1).select(*points.columns)
+    total: Column = reduce(lambda a, b: a + b, [F.coalesce(o, F.lit(0.0)) * w for o, w in weights.items()])
+    return optimal(points, objectives, minimise).withColumn("utility", F.round(total, 6)).orderBy(F.col("utility").desc(), "point_id").limit(1)

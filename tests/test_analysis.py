@@ -51,29 +51,68 @@ def test_comparisons(spark):
     draw = random.Random(42)
     a, b = [draw.gauss(0.7, 0.1) for _ in range(30)], [draw.gauss(0.8, 0.1) for _ in range(30)]
     data = arms(spark, a, b)
+    diff = sum(a) / 30 - sum(b) / 30
     w = abtest.welch(data).first()
-    assert w["mean_b"] > w["mean_a"] and w["p_value"] < 0.05 and w["winner"] == "B" and w["ci_lo"] < w["mean_b"] - w["mean_a"] < w["ci_hi"]
+    # All signs are those of A - B: effect, statistic and the interval around the difference.
+    assert diff < 0 and w["effect_size"] < 0 and w["statistic"] < 0 and w["p_value"] < 0.05 and w["winner"] == "B"
+    assert (w["ci_lo"] + w["ci_hi"]) / 2 == pytest.approx(diff) and w["ci_hi"] < 0
     u = abtest.mann_whitney(data).first()
     assert u["statistic"] == sum((x > y) + 0.5 * (x == y) for x in a for y in b)
-    assert abtest.paired(data).first()["p_value"] < 0.05
+    assert (u["ci_lo"], u["ci_hi"]) == pytest.approx((w["ci_lo"], w["ci_hi"]))
+    p = abtest.paired(data).first()
+    assert p["p_value"] < 0.05 and p["statistic"] < 0 and p["ci_lo"] < p["mean_diff"] < p["ci_hi"] < 0 and p["mean_diff"] == pytest.approx(diff)
     same = abtest.permutation(spark, arms(spark, a, [x + 1e-4 for x in reversed(a)]), 200).first()
     assert same["p_value"] > 0.01
+    far = abtest.permutation(spark, data, 2000).first()
+    assert far["observed"] == pytest.approx(diff, abs=1e-6) and far["p_value"] < 0.01 and far["ci_lo"] < 0 < far["ci_hi"]
     flat = abtest.welch(arms(spark, [0.5] * 30, [0.5] * 30)).first()
     assert not flat["significant"] and flat["effect_size"] == 0.0
-    assert abtest.welch(arms(spark, [0.5], [0.9])).first()["p_value"] == 1.0
+    for test in (abtest.welch, abtest.mann_whitney):
+        r = test(arms(spark, [0.5], [0.9, 0.8])).first()
+        assert (r["statistic"], r["p_value"], r["ci_lo"], r["ci_hi"]) == (0.0, 1.0, 0.0, 0.0)
+
+
+def test_permutation_of_many_scores_is_the_same(spark, monkeypatch):
+    draw = random.Random(1)
+    data = arms(spark, [draw.random() for _ in range(15)], [draw.random() + 0.2 for _ in range(20)])
+    want = abtest.permutation(spark, data, 60).first()
+    monkeypatch.setattr(abtest, "SEND_ROWS", 0)
+    assert abtest.permutation(spark, data, 60).first() == want
+
+
+def test_compare(spark):
+    rows = [[(str(k), "the tide", f"the tide is {x} {k}", ["the tide is high"], "the tide is high", 1.0) for k in range(12)] for x in ("high", "odd low")]
+    a, b = (spark.createDataFrame(r, SAMPLE) for r in rows)
+    for test in ("welch_t", "mann_whitney_u", "bootstrap", "paired_t"):
+        got = {r["metric"]: r for r in abtest.compare(spark, a, b, test, ("faithfulness", "latency_score"), rounds=300).collect()}
+        assert got["faithfulness"]["winner"] == "Pipeline A" and got["faithfulness"]["alpha"] == 0.025 and got["latency_score"]["winner"] is None
+        assert got["faithfulness"]["num_samples"] == 24 and got["faithfulness"]["test"] == test and got["faithfulness"]["statistic"] > 0
 
 
 def test_pareto(spark):
-    p = spark.createDataFrame([("A", 0.9, 0.3), ("B", 0.7, 0.8), ("C", 0.5, 0.5), ("D", 0.9, 0.3)], "point_id string, quality double, speed double")
-    got = {r["point_id"]: (r["n_dominating"], r["is_optimal"]) for r in pareto.frontier(p, ["quality", "speed"]).collect()}
-    assert got == {"A": (0, True), "B": (0, True), "C": (1, False), "D": (0, True)}
-    assert {r["point_id"] for r in pareto.optimal(p, ["quality", "speed"]).collect()} == {"A", "B", "D"}
-    assert pareto.suggest(p, {"quality": 0.9, "speed": 0.1}).first()["point_id"] == "A"
+    # Two on the frontier are alike; the best sum of all points would be that of a dominated one, were it let in.
+    p = spark.createDataFrame([("k", 4.0, 1.0), ("l", 3.0, 6.0), ("m", 1.0, 9.0), ("n", 3.0, 5.5), ("o", 4.0, 1.0), ("p", 0.5, 0.5)], "point_id string, gain double, cost double")
+    got = {r["point_id"]: (r["n_dominating"], r["is_optimal"]) for r in pareto.frontier(p, ["gain", "cost"], ("cost",)).collect()}
+    assert got == {"k": (0, True), "l": (3, False), "m": (4, False), "n": (2, False), "o": (0, True), "p": (0, True)}
+    assert {r["point_id"] for r in pareto.optimal(p, ["gain", "cost"], ("cost",)).collect()} == {"k", "o", "p"}
+    assert pareto.suggest(p, {"gain": 0.1, "cost": 0.9}, minimise=("cost",)).first()["point_id"] == "k"
+    three = p.withColumn("third", F.col("gain") * 0)
+    assert {r["point_id"] for r in pareto.optimal(three, ["gain", "cost", "third"], ("cost",)).collect()} == {"k", "o", "p"}
     q = spark.createDataFrame([(k, float(k), float(10 - k)) for k in range(5)], "point_id long, x double, y double")
     c = {r["point_id"]: r["crowding_distance"] for r in pareto.crowding(q, ["x", "y"]).collect()}
     assert c == {0: None, 4: None, 1: 1.0, 2: 1.0, 3: 1.0}
 
 
+def test_pareto_analysis(spark):
+    p = spark.createDataFrame([(1, 0.0, 9.0), (2, 1.0, 8.0), (3, 5.0, 5.0), (4, 9.0, 0.0), (5, 4.0, 4.0)], "point_id long, x double, y double")
+    got = {r["point_id"]: r for r in pareto.analyse(p, ["x", "y"]).collect()}
+    assert [got[k]["frontier_rank"] for k in (1, 4, 3, 2, 5)] == [1, 2, 3, 4, None]
+    assert got[5]["n_dominating"] == 1 and got[5]["crowding_distance"] == 0.0 and got[1]["crowding_distance"] is None
+    assert got[3]["crowding_distance"] == pytest.approx(8 / 9 + 8 / 9, abs=1e-6)
+    assert pareto.suggest(p, None, ["x", "y"]).first()["point_id"] == 1
+    assert pareto.suggest(p.where("false"), None, ["x", "y"]).count() == 0
+
+
 def test_search(spark):
     params = list(tuning.random_search(tuning.SPACE, 20, 1))
     assert params == list(tuning.random_search(tuning.SPACE, 20, 1)) and all(p["chunk_overlap"] <= p["chunk_size"] // 2 for p in params)

@@ -35,8 +35,13 @@ def test_parsers(spark):
     got = one(spark, "I think so\nQUERY: what next\nmore", lambda c: T.thought_query(c, F.lit("old")))
     assert got["query"] == "what next" and got["thought"] == "I think so"
     assert one(spark, "nothing", lambda c: T.thought_query(c, F.lit("old")))["query"] == "old"
-    notes = one(spark, "RELEVANCE: relevant\nKEY_INFO: k\n\nRELEVANCE: huh", T.note_blocks)
-    assert [n["relevance"] for n in notes] == ["relevant", "partially_relevant"] and notes[0]["key_info"] == "k"
+    # A text that begins with its query has no thought before it, so the whole text is one; a query may be empty.
+    got = one(spark, "Query: at once", lambda c: T.thought_query(c, F.lit("old")))
+    assert got.asDict() == {"thought": "Query: at once", "query": "at once"}
+    assert one(spark, "hm\nQUERY:  \n", lambda c: T.thought_query(c, F.lit("old"))).asDict() == {"thought": "hm", "query": ""}
+    notes = one(spark, "relevance: Relevant\nKEY_INFO: k: l\nCONNECTION: c\nTYPE: conflicting\n\nRELEVANCE: huh\nTYPE: odd\n\nTYPE: Complementary\nTYPE: odd\n\nNOTE_TYPE: conflicting", T.note_blocks)
+    assert [n["relevance"] for n in notes] == ["relevant", *["partially_relevant"] * 3] and notes[0]["key_info"] == "k: l" and notes[0]["connection"] == "c"
+    assert [n["note_type"] for n in notes] == ["conflicting", "standard", "complementary", "standard"]
 
 
 def model_recursive(text, size, overlap, seps):
@@ -48,7 +53,12 @@ def model_recursive(text, size, overlap, seps):
                 parts = piece.split(seps[k])
                 parts = [p + seps[k] for p in parts[:-1]] + [parts[-1]]
                 return [x for p in parts if p.strip() for x in cut(p, k + 1)]
-        return [piece[s : s + size] for s in range(0, len(piece), max(1, size - overlap))]
+        out = []
+        for s in range(0, len(piece), max(1, size - overlap)):
+            out += [piece[s : s + size]] if piece[s : s + size].strip() else []
+            if s + size >= len(piece):
+                return out
+        return out
 
     if len(text) <= size:
         return [text.strip()] if text.strip() else []
@@ -92,9 +102,56 @@ def test_semantic(spark):
     assert len(mine) >= 2 and " ".join(r["content"] for r in mine) == docs.first()["text"]
 
 
+def test_windows_of_unbroken_text():
+    """A window that reaches the end is the last: none repeats the end of the one before alone."""
+    text = "".join(chr(97 + k % 26) for k in range(900))
+    assert [len(c) for c in C.merged_chunks(text, 512, 64)] == [512, 64 + 452]
+    assert C.merged_chunks(text, 512, 0) == [text[:512], text[512:]]
+
+
+def test_separator_order():
+    """Of marks of exclamation and question, the first is cut at first."""
+    text = "Is it? No! Who? Me! Why? So! And"
+    assert C.merged_chunks(text, 12, 0) == ["Is it? No! ", "Who? Me! ", "Why? So! And"]
+    assert C.merged_chunks("a? bb! c? dd! e? f", 7, 0, ("! ", "? ")) == ["a? bb! ", "c? dd! ", "e? f"]
+
+
+def kinds(text):
+    return [(b[0], b[3], b[4]) for b in C.blocks_of(text)]
+
+
+def test_blocks():
+    assert kinds("## Notes\nsome text\nmore of it\n\n* a\n  goes on\n+ b\nnot b") == [("heading", 0, 0), ("paragraph", 1, 2), ("list", 4, 6), ("paragraph", 7, 7)]
+    # A number is an item only in the first column and with white space after its full stop; marks count anywhere.
+    assert kinds("3.14 is pi") == [("paragraph", 0, 0)] and kinds("3. is an item") == [("list", 0, 0)] and kinds(" 3. is none") == [("paragraph", 0, 0)] and kinds("   - is one") == [("list", 0, 0)]
+    assert kinds("- a\n one space") == [("list", 0, 0), ("paragraph", 1, 1)]
+    # A row needs a bar at its begin and another one.
+    assert kinds("|half a row") == [("paragraph", 0, 0)] and kinds("|a|b|\n|c|d|\n|e") == [("table", 0, 1), ("paragraph", 2, 2)] and kinds(" |a|b|") == [("paragraph", 0, 0)]
+    assert kinds("> quoted\nlazily\n\n > not") == [("quote", 0, 1), ("paragraph", 3, 3)]
+    assert kinds("   ```sh\n# no heading\n\n```\nafter\n```\nopen") == [("code", 0, 3), ("paragraph", 4, 4), ("code", 5, 6)]
+    assert kinds("####### seven\n#none\n# ") == [("paragraph", 0, 1), ("heading", 2, 2)] and kinds("") == kinds(" \n\t") == []
+
+
+def test_assembly():
+    def chunks(text, size, **more):
+        return C.assemble(C.blocks_of(text), size, **more)
+
+    # A block that does not fit closes what is there, a heading alone as well, and the next chunk begins with it.
+    long = "w" * 30
+    assert chunks(f"# H\n\n{long}\n\n{long}", 40) == [f"# H\n\n{long}", f"# H\n\n{long}"]
+    assert chunks(f"# H\n\n{long}", 20) == ["# H", f"# H\n\n{long}"]
+    assert chunks(f"# H\n\n{long}", 20, headings=False) == ["# H", long]
+    # Code that is too long is whole and closed at once; what follows has no heading.
+    code = "```\n" + long + "\n```"
+    assert chunks(f"# H\n\na\n\n{code}\n\nb", 20) == ["# H\n\na", f"# H\n\n{code}", "b"]
+    assert chunks(f"{code}\n\n{code}", 200) == [f"{code}\n\n{code}"] and chunks(f"{code}\n\n{code}", 50) == [code, code]
+    # The blank line counts for paragraphs, not for code.
+    assert chunks("aaaa\n\nbbbb", 12) == ["aaaa\n\nbbbb"] and chunks("aaaa\n\nbbbb", 11) == ["aaaa", "bbbb"]
+
+
 def test_structured(spark):
-    text = "# Title\n\nIntro text.\n\n- one\n- two\n\n```python\ndef hello():\n    return 1\n```\n\n## Scores\n\n| M | V |\n|---|---|\n| Accuracy | 1 |\n| F1 | 2 |\n\nThe end."
-    rows = C.structured(spark.createDataFrame([(1, text)], "doc_id long, text string"), 500).orderBy("chunk_index").collect()
-    assert any("def hello" in r["content"] and "return 1" in r["content"] for r in rows)
-    assert any("Accuracy" in r["content"] and "F1" in r["content"] for r in rows)
+    text = "# Harbour log\n\nShips came in.\n\n- a barge\n- a tug\n\n```sql\nSELECT tide\nFROM moon\n```\n\n## Cargo\n\n| Good | Tons |\n|---|---|\n| Salt | 40 |\n| Rope | 3 |\n\nNight fell."
+    rows = C.structured(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), 60).orderBy("doc_id", "chunk_index").collect()
+    assert {r["doc_id"] for r in rows} == {1} and [r["chunk_index"] for r in rows] == list(range(len(rows))) and rows[0]["chunk_id"] == "1_dachunk_0"
+    assert sum("SELECT tide\nFROM moon" in r["content"] for r in rows) == 1 and sum("| Salt | 40 |\n| Rope | 3 |" in r["content"] for r in rows) == 1
     assert [b[0] for b in C.blocks_of(text)] == ["heading", "paragraph", "list", "code", "heading", "table", "paragraph"]
