@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -43,14 +44,35 @@ def modest_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir, or one under the warehouse where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuts"
+    """The folder shared by driver and executors: spark.checkpoint.dir; where it is unset, one under the warehouse if all
+    runs on this machine (a master that begins with local), else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cuts"
     return root.rstrip("/")
 
 
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Cuts that are made inside are deleted at the end: what is built on them has to be written by then."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            remove(spark, path)
+
+
 def cut(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """`df` written to the shared folder and read back, with its path: ends the lineage and survives lost executors."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _MADE[-1:]:
+        made.append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path), path
@@ -63,7 +85,8 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-#: Edges that one task takes whole, in a union-find of about 100 bytes an edge; more of them take the distributed way.
+#: Edges that one task takes whole, in a union-find of about 100 bytes an edge; more of them take the distributed way,
+#: to the same result. Rounds of jobs over a few thousand rows would cost more than everything before them.
 TASK_EDGES = 1 << 20
 
 
@@ -93,12 +116,14 @@ def components(spark: SparkSession, edges: DataFrame, label: str = "cc", max_rou
     and small-star steps on edges that point from the larger to the smaller node. Each step is a grouped minimum
     (combined before the shuffle, so a hub costs one row a task) and a join with those minima; both sides of the join
     are tables of the shared folder, so that AQE can split the rows of a hub. Nothing is collected but a count a
-    round. Loops and repeated edges are ignored; an edge with a null end is dropped.
+    round. Loops and repeated edges are ignored; an edge with a null end is dropped. `edges` is read twice, so it should
+    be a table or a cut.
     """
     big, small = F.greatest("a", "b"), F.least("a", "b")
-    e, path = cut(spark, edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(big.alias("a"), small.alias("b")).distinct(), label)
+    e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(big.alias("a"), small.alias("b")).distinct()
     if e.count() <= TASK_EDGES:
         return e.coalesce(1).mapInArrow(_forest, "node long, component long")
+    e, path = cut(spark, e, label)
     for _ in range(max_rounds):
         # A node with two out-edges, or a target that has an out-edge itself, means that stars have not formed yet.
         least, least_path = cut(spark, e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), label)

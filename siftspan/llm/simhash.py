@@ -1,19 +1,21 @@
 """SimHash fingerprints and near-duplicates by a grid join over segment popcounts.
 
-A fingerprint is cut into SEGMENTS equal segments and mapped to the vector of their bit counts. Two fingerprints that
-differ in d bits have vectors at Manhattan distance d at most, so the distance is a lower bound. Vectors lie in a grid
-of cells of WIDTH counts a side; a fingerprint is copied to the cells of smaller number that it could reach within the
-radius, cells are joined in blocks, and every pair that meets is verified by its differing bits. Equal fingerprints
-are one row before the join, so groups of copies cost nothing there.
-
-Where a radius is too wide for the grid to leave anything out, fingerprints are joined in blocks of one cell instead.
-Links can also ask for a Jaccard similarity of the shingles: then what the fingerprints link are candidates alone.
+A fingerprint is cut into equal segments and mapped to the vector of their bit counts. Two fingerprints that differ in
+d bits have vectors at Manhattan distance d at most, so the distance is a lower bound. Vectors lie in a grid of cells
+of some counts a side; a fingerprint is copied to the cells of smaller number that it could reach within the radius,
+cells are joined in blocks, and every pair that meets is verified by its differing bits. Equal fingerprints are one row
+before the join, so groups of copies cost nothing there. More segments make more copies and let fewer pairs meet; which
+grid costs least depends on how many fingerprints there are (`grid`), the result does not.
+
+Where a radius is too wide for any grid to leave something out, links also ask for a Jaccard similarity of the shingles:
+the cells are then classes of the number of shingles, as similar sets have similar sizes, and what the fingerprints
+link are candidates alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 from siftspan.llm.cells import linked
 from siftspan.llm.common import cut, text_slices
 
-SEGMENTS, WIDTH = 4, 2
 BLOCK = 65536
-#: The widest radius for the grid; rows with shingles in a block.
-GRID_RADIUS, SHINGLE_BLOCK = 8, 4096
+#: Grids to choose from, as (segments, counts of a cell's side), and what a copy and a compared pair cost, in seconds.
+GRIDS = ((4, 2), (4, 4), (8, 2), (8, 4), (16, 2))
+COPY, PAIR = 3e-6, 3e-9
+#: Rows of a block in joins by the number of shingles, and of shingles themselves.
+SIZE_BLOCK, SHINGLE_BLOCK = 16384, 4096
 #: Shingles whose bits are counted at once.
 PART = 1 << 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -77,42 +81,80 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, bits long")
 
 
-def _reach(radius: int, segments: int, width: int) -> list[list[int]]:
-    """Moves between cells, a row each: the steps by coordinate. A step of s cells costs (|s| - 1) * width + 1 or more."""
-    most = 1 + (radius - 1) // width
-    steps = range(-most, most + 1)
-    cost = [0 if s == 0 else (abs(s) - 1) * width + 1 for s in range(-most, most + 1)]
-    return [list(m) for m in product(steps, repeat=segments) if sum(cost[s + most] for s in m) <= radius]
+def _costs(size: int, width: int, radius: int) -> list[np.ndarray]:
+    """By steps -m .. m to another cell of one coordinate: the least change that takes a count there, 0 .. `size` counts
+    long; one more than the radius where there is no cell."""
+    count = np.arange(size + 1)
+    low, most = count // width * width, -(-radius // width)
+    out = []
+    for s in range(-most, most + 1):
+        cost = count - low + (-s - 1) * width + 1 if s < 0 else low + s * width - count if s else 0 * count
+        there = count // width + s
+        out.append(np.where((there < 0) | (there > size // width), radius + 1, cost))
+    return out
 
 
-def cells_of(prints: DataFrame, radius: int, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
+def estimate(segments: int, width: int, radius: int) -> tuple[float, float]:
+    """Copies of a fingerprint of random bits, and the share of other ones that it meets."""
+    size = 64 // segments
+    chance = np.array([comb(size, k) for k in range(size + 1)], float) / 2.0**size
+    costs = _costs(size, width, radius)
+    most = len(costs) // 2
+    cells = np.array([chance[k * width : (k + 1) * width].sum() for k in range(size // width + 1)])
+    copies, meets = np.zeros(radius + 1), np.zeros(radius + 1)
+    for s, cost in enumerate(costs):
+        for k in np.flatnonzero(cost <= radius):
+            copies[cost[k]] += chance[k]
+            meets[cost[k]] += chance[k] * cells[k // width + s - most]
+    total = []
+    for one in (copies, meets):
+        sums = np.eye(1, radius + 1)[0]
+        for _ in range(segments):
+            sums = np.convolve(sums, one)[: radius + 1]
+        total.append(float(sums.sum()))
+    return total[0] / 2, total[1]
+
+
+def grid(n: int, radius: int) -> tuple[int, int]:
+    """Segments and width of the cheapest grid for `n` fingerprints."""
+    def cost(g: tuple[int, int]) -> float:
+        copies, meets = estimate(*g, radius)
+        return n * copies * COPY + n * n / 2 * meets * PAIR
+
+    return min(GRIDS, key=cost)
+
+
+def cells_of(prints: DataFrame, radius: int, segments: int, width: int) -> DataFrame:
     """(id, home, cell) of each print `id`: its own cell, and the cells of smaller number within the radius."""
     size = 64 // segments
     side = size // width + 1
-    count = [F.bit_count(F.shiftrightunsigned("id", k * size).bitwiseAND(F.lit((1 << size) - 1))) for k in range(segments)]
-    base = prints.select("id", *[c.alias(f"c{k}") for k, c in enumerate(count)])
-    own = sum((F.floor(F.col(f"c{k}") / width).cast("long") * side**k for k in range(segments)), F.lit(0).cast("long"))
-    moves = [m for m in _reach(radius, segments, width) if sum(s * side**k for k, s in enumerate(m)) < 0]
-    # For each coordinate, the counts to the nearest count of the cell s steps away; a move costs their sum.
-    def cost(k: int, s: int):
-        if s == 0:
-            return F.lit(0)
-        low = F.floor(F.col(f"c{k}") / width) * width
-        return (F.col(f"c{k}") - low) + (-s - 1) * width + 1 if s < 0 else low + s * width - F.col(f"c{k}")
-
-    def fits(k: int, s: int):
-        at = F.floor(F.col(f"c{k}") / width) + s
-        return (at >= 0) & (at < side)
-
-    steps = {(k, s): None for m in moves for k, s in enumerate(m)}
-    costs = base.select("id", own.alias("own"), *[F.when(fits(k, s), cost(k, s)).otherwise(99).cast("int").alias(f"s{k}_{s + 50}") for k, s in steps])
-    within = [F.when(sum((F.col(f"s{k}_{s + 50}") for k, s in enumerate(m)), F.lit(0)) <= radius, F.lit(sum(s * side**k for k, s in enumerate(m)))) for m in moves]
-    move = F.explode(F.concat(F.array(F.lit(0)), F.filter(F.array(*within), lambda x: x.isNotNull()) if within else F.array().cast("array<int>")))
-    return costs.select("id", "own", move.alias("move")).select("id", (F.col("move") == 0).alias("home"), (F.col("own") + F.col("move")).alias("cell"))
-
+    costs = _costs(size, width, radius)
 
-def links(spark: SparkSession, prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n_links) and (node, component) of distinct fingerprints `id` that differ in at most `radius` bits."""
+    def place(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for at in range(0, len(ids), 2048):
+                part = ids[at : at + 2048].view(np.uint64)
+                row, cell, left = np.arange(len(part)), np.zeros(len(part), np.int64), np.full(len(part), radius)
+                own = np.zeros(len(part), np.int64)
+                for k in range(segments):
+                    count = np.bitwise_count((part >> np.uint64(k * size)) & np.uint64((1 << size) - 1)).astype(np.int64)
+                    own += count // width * side**k
+                    states = []
+                    for s, cost in enumerate(costs):
+                        rest = left - cost[count[row]]
+                        on = rest >= 0
+                        states.append((row[on], cell[on] + (count[row[on]] // width + s - len(costs) // 2) * side**k, rest[on]))
+                    row, cell, left = (np.concatenate(c) for c in zip(*states, strict=True))
+                keep = cell <= own[row]
+                row, cell = row[keep], cell[keep]
+                yield pa.record_batch([pa.array(part.view(np.int64)[row]), pa.array(cell == own[row]), pa.array(cell)], names=["id", "home", "cell"])
+
+    return prints.select("id").mapInArrow(place, "id long, home boolean, cell long")
+
+
+def _finder(radius: int):
+    """`find` of `cells.linked`: fingerprints that differ in at most `radius` bits."""
 
     def find(a: pd.DataFrame, b: pd.DataFrame):
         x, y = a["id"].to_numpy().view(np.uint64), b["id"].to_numpy().view(np.uint64)
@@ -126,12 +168,32 @@ def links(spark: SparkSession, prints: DataFrame, radius: int) -> tuple[DataFram
             if len(i):
                 yield i + at, j
 
-    if radius <= GRID_RADIUS:
-        return linked(spark, cells_of(prints, radius), BLOCK, find, "simhash")
-    prints, _ = cut(spark, prints, "prints-all")
-    # Eight blocks or more, so that tasks share the pairs, unless they were small.
-    block = min(BLOCK, max(SHINGLE_BLOCK, prints.count() // 8))
-    return linked(spark, prints.select("id", F.lit(True).alias("home"), F.lit(0).cast("long").alias("cell")), block, find, "simhash")
+    return find
+
+
+def links(spark: SparkSession, prints: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n_links) and (node, component) of distinct fingerprints `id` that differ in at most `radius` bits."""
+    segments, width = grid(prints.count(), radius)
+    return linked(spark, cells_of(prints, radius, segments, width), BLOCK, _finder(radius), "simhash")
+
+
+def sized_links(spark: SparkSession, prints: DataFrame, radius: int, jaccard: float) -> DataFrame:
+    """(node, component) of the `bits` of `prints(bits, n)`: at most `radius` bits apart, and sets of n shingles each
+    whose sizes allow the similarity. Classes of sizes grow by 1 / jaccard, so a partner is in the next one at most."""
+    step = 1 / jaccard * (1 + 1e-9)
+    edges = [1.0]
+    while edges[-1] < 1 << 40:
+        edges.append(edges[-1] * step)
+
+    def place(batches):
+        for batch in batches:
+            home = np.searchsorted(edges, batch.column("n").to_numpy(), "right")  # 0: without shingles
+            i = np.concatenate([np.arange(len(home)), np.flatnonzero(home > 1)])
+            own = np.arange(len(i)) < len(home)
+            yield pa.record_batch([batch.column("bits").take(pa.array(i)), pa.array(own), pa.array(home[i] - ~own)], names=["id", "home", "cell"])
+
+    rows = prints.mapInArrow(place, "id long, home boolean, cell long").distinct()
+    return linked(spark, rows, SIZE_BLOCK, _finder(radius), "simhash")[1]
 
 
 def alike(spark: SparkSession, texts: DataFrame, radius: int, words: int, jaccard: float) -> DataFrame:
@@ -182,11 +244,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 4, words
     prints, _ = cut(spark, fingerprints(docs, id_col, text_col, words), "prints")
     least, _ = cut(spark, prints.groupBy("bits").agg(F.min("doc_id").alias("least")), "prints-least")
     _, found = links(spark, least.select(F.col("bits").alias("id")), radius)
-    found, _ = cut(spark, found, "prints-found")
     member = least.join(found.select(F.col("node").alias("bits"), "component"), "bits", "left").withColumn("component", F.coalesce("component", "bits"))
     ids = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    named, _ = cut(spark, member.join(ids, "component").select("bits", "component_id"), "prints-named")
-    return prints.join(named, "bits").select("doc_id", "bits", "component_id")
+    return prints.join(member.join(ids, "component").select("bits", "component_id"), "bits").select("doc_id", "bits", "component_id")
+
+
+def sized_prints(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(th, bits, n) of the distinct texts: xxhash64 of the text, its fingerprint, and how many distinct shingles it has."""
+
+    def run(batches):
+        for keys, texts in text_slices(batches):
+            bits, n = [], []
+            for t in texts:
+                bits.append(fingerprint(t, words))
+                n.append(len(np.unique(np.concatenate([np.empty(0, "<u8"), *shingles(t, words)]))))
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(np.array(bits, np.uint64).view(np.int64)), pa.array(n, pa.int64())], names=["th", "bits", "n"])
+
+    text = F.col(text_col).cast("string")
+    made = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "th long, bits long, n long")
+    return made.groupBy("th").agg(F.min("bits").alias("bits"), F.min("n").alias("n"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text", jaccard: float = 0.0) -> DataFrame:
@@ -195,22 +271,24 @@ def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 4, words: int =
     Components are those of links of at most `radius` bits between fingerprints of `words` words, with `jaccard` of
     those links whose shingles are that similar. Texts without words are one component. Of the rows of a component, the
     first by id (nulls last), then by a hash of the text stays: a shared id or a null one does not make rows one. Same
-    columns; an empty table gives no rows.
+    columns, which may have any names; an empty table gives no rows.
     """
     text = F.col(text_col).cast("string")
-    prints = fingerprints(docs.select(F.xxhash64(text).alias("th"), text.alias("text")), "th", "text", words)
-    prints, _ = cut(spark, prints.groupBy(F.col("doc_id").alias("th")).agg(F.first("bits").alias("bits")), "prints")
-    _, found = links(spark, prints.select(F.col("bits").alias("id")).distinct(), radius)
+    prints, _ = cut(spark, sized_prints(docs, text_col, words), "prints")
+    if jaccard:
+        found = sized_links(spark, prints.select("bits", "n").distinct(), radius, jaccard)
+    else:
+        found = links(spark, prints.select(F.col("bits").alias("id")).distinct(), radius)[1]
     named = prints.join(found.select(F.col("node").alias("bits"), "component"), "bits", "left").select("th", "bits", F.coalesce("component", "bits").alias("cell"))
-    named, _ = cut(spark, named, "prints-named")
     if jaccard:
         several = named.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("cell")
-        candidates, _ = cut(spark, named.join(several, "cell"), "prints-candidates")
-        texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(candidates.select("th"), "th", "left_semi").dropDuplicates(["th"])
-        found = alike(spark, texts.join(candidates, "th").select("th", "text", "bits", "cell"), radius, words, jaccard)
+        texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(named.join(several, "cell"), "th").dropDuplicates(["th"])
+        found = alike(spark, texts.select("th", "text", "bits", "cell"), radius, words, jaccard)
         named = named.join(found.select(F.col("node").alias("th"), "component"), "th", "left").select("th", F.coalesce("component", "th").alias("cell"))
-    # One row of each component, and one of the rows that repeat it.
-    ids = docs.select(F.xxhash64(text).alias("th"), F.col(id_col).cast("long").alias("id")).groupBy("th").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
-    firsts = named.join(ids, "th").groupBy("cell").agg(F.min(F.struct("first.none", "first.id", "th")).alias("first")).select(F.col("first.id").alias("_id"), F.col("first.th").alias("_th"))
-    own = docs.withColumn("_own", F.col(id_col).cast("long")).withColumn("_own_th", F.xxhash64(text))
-    return own.join(firsts, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_th") == F.col("_th")), "left_semi").dropDuplicates(["_own", "_own_th"]).drop("_own", "_own_th")
+    # One row of each component, and one of the rows that repeat it. Null ids are told apart, so that keys are equal as they are.
+    own = [F.col(id_col).cast("long").isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("own"), F.xxhash64(text).alias("th")]
+    ids = docs.select(*own).groupBy("th").agg(F.min(F.struct("none", "own")).alias("first"))
+    firsts = named.join(ids, "th").groupBy("cell").agg(F.min(F.struct("first.none", "first.own", "th")).alias("first")).select("first.*")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *own)
+    kept = keyed.join(firsts, ["none", "own", "th"], "left_semi").dropDuplicates(["none", "own", "th"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

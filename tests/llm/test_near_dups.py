@@ -75,8 +75,10 @@ def test_fingerprints():
         assert simhash.fingerprint(text) == slow_print(text)
 
 
-def test_simhash_links(spark, monkeypatch):
+@pytest.mark.parametrize("grid", simhash.GRIDS)
+def test_simhash_links(spark, monkeypatch, grid):
     monkeypatch.setattr(simhash, "BLOCK", 50)
+    monkeypatch.setattr(simhash, "GRIDS", (grid,))
     rng = np.random.default_rng(7)
     base = rng.integers(0, 1 << 63, 150, dtype=np.int64)
     flips = np.array([np.bitwise_xor.reduce(np.int64(1) << rng.choice(63, rng.integers(1, 6), replace=False)) for _ in range(300)])
@@ -91,6 +93,19 @@ def test_simhash_links(spark, monkeypatch):
     assert all(got[int(x[k])] == int(x[want[k]]) for k in range(len(x)) if link[k].any())
 
 
+def test_grids():
+    """The estimates are those of random bits, and more fingerprints are joined in finer grids."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000).astype(np.uint64)
+    for segments in (4, 8, 16):
+        size = 64 // segments
+        c = np.stack([np.bitwise_count((x >> np.uint64(k * size)) & np.uint64((1 << size) - 1)).astype(int) for k in range(segments)])
+        apart = np.abs(c[:, :1500, None] - c[:, None, 1500:]).sum(axis=0)
+        assert simhash.estimate(segments, 1, 4)[1] == pytest.approx((apart <= 4).mean(), rel=0.15, abs=2e-5)
+    chosen = [simhash.grid(10**k, 4) for k in range(3, 12)]
+    assert [g[0] for g in chosen] == sorted(g[0] for g in chosen) and chosen[0][0] == 4 and chosen[-1][0] == 16
+
+
 def test_simhash_documents(spark, odd, empty):
     rows = simhash.near_duplicates(spark, odd).collect()
     assert sorted(str(r["doc_id"]) for r in rows) == ["1", "2", "3", "4", "4", "5", "6", "None"]
@@ -269,11 +284,12 @@ def test_simhash_stage_by_similarity(spark, make, monkeypatch):
     import corpus_pipeline
 
     monkeypatch.setattr(simhash, "SHINGLE_BLOCK", 7)
+    monkeypatch.setattr(simhash, "SIZE_BLOCK", 9)
     draw = random.Random(11)
     texts = []
     for k in range(12):
         base = [f"w{draw.randrange(10 ** 6)}" for _ in range(200)]
-        texts += [" ".join(base)]
+        texts += [" ".join(base), " ".join(base[: 200 - 3 * k]), " ".join(base + base[: 2 * k])]
         for edits in (1, 2, 3, 4, 6, 9):
             new = list(base)
             for at in draw.sample(range(200), edits):
