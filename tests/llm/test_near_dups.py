@@ -312,11 +312,19 @@ def test_simhash_null_and_repeated_ids(spark, make):
     assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("1", texts[0]), ("None", texts[1]), ("None", texts[2]), ("2", texts[3]), ("3", texts[4]), ("3", texts[5])])
 
 
-def test_vectors_of_many_lengths(spark, monkeypatch):
-    monkeypatch.setattr(embed_dedup, "LENGTHS", 1, raising=False)
+@pytest.mark.parametrize("per", [3, 1000])
+def test_vectors_of_many_lengths(spark, monkeypatch, per):
+    """Lengths with and without pivots, in one join; double-precision vectors, repeated and null ids, clashing columns."""
+    monkeypatch.setattr(embed_dedup, "PER_PIVOT", per)
     rows = []
-    for d in range(1, 106):
+    for d in range(1, 131):
         v = np.cos(np.arange(1, d + 1) * d)
         rows += [(2 * d, v.tolist(), 0, "c", 1, "h"), (2 * d + 1, (v * (3 + 0.01 * np.arange(d) / d)).tolist(), 0, "c", 1, "h")]
-    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark, vectors(spark, rows)).collect()}
-    assert len(got) == 210 and all((r["n_links"], r["component_id"]) == (1, k - k % 2) for k, r in got.items())
+    extra = [([1.0, 0.0, 1e200], 900), ([1.0, 0.0, 1e200], 900), ([2e-200, 0.0, 1e-5], None), ([0.0, 1.0, 0.0], 901), ([0.0, 1.0, 0.02], 901), ([0.0, -1.0, 0.0], 902)]
+    rows += [(i, v, 0, "c", 1, "h") for v, i in extra]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, cell string, v int, home string")
+    found = embed_dedup.near_duplicates(spark, made).collect()
+    got = {r["vec_id"]: r for r in found}
+    assert len(found) == 266 and all((got[k]["n_links"], got[k]["component_id"]) == (1, k - k % 2) for k in range(2, 262) if k not in (6, 7))
+    assert [(r["n_links"], r["component_id"]) for r in found if r["vec_id"] == 900] == [(2, 900)] * 2 and got[None]["n_links"] == 2 and got[None]["component_id"] == 900
+    assert [(r["n_links"], r["component_id"]) for r in found if r["vec_id"] == 901] == [(1, 901)] * 2 and got[902]["n_links"] == 0
