@@ -2,15 +2,21 @@
 
 A payload (bytes, a multiple of 64) becomes a grey baseline JPEG (SOF0, 8 bits, one component, quantization steps of
 1): byte b is coefficient b - 128, 64 of them a block in zigzag order, so nothing is rounded and the payload comes
-back exactly. Every block is a restart interval, which makes blocks independent: the decoder finds the markers, takes
-the stuffing out and then decodes one symbol of every block at a time in numpy, by look-up in the tables that it read
-from the file. The thumbnail has one pixel a block, from the DC coefficient alone.
+back exactly. Every block is a restart interval, which makes blocks independent.
+
+The decoder reads any baseline JPEG: one or several components and scans, any sampling factors, restart interval and
+tables, segments it has no use for skipped. It finds the markers, takes the stuffing out and then decodes one symbol of
+every restart interval of every image of a slice at a time in numpy, by look-up in the tables that it read from the
+files; differences of DC coefficients are summed afterwards. The thumbnail has one pixel a luminance block, from the DC
+coefficient alone.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from dataclasses import dataclass, field
 from hashlib import sha256
 
 import numpy as np
@@ -18,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspan.llm.common import text_slices
+from siftspan.llm.common import SLICE_BYTES, text_slices
 
 UNIT = 576
 ROW = 3  # blocks in a row of blocks of a small image; larger ones get wider rows, as no side may exceed 65,535
@@ -129,40 +135,101 @@ def store(payloads: list[bytes], n_bytes: list[int]) -> list[bytes]:
     return made
 
 
-def parse(image: bytes) -> dict:
-    """The segments of a baseline JPEG of one component: sizes, tables, restart interval, comment, where the scan lies."""
+@dataclass
+class Part:
+    """A component: its sampling factors, quantization table and blocks across and down (with those that fill up MCUs)."""
+
+    across: int
+    down: int
+    quantizer: int
+    blocks: tuple[int, int] = (0, 0)
+
+
+@dataclass
+class Scan:
+    """Components of a scan as (number, DC table, AC table), where its data lies, and the restart interval at that place."""
+
+    parts: list[tuple[int, tuple, tuple]]
+    begin: int
+    end: int
+    interval: int
+
+
+@dataclass
+class Image:
+    """What the segments of a baseline JPEG say."""
+
+    width: int = 0
+    height: int = 0
+    parts: list[Part] = field(default_factory=list)
+    scans: list[Scan] = field(default_factory=list)
+    quantization: dict[int, np.ndarray] = field(default_factory=dict)
+    comment: bytes = b""
+
+    def true_blocks(self, k: int) -> tuple[int, int]:
+        """Blocks across and down that show something of component k."""
+        most_across, most_down = (max(x) for x in zip(*((p.across, p.down) for p in self.parts), strict=True))
+        p = self.parts[k]
+        return -(-(-(-self.width * p.across // most_across)) // 8), -(-(-(-self.height * p.down // most_down)) // 8)
+
+
+_DATA_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+
+
+def parse(image: bytes) -> Image:
+    """The segments of a baseline JPEG. A file that is none, or that ends early, is a ValueError."""
     if image[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    at, found = 2, {"tables": {}, "quantization": {}, "interval": 0, "comment": b""}
-    while True:
-        mark, kind = image[at], image[at + 1]
-        if mark != 0xFF:
-            raise ValueError(f"no marker at byte {at}")
-        (size,) = struct.unpack_from(">H", image, at + 2)
-        body = image[at + 4 : at + 2 + size]
-        at += 2 + size
-        if kind == 0xC0:
-            bits, height, width, parts = struct.unpack_from(">BHHB", body)
-            if bits != 8 or parts != 1:
-                raise ValueError("only one component of 8 bits")
-            found |= {"height": height, "width": width, "quantizer": body[8]}
-        elif 0xC1 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            raise ValueError("not a baseline JPEG")
-        elif kind == 0xC4:
-            while body:
-                n = sum(body[1:17])
-                found["tables"][body[0]] = (body[1:17], body[17 : 17 + n])
-                body = body[17 + n :]
-        elif kind == 0xDB:
-            while body:
-                found["quantization"][body[0] & 15] = np.frombuffer(body[1:65], np.uint8)
-                body = body[65:]
-        elif kind == 0xDD:
-            (found["interval"],) = struct.unpack(">H", body)
-        elif kind == 0xFE:
-            found["comment"] = body
-        elif kind == 0xDA:
-            return found | {"dc": body[2] >> 4, "ac": 16 | (body[2] & 15), "scan": at}
+    found, ids, tables, interval, at = Image(), [], {}, 0, 2
+    try:
+        while True:
+            if image[at] != 0xFF:
+                raise ValueError(f"no marker at byte {at}")
+            while image[at + 1] == 0xFF:  # fill bytes
+                at += 1
+            kind = image[at + 1]
+            if kind == 0xD9:
+                break
+            (size,) = struct.unpack_from(">H", image, at + 2)
+            body = image[at + 4 : at + 2 + size]
+            at += 2 + size
+            if kind == 0xC0:
+                bits, found.height, found.width, n = struct.unpack_from(">BHHB", body)
+                if bits != 8 or found.parts or not found.height or not found.width:
+                    raise ValueError("only one frame of 8 bits with both sizes")
+                ids = [body[6 + 3 * k] for k in range(n)]
+                found.parts = [Part(body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)]
+                most_across, most_down = max(p.across for p in found.parts), max(p.down for p in found.parts)
+                for p in found.parts:
+                    p.blocks = -(-found.width // (8 * most_across)) * p.across, -(-found.height // (8 * most_down)) * p.down
+            elif 0xC1 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+                raise ValueError("not a baseline JPEG")
+            elif kind == 0xC4:
+                while body:
+                    n = sum(body[1:17])
+                    tables[body[0]] = (body[1:17], body[17 : 17 + n])
+                    body = body[17 + n :]
+            elif kind == 0xDB:
+                while body:
+                    wide = body[0] >> 4
+                    found.quantization[body[0] & 15] = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8)
+                    body = body[65 + 64 * wide :]
+            elif kind == 0xDD:
+                (interval,) = struct.unpack(">H", body)
+            elif kind == 0xFE:
+                found.comment = body
+            elif kind == 0xDA:
+                chosen = [(ids.index(body[1 + 2 * k]), tables[body[2 + 2 * k] >> 4], tables[16 | (body[2 + 2 * k] & 15)]) for k in range(body[0])]
+                end = _DATA_END.search(image, at)
+                found.scans.append(Scan(chosen, at, end.start() if end else len(image), interval))
+                if not end:
+                    break
+                at = end.start()
+    except (IndexError, KeyError, struct.error) as e:
+        raise ValueError(f"not a whole JPEG: {e!r}") from e
+    if not found.scans or {k for s in found.scans for k, *_ in s.parts} != set(range(len(found.parts))):
+        raise ValueError("components without a scan")
+    return found
 
 
 def _lookup(table: tuple[bytes, bytes]) -> np.ndarray:
@@ -177,76 +244,126 @@ def _lookup(table: tuple[bytes, bytes]) -> np.ndarray:
     return out
 
 
-def coefficients(images: list[bytes], headers: list[dict]) -> np.ndarray:
-    """Quantized coefficients (blocks x 64, zigzag order) of parsed images end to end.
-
-    The restart interval must be one block, and the images must share their Huffman tables.
-    """
-    if any(h["interval"] != 1 for h in headers):
-        raise ValueError("blocks are decoded side by side: the restart interval must be 1")
-    found = headers[0]
-    blocks = sum(-(-h["width"] // 8) * -(-h["height"] // 8) for h in headers)
-    data = np.frombuffer(b"".join(image[h["scan"] :] for image, h in zip(images, headers, strict=True)), np.uint8)
-    mark = np.flatnonzero(data[:-1] == 255)
-    kind = data[mark + 1]
+def _order(image: Image, scan: Scan) -> tuple[np.ndarray, np.ndarray]:
+    """(component, block number in it) of the blocks of a scan in its order, a row an MCU."""
+    if len(scan.parts) == 1:  # blocks in rows, none to fill up MCUs
+        k = scan.parts[0][0]
+        across, down = image.true_blocks(k)
+        number = np.arange(down)[:, None] * image.parts[k].blocks[0] + np.arange(across)[None]
+        return np.full((across * down, 1), k), number.reshape(-1, 1)
+    first = image.parts[scan.parts[0][0]]
+    across, down = first.blocks[0] // first.across, first.blocks[1] // first.down
+    y, x = np.divmod(np.arange(across * down), across)
+    which, number = [], []
+    for k, *_ in scan.parts:
+        p = image.parts[k]
+        for v in range(p.down):
+            for h in range(p.across):
+                which.append(np.full(len(x), k))
+                number.append((y * p.down + v) * p.blocks[0] + x * p.across + h)
+    return np.stack(which, axis=1), np.stack(number, axis=1)
+
+
+def coefficients(images: list[bytes], headers: list[Image]) -> list[list[np.ndarray]]:
+    """Quantized coefficients (blocks x 64, zigzag order) of every component of parsed images."""
+    known: dict[tuple, int] = {}
+    base: list[list[int]] = []  # where the blocks of each component begin
+    total = 0
+    for h in headers:
+        base.append([])
+        for p in h.parts:
+            base[-1].append(total)
+            total += p.blocks[0] * p.blocks[1]
+    # Blocks of all scans in the order of their codes: where they go, by which tables, and in which restart interval.
+    data, target, dc_table, ac_table, lane_size, chain = [], [], [], [], [], []
+    lanes = 0
+    for image, h, start in zip(images, headers, base, strict=True):
+        for scan in h.scans:
+            which, number = _order(h, scan)
+            mcus, per = which.shape
+            numbers = {k: (known.setdefault(dc, len(known)), known.setdefault(ac, len(known))) for k, dc, ac in scan.parts}
+            row = which[0] if mcus else np.zeros(0, int)
+            target.append((number + np.array([start[k] for k in row])).ravel())
+            dc_table.append(np.tile(np.array([numbers[k][0] for k in row], np.int16), mcus))
+            ac_table.append(np.tile(np.array([numbers[k][1] for k in row], np.int16), mcus))
+            step = scan.interval or mcus
+            sizes = np.full(-(-mcus // step), step * per)
+            sizes[-1] -= sizes.sum() - mcus * per
+            lane_size.append(sizes)
+            # DC differences run within a component of a restart interval.
+            chain.append(((np.arange(mcus) // step + lanes)[:, None] * 256 + which).ravel())
+            lanes += len(sizes)
+            data += [image[scan.begin : scan.end], b"\xff\xd9"]
+    target, dc_table, ac_table, lane_size, chain = (np.concatenate(x) for x in (target, dc_table, ac_table, lane_size, chain))
+    tables = np.stack([_lookup(t) for t in known])
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    mark = np.flatnonzero(raw[:-1] == 255)
+    kind = raw[mark + 1]
     ends = mark[(kind >= 0xD0) & (kind <= 0xD9)]
-    if len(ends) != blocks:
+    if len(ends) != lanes:
         raise ValueError("restart markers are missing")
-    keep = np.ones(len(data), bool)
+    keep = np.ones(len(raw), bool)
     keep[mark[kind == 0] + 1] = False
     shift = np.cumsum(~keep)
     starts = np.concatenate([[0], ends[:-1] + 2])
-    starts -= shift[starts]
-    clean = np.concatenate([data[keep], np.zeros(8, np.uint8)]).astype(np.uint32)
+    starts, stops = starts - shift[starts], ends - shift[ends]
+    clean = np.concatenate([raw[keep], np.zeros(8, np.uint8)]).astype(np.uint32)
     words = (clean[:-4].astype(np.uint64) << 32) | (clean[1:-3].astype(np.uint64) << 24) | (clean[2:-2].astype(np.uint64) << 16) | (clean[3:-1].astype(np.uint64) << 8) | clean[4:].astype(np.uint64)
     words = words.astype(np.int64)  # the 40 bits from each byte
-    dc, ac = _lookup(found["tables"][found["dc"]]), _lookup(found["tables"][found["ac"]])
-    out = np.zeros((blocks, 64), np.int16)
-    for first in range(0, blocks, PART):
-        live = np.arange(first, min(first + PART, blocks))
-        bit, place, table = starts[live].astype(np.int64) * 8, np.zeros(len(live), np.int64), dc
-        while len(live):
+    out = np.zeros((total, 64), np.int16)
+    first = np.cumsum(lane_size) - lane_size
+    for part in range(0, lanes, PART):
+        lane = np.arange(part, min(part + PART, lanes))
+        unit, last, bit, most = first[lane], first[lane] + lane_size[lane], starts[lane].astype(np.int64) * 8, stops[lane].astype(np.int64) * 8
+        place = np.full(len(lane), -1)  # of the coefficient before; -1: the DC coefficient is next
+        while len(unit):
             next40 = words[bit >> 3] << (bit & 7)
-            got = table[(next40 >> 24) & 0xFFFF]
+            opening = place < 0
+            got = tables[np.where(opening, dc_table[unit], ac_table[unit]), (next40 >> 24) & 0xFFFF]
             used = got & 31
-            if not used.all():
-                raise ValueError("bits that are no code")
             symbol = got >> 5
             size = symbol & 15
-            raw = ((next40 << used) >> (40 - size)) & ((1 << size) - 1)
-            value = np.where(raw < (1 << size) >> 1, raw - (1 << size) + 1, raw)
-            value[size == 0] = 0
-            if table is ac:
-                place = place + (symbol >> 4) + 1
+            raw_bits = ((next40 << used) >> (40 - size)) & ((1 << size) - 1)
+            value = np.where(raw_bits < (1 << size) >> 1, raw_bits - (1 << size) + 1, raw_bits)
+            place = np.where(opening, 0, place + (symbol >> 4) + 1)
             bit = bit + used + size
             put = size > 0
-            out[live[put], place[put]] = value[put]
-            more = place < 63
-            if table is ac:
-                more &= symbol != 0
-            live, bit, place, table = live[more], bit[more], place[more], ac
-    return out
-
-
-def restore(images: list[bytes]) -> list[tuple[bytes, int, dict, np.ndarray]]:
-    """For each image: the payload, the unpadded length, what `parse` found, and the thumbnail (a byte a block)."""
+            if not used.all() or (bit > most).any() or (place[put] > 63).any():
+                raise ValueError("bits that are no code")
+            out[target[unit[put]], place[put]] = value[put]
+            done = (place >= 63) | (~opening & (symbol == 0))
+            if done.any():
+                unit = unit + done
+                place = np.where(done, -1, place)
+                live = unit < last
+                if not live.all():
+                    unit, last, bit, most, place = unit[live], last[live], bit[live], most[live], place[live]
+    # Sums of the differences, which begin anew with each chain.
+    if len(chain) > lanes:
+        order = np.argsort(chain, kind="stable")
+        dc = out[target[order], 0].astype(np.int64)
+        sums = np.cumsum(dc)
+        new = np.concatenate([[True], chain[order][1:] != chain[order][:-1]])
+        out[target[order], 0] = sums - np.repeat((sums - dc)[new], np.diff(np.append(np.flatnonzero(new), len(dc))))
+    return [[out[at : at + p.blocks[0] * p.blocks[1]] for at, p in zip(start, h.parts, strict=True)] for start, h in zip(base, headers, strict=True)]
+
+
+def thumbnail(image: Image, luminance: np.ndarray) -> np.ndarray:
+    """A pixel for each block of the first component, from its DC coefficient."""
+    p = image.parts[0]
+    across, down = image.true_blocks(0)
+    step = int(image.quantization[p.quantizer][0])
+    pixels = np.clip(np.round(luminance[:, 0].astype(np.float64) * step / 8) + 128, 0, 255).astype(np.uint8)
+    return pixels.reshape(p.blocks[1], p.blocks[0])[:down, :across]
+
+
+def restore(images: list[bytes]) -> list[tuple[bytes, int, Image, np.ndarray]]:
+    """For each image of `store`: the payload, the unpadded length, what `parse` found, and the thumbnail."""
     headers = [parse(image) for image in images]
-    alike: dict = {}
-    for k, h in enumerate(headers):
-        alike.setdefault((h["tables"][h["dc"]], h["tables"][h["ac"]]), []).append(k)
-    out: list = [None] * len(images)
-    for group in alike.values():
-        blocks = coefficients([images[k] for k in group], [headers[k] for k in group])
-        samples, at = (blocks + 128).astype(np.uint8), 0
-        for k in group:
-            h = headers[k]
-            across, down = -(-h["width"] // 8), -(-h["height"] // 8)
-            mine = slice(at, at + across * down)
-            at += across * down
-            step = int(h["quantization"][h["quantizer"]][0])
-            pixels = np.clip(np.round(blocks[mine, 0].astype(np.float64) * step / 8) + 128, 0, 255).astype(np.uint8)
-            size, n_bytes = struct.unpack(">QQ", h["comment"])
-            out[k] = samples[mine].tobytes()[:size], n_bytes, h, pixels.reshape(down, across)
+    out = []
+    for h, (blocks,) in zip(headers, coefficients(images, headers) if images else [], strict=True):
+        size, n_bytes = struct.unpack(">QQ", h.comment)
+        out.append(((blocks + 128).astype(np.uint8).tobytes()[:size], n_bytes, h, thumbnail(h, blocks)))
     return out
 
 
@@ -257,6 +374,10 @@ def average_hash(thumbnail: np.ndarray) -> str:
     return np.packbits(grid > grid.mean()).tobytes().hex()
 
 
+def described(image: Image, thumbnail: np.ndarray) -> str:
+    return f"{image.width}x{image.height}:{average_hash(thumbnail)}:{sha256(np.ascontiguousarray(thumbnail).tobytes()).hexdigest()}"
+
+
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -273,10 +394,53 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", image
             rows = []
             raw = [t.encode("utf-8") for t in texts]
             made = store([r + b"\xff" * ((-len(r)) % UNIT if r else UNIT) for r in raw], [len(r) for r in raw])
-            for key, image, (payload, n, found, thumbnail) in zip(keys, made, restore(made), strict=True):
-                feature = f"{found['width']}x{found['height']}:{average_hash(thumbnail)}:{sha256(thumbnail.tobytes()).hexdigest()}"
+            for key, image, (payload, n, found, small) in zip(keys, made, restore(made), strict=True):
+                feature = described(found, small)
                 rows.append((key, n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), sha256(image).hexdigest(), feature, *[image] * images))
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * images
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")] + ["media"] * images)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA + ", media binary" * images)
+
+
+def thumbnails(rows: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
+    """(id, width, height, thumbnail_hash, thumbnail_sha256, thumbnail, error) of a column of JPEGs, one row each.
+
+    What is no whole baseline JPEG has an error and nulls, and spoils no other row; a null image has nulls alone. The
+    thumbnail is its pixels by rows. Equal images give equal values; images are decoded together up to SLICE_BYTES.
+    """
+
+    def one(image: bytes | None) -> tuple:
+        if image is None:
+            return (None,) * 6
+        try:
+            h = parse(image)
+            small = thumbnail(h, coefficients([image], [h])[0][0])
+        except (ValueError, KeyError, IndexError) as e:
+            return (None,) * 5 + (str(e),)
+        return h.width, h.height, average_hash(small), sha256(np.ascontiguousarray(small).tobytes()).hexdigest(), small.tobytes(), None
+
+    def together(images: list[bytes]) -> list[tuple]:
+        try:
+            headers = [parse(image) for image in images]
+            found = [thumbnail(h, blocks[0]) for h, blocks in zip(headers, coefficients(images, headers), strict=True)]
+        except (ValueError, KeyError, IndexError):
+            return [one(image) for image in images]
+        return [(h.width, h.height, average_hash(s), sha256(np.ascontiguousarray(s).tobytes()).hexdigest(), s.tobytes(), None) for h, s in zip(headers, found, strict=True)]
+
+    def run(batches):
+        for batch in batches:
+            images = batch.column(1).to_pylist()
+            out: list[tuple] = [(None,) * 6] * len(images)
+            group: list[int] = []
+            for k in [*(k for k, i in enumerate(images) if i is not None), None]:
+                if group and (k is None or sum(len(images[g]) for g in group) + len(images[k]) > SLICE_BYTES):
+                    for g, r in zip(group, together([images[g] for g in group]), strict=True):
+                        out[g] = r
+                    group = []
+                if k is not None:
+                    group.append(k)
+            kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.string()]
+            yield pa.record_batch([batch.column(0), *(pa.array([r[c] for r in out], t) for c, t in enumerate(kinds))], names=["id", "width", "height", "thumbnail_hash", "thumbnail_sha256", "thumbnail", "error"])
+
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).cast("binary").alias("image")).mapInArrow(run, "id long, width int, height int, thumbnail_hash string, thumbnail_sha256 string, thumbnail binary, error string")

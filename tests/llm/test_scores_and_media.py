@@ -153,7 +153,7 @@ def test_jpeg_round_trip():
     made = media.store(payloads, [len(p) - 1 for p in payloads])
     for p, image, (back, n, found, thumb) in zip(payloads, made, media.restore(made), strict=True):
         assert back == p and n == len(p) - 1 and image[:2] == b"\xff\xd8" and image[-2:] == b"\xff\xd9"
-        assert thumb.shape == (found["height"] // 8, found["width"] // 8)
+        assert thumb.shape == (found.height // 8, found.width // 8)
         assert media.restore([image])[0][0] == p
         first = np.frombuffer(p, np.uint8)[::64].astype(int)
         assert np.abs(thumb.reshape(-1)[: len(first)] - np.clip(np.round((first - 128) / 8) + 128, 0, 255)).max() == 0
@@ -161,6 +161,90 @@ def test_jpeg_round_trip():
         media.parse(b"\x00\x00")
 
 
+def ordinary(rng, width, height, factors, interval, split=False):
+    """A baseline JPEG as cameras write them, of random coefficients, by a plain bit writer; and those coefficients.
+
+    factors: (across, down) of each component. interval: MCUs to a restart, 0 for none. split: a scan a component.
+    """
+    lengths = [{s: 4 for s in range(12)}, {(r << 4) | s: 8 if s < 9 and r < 14 else 12 for r in range(16) for s in range(11) if s or r in (0, 15)}]
+    (dc_body, dc_code, dc_size), (ac_body, ac_code, ac_size) = map(media.code_table, lengths)
+    most_across, most_down = (max(x) for x in zip(*factors, strict=True))
+    mcus = -(-width // (8 * most_across)), -(-height // (8 * most_down))
+    parts = [np.where(rng.random((mcus[1] * v, mcus[0] * h, 64)) < rng.choice([0.02, 0.3]), rng.integers(-255, 256, (mcus[1] * v, mcus[0] * h, 64)), 0) for h, v in factors]
+
+    def scan(which):
+        if len(which) == 1:
+            (k,) = which
+            across, down = (-(-(-(-side * f // m)) // 8) for side, f, m in ((width, factors[k][0], most_across), (height, factors[k][1], most_down)))
+            for y in range(parts[k].shape[0]):
+                for x in range(parts[k].shape[1]):
+                    if y >= down or x >= across:
+                        parts[k][y, x] = 0
+            units = [[(k, y, x)] for y in range(down) for x in range(across)]
+        else:
+            units = [[(k, y * factors[k][1] + v, x * factors[k][0] + h) for k in which for v in range(factors[k][1]) for h in range(factors[k][0])] for y in range(mcus[1]) for x in range(mcus[0])]
+        out, bits, before = b"", "", {}
+
+        def flush():
+            return bytes(int(bits[i : i + 8].ljust(8, "1"), 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+
+        def value(v):
+            n = int(abs(v)).bit_length()
+            return n, format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+        for m, unit in enumerate(units):
+            if interval and m and m % interval == 0:
+                out += flush() + bytes([255, 0xD0 + (m // interval - 1) % 8])
+                bits, before = "", {}
+            for k, y, x in unit:
+                block = parts[k][y, x].tolist()
+                n, low = value(block[0] - before.get(k, 0))
+                before[k] = block[0]
+                bits += format(dc_code[n], f"0{dc_size[n]}b") + low
+                run = 0
+                for v in block[1:]:
+                    if not v:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits += format(ac_code[0xF0], f"0{ac_size[0xF0]}b")
+                        run -= 16
+                    n, low = value(v)
+                    bits += format(ac_code[run << 4 | n], f"0{ac_size[run << 4 | n]}b") + low
+                    run = 0
+                if run:
+                    bits += format(ac_code[0], f"0{ac_size[0]}b")
+        body = bytes([len(which)]) + b"".join(bytes([k + 1, 0x10 if k else 0x01]) for k in which) + bytes([0, 63, 0])
+        return media._segment(0xDA, body) + out + flush()
+
+    seg = media._segment
+    made = b"\xff\xd8" + seg(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + seg(0xE1, b"Exif" + bytes(30)) + seg(0xFE, b"a comment") + b"\xff" + seg(0xDB, b"\0" + bytes([16]) * 64 + b"\x11" + b"\1\2" * 64)
+    made += seg(0xC0, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(factors)]) + b"".join(bytes([k + 1, h << 4 | v, int(k > 0)]) for k, (h, v) in enumerate(factors)))
+    made += seg(0xC4, b"\0" + dc_body + b"\x11" + ac_body) + seg(0xC4, b"\1" + dc_body) + seg(0xC4, b"\x10" + ac_body)
+    made += seg(0xDD, interval.to_bytes(2, "big")) if interval else b""
+    scans = [[k] for k in range(len(factors))] if split else [list(range(len(factors)))]
+    return made + b"".join(scan(w) for w in scans) + b"\xff\xd9", parts
+
+
+def test_ordinary_jpegs(spark):
+    rng = np.random.default_rng(9)
+    made = [ordinary(rng, *a) for a in ((16, 16, [(1, 1)], 0), (70, 45, [(2, 2), (1, 1), (1, 1)], 0), (33, 17, [(2, 1), (1, 1), (1, 1)], 3), (90, 64, [(1, 1)] * 3, 7), (41, 58, [(2, 2), (1, 1), (1, 1)], 2, True), (9, 200, [(1, 2), (1, 1), (1, 1), (1, 2)], 1))]
+    images = [m for m, _ in made]
+    headers = [media.parse(i) for i in images]
+    for (_, parts), h, found in zip(made, headers, media.coefficients(images, headers), strict=True):
+        for want, got in zip(parts, found, strict=True):
+            assert (want.reshape(-1, 64) == got).all()
+        small = media.thumbnail(h, found[0])
+        across, down = h.true_blocks(0)
+        assert small.shape == (down, across) and (small == np.clip(np.round(parts[0][:down, :across, 0] * 16 / 8) + 128, 0, 255)).all()
+    rows = [*enumerate(images), (90, None), (91, b"no image"), (92, images[1][:-40]), (93, images[0].replace(b"\xff\xc0", b"\xff\xc2")), (0, images[0]), (94, b"")]
+    got = media.thumbnails(spark.createDataFrame(rows, "image_id long, image binary")).collect()
+    good = [r for r in got if r["width"]]
+    assert len(got) == len(rows) and [(r["id"], r["width"], r["height"]) for r in sorted(good, key=lambda r: r["id"])] == [(0, 16, 16), (0, 16, 16), (1, 70, 45), (2, 33, 17), (3, 90, 64), (4, 41, 58), (5, 9, 200)]
+    assert {r["id"]: bool(r["error"]) for r in got if not r["width"]} == {90: False, 91: True, 92: True, 93: True, 94: True}
+    assert all(r["thumbnail"] == media.thumbnail(headers[r["id"]], media.coefficients([images[r["id"]]], [headers[r["id"]]])[0][0]).tobytes() for r in good)
+
+
 def test_media(odd, empty):
     rows = media.media(odd, images=True).collect()
     for r, t in zip(rows, [r["text"] for r in odd.collect()], strict=True):
