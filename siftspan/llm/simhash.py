@@ -29,7 +29,7 @@ from siftspan.llm.common import cut, text_slices
 
 BLOCK = 65536
 #: Grids to choose from, as (segments, counts of a cell's side), and what a copy and a compared pair cost, in seconds.
-GRIDS = ((4, 2), (4, 4), (8, 2), (8, 4), (16, 2))
+GRIDS = ((4, 2), (8, 2), (16, 2))
 COPY, PAIR = 3e-6, 3e-9
 #: Rows of a block in joins by the number of shingles, and of shingles themselves.
 SIZE_BLOCK, SHINGLE_BLOCK = 16384, 4096

@@ -4,12 +4,14 @@ A shard is one file: the magic, the sha-256 of the dictionary, then the frames e
 document: doc_id, start, n_tokens, offset and length of the frame; start counts from the first id of the shard), then
 the number of documents, the number of ids and the magic again. A frame holds the ids as little-endian 16-bit
 integers, or 32-bit ones if the vocabulary needs them (the header says which). One document is read with two seeks:
-its index row, then its frame. The dictionary lies beside the shards under its hash and is trained on the serialized
-ids of a bounded sample of documents. `manifest.json` lists the shards in order with the ids before each.
-
-Shards are written by the executors to the folder that the cluster shares, under a name of the task attempt and then
-renamed, so that a repeated task leaves the same file. The folder is opened by its URI: the local file system for
-file:, otherwise pyarrow's file systems (hdfs, s3, gs).
+its index row, then its frame; by its id after a binary search in the index. The dictionary lies beside the shards under
+its hash and is trained on the serialized ids of a bounded sample of documents. `manifest.json` lists the shards in
+order with the ids before each.
+
+Shards have about SHARD_BYTES of text, so their number grows with the input and their size does not. They are written
+by the executors to the folder that the cluster shares, under a name of the task attempt and then renamed; a repeated
+task, which makes the same file, leaves the first one where it is. The folder is opened by its URI: the local file
+system for file:, otherwise pyarrow's file systems (hdfs, s3, gs).
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ from siftspan.llm.common import shared_dir, text_slices
 
 MAGIC = b"TIDS0001"
 INDEX = np.dtype([("doc_id", "<i8"), ("valid", "<i8"), ("start", "<i8"), ("n_tokens", "<i8"), ("offset", "<i8"), ("length", "<i8")])
-TAIL = struct.Struct("<qq8s")
-SAMPLE_DOCS = 2000  # of which the dictionary is trained: a bound of the model's sample, not of what is written
-SAMPLE_IDS = 4096  # ids of a sampled document that training sees
+ROW, TAIL = struct.Struct("<6q"), struct.Struct("<qq8s")
+#: Bounds of the sample of which the dictionary is trained, not of what is written: documents, and bytes of whole texts.
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 16 << 20
 DICT_BYTES = 64 << 10
+SHARD_BYTES = 128 << 20  # of text; there are as many shards as cores at least
+PIECE = 8192  # bytes of serialized ids that are one sample to the trainer
 
 
 def _files(folder: str):
@@ -48,13 +52,26 @@ def _files(folder: str):
 
 
 def put(folder: str, name: str, write) -> None:
-    """Makes a file whole or not at all: write(stream) to a name of its own, then a rename."""
+    """Makes a file whole or not at all: write(stream) to a name of its own, then a rename.
+
+    Where another attempt has made the file, that one stays: not every file system replaces a file by a rename.
+    """
+    from pyarrow.fs import FileType
+
     files, at = _files(folder)
     files.create_dir(at, recursive=True)
-    own = f"{at}/.{name}.{uuid.uuid4().hex}"
+    own, there = f"{at}/.{name}.{uuid.uuid4().hex}", lambda: files.get_file_info(f"{at}/{name}").type != FileType.NotFound
     with files.open_output_stream(own) as out:
         write(out)
-    files.move(own, f"{at}/{name}")
+    try:
+        if not there():
+            files.move(own, f"{at}/{name}")
+            return
+    except OSError:
+        if not there():
+            raise
+    if files.get_file_info(own).type != FileType.NotFound:
+        files.delete_file(own)
 
 
 def read(folder: str, name: str) -> bytes:
@@ -77,21 +94,22 @@ class ShardWriter:
     def __init__(self, out, dictionary: bytes, wide: bool):
         self.out, self.kind = out, "<u4" if wide else "<u2"
         self.press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=True) if dictionary else zstandard.ZstdCompressor(level=3)
-        self.rows: list[tuple] = []
-        self.ids = 0
+        self.rows = bytearray()  # of INDEX
+        self.docs = self.ids = 0
         self.at = out.write(MAGIC + sha256(dictionary).digest() + struct.pack("<q", 4 if wide else 2))
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         frame = self.press.compress(np.ascontiguousarray(ids, self.kind).tobytes())
-        self.rows.append((doc_id or 0, int(doc_id is not None), self.ids, len(ids), self.at, len(frame)))
+        self.rows += ROW.pack(doc_id or 0, int(doc_id is not None), self.ids, len(ids), self.at, len(frame))
+        self.docs += 1
         self.out.write(frame)
         self.at += len(frame)
         self.ids += len(ids)
 
     def close(self) -> tuple[int, int]:
-        self.out.write(np.array(self.rows, INDEX).tobytes())
-        self.out.write(TAIL.pack(len(self.rows), self.ids, MAGIC))
-        return len(self.rows), self.ids
+        self.out.write(bytes(self.rows))
+        self.out.write(TAIL.pack(self.docs, self.ids, MAGIC))
+        return self.docs, self.ids
 
 
 class ShardReader:
@@ -106,19 +124,37 @@ class ShardReader:
         if head[:8] != MAGIC or magic != MAGIC:
             raise ValueError(f"{name} is not a whole shard")
         self.hash, self.kind = head[8:40].hex(), "<u4" if struct.unpack("<q", head[40:])[0] == 4 else "<u2"
-        self.index = np.frombuffer(self.file.read_at(n * INDEX.itemsize, size - TAIL.size - n * INDEX.itemsize), INDEX)
+        self.docs, self.index_at = n, size - TAIL.size - n * INDEX.itemsize
         dictionary = read(folder, f"{self.hash}.dict")
         if sha256(dictionary).hexdigest() != self.hash:
             raise ValueError("the dictionary is not the one that the shard names")
         self.open = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
 
     def __len__(self) -> int:
-        return len(self.index)
+        return self.docs
 
-    def get(self, k: int) -> np.ndarray:
-        row = self.index[k]
+    def rows(self, at: int, n: int) -> np.ndarray:
+        """Up to `n` rows of the index from the one of number `at` on."""
+        return np.frombuffer(self.file.read_at(max(0, min(n, self.docs - at)) * INDEX.itemsize, self.index_at + at * INDEX.itemsize), INDEX)
+
+    def ids_at(self, row: np.void) -> np.ndarray:
+        """The ids of the document of an index row."""
         return np.frombuffer(self.open.decompress(self.file.read_at(int(row["length"]), int(row["offset"]))), self.kind)
 
+    def get(self, k: int) -> np.ndarray:
+        return self.ids_at(self.rows(k, 1)[0])
+
+    def find(self, doc_id: int | None) -> int:
+        """The number of the first document of an id, by binary search (null ids come first); -1 if there is none."""
+        key = (doc_id is not None, doc_id or 0)
+        low, high = 0, self.docs
+        while low < high:
+            mid = (low + high) // 2
+            row = self.rows(mid, 1)[0]
+            low, high = (mid + 1, high) if (bool(row["valid"]), int(row["doc_id"])) < key else (low, mid)
+        row = self.rows(low, 1)
+        return low if len(row) and (bool(row[0]["valid"]), int(row[0]["doc_id"])) == key else -1
+
     def close(self) -> None:
         self.file.close()
 
@@ -135,15 +171,23 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str | None =
 
     def ids_of(batches):
         coder = bpe.load(path)
+        kind = "<u4" if coder.size > 1 << 16 else "<u2"
         for _, texts in text_slices(batches):
             flat, counts = coder.encode_batch(texts)
-            kind, ends = "<u4" if coder.size > 1 << 16 else "<u2", np.cumsum(counts)
-            yield pa.record_batch([pa.array([np.append(flat[e - n : e], end_id)[:SAMPLE_IDS].astype(kind).tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary())], names=["ids"])
-
-    total = rows.select("doc_id").count()
-    part = min(1.0, 0.8 * SAMPLE_DOCS / max(total, 1))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    dictionary = train_dictionary(sorted(r["ids"] for r in sample.mapInArrow(ids_of, "ids binary").limit(SAMPLE_DOCS).collect()))
+            ends = np.cumsum(counts)
+            yield pa.record_batch([pa.array([np.append(flat[e - n : e], end_id).astype(kind).tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary())], names=["ids"])
+
+    # Distinct texts in order of a hash, whole ones, until either bound is reached. `hashed` grows with the bound alone.
+    h = F.xxhash64("text", F.lit(5))
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    share = int(min(1.0, 2.0 * SAMPLE_DOCS / max(total["n"], 1)) * float(1 << 40))
+    near = rows.where(F.col("text").isNotNull() & (F.pmod(h, F.lit(1 << 40)) <= share))
+    sizes = near.groupBy(F.pmod(h, F.lit(1 << 40)).alias("h")).agg(F.max(F.octet_length("text")).alias("n")).orderBy("h").limit(SAMPLE_DOCS).collect()
+    some = int((np.cumsum([r["n"] for r in sizes]) <= SAMPLE_BYTES).sum())
+    edge = sizes[some - 1]["h"] if some else -1
+    sample = near.withColumn("h", F.pmod(h, F.lit(1 << 40))).where(F.col("h") <= edge).groupBy("h").agg(F.min("text").alias("text"))
+    pieces = [r["ids"][at : at + PIECE] for r in sample.select("h", "text").mapInArrow(ids_of, "ids binary").collect() for at in range(0, len(r["ids"]), PIECE)]
+    dictionary = train_dictionary(sorted(pieces))
     put(folder, f"{sha256(dictionary).hexdigest()}.dict", lambda out: out.write(dictionary))
 
     def shards(batches):
@@ -168,7 +212,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str | None =
         put(folder, name, fill)
         yield pa.record_batch([pa.array([name]), pa.array([counted[0][0]], pa.int64()), pa.array([counted[0][1]], pa.int64())], names=["name", "docs", "ids"])
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(spark.sparkContext.defaultParallelism, -(-total["bytes"] // SHARD_BYTES))
     ordered = rows.repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), F.col("text"))
     made = sorted(map(tuple, ordered.mapInArrow(shards, "name string, docs long, ids long").collect()))
     before, listed = 0, []
@@ -190,10 +234,9 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for name, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 reader = ShardReader(folder, name)
-                index = reader.index
                 for at in range(0, len(reader), 4096):
-                    part = index[at : at + 4096]
-                    sums = [zlib.crc32(np.ascontiguousarray(reader.get(k), "<u4")) for k in range(at, at + len(part))]
+                    part = reader.rows(at, 4096)
+                    sums = [zlib.crc32(np.ascontiguousarray(reader.ids_at(row), "<u4")) for row in part]
                     yield pa.record_batch([pa.array(part["doc_id"], mask=part["valid"] == 0), pa.array(part["start"] + before), pa.array(part["n_tokens"].copy()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
                 reader.close()
 

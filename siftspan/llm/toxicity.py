@@ -1,11 +1,11 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick on folded text.
 
 Folding: NFKD without marks, lower case, homoglyphs of Latin letters to those letters, digits and signs that stand for
-letters where they touch letters on both sides or open a word, everything else to single spaces. Terms are whole words
+letters where they touch a letter, everything else to single spaces. Terms are whole words
 or beginnings of words, so that forms of a word share one entry. All terms and all exception phrases go into one
 automaton that runs over the whole text and takes the longest match; an exception phrase is a match that counts
-nothing and so hides the term inside of it. The sum of the weights, divided by the logarithm of the number of words,
-goes through a logistic curve.
+nothing and so hides the term inside of it. The sum of the weights, divided by the number of words (and some more, for
+short texts), goes through a logistic curve.
 
 The lexicon is learned from labelled texts: of all word beginnings and words of the training rows, those stay whose
 log-likelihood ratio is beyond what the best of so many random ones would reach. Exception phrases are pairs of words
@@ -24,7 +24,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftspan.llm.common import cut, text_slices
@@ -35,12 +35,13 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 
 #: Bound of the fit: about so many labelled rows are read for it, chosen by a hash of their ids.
 MAX_TRAIN = 12_000
-MAX_TERMS = 5_000
+#: Words that every text has besides its own where weights are divided by length: one term makes no short text toxic.
+SMOOTH = 100
 STEMS = range(4, 9)
 MIN_ROWS = 4
 _HOMOGLYPHS = str.maketrans(HOMOGLYPHS)
 _DIGITS = str.maketrans(DIGITS)
-_MASK = re.compile(r"(?:(?<=[^\W\d_])|(?<![\w@$]))[0134578@$]+(?=[^\W\d_])")
+_MASK = re.compile(r"[0134578@$]+(?=[^\W\d_])|(?<=[^\W\d_])[0134578@$]+")
 _SPACE = re.compile(r"[\W_]+")
 
 
@@ -93,10 +94,10 @@ def matches(found: ahocorasick.Automaton | None, folded: str) -> list[tuple[int,
 
 
 def burden(found: ahocorasick.Automaton | None, text: str) -> tuple[float, int]:
-    """The sum of the weights over the logarithm of the number of words, and the number of terms, of a text."""
+    """The sum of the weights by length (as if of SMOOTH words, that many added), and the number of terms, of a text."""
     folded = fold(text)
     hits = [w for _, w in matches(found, folded) if w]
-    return sum(hits) / math.log2(4 + folded.count(" ")), len(hits)
+    return sum(hits) * SMOOTH / (SMOOTH + len(folded.split())), len(hits)
 
 
 def candidates(text: str) -> set[str]:
@@ -108,13 +109,11 @@ def candidates(text: str) -> set[str]:
     return out
 
 
-def likelihood_ratio(t: float, c: float, n_t: int, n_c: int) -> float:
-    """G-squared of t of n_t toxic and c of n_c clean rows, with the sign of the toxic excess."""
+def likelihood_ratio(t: Column, c: Column, n_t: int, n_c: int) -> Column:
+    """G-squared of t of n_t toxic and c of n_c clean rows."""
     rows, hits = n_t + n_c, t + c
-    expect = [n_t * hits / rows, n_c * hits / rows, n_t * (rows - hits) / rows, n_c * (rows - hits) / rows]
-    seen = [t, c, n_t - t, n_c - c]
-    g = 2 * sum(s * math.log(s / e) for s, e in zip(seen, expect, strict=True) if s > 0)
-    return g if t / max(n_t, 1) > c / max(n_c, 1) else -g
+    cells = [(t, n_t, hits), (c, n_c, hits), (n_t - t, n_t, rows - hits), (n_c - c, n_c, rows - hits)]
+    return sum((F.when(seen > 0, 2 * seen * F.log(seen * rows / (n * of))).otherwise(0.0) for seen, n, of in cells), F.lit(0.0))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: int) -> DataFrame:
@@ -147,8 +146,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-3, rounds: int = 6
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> Lexicon:
     """A lexicon from labelled rows (1: toxic). Without labels, or with one class alone, it is empty.
 
-    Term counts are combined in each task and then summed; what comes to the driver is the terms that pass (at most
-    MAX_TERMS) and a number a training row (about `most`).
+    Term counts are combined in each task and then summed; what comes to the driver is the terms that pass the test, of
+    which the training rows bound the number, and a number a training row (about `most`).
     """
     rows, _ = cut(docs.sparkSession, training_rows(docs, labels, label, id_col, text_col, most).repartition(24, "id"), "toxic-rows")
     sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
@@ -166,18 +165,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         yield pa.record_batch([pa.array(terms, pa.string()), pa.array([seen[t][1] for t in terms], pa.int64()), pa.array([seen[t][0] for t in terms], pa.int64())], names=["term", "t", "c"])
 
     counts = rows.select("text", "y").mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    strong = counts.where((F.col("t") >= MIN_ROWS) & (F.col("t") * n_c > 4 * F.col("c") * n_t))
-    top = strong.orderBy(F.desc(F.col("t") - F.col("c") * n_t / n_c), "term").limit(4 * MAX_TERMS).collect()
     # As many distinct terms as a sample of this size has, on the safe side, are what chance may choose from.
     floor = 2 * math.log(50 * (n_t + n_c)) + 6
-    g = {r["term"]: (likelihood_ratio(r["t"], r["c"], n_t, n_c), math.log((r["t"] + 0.5) / (n_t + 1)) - math.log((r["c"] + 0.5) / (n_c + 1)), r["t"]) for r in top}
+    strong = counts.where((F.col("t") >= MIN_ROWS) & (F.col("t") * n_c > 4 * F.col("c") * n_t) & (likelihood_ratio(F.col("t"), F.col("c"), n_t, n_c) > floor))
+    odds = {r["term"]: math.log((r["t"] + 0.5) / (n_t + 1)) - math.log((r["c"] + 0.5) / (n_c + 1)) for r in strong.collect()}
     weights: dict[str, float] = {}
-    for term in sorted((t for t in g if g[t][0] > floor), key=lambda t: (len(t), t)):
+    for term in sorted(odds, key=lambda t: (len(t), t)):
         heads = [term[:n] for n in range(5, len(term)) if term[:n] in weights]
-        if not heads or g[term][1] > max(weights[h] for h in heads) + 1.0:
-            weights[term] = g[term][1]
-        if len(weights) >= MAX_TERMS:
-            break
+        if not heads or odds[term] > max(weights[h] for h in heads) + 1.0:
+            weights[term] = odds[term]
     lexicon = Lexicon(weights)
     lexicon.exceptions = _exceptions(rows, lexicon)
     sums = rows.select("text", "y").mapInArrow(_burdens(lexicon), "x double, y int").toPandas()
@@ -212,7 +208,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
         yield pa.record_batch([pa.array([p for p, _ in pairs], pa.string()), pa.array([y for _, y in pairs], pa.int32()), pa.array([seen[p] for p in pairs], pa.int64())], names=["pair", "y", "n"])
 
     found = rows.select("text", "y").mapInArrow(run, "pair string, y int, n long").groupBy("pair").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
-    return sorted(r["pair"] for r in found.where((F.col("t") == 0) & (F.col("c") >= 3)).orderBy(F.desc("c"), "pair").limit(MAX_TERMS).collect())
+    return sorted(r["pair"] for r in found.where((F.col("t") == 0) & (F.col("c") >= 3)).collect())
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,6 +16,42 @@ from siftspan.llm import media, quality, queries, secrets, toxicity, trigrams
 
 def test_fold():
     assert toxicity.fold("Ｉd1ot!  pаthetic, $tupid  naïve 2020") == " idiot pathetic stupid naive 2020 "
+    assert toxicity.fold("A$$ bitc4 b4n4na 5he $5 4") == " ass bitca banana she 5 4 " and toxicity.fold("") == toxicity.fold(" .. ") == "  "
+
+
+def slow_matches(terms, folded):
+    """The leftmost longest terms, by trying all of them at every place."""
+    out, free = [], 0
+    for start in range(len(folded)):
+        here = [t for t in terms if folded.startswith(t, start)]
+        if here and start >= free:
+            best = max(here, key=len)
+            free = start + len(best) - best.endswith(" ")
+            out.append((start, terms[best]))
+    return out
+
+
+def test_matches_are_brute_force():
+    draw = random.Random(6)
+    words = ["".join(draw.choice("abc") for _ in range(draw.randint(1, 5))) for _ in range(40)]
+    for _ in range(200):
+        lexicon = toxicity.Lexicon({f" {draw.choice(words)}" + draw.choice([" ", ""]): draw.randint(1, 9) for _ in range(draw.randint(0, 8))}, [f"{draw.choice(words)} {draw.choice(words)}" for _ in range(draw.randint(0, 4))])
+        terms = lexicon.weights | {f" {p} ": 0.0 for p in lexicon.exceptions}
+        text = " ".join(draw.choice(words) for _ in range(draw.randint(0, 25)))
+        want = slow_matches(terms, toxicity.fold(text))
+        assert toxicity.matches(lexicon.automaton(), toxicity.fold(text)) == want
+        assert toxicity.burden(lexicon.automaton(), text) == (pytest.approx(sum(w for _, w in want) * 100 / (100 + len(text.split()))), sum(w > 0 for _, w in want))
+
+
+def test_toxicity_learns_what_counting_says(spark, make):
+    """Terms and their weights are those of a count over all training rows, of any number."""
+    rows = corpus(random.Random(11), 300)
+    lexicon = toxicity.fit(make([t for _, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    learned = [(toxicity.candidates(t), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    n = [sum(y == k for _, y in learned) for k in (0, 1)]
+    for term, weight in lexicon.weights.items():
+        c, t = (sum(term in s for s, y in learned if y == k) for k in (0, 1))
+        assert t >= toxicity.MIN_ROWS and weight == pytest.approx(np.log((t + 0.5) / (n[1] + 1)) - np.log((c + 0.5) / (n[0] + 1)))
 
 
 def corpus(draw, n):

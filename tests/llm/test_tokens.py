@@ -1,5 +1,7 @@
 """BPE, token store and packing against the tokenizers library."""
 
+import json
+import os
 import random
 import zlib
 from hashlib import sha256
@@ -60,6 +62,33 @@ def test_store_round_trip(spark, odd, empty):
     assert token_store.scan(spark, token_store.write(spark, empty, path)).count() == 0
 
 
+def test_store_reads_by_id(spark, make, tmp_path, monkeypatch):
+    """Shards of few documents, repeated ids over several shards, one long text, and attempts that come twice."""
+    monkeypatch.setattr(token_store, "SHARD_BYTES", 900)
+    path = P.path("word_bpe_49k.json")
+    want = Tokenizer.from_file(path)
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice(["some", "words", "of", "a", "text", "Ünï"]) for _ in range(draw.randint(0, 60))) for _ in range(60)] + ["long " * 20000]
+    ids = [draw.choice([None, 5, -3, 10 ** 15, *range(20, 60)]) for _ in texts]
+    folder = token_store.write(spark, make(texts, ids), path, folder=f"file://{tmp_path}/store")
+    listed = json.loads(token_store.read(folder, "manifest.json"))["shards"]
+    assert len(listed) > 4 and sum(s["docs"] for s in listed) == 61
+    seen = []
+    for s in listed:
+        reader = token_store.ShardReader(folder, s["name"])
+        keys = [int(r["doc_id"]) if r["valid"] else None for r in reader.rows(0, len(reader))]
+        for k, key in enumerate(keys):
+            assert keys.index(key) == reader.find(key) and reader.find(777) == -1
+            seen.append((key, reader.get(k).tolist()))
+        reader.close()
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(seen, key=order) == sorted(((i, want.encode(t, add_special_tokens=False).ids + [2]) for i, t in zip(ids, texts, strict=True)), key=order)
+    assert [k for k, _ in seen] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    token_store.put(folder, "twice", lambda out: out.write(b"first"))
+    token_store.put(folder, "twice", lambda out: out.write(b"first"))
+    assert token_store.read(folder, "twice") == b"first" and not [f for f in os.listdir(tmp_path / "store") if f.startswith(".twice") and not f.endswith(".crc")]
+
+
 def check_pieces(rows, texts, size=1024):
     want = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     enc = {i: want.encode(t or "", add_special_tokens=False).ids + [0] for i, t in texts.items()}
