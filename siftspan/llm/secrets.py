@@ -68,9 +68,19 @@ ADDED = (
 )
 
 
+#: Trigrams of an alternative that are looked up, the ones of the rarest characters: a query may ask for less than all
+#: that a match must hold, and each more costs a pass over the text. Characters by falling frequency, others are rare.
+KEEP, FREQUENT = 2, " etaoinshrdlcumwfgypbvkjxqz"
+
+
+def rarity(gram: str) -> tuple[int, str]:
+    return sum(FREQUENT.find(c) if c in FREQUENT else len(FREQUENT) for c in gram), gram
+
+
 def query(rule: Rule) -> list[list[str]]:
-    """The trigrams of each alternative of a rule; an empty list if it has to scan fully."""
-    return sorted(sorted(q) for q in trigrams.query(rule.pattern)) if trigrams.query(rule.pattern) != trigrams.ALL else []
+    """The trigrams of each alternative of a rule that are looked up; an empty list if it has to scan fully."""
+    asked = trigrams.query(rule.pattern)
+    return [] if asked == trigrams.ALL else [list(q) for q in sorted({tuple(sorted(sorted(q, key=rarity)[-KEEP:])) for q in asked})]
 
 
 def all_grams(rules: tuple[Rule, ...]) -> list[str]:

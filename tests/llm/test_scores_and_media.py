@@ -144,7 +144,14 @@ def test_index_finds_all(spark, make):
     got = {r["doc"] for r in secrets.candidates(index, secrets.BASE).where("may_assign").collect()}
     assert {r["doc_id"] for r in docs.collect() if any(k == "assign" for k, _, _ in secrets.brute_force(r["text"]))} <= got
     assert secrets.query(secrets.HEX) == [] and ["aki", "kia"] in secrets.query(secrets.ACCESS)
-    assert len(secrets.all_grams(secrets.BASE + secrets.ADDED)) > secrets.WORD
+
+
+def test_index_of_several_longs(spark, make, monkeypatch):
+    docs = make(SECRETS)
+    want = sorted(map(tuple, secrets.digest(spark, docs).collect()), key=str)
+    monkeypatch.setattr(secrets, "WORD", 5)
+    monkeypatch.setattr(secrets, "KEEP", 99)
+    assert len(secrets.all_grams(secrets.BASE + secrets.ADDED)) > 100 and sorted(map(tuple, secrets.digest(spark, docs).collect()), key=str) == want
 
 
 @pytest.mark.parametrize("rule", secrets.BASE + secrets.ADDED, ids=lambda r: r.kind)
