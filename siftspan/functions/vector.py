@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +103,29 @@ def embed(c: Column, dim: int = DIM) -> Column:
 
 
 def hashed_vectors(rows: DataFrame, key: list[str], text: str, dim: int = DIM) -> DataFrame:
-    """(key..., v array<double>): `hashed_weights` as dense vectors."""
-    parts = hashed_weights(rows, key, text, dim).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))
-    return parts.select(*key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at("m", k.cast("bigint")), F.lit(0.0))).alias("v"))
+    """(key..., v array<double>): `hashed_weights` as dense vectors, made where the texts are read, without a shuffle."""
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in key)
+
+    def run(batches):
+        places: dict[str, tuple[int, float]] = {}
+        for batch in batches:
+            lists = batch.column(len(key))
+            lengths = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+            flat = lists.flatten().dictionary_encode()
+            words = flat.dictionary.to_pylist()
+            for t in words:
+                if t not in places:
+                    h = hashlib.md5(t.encode("utf-8")).hexdigest()
+                    places[t] = int(h[:8], 16) % dim, 1.0 if int(h[8], 16) < 8 else -1.0
+            at = np.array([places[t] for t in words]).reshape(-1, 2)
+            of = np.asarray(flat.indices, np.int64)
+            cell = np.repeat(np.arange(len(lengths)), lengths) * dim + at[of, 0].astype(np.int64)
+            v = np.bincount(cell, at[of, 1], minlength=len(lengths) * dim).reshape(-1, dim)
+            if len(places) > 1 << 18:
+                places.clear()
+            size = np.sqrt((v * v).sum(axis=1))
+            some = np.flatnonzero(size > 0)
+            made = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(some) + 1) * dim, dim, dtype=np.int32)), pa.array((v[some] / size[some, None]).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(some)) for k in range(len(key))] + [made], names=[*key, "v"])
+
+    return rows.select(*key, tokens(F.col(text)).alias("t")).mapInArrow(run, f"{kinds}, v array<double>")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftspan.functions.text import tokens
 from siftspan.functions.vector import sigmoid
+from siftspan.operators import blocks, bm25
 from siftspan.operators.topk import by_max, topk
 
 
@@ -28,6 +31,23 @@ def sparse_search(docs: DataFrame, queries: DataFrame, k: int = 10, threshold: f
     return topk(by_max(raw), k, threshold=threshold).select("query_id", "doc_id", "score", "rank")
 
 
+def log_tf_search(docs: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0) -> DataFrame:
+    """`sparse_search` of the `log_tf_weights` of `docs(doc_id, text)` and `queries(query_id, query)`, in blocks of queries."""
+    words = bm25.tokenised(docs)
+    weights = bm25.query_terms(queries)
+    found = blocks.blocks(weights)
+    if found is None:
+        return sparse_search(log_tf_weights(docs, "doc_id", "text"), log_tf_weights(queries, "query_id", "query"), k, threshold)
+    most = np.log1p(blocks.statistics(words, [])[3])  # of a term's weight
+    parts = []
+    for f in found:
+        weight = np.log1p(f.rows["qtf"].to_numpy(float))
+        slack = 2e-6 * most * np.bincount(f.rows["q"], weight, minlength=len(f.ids))[None]
+        parts.append(blocks.search(words, f, weight, [lambda tf, dl: np.log1p(tf)], k, slack))
+    raw = blocks.union(parts) if parts else blocks.nothing(docs, queries)
+    return topk(by_max(raw), k, threshold=threshold).select("query_id", "doc_id", "score", "rank")
+
+
 def rrf(hits: list[tuple[DataFrame, str, float]], k: int = 10, rrf_k: int = 60, threshold: float = 0.0) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, doc_id, score, rank) with their names and weights.
 
@@ -44,19 +64,63 @@ def rrf(hits: list[tuple[DataFrame, str, float]], k: int = 10, rrf_k: int = 60,
     return topk(by_max(fused.withColumn("score", F.col("raw_score"))), k, threshold=threshold)
 
 
+#: Query token vectors that a task holds, and dot products that it has at once.
+TOKENS, PRODUCTS = 16384, 4 << 20
+
+
 def max_sim(doc_tokens: DataFrame, query_tokens: DataFrame, k: int = 10, threshold: float = 0.0) -> DataFrame:
     """Late interaction: (doc_id, i, v) against a stated set (query_id, qi, q) of query token vectors.
 
     For each query token the best dot product among the tokens of a document, summed over query tokens; divided by the
-    best of the query if that is positive. All vectors of a document meet the broadcast query tokens where they are
-    read, and the maxima are combined before the shuffle, which then carries a row a document and query token.
+    best of the query if that is positive. The vectors of a document are brought together, meet blocks of whole queries
+    in matrix products, and only what can be among the k best of a query leaves a task. Each block of about TOKENS
+    query vectors is a pass over the documents.
     """
-    dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    n = query_tokens.count()
-    q = F.broadcast(query_tokens) if n <= 100_000 else query_tokens  # more than that many vectors: a shuffled join
-    best = doc_tokens.join(q, F.lit(True)).select("query_id", "qi", "doc_id", dot.alias("d")).groupBy("query_id", "qi", "doc_id").agg(F.max("d").alias("d"))
-    scored = best.groupBy("query_id", "doc_id").agg(F.sum("d").alias("score"))
-    return topk(by_max(scored), k, threshold=threshold).select("query_id", "doc_id", "score", "rank")
+    kinds = doc_tokens.schema["doc_id"].dataType.simpleString()
+    docs = doc_tokens.groupBy("doc_id").agg(F.flatten(F.collect_list(F.col("v").cast("array<double>"))).alias("v"), F.count("*").alias("n"))
+    parts = max(1, -(-query_tokens.count() // TOKENS))
+    found = []
+    for part in range(parts):
+        here = query_tokens if parts == 1 else query_tokens.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        rows = here.select("query_id", "qi", F.col("q").cast("array<double>").alias("q")).orderBy("query_id", "qi").collect()
+        if rows:
+            found.append(docs.mapInArrow(_max_sims(rows, k), f"query_id long, doc_id {kinds}, score double"))
+    if not found:
+        return topk(by_max(blocks.nothing(doc_tokens, query_tokens)), k).select("query_id", "doc_id", "score", "rank")
+    return topk(by_max(blocks.union(found)), k, threshold=threshold).select("query_id", "doc_id", "score", "rank")
+
+
+def _max_sims(rows: list, k: int):
+    q = np.array([r["q"] for r in rows])
+    ids = np.array([r["query_id"] for r in rows], np.int64)
+    first = np.flatnonzero(np.append([True], ids[1:] != ids[:-1]))
+    size = np.add.reduceat(np.linalg.norm(q, axis=1), first)  # no score is above this by the longest vector of a document
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            flat = np.asarray(batch.column("v").flatten(), np.float64)
+            if len(flat) != n.sum() * q.shape[1]:
+                raise ValueError("vectors of documents and queries differ in length")
+            v, ends = flat.reshape(-1, q.shape[1]), np.cumsum(n)
+            scores = np.empty((len(n), len(first)))
+            step = max(1, PRODUCTS // len(q))
+            at = 0
+            while at < len(n):  # as many documents as `step` vectors make, one at least
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] - n[at] + step, "right")))
+                begin = ends[at:to] - n[at:to]
+                best = np.maximum.reduceat(v[begin[0] : ends[to - 1]] @ q.T, begin - begin[0], axis=0)
+                scores[at:to] = np.add.reduceat(best, first, axis=1)
+                at = to
+            keep = min(k, len(scores))
+            if not keep:
+                continue
+            # Scores are compared by the sixth digit of their share of the best.
+            edge = np.partition(scores, len(scores) - keep, axis=0)[len(scores) - keep] - 2e-6 * size * max(1.0, float(np.linalg.norm(v, axis=1).max()))
+            i, j = np.nonzero(scores >= edge[None])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first][j]), batch.column("doc_id").take(pa.array(i)), pa.array(scores[i, j])], names=["query_id", "doc_id", "score"])
+
+    return run
 
 
 def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, logit: Column, k: int = 10, threshold: float = 0.0) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftspan.functions.text import entity, trigram_jaccard, trigrams, ws_tokens
+from siftspan.operators import blocks
 from siftspan.operators.topk import by_max, topk
 from siftspan.sources.tables import cut
 
@@ -57,10 +59,16 @@ def scored_docs(reached: DataFrame, docs_of: DataFrame, k: int = 10, threshold:
 
 def overlap(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """Top k by the share of the query's words that the document has; without a threshold."""
-    q = queries.select("query_id", F.array_distinct(ws_tokens(F.col("query"))).alias("w")).select("query_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    d = docs.select("doc_id", F.explode(F.array_distinct(ws_tokens(F.col("text")))).alias("word"))
-    hit = d.join(q, "word").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("hit"))
-    return topk(hit.withColumn("score", F.col("hit") / F.col("n")), k).select("query_id", "doc_id", "score", "rank")
+    q = queries.select("query_id", F.array_distinct(ws_tokens(F.col("query"))).alias("w")).select("query_id", F.size("w").alias("n"), F.explode("w").alias("term"))
+    d = docs.select("doc_id", F.array_distinct(ws_tokens(F.coalesce("text", F.lit("")))).alias("t"))
+    found = blocks.blocks(q)
+    if found is None:
+        rows = blocks.joined(d, q, lambda r: r.withColumn("part", 1.0 / F.col("n")))
+    elif found:
+        rows = blocks.union([blocks.search(d, f, 1.0 / f.rows["n"].to_numpy(float), [lambda tf, dl: np.ones(len(tf))], k, np.full((1, len(f.ids)), 2e-6)) for f in found])
+    else:
+        rows = blocks.nothing(d, q)
+    return topk(rows, k).select("query_id", "doc_id", "score", "rank")
 
 
 def retrieve(spark: SparkSession, queries: DataFrame, mentions: DataFrame, triples: DataFrame, docs: DataFrame, k: int = 10, max_hops: int = 2, similarity: float = 0.8, threshold: float = 0.0) -> DataFrame:

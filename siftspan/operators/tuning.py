@@ -16,19 +16,11 @@ SPACE = {"chunker": ("fixed", "recursive", "document_aware"), "chunk_size": (128
 
 
 def bm25_grid(spark: SparkSession, docs: DataFrame, queries: DataFrame, grid: list[tuple[int, float, float]], k: int = 10) -> DataFrame:
-    """(trial, query_id, doc_id, score, rank) for all (trial, k1, b) at once: postings are joined once, and only the
-    score expression differs. The grid is a broadcast table of as many rows as trials."""
-    params = spark.createDataFrame(grid, "trial int, k1 double, b double")
-    q = bm25.query_terms(queries)
-    tf = bm25.term_frequencies(docs).join(q.select("term").distinct(), "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    stats = bm25.corpus_stats(docs)
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    weighted = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "avgdl").join(q, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (F.col("k1") + 1.0) / (F.col("tf") + F.col("k1") * (1.0 - F.col("b") + F.col("b") * F.col("dl") / F.col("avgdl")))
-    raw = tf.join(weighted, "term").crossJoin(F.broadcast(params)).groupBy("trial", "query_id", "doc_id").agg(F.sum(part).alias("score"))
-    keyed = raw.withColumn("key", F.struct("trial", "query_id"))
-    return topk(keyed, k, query="key").select("trial", "query_id", "doc_id", "score", "rank")
+    """(trial, query_id, doc_id, score, rank) for all (trial, k1, b) at once: documents are read and counted once, and
+    only the weights of their terms differ. Scores are raw sums."""
+    numbers = F.array(*[F.lit(trial) for trial, *_ in grid])
+    raw = bm25.scores(docs, queries, k, [(k1, b) for _, k1, b in grid], normalised=False).withColumn("trial", F.get(numbers, F.col("trial")))
+    return topk(raw.withColumn("key", F.struct("trial", "query_id")), k, query="key").select("trial", "query_id", "doc_id", "score", "rank")
 
 
 def best(trials: DataFrame, maximise: bool = True) -> DataFrame:

@@ -109,7 +109,7 @@ def hybrid_rrf(spark, d):
 
 
 def splade_topk(spark, d):
-    return fusion.sparse_search(fusion.log_tf_weights(docs_of(spark, d), "doc_id", "text"), fusion.log_tf_weights(items_of(spark, d), "query_id", "query"), 10)
+    return fusion.log_tf_search(docs_of(spark, d), items_of(spark, d), 10)
 
 
 def window_vectors(rows: DataFrame, key: str, text: str, size: int) -> DataFrame:
