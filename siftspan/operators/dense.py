@@ -16,6 +16,9 @@ BLOCK = 4096
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if (lengths != dim).any():
+        raise ValueError(f"queries have {dim} components, a vector has {int(lengths[lengths != dim][0])}")
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
 
 
@@ -23,7 +26,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
     """(query_id, doc_id, score, rank) of `vectors(doc_id, v)` for `queries(query_id, q)`.
 
     metric: cosine and dot rank by falling similarity; l2 by rising distance (score_kind raw) or by 1 / (1 + distance)
-    (score_kind similarity). Vectors of zero length have cosine 0. Null vectors are in no result.
+    (score_kind similarity). Vectors of zero length have cosine 0. Null vectors are in no result; vectors with another
+    number of components than the queries are an error.
     """
     known = queries.where(F.col("q").isNotNull())
     n = known.count()
@@ -40,6 +44,8 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, metric: str, thresho
     ascending = metric == "l2" and score_kind == "raw"
     rows = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).orderBy("query_id").collect()
     ids = [r["query_id"] for r in rows]
+    if len({len(r["q"]) for r in rows}) > 1:
+        raise ValueError("queries differ in their number of components")
     matrix = np.array([r["q"] for r in rows], np.float64) if rows else np.zeros((0, 1))
     if metric == "cosine" and len(rows):
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-10)

@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspan.functions.text import note_blocks
 from siftspan.operators.topk import topk
+from siftspan.sources.providers import Completer
 from siftspan.sources.tables import cut
 
 Search = Callable[[DataFrame, int], DataFrame]
@@ -85,12 +87,65 @@ def self_reflective(spark: SparkSession, queries: DataFrame, docs: DataFrame, se
     return topk(kept, k).select("query_id", "doc_id", "score", "rank", "step")
 
 
+#: What a note's relevance multiplies a score by, and what its type adds.
+FACTORS = {"relevant": 1.2, "partially_relevant": 0.8, "irrelevant": 0.2}
+BONUS = {"complementary": 0.1, "standard": 0.0, "conflicting": -0.05}
+
+
+def note_score(score: Column, relevance: Column, note_type: Column) -> Column:
+    """The score times the factor of the relevance (0.5 for others) plus the bonus of the type, within 0 and 1."""
+    factor, bonus = F.lit(0.5), F.lit(0.0)
+    for k, v in FACTORS.items():
+        factor = F.when(relevance == k, v).otherwise(factor)
+    for k, v in BONUS.items():
+        bonus = F.when(note_type == k, v).otherwise(bonus)
+    return F.least(F.greatest(score * factor + bonus, F.lit(0.0)), F.lit(1.0))
+
+
 def noted(hits: DataFrame, queries: DataFrame, docs: DataFrame, note: Column, k: int = 10) -> DataFrame:
-    """Scores moved by reading notes. `note` is an expression over query and text: struct(relevance, note_type, ...).
+    """Scores moved by reading notes: `note` is an expression over query and text, struct(relevance, note_type, ...)."""
+    rows = hits.select("query_id", "doc_id", "score").join(queries.select("query_id", "query"), "query_id").join(docs.select("doc_id", "text"), "doc_id").withColumn("note", note)
+    moved = note_score(F.col("score"), F.col("note.relevance"), F.col("note.note_type"))
+    return topk(rows.withColumn("score", moved), k).select("query_id", "doc_id", "score", "rank", F.col("note.relevance").alias("relevance"), F.col("note.note_type").alias("note_type"))
+
 
-    relevant x 1.2 + 0.1, partially_relevant x 0.8, irrelevant x 0.2 - 0.05, within 0 and 1.
+#: The request for notes. Readers of answers rely on its field names.
+NOTES = (
+    "Write a reading note on each document, in their order, separated by blank lines.\n"
+    "Each note has four lines: RELEVANCE: relevant, partially_relevant or irrelevant; KEY_INFO: what matters most in the document; "
+    "CONNECTION: how it bears on the query; TYPE: standard, conflicting or complementary.\n\n"
+)
+
+
+def chain_of_notes(spark: SparkSession, hits: DataFrame, queries: DataFrame, docs: DataFrame, completer: Completer, k: int = 10, batch: int = 5) -> DataFrame:
+    """(query_id, doc_id, score, rank, relevance, key_info, connection, note_type, original_score).
+
+    The candidates of a query are read `batch` at a time in order of rank; a request holds the first 500 characters of
+    each and the last three notes before it. Notes come back by position: a document without one has a partially
+    relevant standard note. One round of requests for all queries, as many rounds as the most candidates need.
     """
-    rows = hits.select("query_id", "doc_id", "score").join(queries.select("query_id", "query"), "query_id").join(docs.select("doc_id", "text"), "doc_id").withColumn("note", note)
-    r, s = F.col("note.relevance"), F.col("score")
-    moved = F.when(r == "relevant", s * 1.2 + 0.1).when(r == "irrelevant", s * 0.2 - 0.05).otherwise(s * 0.8)
-    return topk(rows.withColumn("score", F.least(F.greatest(moved, F.lit(0.0)), F.lit(1.0))), k).select("query_id", "doc_id", "score", "rank", r.alias("relevance"))
+    rows = hits.select("query_id", "doc_id", "score", "rank").join(queries.select("query_id", "query"), "query_id").join(docs.select("doc_id", F.substring("text", 1, 500).alias("text")), "doc_id")
+    rows = cut(spark, rows.withColumn("round", F.floor((F.col("rank") - 1) / batch).cast("int")).withColumn("place", ((F.col("rank") - 1) % batch).cast("int")), "candidates")
+    rounds = rows.agg(F.max("round").alias("n")).first()["n"]
+    notes = None
+    for n in range(0 if rounds is None else rounds + 1):
+        listed = F.array_sort(F.collect_list(F.struct("place", "doc_id", "text")))
+        text = F.array_join(F.transform(listed, lambda d: F.concat(F.lit("Document "), (d["place"] + 1).cast("string"), F.lit(" (ID: "), d["doc_id"].cast("string"), F.lit("):\n"), d["text"])), "\n---\n")
+        asked = rows.where(F.col("round") == n).groupBy("query_id", "query").agg(text.alias("documents"))
+        if notes is None:
+            asked = asked.withColumn("before", F.lit(""))
+        else:
+            last = notes.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "relevance", "key_info"))).alias("l"))
+            told = F.array_join(F.transform(F.slice("l", F.greatest(F.size("l") - 2, F.lit(1)), 3), lambda x: F.concat(F.lit("- Doc "), x["doc_id"].cast("string"), F.lit(": ["), x["relevance"], F.lit("] "), F.substring(x["key_info"], 1, 100))), "\n")
+            asked = asked.join(last.select("query_id", F.concat(F.lit("\nPrevious notes:\n"), told, F.lit("\n")).alias("before")), "query_id", "left").withColumn("before", F.coalesce("before", F.lit("")))
+        prompt = F.concat(F.lit(NOTES + "Query: "), F.col("query"), F.lit("\n"), F.col("before"), F.lit("\nDocuments:\n"), F.col("documents"))
+        said = completer.complete(asked.select("query_id", prompt.alias("prompt")))
+        found = said.select("query_id", F.posexplode(note_blocks(F.col("response.content"))).alias("place", "note"))
+        here = rows.where(F.col("round") == n).join(found, ["query_id", "place"], "left")
+        note = lambda name, default: F.coalesce(F.col("note")[name], F.lit(default)).alias(name)
+        here = cut(spark, here.select("query_id", "doc_id", "score", "rank", note("relevance", "partially_relevant"), note("key_info", ""), note("connection", ""), note("note_type", "standard")), "notes")
+        notes = here if notes is None else notes.unionByName(here)
+    if notes is None:
+        notes = rows.select("query_id", "doc_id", "score", "rank", *[F.lit("").alias(c) for c in ("relevance", "key_info", "connection", "note_type")])
+    moved = notes.drop("rank").withColumn("original_score", F.col("score")).withColumn("score", note_score(F.col("score"), F.col("relevance"), F.col("note_type")))
+    return topk(moved, k)

@@ -34,10 +34,10 @@ def share_near(target: Column, t: Column, contexts: Column) -> Column:
 
 
 def coherence(answer: Column, vectors: Column) -> Column:
-    """Mean cosine, not under 0, of the vectors of consecutive sentences; one sentence 1, none 0."""
+    """Mean cosine, not under 0, of the vectors of consecutive sentences; one sentence or a blank answer 1, an empty one 0."""
     n = F.size(vectors)
     pairs = F.zip_with(F.slice(vectors, 1, F.greatest(n - 1, F.lit(0))), F.slice(vectors, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.greatest(F.lit(0.0), cosine(a, b)))
-    return F.when(F.trim(answer) == "", 0.0).when(n <= 1, 1.0).otherwise(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (n - 1))
+    return F.when(F.coalesce(answer, F.lit("")) == "", 0.0).when(n <= 1, 1.0).otherwise(F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (n - 1))
 
 
 def context_recall(contexts: Column, truth: Column) -> Column:

@@ -29,13 +29,20 @@ def frontier(points: DataFrame, objectives: list[str], minimise: tuple[str, ...]
 
 
 def optimal(points: DataFrame, objectives: list[str], minimise: tuple[str, ...] = ()) -> DataFrame:
-    """The rows of `points` that are optimal; for two objectives by a sort and running maximum, without any pairs."""
+    """The rows of `points` that are optimal; for two objectives by a sort and running maximum, without any pairs.
+
+    The sort is one of ranges: each has its running maximum, and the best of the ranges before it, one number a range.
+    """
     rows = _signed(points, objectives, minimise)
     if len(objectives) == 2:
         a, b = objectives
         best = rows.groupBy(a).agg(F.max(b).alias(b))
-        before = F.max(b).over(W.orderBy(F.col(a).desc()).rowsBetween(W.unboundedPreceding, -1))
-        keep = best.withColumn("_m", before).where(F.col("_m").isNull() | (F.col(b) > F.col("_m"))).select(a, b)
+        ranged = best.repartitionByRange(F.col(a).desc()).withColumn("_part", F.spark_partition_id())
+        ahead = lambda *by: F.max(b).over(W.partitionBy(*by).orderBy(F.col(a).desc()).rowsBetween(W.unboundedPreceding, -1))
+        parts = ranged.groupBy("_part").agg(F.max(b).alias("_best"))
+        parts = parts.select("_part", F.max("_best").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+        most = F.greatest(ahead("_part"), F.col("_before"))  # of those that are not null
+        keep = ranged.join(F.broadcast(parts), "_part").withColumn("_m", most).where(F.col("_m").isNull() | (F.col(b) > F.col("_m"))).select(a, b)
         ids = rows.join(keep, [a, b], "left_semi").select("point_id")
     else:
         ids = frontier(points, objectives, minimise).where("is_optimal").select("point_id")

@@ -79,8 +79,16 @@ def ab_welch(spark, d):
     return _rounded(abtest.welch_statistic(arms(spark, d)).drop("se"), ["mean_a", "mean_b", "std_a", "std_b", "effect_size", "statistic", "df"])
 
 
+def _tested(df: DataFrame) -> DataFrame:
+    """Rounded as far as the SQL's integrals and expansions go."""
+    out = df
+    for names, digits in ((("mean_a", "mean_b", "std_a", "std_b", "effect_size", "statistic", "mean_diff", "std_diff"), 4), (("p_value", "alpha"), 6), (("ci_lo", "ci_hi"), 3)):
+        out = _rounded(out, [n for n in names if n in out.columns], digits)
+    return out
+
+
 def ab_welch_full(spark, d):
-    return abtest.welch(arms(spark, d))
+    return _tested(abtest.welch(arms(spark, d)))
 
 
 def ab_mann_whitney(spark, d):
@@ -88,13 +96,13 @@ def ab_mann_whitney(spark, d):
 
 
 def ab_mann_whitney_full(spark, d):
-    return abtest.mann_whitney(arms(spark, d))
+    return _tested(abtest.mann_whitney(arms(spark, d)))
 
 
 def ab_permutation(spark, d):
-    """Supplier balances: odd nations against even ones, 200 rounds."""
+    """Supplier balances: even nations against odd ones."""
     s = table(spark, d, "supplier").select(F.lit("balance").alias("metric"), F.when(F.col("s_nationkey") % 2 == 0, "A").otherwise("B").alias("arm"), F.col("s_suppkey").alias("pos"), F.col("s_acctbal").cast("double").alias("score"))
-    return _rounded(abtest.permutation(spark, s, 200), ["ci_lo", "ci_hi"])
+    return _rounded(abtest.permutation(spark, s), ["ci_lo", "ci_hi"])
 
 
 def pairs(spark, d) -> DataFrame:
@@ -112,7 +120,7 @@ def ab_paired(spark, d):
 
 
 def ab_paired_full(spark, d):
-    return abtest.paired(pairs(spark, d))
+    return _tested(abtest.paired(pairs(spark, d)))
 
 
 def points(spark, d) -> DataFrame:
@@ -136,6 +144,10 @@ def pareto_suggest(spark, d):
     return pareto.suggest(points(spark, d), {"balance": 0.7, "nation": 0.3})
 
 
+def pareto_analyse(spark, d):
+    return pareto.analyse(points(spark, d), ["balance", "nation"], ("nation",))
+
+
 def synthetic_qa(spark, d):
     asked = synthesis.requests(spark, docs_of(spark, d), 2)
     return asked.select("doc_id", F.col("n").cast("bigint").alias("n"), "question_type", "difficulty", F.sha2("prompt", 256).alias("prompt_key"))
@@ -150,22 +162,67 @@ def latency_percentiles(spark, d):
 QUERIES = {
     "chunk_fixed": chunk_fixed, "chunk_fixed_tokens": chunk_fixed_tokens, "chunk_recursive": chunk_recursive, "sentence_groups": sentence_groups, "chunk_semantic": chunk_semantic, "chunk_doc_aware": chunk_doc_aware,
     "metric_tokens": metric_tokens, "metrics_all": metrics_all, "ragas_overall": ragas_overall, "ab_welch": ab_welch, "ab_welch_full": ab_welch_full, "ab_mann_whitney": ab_mann_whitney, "ab_mann_whitney_full": ab_mann_whitney_full,
-    "ab_permutation": ab_permutation, "ab_paired": ab_paired, "ab_paired_full": ab_paired_full, "pareto_frontier": pareto_frontier, "pareto_optimal": pareto_optimal, "pareto_crowding": pareto_crowding, "pareto_suggest": pareto_suggest,
+    "ab_permutation": ab_permutation, "ab_paired": ab_paired, "ab_paired_full": ab_paired_full, "pareto_frontier": pareto_frontier, "pareto_optimal": pareto_optimal, "pareto_crowding": pareto_crowding, "pareto_suggest": pareto_suggest, "pareto_analyse": pareto_analyse,
     "synthetic_qa": synthetic_qa, "latency_percentiles": latency_percentiles,
 }
 
+#: Separators in order, as SQL literals.
+CUTS = ("chr(10) || chr(10)", "chr(10)", "'. '", "'! '", "'? '", "'; '", "', '", "' '")
+
+
+def recursive_sql(size: int = 512, overlap: int = 64) -> str:
+    """Pieces by list functions, one step a separator; chunks by a fold, with chr(1) between them."""
+    steps, stride = "s0 AS (SELECT doc_id, [text] AS p FROM documents WHERE text IS NOT NULL)", max(1, size - overlap)
+    for k, sep in enumerate(CUTS, 1):
+        steps += f""", s{k} AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN length(x) <= {size} OR NOT contains(x, {sep}) THEN [x]
+            ELSE list_filter(list_transform(string_split(x, {sep}), lambda y, i: CASE WHEN i < len(string_split(x, {sep})) THEN y || {sep} ELSE y END), lambda y: trim(y, {BLANKS}) <> '') END)) AS p FROM s{k - 1})"""
+    return f"""WITH {steps},
+        h AS (SELECT doc_id, list_filter(flatten(list_transform(p, lambda x: CASE WHEN length(x) <= {size} THEN [x] ELSE list_transform(list_filter(range(0, length(x), {stride}), lambda s: s = 0 OR s - {stride} + {size} < length(x)), lambda s: substr(x, s + 1, {size})) END)), lambda x: trim(x, {BLANKS}) <> '') AS p FROM s{len(CUTS)}),
+        m AS (SELECT doc_id, string_split(list_reduce(p, lambda a, x: CASE WHEN length(split_part(a, chr(1), -1)) + length(x) <= {size} THEN a || x ELSE a || chr(1) || right(split_part(a, chr(1), -1), {overlap}) || x END), chr(1)) AS c FROM h WHERE len(p) > 0),
+        u AS (SELECT doc_id, c, unnest(range(len(c))) AS i FROM m)
+        SELECT doc_id || '_recchunk_' || i AS chunk_id, doc_id, CAST(i AS INTEGER) AS chunk_index, trim(c[i + 1], {BLANKS}) AS content, 'recursive' AS chunking_strategy FROM u WHERE trim(c[i + 1], {BLANKS}) <> ''"""
+
+
+def two_sided(name: str, src: str, t: str, v: str | None) -> str:
+    """A CTE: `src` with p, twice the upper tail at |t| of Student's distribution with v degrees (None: normal), by Simpson's rule."""
+    x = f"(abs({t}) * i / 4000.0::DOUBLE)"
+    if v:
+        f = f"exp(lgamma(({v} + 1) / 2.0::DOUBLE) - lgamma({v} / 2.0::DOUBLE)) / sqrt(pi() * {v}) * pow(1 + {x} * {x} / {v}, -({v} + 1) / 2.0::DOUBLE)"
+    else:
+        f = f"exp(-{x} * {x} / 2) / sqrt(2 * pi())"
+    return f"{name} AS (SELECT {src}.*, p FROM {src} JOIN (SELECT metric, greatest(0, 1 - 2 * sum(CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {f}) * any_value(abs({t})) / 4000 / 3) AS p FROM {src}, range(4001) r(i) GROUP BY metric) USING (metric))"
+
+
+def t_975(v: str) -> str:
+    """The 97.5 % point of Student's distribution by its expansion at the normal one's, for many degrees."""
+    z = 1.959963984540054
+    terms = [z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    return "(" + " + ".join(f"{c!r}::DOUBLE / pow({v}, {k})" for k, c in enumerate(terms)) + ")"
+
+
 WL = r"list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda t: t <> '')"
 SAMPLES = """c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 x AS (SELECT conv_id, list(text ORDER BY turn) AS contexts, arg_max(text, turn) AS g FROM c WHERE role = 'assistant' GROUP BY 1),
 s AS (SELECT c.conv_id || '-' || c.turn AS sample_id, c.text AS query, n.text AS answer, contexts, g, CAST(c.turn AS DOUBLE) AS l FROM c JOIN c n ON n.conv_id = c.conv_id AND n.turn - 1 = c.turn AND n.role = 'assistant' JOIN x ON x.conv_id = c.conv_id WHERE c.role = 'user')"""
 ARMS = "arms AS (SELECT o_orderpriority AS metric, CASE WHEN o_orderstatus = 'F' THEN 'A' ELSE 'B' END AS arm, o_orderkey AS pos, CAST(o_totalprice AS DOUBLE) AS score FROM orders WHERE o_orderstatus IN ('F', 'O'))"
 MOMENTS = "mo AS (SELECT metric, count(*) FILTER (arm = 'A') AS n_a, count(*) FILTER (arm = 'B') AS n_b, avg(score) FILTER (arm = 'A') AS mean_a, avg(score) FILTER (arm = 'B') AS mean_b, coalesce(stddev_samp(score) FILTER (arm = 'A'), 0) AS std_a, coalesce(stddev_samp(score) FILTER (arm = 'B'), 0) AS std_b FROM arms GROUP BY 1)"
+SPREAD = "v0 AS (SELECT *, std_a * std_a / n_a AS va, std_b * std_b / n_b AS vb FROM mo), v AS (SELECT *, sqrt(va + vb) AS se, n_a + n_b - 2 AS d2, (mean_a - mean_b) / sqrt(((n_a - 1) * std_a * std_a + (n_b - 1) * std_b * std_b) / (n_a + n_b - 2)) AS effect, (mean_a - mean_b) / sqrt(va + vb) AS t, (va + vb) * (va + vb) / (va * va / (n_a - 1) + vb * vb / (n_b - 1)) AS df FROM v0)"
+RANKS = """r AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY score) + (count(*) OVER (PARTITION BY metric, score) - 1) / 2.0::DOUBLE AS r FROM arms),
+        t AS (SELECT metric, CAST(sum(n * n * n - n) AS BIGINT) AS ties FROM (SELECT metric, score, count(*) AS n FROM arms GROUP BY 1, 2) GROUP BY 1),
+        u AS (SELECT metric, count(*) FILTER (arm = 'A') AS n_a, count(*) FILTER (arm = 'B') AS n_b, sum(r) FILTER (arm = 'A') AS s FROM r GROUP BY 1)"""
+PAIRED = """c AS (SELECT o_custkey AS pos, avg(CAST(o_totalprice AS DOUBLE)) FILTER (o_orderstatus = 'F') AS a, avg(CAST(o_totalprice AS DOUBLE)) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY 1),
+        m0 AS (SELECT 'price' AS metric, count(*) AS n, avg(a - b) AS m, coalesce(stddev_samp(a - b), 0) AS s FROM c WHERE a IS NOT NULL AND b IS NOT NULL), m AS (SELECT *, m / (s / sqrt(n)) AS t, n - 1 AS df FROM m0)"""
+#: What a test says of each metric, with the level divided by their number; w has the moments, p and what is above.
+TESTED = f"""SELECT metric, n_a, n_b, round(mean_a, 4) AS mean_a, round(mean_b, 4) AS mean_b, round(std_a, 4) AS std_a, round(std_b, 4) AS std_b, round(effect, 4) AS effect_size, {{statistic}} AS statistic, round(p, 6) AS p_value,
+        round(mean_a - mean_b - {t_975('d2')} * se, 3) AS ci_lo, round(mean_a - mean_b + {t_975('d2')} * se, 3) AS ci_hi, round(0.05::DOUBLE / count(*) OVER (), 6) AS alpha, p < 0.05::DOUBLE / count(*) OVER () AS significant,
+        CASE WHEN p < 0.05::DOUBLE / count(*) OVER () THEN CASE WHEN mean_a > mean_b THEN 'A' ELSE 'B' END END AS winner, '{{test}}' AS test FROM w"""
 PTS = "p AS (SELECT s_suppkey AS point_id, CAST(s_acctbal AS DOUBLE) AS balance, CAST(s_nationkey AS DOUBLE) AS nation FROM supplier)"
 ORACLE = {
     "chunk_fixed": f"""WITH t AS (SELECT doc_id, trim(text, {BLANKS}) AS t FROM documents), w AS (SELECT doc_id, t, unnest(list_filter(range(0, length(t), 448), lambda s: s = 0 OR s - 448 + 512 < length(t))) AS s FROM t WHERE length(t) > 0),
         k AS (SELECT doc_id, s, least(s + 512, length(t)) AS e, trim(substr(t, s + 1, 512), {BLANKS}) AS content FROM w),
         n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i FROM k WHERE content <> '')
         SELECT doc_id || '_chunk_' || i AS chunk_id, doc_id, CAST(i AS INTEGER) AS chunk_index, content, CAST(s AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end, 'fixed' AS chunking_strategy FROM n""",
+    "chunk_recursive": recursive_sql(),
     "chunk_fixed_tokens": r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS t FROM documents), w AS (SELECT doc_id, t, unnest(list_filter(range(0, len(t), 112), lambda s: s = 0 OR s - 112 + 128 < len(t))) AS s FROM t),
         n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i FROM w)
         SELECT doc_id || '_chunk_' || i AS chunk_id, doc_id, CAST(i AS INTEGER) AS chunk_index, array_to_string(t[s + 1 : s + 128], ' ') AS content, CAST(s AS INTEGER) AS token_start, CAST(least(s + 128, len(t)) AS INTEGER) AS token_end, 'fixed' AS chunking_strategy FROM n""",
@@ -177,29 +234,39 @@ ORACLE = {
         round(CASE WHEN len(t) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(t, k))::DOUBLE / len(t) END, 6) AS context_recall,
         round(CASE WHEN len(b) = 0 OR len(t) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(b, t)) / (len(b) + len(t)) END, 6) AS token_f1,
         round(CASE WHEN l <= 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - least(l / 10.0::DOUBLE, 1.0::DOUBLE) END, 6) AS latency_score FROM h""",
-    "ab_welch": f"""WITH {ARMS}, {MOMENTS}, v AS (SELECT *, std_a * std_a / n_a AS va, std_b * std_b / n_b AS vb, sqrt(((n_a - 1) * std_a * std_a + (n_b - 1) * std_b * std_b) / (n_a + n_b - 2)) AS po FROM mo)
-        SELECT metric, n_a, n_b, round(mean_a, 4) AS mean_a, round(mean_b, 4) AS mean_b, round(std_a, 4) AS std_a, round(std_b, 4) AS std_b, round((mean_b - mean_a) / po, 4) AS effect_size,
-        round((mean_a - mean_b) / sqrt(va + vb), 4) AS statistic, round((va + vb) * (va + vb) / (va * va / (n_a - 1) + vb * vb / (n_b - 1)), 4) AS df FROM v""",
-    "ab_mann_whitney": f"""WITH {ARMS}, r AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY score) + (count(*) OVER (PARTITION BY metric, score) - 1) / 2.0::DOUBLE AS r FROM arms),
-        t AS (SELECT metric, CAST(sum(n * n * n - n) AS BIGINT) AS ties FROM (SELECT metric, score, count(*) AS n FROM arms GROUP BY 1, 2) GROUP BY 1),
-        u AS (SELECT metric, count(*) FILTER (arm = 'A') AS n_a, count(*) FILTER (arm = 'B') AS n_b, sum(r) FILTER (arm = 'A') AS s FROM r GROUP BY 1)
+    "ab_welch": f"""WITH {ARMS}, {MOMENTS}, {SPREAD}
+        SELECT metric, n_a, n_b, round(mean_a, 4) AS mean_a, round(mean_b, 4) AS mean_b, round(std_a, 4) AS std_a, round(std_b, 4) AS std_b, round(effect, 4) AS effect_size, round(t, 4) AS statistic, round(df, 4) AS df FROM v""",
+    "ab_welch_full": f"""WITH {ARMS}, {MOMENTS}, {SPREAD}, {two_sided('w', 'v', 't', 'df')} {TESTED.format(statistic='round(t, 4)', test='welch_t')}""",
+    "ab_mann_whitney_full": f"""WITH {ARMS}, {MOMENTS}, {SPREAD}, {RANKS},
+        z AS (SELECT v.*, s - v.n_a * (v.n_a + 1) / 2.0::DOUBLE AS us, greatest(0, abs(s - v.n_a * (v.n_a + 1) / 2.0::DOUBLE - v.n_a * v.n_b / 2.0::DOUBLE) - 0.5::DOUBLE) / sqrt(v.n_a * v.n_b / 12.0::DOUBLE * (v.n_a + v.n_b + 1 - ties / ((v.n_a + v.n_b) * (v.n_a + v.n_b - 1.0::DOUBLE)))) AS x FROM v JOIN u USING (metric) JOIN t USING (metric)),
+        {two_sided('w', 'z', 'x', None)} {TESTED.format(statistic='round(us, 4)', test='mann_whitney')}""",
+    "ab_mann_whitney": f"""WITH {ARMS}, {RANKS}
         SELECT metric, n_a, n_b, round(s - n_a * (n_a + 1) / 2.0::DOUBLE, 1) AS u, ties FROM u JOIN t USING (metric)""",
     "ab_permutation": """WITH s AS (SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'A' ELSE 'B' END AS arm, s_suppkey AS pos, CAST(s_acctbal AS DOUBLE) AS score FROM supplier),
-        k AS (SELECT count(*) FILTER (arm = 'A') AS n_a, count(*) AS n, sum(score) AS total, avg(score) FILTER (arm = 'B') - avg(score) FILTER (arm = 'A') AS obs FROM s),
-        x AS (SELECT rep, score, row_number() OVER (PARTITION BY rep ORDER BY md5('42-' || rep || '-' || arm || '-' || pos)) AS i FROM s, range(200) r(rep)),
-        y AS (SELECT rep, sum(CASE WHEN i <= n_a THEN score ELSE 0 END) AS a, any_value(n_a) AS n_a, any_value(n) AS n, any_value(total) AS total, any_value(obs) AS obs FROM x, k GROUP BY rep),
-        d AS (SELECT obs, round((total - a) / (n - n_a) - a / n_a, 9) AS d FROM y)
+        g AS (SELECT *, CAST('0x' || substr(md5('42-' || arm || '-' || pos), 1, 7) AS BIGINT) AS x FROM s),
+        r AS (SELECT rep, CAST('0x' || substr(md5('42-' || rep), 1, 7) AS BIGINT) + 1 AS a, CAST('0x' || substr(md5('42-' || rep), 9, 7) AS BIGINT) AS b FROM range(10000) r(rep)),
+        k AS (SELECT count(*) FILTER (arm = 'A') AS n_a, count(*) AS n, sum(score) AS total, avg(score) FILTER (arm = 'A') - avg(score) FILTER (arm = 'B') AS obs FROM s),
+        o AS (SELECT rep, score, row_number() OVER (PARTITION BY rep ORDER BY (a * x + b) % 2147483647, arm, pos) AS i FROM g, r),
+        y AS (SELECT rep, sum(CASE WHEN i <= n_a THEN score ELSE 0 END) AS a, any_value(n_a) AS n_a, any_value(n) AS n, any_value(total) AS total, any_value(obs) AS obs FROM o, k GROUP BY rep),
+        d AS (SELECT obs, round(a / n_a - (total - a) / (n - n_a), 9) AS d FROM y)
         SELECT 'balance' AS metric, round(any_value(obs), 6) AS observed, avg(CASE WHEN abs(d) >= round(abs(obs), 9) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_value, round(quantile_cont(d, 0.025), 4) AS ci_lo, round(quantile_cont(d, 0.975), 4) AS ci_hi FROM d""",
-    "ab_paired": """WITH c AS (SELECT o_custkey AS pos, avg(CAST(o_totalprice AS DOUBLE)) FILTER (o_orderstatus = 'F') AS a, avg(CAST(o_totalprice AS DOUBLE)) FILTER (o_orderstatus = 'O') AS b FROM orders GROUP BY 1),
-        m AS (SELECT count(*) AS n, avg(b - a) AS m, coalesce(stddev_samp(b - a), 0) AS s FROM c WHERE a IS NOT NULL AND b IS NOT NULL)
-        SELECT 'price' AS metric, n, round(m, 4) AS mean_diff, round(s, 4) AS std_diff, round(-m / (s / sqrt(n)), 4) AS statistic FROM m""",
+    "ab_paired": f"""WITH {PAIRED} SELECT metric, n, round(m, 4) AS mean_diff, round(s, 4) AS std_diff, round(t, 4) AS statistic FROM m""",
+    "ab_paired_full": f"""WITH {PAIRED}, {two_sided('w', 'm', 't', 'df')}
+        SELECT metric, n, round(m, 4) AS mean_diff, round(s, 4) AS std_diff, round(t, 4) AS statistic, round(p, 6) AS p_value, round(m - {t_975('df')} * s / sqrt(n), 3) AS ci_lo, round(m + {t_975('df')} * s / sqrt(n), 3) AS ci_hi FROM w""",
     "pareto_frontier": f"WITH {PTS}, n AS (SELECT a.point_id, count(b.point_id) AS n FROM p a LEFT JOIN p b ON b.balance >= a.balance AND b.nation <= a.nation AND (b.balance > a.balance OR b.nation < a.nation) GROUP BY 1) SELECT point_id, n AS n_dominating, n = 0 AS is_optimal FROM n",
     "pareto_optimal": "WITH p AS (SELECT p_partkey AS point_id, CAST(p_size AS DOUBLE) AS size, CAST(p_retailprice AS DOUBLE) AS price FROM part) SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.size >= a.size AND b.price <= a.price AND (b.size > a.size OR b.price < a.price))",
     "pareto_crowding": f"""WITH {PTS}, l AS (SELECT point_id, 'balance' AS o, balance AS v FROM p UNION ALL SELECT point_id, 'nation', nation FROM p),
         w AS (SELECT *, lag(v) OVER z AS a, lead(v) OVER z AS b, max(v) OVER (PARTITION BY o) - min(v) OVER (PARTITION BY o) AS span FROM l WINDOW z AS (PARTITION BY o ORDER BY v, point_id)),
         e AS (SELECT point_id, bool_or(a IS NULL OR b IS NULL) AS is_boundary, sum(CASE WHEN span > 1e-10 THEN (b - a) / span ELSE 0 END) AS d FROM w GROUP BY 1)
         SELECT point_id, CASE WHEN NOT is_boundary THEN round(d, 6) END AS crowding_distance, is_boundary FROM e""",
-    "pareto_suggest": f"WITH {PTS} SELECT *, round(balance * 0.7::DOUBLE + nation * 0.3::DOUBLE, 6) AS utility FROM p ORDER BY utility DESC, point_id LIMIT 1",
+    "pareto_suggest": f"WITH {PTS}, f AS (SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.balance >= a.balance AND b.nation >= a.nation AND (b.balance > a.balance OR b.nation > a.nation))) SELECT *, round(balance * 0.7::DOUBLE + nation * 0.3::DOUBLE, 6) AS utility FROM f ORDER BY utility DESC, point_id LIMIT 1",
+    "pareto_analyse": f"""WITH {PTS}, n AS (SELECT a.point_id, a.balance, a.nation, count(b.point_id) AS n FROM p a LEFT JOIN p b ON b.balance >= a.balance AND b.nation <= a.nation AND (b.balance > a.balance OR b.nation < a.nation) GROUP BY ALL),
+        f AS (SELECT point_id, balance, -nation AS nation FROM n WHERE n = 0), l AS (SELECT point_id, 'balance' AS o, balance AS v FROM f UNION ALL SELECT point_id, 'nation', nation FROM f),
+        w AS (SELECT *, lag(v) OVER z AS a, lead(v) OVER z AS b, max(v) OVER (PARTITION BY o) - min(v) OVER (PARTITION BY o) AS span FROM l WINDOW z AS (PARTITION BY o ORDER BY v, point_id)),
+        e AS (SELECT point_id, bool_or(a IS NULL OR b IS NULL) AS is_boundary, sum(CASE WHEN span > 1e-10 THEN (b - a) / span ELSE 0 END) AS d FROM w GROUP BY 1),
+        c AS (SELECT point_id, is_boundary, CASE WHEN NOT is_boundary THEN round(d, 6) END AS crowd FROM e),
+        k AS (SELECT *, CAST(row_number() OVER (ORDER BY is_boundary DESC, crowd DESC NULLS LAST, point_id) AS INTEGER) AS frontier_rank FROM c)
+        SELECT point_id, balance, nation, n AS n_dominating, n = 0 AS is_optimal, CASE WHEN n = 0 THEN crowd ELSE 0.0::DOUBLE END AS crowding_distance, is_boundary, frontier_rank FROM n LEFT JOIN k USING (point_id)""",
     "synthetic_qa": f"""WITH r AS (SELECT doc_id, substr(text, 1, 2000) AS context, unnest(range(2)) AS n FROM documents), k AS (SELECT *, '42-' || doc_id || '-' || n AS key FROM r),
         y AS (SELECT *, ([{', '.join(repr(x) for x in synthesis.TYPES)}])[CAST(('0x' || substr(md5(key || '-t'), 1, 8)) AS BIGINT) % 4 + 1] AS question_type, ([{', '.join(repr(x) for x in synthesis.LEVELS)}])[CAST(('0x' || substr(md5(key || '-d'), 1, 8)) AS BIGINT) % 3 + 1] AS difficulty FROM k)
         SELECT doc_id, n, question_type, difficulty, sha256('Write one ' || difficulty || ' ' || question_type || ' question that this passage answers, as JSON with question and answer.' || chr(10) || chr(10) || context) AS prompt_key FROM y""",

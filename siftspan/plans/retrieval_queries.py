@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siftspan.functions.vector import hashed_vectors
 from siftspan.operators import bm25, dense, fusion, graph, iterative
 from siftspan.operators.topk import topk
+from siftspan.sources.providers import Completer
 from siftspan.sources.tables import cut, table
 from siftspan.sources.vector_table import delete, probe, upsert
 
@@ -177,10 +178,18 @@ def rerank(spark, d):
 def chain_of_note(spark, d):
     q, docs = items_of(spark, d), docs_of(spark, d)
     share = _overlap_share()
-    note = F.struct(F.when(share >= 0.5, "relevant").when(share >= 0.3, "partially_relevant").otherwise("irrelevant").alias("relevance"), F.lit("standard").alias("note_type"))
+    note = F.struct(F.when(share >= 0.5, "relevant").when(share >= 0.3, "partially_relevant").otherwise("irrelevant").alias("relevance"), F.when(share >= 0.7, "complementary").when(share < 0.1, "conflicting").otherwise("standard").alias("note_type"))
     return iterative.noted(cut(spark, bm25.retrieve(docs, q, 10), "hits"), q, docs, note, 5)
 
 
+def chain_of_note_batches(spark, d):
+    """Two rounds of requests, answered by a rule: a note a document, by whether its first characters say item."""
+    q, docs = items_of(spark, d), docs_of(spark, d)
+    rule = lambda p: F.array_join(F.transform(F.split(F.element_at(F.split(p, "Documents:\n"), -1), "\n---\n"), lambda x: F.concat(F.lit("RELEVANCE: "), F.when(F.length(x) >= 400, "relevant").otherwise("irrelevant"), F.lit("\nKEY_INFO: "), F.length(x).cast("string"), F.lit("\nTYPE: complementary"))), "\n\n")
+    rows = iterative.chain_of_notes(spark, cut(spark, bm25.retrieve(docs, q, 8), "hits"), q, docs, Completer(rule=rule), 8, 5)
+    return rows.select("query_id", "doc_id", "score", "rank", "relevance", "key_info", "note_type", "original_score")
+
+
 def _rounds_search(spark, d):
     docs = docs_of(spark, d)
     return docs, lambda q, k: bm25.retrieve(docs, q, k)
@@ -270,6 +279,7 @@ er AS ({_ranked('es', k, 'round(s, 6) + 0.0::DOUBLE')})"""
 
 WS = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda t: t <> ''))"
 SHARE = f"(len(list_intersect({WS.format('query')}, {WS.format('text')}))::DOUBLE / greatest(len({WS.format('query')}), 1))"
+NOTED = "least(greatest(b * CASE relevance WHEN 'relevant' THEN 1.2::DOUBLE WHEN 'irrelevant' THEN 0.2::DOUBLE ELSE 0.8::DOUBLE END + CASE note_type WHEN 'complementary' THEN 0.1::DOUBLE WHEN 'conflicting' THEN -0.05::DOUBLE ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE)"
 TRIPLES = """t AS (SELECT lower(n_name) AS s, lower(r_name) AS o, CAST(n_nationkey + 2000000000 AS BIGINT) AS doc_id FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT lower(s_name), lower(n_name), CAST(s_suppkey AS BIGINT) FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL SELECT lower(c_name), lower(n_name), CAST(c_custkey + 1000000000 AS BIGINT) FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -288,7 +298,7 @@ QUERIES = {
     "dense_topk": _search("cosine"), "dense_threshold": _search("cosine", threshold=0.2), "vector_l2_topk": _search("l2"), "vector_l2_similarity": _search("l2", kind="similarity"), "vector_dot_topk": _search("dot"),
     "vector_prefilter": vector_prefilter, "vector_postfilter": vector_postfilter, "vector_delete_count": vector_delete_count, "vector_upsert": vector_upsert, "ivf_topk": ivf_topk,
     "text_embed_topk": text_embed_topk, "hybrid_rrf": hybrid_rrf, "splade_topk": splade_topk, "colbert_maxsim": colbert_maxsim, "graph_bfs_docs": graph_bfs_docs, "graph_entity_link": graph_entity_link, "graph_fallback": graph_fallback,
-    "hyde": hyde, "rerank": rerank, "chain_of_note": chain_of_note, "multi_hop": multi_hop, "ircot": ircot, "self_rag": self_rag, "optimizer_trials": optimizer_trials, "optimizer_best": optimizer_best,
+    "hyde": hyde, "rerank": rerank, "chain_of_note": chain_of_note, "chain_of_note_batches": chain_of_note_batches, "multi_hop": multi_hop, "ircot": ircot, "self_rag": self_rag, "optimizer_trials": optimizer_trials, "optimizer_best": optimizer_best,
 }
 
 TRIALS = f"WITH {Q}, {TF}, {QT}, g AS (SELECT * FROM (VALUES (0, 0.9::DOUBLE, 0.4::DOUBLE), (1, 1.2::DOUBLE, 0.75::DOUBLE), (2, 1.5::DOUBLE, 0.75::DOUBLE), (3, 2.0::DOUBLE, 0.5::DOUBLE)) x(trial, k1, b)), raw AS ({_raw('k1', 'b', 'trial, ')}, g GROUP BY 1, 2, 3), r AS (SELECT trial, score, row_number() OVER (PARTITION BY trial, query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT *, round(s, 6) AS score FROM raw)), tr AS (SELECT trial, round(avg(score), 4) AS value, count(*) AS hits FROM r WHERE rank <= 3 GROUP BY 1)"
@@ -343,9 +353,13 @@ ORACLE = {
         f AS (SELECT query_id, doc_id, br.score AS first_score, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(4.0::DOUBLE * {SHARE} - 2.0::DOUBLE))) AS s FROM br JOIN q USING (query_id) JOIN documents USING (doc_id)),
         z AS ({_ranked('f', 10, 'round(s, 6)', cols=', round(first_score, 6) AS first_score')}) SELECT * FROM z""",
     "chain_of_note": f"""WITH {Q}, {TF}, {QT}, raw AS ({_raw('1.5::DOUBLE', '0.75::DOUBLE')} GROUP BY 1, 2), br AS ({_ranked('raw', 10)}),
-        n AS (SELECT query_id, doc_id, br.score AS b, CASE WHEN {SHARE} >= 0.5 THEN 'relevant' WHEN {SHARE} >= 0.3 THEN 'partially_relevant' ELSE 'irrelevant' END AS relevance FROM br JOIN q USING (query_id) JOIN documents USING (doc_id)),
-        f AS (SELECT *, least(greatest(CASE relevance WHEN 'relevant' THEN b * 1.2::DOUBLE + 0.1::DOUBLE WHEN 'irrelevant' THEN b * 0.2::DOUBLE - 0.05::DOUBLE ELSE b * 0.8::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE) AS s FROM n),
-        z AS ({_ranked('f', 5, 'round(s, 6)', cols=', relevance')}) SELECT * FROM z""",
+        n AS (SELECT query_id, doc_id, br.score AS b, {SHARE} AS sh FROM br JOIN q USING (query_id) JOIN documents USING (doc_id)),
+        m AS (SELECT *, CASE WHEN sh >= 0.5 THEN 'relevant' WHEN sh >= 0.3 THEN 'partially_relevant' ELSE 'irrelevant' END AS relevance, CASE WHEN sh >= 0.7 THEN 'complementary' WHEN sh < 0.1 THEN 'conflicting' ELSE 'standard' END AS note_type FROM n),
+        f AS (SELECT *, {NOTED} AS s FROM m), z AS ({_ranked('f', 5, 'round(s, 6)', cols=', relevance, note_type')}) SELECT * FROM z""",
+    "chain_of_note_batches": f"""WITH {Q}, {TF}, {QT}, raw AS ({_raw('1.5::DOUBLE', '0.75::DOUBLE')} GROUP BY 1, 2), br AS ({_ranked('raw', 8)}),
+        n AS (SELECT query_id, doc_id, br.score AS b, length('Document ' || ((rank - 1) % 5 + 1) || ' (ID: ' || doc_id || '):' || chr(10) || substr(text, 1, 500)) AS l FROM br JOIN documents USING (doc_id)),
+        m AS (SELECT *, CASE WHEN l >= 400 THEN 'relevant' ELSE 'irrelevant' END AS relevance, 'complementary' AS note_type, CAST(l AS VARCHAR) AS key_info FROM n),
+        f AS (SELECT *, {NOTED} AS s, b AS original_score FROM m), z AS ({_ranked('f', 8, 'round(s, 6)', cols=', relevance, key_info, note_type, original_score')}) SELECT * FROM z""",
     "optimizer_trials": f"{TRIALS} SELECT * FROM tr",
     "optimizer_best": f"{TRIALS} SELECT trial AS number, value FROM tr ORDER BY value DESC, trial LIMIT 1",
 }

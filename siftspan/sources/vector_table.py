@@ -1,17 +1,39 @@
-"""A vector table: (id, vector, metadata) as Parquet versions under one path, with upsert, delete, search and filters."""
+"""A vector table: (id, vector, metadata) in Parquet segments under one path, with upsert, delete, search and filters.
+
+Every change is a segment of its own: new rows, or marks of deleted ids. A segment counts from when it is written whole,
+so readers never see half a change, and a lost executor costs its tasks. What is in the table is what the last change of
+each id left; `compact` writes that as a new base and drops the segments before it, and is called by itself once there
+are many. A table with one base is read as it is, without a shuffle.
+"""
 
 from __future__ import annotations
 
-import uuid
+import json
+from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftspan.functions.vector import normalise
 from siftspan.operators import dense
+from siftspan.operators.topk import topk
+
+#: id, vector, metadata, the cell of a clustered table; change: the number of the segment; last: whether it replaces what
+#: was there under its id; gone: whether it is a mark of a deletion.
+SCHEMA = "id string, vector array<double>, metadata map<string,string>, cell int"
+STORED = SCHEMA + ", change int, last boolean, gone boolean"
+
+
+class VectorStore(Protocol):
+    """What a store of vectors offers, whatever keeps them: DataFrames in, DataFrames out."""
 
-SCHEMA = "id string, vector array<double>, metadata map<string,string>"
+    def add(self, rows: DataFrame) -> None: ...
+    def search(self, queries: DataFrame, k: int = 10, filters: dict[str, str] | None = None) -> DataFrame: ...
+    def delete(self, ids: DataFrame) -> None: ...
+    def count(self) -> int: ...
+    def add_documents(self, docs: DataFrame, vectors: DataFrame) -> None: ...
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
@@ -33,23 +55,33 @@ def where_metadata(rows: DataFrame, filters: dict[str, str]) -> DataFrame:
     return out
 
 
-def assign_cells(vectors: DataFrame, centroids: list[list[float]], vector: str = "v") -> DataFrame:
-    """`vectors` with `cell`: the number of the nearest centroid."""
-    c = F.lit(0)
-    best = None
-    for k, center in enumerate(centroids):
-        d = F.aggregate(F.zip_with(vector, F.array(*[F.lit(float(x)) for x in center]), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
-        best = F.struct(d.alias("d"), F.lit(k).alias("k")) if best is None else F.least(best, F.struct(d.alias("d"), F.lit(k).alias("k")))
-    return vectors.withColumn("cell", best["k"] if best is not None else c)
-
-
-def train_cells(vectors: DataFrame, nlist: int = 100, seed: int = 42) -> list[list[float]]:
-    """Centroids of k-means over `vectors(v)`."""
+def train_cells(vectors: DataFrame, nlist: int = 100, seed: int = 42) -> DataFrame:
+    """(cell int, c array<double>): the centroids of k-means over `vectors(v)`."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     model = KMeans(k=nlist, seed=seed, featuresCol="f", maxIter=10).fit(vectors.select(array_to_vector("v").alias("f")))
-    return [list(map(float, c)) for c in model.clusterCenters()]
+    rows = [(k, list(map(float, c))) for k, c in enumerate(model.clusterCenters())]
+    return vectors.sparkSession.createDataFrame(rows, "cell int, c array<double>")
+
+
+def assign_cells(vectors: DataFrame, centroids: DataFrame, vector: str = "v") -> DataFrame:
+    """`vectors` with `cell`: the number of the nearest centroid, the smaller one of equal ones; null for a null vector.
+
+    Centroids, of which there are as many as cells, are sent to the tasks, which multiply them with batches of vectors.
+    """
+    known = sorted((r["cell"], r["c"]) for r in centroids.collect())
+    cells, c = np.array([k for k, _ in known], np.int32), np.array([v for _, v in known], np.float64)
+
+    @F.pandas_udf("int")
+    def nearest(v):
+        import pandas as pd
+
+        x = np.stack([np.zeros(c.shape[1]) if u is None else np.asarray(u, np.float64) for u in v]) if len(v) else np.zeros((0, c.shape[1]))
+        found = cells[((c * c).sum(axis=1)[None] - 2 * x @ c.T).argmin(axis=1)]
+        return pd.Series(found).where(pd.Series([u is not None for u in v]))
+
+    return vectors.withColumn("cell", nearest(F.col(vector).cast("array<double>")))
 
 
 def probe(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, nprobe: int = 8, metric: str = "cosine") -> DataFrame:
@@ -58,7 +90,6 @@ def probe(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int =
     Cells are joined by number, so each query meets the vectors of its cells.
     """
     from siftspan.functions.vector import cosine, dot, l2_distance
-    from siftspan.operators.topk import topk
 
     near = dense.search(centroids.select(F.col("cell").alias("doc_id"), F.col("c").alias("v")), queries, nprobe, metric)
     pairs = near.select("query_id", F.col("doc_id").alias("cell")).join(queries, "query_id").join(vectors, "cell")
@@ -67,30 +98,106 @@ def probe(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int =
 
 
 class VectorTable:
-    """A table at a path. Every change is a new version; readers of an older one are not disturbed."""
+    """A table at a path, which is made if it is not there and opened if it is.
+
+    metric: cosine (vectors are stored with unit length), dot or l2. With `nlist`, the table is clustered: the first
+    rows that are `nlist` or more train the cells, later ones are assigned to them, and a search looks at the `nprobe`
+    nearest cells. metric, dimension and nlist are written with the table; opening it with others is an error.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, metric: str = "cosine", dimension: int | None = None):
-        self.spark, self.path, self.metric, self.dimension = spark, path.rstrip("/"), metric, dimension
-        self._version: str | None = None
+    #: Segments after the base from which a change compacts the table.
+    MOST = 16
+
+    def __init__(self, spark: SparkSession, path: str, metric: str | None = None, dimension: int | None = None, nlist: int | None = None, nprobe: int = 8):
+        self.spark, self.path, self.nprobe = spark, path.rstrip("/"), nprobe
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        asked = {"metric": metric, "dimension": dimension, "nlist": nlist}
+        about = f"{self.path}/about"
+        if self._files.exists(self._path(about)):
+            known = json.loads(spark.read.text(about).first()["value"])
+            wrong = {k: v for k, v in asked.items() if v is not None and known[k] != v}
+            if wrong:
+                raise ValueError(f"the table at {self.path} has {known}, not {wrong}")
+        else:
+            known = asked | {"metric": metric or "cosine"}
+            if known["metric"] not in ("cosine", "dot", "l2"):
+                raise ValueError(f"no such metric: {metric}")
+            spark.createDataFrame([(json.dumps(known),)], "value string").coalesce(1).write.text(about)
+        self.metric, self.dimension, self.nlist = known["metric"], known["dimension"], known["nlist"]
+
+    def _segments(self) -> list[tuple[int, bool]]:
+        """(number, whether it is a base) of the whole segments from the last base on."""
+        found = self._files.globStatus(self._path(f"{self.path}/segment-*/_SUCCESS"))
+        names = sorted(f.getPath().getParent().getName() for f in found or [])
+        parts = [(int(n.split("-")[1]), n.endswith("-base")) for n in names]
+        bases = [k for k, (_, base) in enumerate(parts) if base]
+        return parts[bases[-1] :] if bases else parts
+
+    def _stored(self, parts: list[tuple[int, bool]]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], STORED)
+        return self.spark.read.schema(STORED).parquet(*[self._name(*p) for p in parts])
+
+    def _name(self, number: int, base: bool) -> str:
+        return f"{self.path}/segment-{number:09d}-{'base' if base else 'part'}"
+
+    def _cells(self) -> DataFrame | None:
+        where = f"{self.path}/cells"
+        return self.spark.read.schema("cell int, c array<double>").parquet(where) if self.nlist and self._files.exists(self._path(f"{where}/_SUCCESS")) else None
 
     def rows(self) -> DataFrame:
-        if self._version is None:
-            return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(self._version)
-
-    def _write(self, df: DataFrame) -> None:
-        where = f"{self.path}/{uuid.uuid4().hex}"
-        df.select("id", F.col("vector").cast("array<double>").alias("vector"), "metadata").write.parquet(where)
-        self._version = where
-
-    def add(self, rows: DataFrame, mode: str = "upsert") -> None:
-        """mode append keeps repeated ids, upsert replaces them. Cosine tables store vectors of unit length."""
-        new = rows.select("id", F.col("vector").cast("array<double>").alias("vector"), "metadata")
+        """(id, vector, metadata, cell): what is in the table."""
+        parts = self._segments()
+        stored = self._stored(parts)
+        if all(base for _, base in parts):
+            return stored.select("id", "vector", "metadata", "cell")
+        # The last change that replaces an id hides what was before it.
+        since = F.max(F.when(F.col("last"), F.col("change"))).over(W.partitionBy("id"))
+        return stored.withColumn("since", since).where((F.col("since").isNull() | (F.col("change") >= F.col("since"))) & ~F.col("gone")).select("id", "vector", "metadata", "cell")
+
+    def _write(self, rows: DataFrame, last: bool, gone: bool) -> None:
+        parts = self._segments()
+        number = parts[-1][0] + 1 if parts else 0
+        made = rows.select("id", "vector", "metadata", "cell", F.lit(number).alias("change"), F.lit(last).alias("last"), F.lit(gone).alias("gone"))
+        made.write.mode("overwrite").parquet(self._name(number, False))
+        if len(parts) >= self.MOST:
+            self.compact()
+
+    def compact(self) -> None:
+        """The rows of the table as one base. Segments before it are deleted: readers of those must have ended."""
+        parts = self._segments()
+        if not parts:
+            return
+        number = parts[-1][0] + 1
+        self.rows().select("*", F.lit(number).alias("change"), F.lit(False).alias("last"), F.lit(False).alias("gone")).write.mode("overwrite").parquet(self._name(number, True))
+        for part in parts:
+            self._files.delete(self._path(self._name(*part)), True)
+
+    def add(self, rows: DataFrame, mode: str = "upsert", order: str | None = None) -> None:
+        """Rows (id, vector, metadata). mode upsert replaces what is there under an id, append keeps it.
+
+        Of rows that repeat an id, upsert takes the last one by the column `order`; without it, the one with the
+        greatest metadata as text and vector, so that repeated runs agree.
+        """
+        if mode not in ("upsert", "append"):
+            raise ValueError(f"no such mode: {mode}")
+        v = F.col("vector").cast("array<double>")
+        new = rows.select(F.col("id").cast("string").alias("id"), v.alias("vector"), F.col("metadata").cast("map<string,string>").alias("metadata"), (F.col(order) if order else F.struct(F.to_json("metadata"), v)).alias("_order"))
         if self.dimension and not new.where(F.size("vector") != self.dimension).isEmpty():
             raise ValueError(f"vectors must have {self.dimension} components")
+        if mode == "upsert":
+            new = new.groupBy("id").agg(F.max_by(F.struct("vector", "metadata"), "_order").alias("r")).select("id", "r.vector", "r.metadata")
         if self.metric == "cosine":
             new = new.withColumn("vector", normalise(F.col("vector")))
-        self._write(self.rows().unionByName(new) if mode == "append" else upsert(self.rows(), new.dropDuplicates(["id"])))
+        new = new.select("id", "vector", "metadata")
+        cells = self._cells()
+        if self.nlist and cells is None and new.where(F.col("vector").isNotNull()).limit(self.nlist).count() >= self.nlist:
+            train_cells(new.where(F.col("vector").isNotNull()).select(F.col("vector").alias("v")), self.nlist).coalesce(1).write.parquet(f"{self.path}/cells")
+            cells = self._cells()
+        placed = assign_cells(new, cells, "vector") if cells is not None else new.withColumn("cell", F.lit(None).cast("int"))
+        self._write(placed, mode == "upsert", False)
 
     def add_documents(self, docs: DataFrame, vectors: DataFrame) -> None:
         """`docs(id, content, metadata)` and `vectors(id, vector)`; the content becomes a metadata entry."""
@@ -98,7 +205,9 @@ class VectorTable:
         self.add(docs.join(vectors, "id").select("id", "vector", meta.alias("metadata")))
 
     def delete(self, ids: DataFrame) -> None:
-        self._write(delete(self.rows(), ids))
+        """Of `ids(id)`; those that are not there count for nothing."""
+        none = [F.lit(None).cast(t).alias(n) for n, t in (("vector", "array<double>"), ("metadata", "map<string,string>"), ("cell", "int"))]
+        self._write(ids.select(F.col("id").cast("string").alias("id")).distinct().select("id", *none), True, True)
 
     def count(self) -> int:
         return self.rows().count()
@@ -107,15 +216,30 @@ class VectorTable:
         """Top k of `queries(query_id, q)`. Filters hold before the ranking, or with post_filter after it."""
         rows = self.rows()
         use = rows if post_filter or not filters else where_metadata(rows, filters)
-        hits = dense.search(use.select(F.col("id").alias("doc_id"), F.col("vector").alias("v")), queries, k, self.metric, score_kind=score_kind)
+        vectors, cells = use.select(F.col("id").alias("doc_id"), F.col("vector").alias("v"), "cell"), self._cells()
+        if cells is None:
+            hits = dense.search(vectors.drop("cell"), queries, k, self.metric, score_kind=score_kind)
+        else:  # rows from before the cells were trained are in none: they are searched whole
+            near = probe(vectors.where(F.col("cell").isNotNull()), queries, cells, k, self.nprobe, self.metric)
+            if self.metric == "l2" and score_kind != "raw":
+                near = near.withColumn("score", F.round(1.0 / (1.0 + F.col("score")), 6))
+            rest = dense.search(vectors.where(F.col("cell").isNull()).drop("cell"), queries, k, self.metric, score_kind=score_kind)
+            hits = topk(near.drop("rank").unionByName(rest.drop("rank")), k, ascending=self.metric == "l2" and score_kind == "raw")
         out = hits.join(rows.select(F.col("id").alias("doc_id"), "metadata"), "doc_id")
         return where_metadata(out, filters) if post_filter and filters else out
 
     def save(self, path: str) -> None:
+        """A copy of the rows at another path, which `load` reads."""
         self.rows().write.mode("overwrite").parquet(path)
 
     def load(self, path: str) -> None:
-        self._write(self.spark.read.schema(SCHEMA).parquet(path))
+        """The rows of a copy in the place of what is here."""
+        parts = self._segments()
+        number = parts[-1][0] + 1 if parts else 0
+        rows = self.spark.read.schema(SCHEMA).parquet(path).select("id", "vector", "metadata", "cell", F.lit(number).alias("change"), F.lit(False).alias("last"), F.lit(False).alias("gone"))
+        rows.write.mode("overwrite").parquet(self._name(number, True))
+        for part in parts:
+            self._files.delete(self._path(self._name(*part)), True)
 
 
 def distance_expression(metric: str, a: Column, b: Column) -> Column:

@@ -113,11 +113,16 @@ def test_pareto_analysis(spark):
     assert pareto.suggest(p.where("false"), None, ["x", "y"]).count() == 0
 
 
-def test_search(spark):
-    params = list(tuning.random_search(tuning.SPACE, 20, 1))
-    assert params == list(tuning.random_search(tuning.SPACE, 20, 1)) and all(p["chunk_overlap"] <= p["chunk_size"] // 2 for p in params)
+def test_search(spark, tmp_path):
+    params = list(tuning.random_search(tuning.SPACE, 40, 1))
+    assert params == list(tuning.random_search(tuning.SPACE, 40, 1)) and all(p["chunk_overlap"] <= p["chunk_size"] // 2 for p in params)
+    for p in params:
+        assert ("k1" in p) == (p["strategy"] == "bm25") == ("b" in p) and ("dense_weight" in p) == (p["strategy"] == "hybrid")
+        assert 0.1 <= p.get("dense_weight", 0.5) <= 0.9 and 0.5 <= p.get("k1", 1) <= 3
+    ran = []
 
     def objective(p):
+        ran.append(p["x"])
         if p["x"] == 3:
             raise ValueError("no")
         return p["x"]
@@ -125,6 +130,39 @@ def test_search(spark):
     trials = tuning.optimise(spark, objective, tuning.grid({"x": (1, 2, 3)}))
     assert tuning.best(trials).first()["number"] == 1 and tuning.best(trials, False).first()["number"] == 0
     assert [r["state"] for r in trials.orderBy("number").collect()] == ["complete", "complete", "pruned"]
+    # A study goes on from the trials that are stored, and no trial begins after its time.
+    ran.clear()
+    where = f"file://{tmp_path}/trials"
+    tuning.optimise(spark, objective, tuning.grid({"x": (5, 6, 7, 8)}), where, n_trials=2)
+    again = tuning.optimise(spark, objective, tuning.grid({"x": (5, 6, 7, 8)}), where).orderBy("number").collect()
+    assert ran == [5, 6, 7, 8] and [r["value"] for r in again] == [5.0, 6.0, 7.0, 8.0] and spark.read.parquet(where).count() == 4
+    assert tuning.optimise(spark, objective, tuning.grid({"x": (1,)}), timeout=0.0).count() == 0
+
+
+def test_parzen_finds_more_than_chance(spark):
+    def value(p):
+        return (p["strategy"] == "bm25") + (p["chunk_size"] == 256) - abs(p.get("k1", 9.0) - 1.2) - abs(p.get("b", 9.0) - 0.4) - abs(p["top_k"] - 7) / 20
+
+    found = []
+    for seed in range(30):
+        sampler, tried = tuning.Parzen(tuning.SPACE, seed), []
+        for _ in range(60):
+            p = sampler.propose(tried)
+            tried.append((p, value(p)))
+        found.append((max(v for _, v in tried), max(value(p) for p in tuning.random_search(tuning.SPACE, 60, seed))))
+    assert sum(a > b for a, b in found) >= 18 and sum(a for a, _ in found) > sum(b for _, b in found) + 3
+    trials = tuning.optimise(spark, value, tuning.Parzen(tuning.SPACE, 3), n_trials=15)
+    again = tuning.optimise(spark, value, tuning.Parzen(tuning.SPACE, 3), n_trials=15)
+    assert trials.count() == 15 and trials.collect() == again.collect()
+
+
+def test_pipeline_objective(spark):
+    docs = spark.createDataFrame([(1, "The tide rises at noon. Boats leave the harbour."), (2, "Bread is baked before dawn. The oven is hot.")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "tide harbour", "The tide rises")], "query_id long, query string, ground_truth string")
+    objective = tuning.pipeline_objective(spark, docs, queries, "context_recall")
+    params = [{"chunker": "fixed", "chunk_size": 64, "chunk_overlap": 0, "top_k": 3, "strategy": "bm25", "k1": 1.5, "b": 0.75}, {"chunker": "fixed", "chunk_size": 32, "top_k": 3, "strategy": "bm25"}]
+    rows = tuning.optimise(spark, objective, iter(params)).orderBy("number").collect()
+    assert rows[0]["value"] == 1.0 and rows[1]["state"] == "pruned"
 
 
 def test_synthesis(spark):
