@@ -1,11 +1,13 @@
 """Deduplication of lines across documents by pairwise alignment.
 
-A document is cut into units that end to end are its text: lines, and within a line sentences; sentences of fewer than
-four words that follow one another on a line are one unit. Units are compared by a hash of their words. Each character
-of a script that is written without spaces (Chinese, Japanese, Thai and others) counts as a word.
+A document is cut into units that end to end are its text: lines, within a line sentences, and within a sentence of more
+than twelve words pieces of four words or more, which end after a clause or a word that a hash picks. As the words alone
+say where pieces end, a passage has the same ones wherever it stands, within other sentences too. Sentences of fewer
+than four words that follow one another on a line are one unit. Units are compared by a hash of their words. Each
+character of a script that is written without spaces (Chinese, Japanese, Thai and others) counts as a word.
 
 What two documents may share is found through runs: the least run of units with `min_words` words or more from each
-unit on, and up to each unit. A run's hash is that of its units. Single lines can be frequent, runs of them are rare;
+unit on, and up to each unit that ends a line. A run's hash is that of its units. Single lines can be frequent, runs of them are rare;
 where a run is frequent all the same, no cap is needed, as it makes one pair for each later document: that document
 and the first one in order of ids which holds the run. So pairs grow with the text, never with the square of a group.
 
@@ -14,7 +16,8 @@ their longest increasing sequence (patience sorting) is the alignment. What it l
 occur several times, is aligned again, by as few increasing sequences as cover it. Runs of one sequence that touch make
 a block, and the later document loses its blocks. A block lies in one pair: it is a stretch of consecutive units of
 the later document that stands in the earlier one as well, and it has `min_words` words or more. Nothing is put together
-from several earlier documents, and since the runs of a block cover it, every such stretch goes.
+from several earlier documents, and since runs cover such a stretch (but for less than the words of a unit at its end,
+where that is no end of a line), every one goes.
 
 Units of fewer than four words neither make nor break a block: runs are taken among all units with words, and among
 the longer ones alone.
@@ -25,6 +28,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -38,14 +42,35 @@ from siftspan.llm.common import cut, remove, text_slices
 
 MIN_WORDS = 20
 SHORT = 4
+#: Words of a sentence that is cut into pieces, of a piece at most, and of how many words a hash picks one to end a piece.
+LONG, MOST, PICK = 12, 32, 5
 #: Bytes of deletions that are sent to every task instead of bringing all texts to them: above, the join shuffles.
 SEND_BYTES = 32 << 20
 _END = re.compile(r"[.!?] |[。！？｡]|\n")
 #: Characters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
 _UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_WORD = re.compile(r"\S+\s*")
+_LETTER = re.compile(_UNSPACED.pattern + r"\s*|[^\s" + _UNSPACED.pattern[1:] + r"+\s*")
 #: An odd number whose powers weigh the units of a run, and its inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_CLAUSE = ",;:，、；："
+
+
+def pieces_of(part: str, words: re.Pattern) -> list[tuple[int, int]]:
+    """(end, words) of the pieces of a long sentence."""
+    out: list[tuple[int, int]] = []
+    n = end = 0
+    for m in words.finditer(part):
+        n, end, word = n + 1, m.end(), m[0].rstrip()
+        if n >= SHORT and (word[-1] in _CLAUSE or n >= MOST or crc32(word.encode("utf-8", "surrogatepass")) % PICK == 0):
+            out.append((end, n))
+            n = 0
+    if n >= SHORT or not out:
+        out.append((len(part), n))
+    else:  # a short rest belongs to the piece before
+        out[-1] = (len(part), out[-1][1] + n)
+    return out
 
 
 def units_of(text: str) -> list[tuple[int, int, int]]:
@@ -54,7 +79,8 @@ def units_of(text: str) -> list[tuple[int, int, int]]:
     count = (lambda part, words: len(_UNSPACED.sub(" x ", part).split())) if unspaced else (lambda part, words: len(words))
     digest = xxhash.xxh64_intdigest
     out: list[tuple[int, int, int]] = []
-    at, n, held = 0, 0, []  # held: the words of short sentences that are not out yet, n of them
+    at, n = 0, 0
+    held: list[str] = []  # the words of short sentences that are not out yet, n of them
 
     def put(end: int, size: int, words: list[str]) -> None:
         out.append((end, size, digest(" ".join(words).encode("utf-8", "surrogatepass"))))
@@ -66,14 +92,20 @@ def units_of(text: str) -> list[tuple[int, int, int]]:
         part = text[at:end]
         words = part.split()
         size = count(part, words)
-        if size >= SHORT and (at == 0 or out and out[-1][0] == at):
-            put(end, size, words)
-        elif size >= SHORT:
-            put(at, n, held)
-            put(end, size, words)
-            n, held = 0, []
+        if size >= SHORT:
+            if at and (not out or out[-1][0] < at):
+                put(at, n, held)
+                n, held = 0, []
+            if size <= LONG:
+                put(end, size, words)
+            else:
+                before = 0
+                for stop, size in pieces_of(part, _LETTER if unspaced else _WORD):
+                    put(at + stop, size, part[before:stop].split())
+                    before = stop
         else:
-            n, held = n + size, held + words
+            n += size
+            held += words
             if not m or text[end - 1] == "\n":
                 put(end, n, held)
                 n, held = 0, []
@@ -83,8 +115,8 @@ def units_of(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def runs(doc: np.ndarray, words: np.ndarray, hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, end, hash) of the least runs of `min_words` words or more from each unit on and up to each unit.
+def runs(doc: np.ndarray, words: np.ndarray, hashes: np.ndarray, last_ones: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, end, hash) of the least runs of `min_words` words or more from each unit on and up to each of `last_ones`.
 
     Units, all with words, lie end to end for many documents (`doc`, ascending); no run spans two of them.
     """
@@ -96,7 +128,7 @@ def runs(doc: np.ndarray, words: np.ndarray, hashes: np.ndarray, min_words: int)
     a = np.arange(m)
     e = np.searchsorted(sums, sums[:-1] + min_words, "left")
     s = np.searchsorted(sums, sums[1:] - min_words, "right") - 1
-    on, up = e <= end, s >= start
+    on, up = e <= end, (s >= start) & last_ones
     code = np.unique(np.concatenate([a[on] * (m + 1) + e[on], s[up] * (m + 1) + a[up] + 1]))
     first, last = np.divmod(code, m + 1)
     with np.errstate(over="ignore"):
@@ -195,12 +227,15 @@ def shared_blocks(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
                 which = np.repeat(np.arange(len(texts)), n)
                 begin = np.concatenate([[0], end[:-1]])[: len(end)]
                 begin[(np.cumsum(n) - n)[n > 0]] = 0
+                # Units that end a line or a text.
+                edge = np.fromiter((t[u[0] - 1] == "\n" for t, units in zip(texts, made, strict=True) for u in units), bool, len(flat))
+                edge[np.cumsum(n)[n > 0] - 1] = True
                 whole = np.flatnonzero(words > 0)
-                first, last, h = runs(which[whole], words[whole], hashes[whole], min_words)
+                first, last, h = runs(which[whole], words[whole], hashes[whole], edge[whole], min_words)
                 parts = [(whole[first], whole[last - 1], h)]
                 long_ones = np.flatnonzero(words >= SHORT)
                 if len(long_ones) < len(whole):
-                    first, last, h = runs(which[long_ones], words[long_ones], hashes[long_ones], min_words)
+                    first, last, h = runs(which[long_ones], words[long_ones], hashes[long_ones], edge[long_ones], min_words)
                     place = np.searchsorted(whole, long_ones)
                     gaps = place[last - 1] - place[first] > last - 1 - first  # other runs were found among all units
                     parts.append((long_ones[first[gaps]], long_ones[last[gaps] - 1], h[gaps]))

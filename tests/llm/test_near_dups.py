@@ -146,6 +146,36 @@ def test_units():
     assert pieces("One two three four. As. Is so. Five six seven eight.\nZ") == ["One two three four. ", "As. Is so. ", "Five six seven eight.\n", "Z"]
 
 
+def test_pieces_are_the_same_in_other_sentences():
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(1, 7))) + draw.choice(["", "", "", ","])
+    for _ in range(100):
+        passage = " ".join(word() for _ in range(60))
+        seen = []
+        for _ in range(2):
+            before, after = (" ".join(word() for _ in range(draw.randint(0, 30))) for _ in range(2))
+            text = f"{before} {passage} {after}."
+            ends = [u[0] for u in line_dedup.units_of(text)]
+            assert all(line_dedup.SHORT <= u[1] < line_dedup.MOST + line_dedup.SHORT for u in line_dedup.units_of(text))
+            seen.append({e - len(before) - 1 for e in ends if 0 < e - len(before) - 1 < len(passage) - 40})
+        a, b = sorted(seen, key=len)
+        late = len(passage) // 2  # they may begin apart, and soon agree
+        assert {e for e in a if e > late} == {e for e in b if e > late}
+
+
+def test_line_dedup_passage_within_sentences(spark, make):
+    """A passage of 50 words that begins and ends within other sentences goes, but for some words at its ends."""
+    draw = random.Random(12)
+    word = lambda: "".join(draw.choice("abcdefghijklm") for _ in range(draw.randint(2, 8)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    passages = [own(50) for _ in range(20)]
+    texts = [f"{own(30)}. {own(7)} {p} {own(9)}. {own(20)}." for p in passages for _ in range(3)]
+    new = {r["doc_id"]: r for r in line_dedup.dedup(spark, make(texts)).collect()}
+    left = [sum(w in set(new[k]["text"].split()) for w in passages[k // 3].split()) for k in range(60)]
+    assert all(left[k] == 50 for k in range(0, 60, 3)) and all(left[k] <= 30 for k in range(60) if k % 3) and sum(left) < 20 * (50 + 2 * 18)
+    assert all(len(new[k]["text"].split()) >= 66 for k in range(60))
+
+
 def test_line_dedup(spark, make):
     own = [f"Document {k} has its own words number {k} here." for k in range(6)]
     texts = [f"{own[0]}\n{PASSAGE}\nTail zero.", f"{own[1]} {PASSAGE} Then more own words of one.", f"{own[2]}\nLicensed under some licence text.", f"{own[3]}\nLicensed under some licence text.", f"{own[0]}\n{PASSAGE}\nTail zero.", None, ""]
@@ -189,8 +219,8 @@ def slow_dedup(texts, min_words):
     cut = [[(p, " ".join(p.split()), line_dedup.units_of(t)[k][1]) for k, p in enumerate(pieces(t))] for _, t in texts]
 
     def sequences(units):
-        for least in (1, line_dedup.SHORT):
-            yield [k for k, u in enumerate(units) if u[2] >= least]
+        for size in (1, line_dedup.SHORT):
+            yield [k for k, u in enumerate(units) if u[2] >= size]
 
     def stretches(units, order):
         for i in range(len(order)):
@@ -198,12 +228,18 @@ def slow_dedup(texts, min_words):
                 if sum(units[k][2] for k in order[i:j]) >= min_words:
                     yield i, j, tuple(units[k][1] for k in order[i:j])
 
+    def least(units, order, i, j):
+        """Whether a stretch would be short without its last unit, or without its first one if it ends a line."""
+        size = sum(units[k][2] for k in order[i:j])
+        last = order[j - 1]
+        return size - units[last][2] < min_words or size - units[order[i]][2] < min_words and (units[last][0].endswith("\n") or last == len(units) - 1)
+
     out = []
     for (i, _), units in zip(texts, cut, strict=True):
         gone = set()
-        for least, order in enumerate(sequences(units)):
-            earlier = {s for (o, _), other in zip(texts, cut, strict=True) if o < i for a, b, s in stretches(other, list(sequences(other))[least])}
-            gone |= {k for a, b, s in stretches(units, order) if s in earlier for k in range(order[a], order[b - 1] + 1)}
+        for kind, order in enumerate(sequences(units)):
+            earlier = {s for (o, _), other in zip(texts, cut, strict=True) if o < i for a, b, s in stretches(other, list(sequences(other))[kind]) if least(other, list(sequences(other))[kind], a, b)}
+            gone |= {k for a, b, s in stretches(units, order) if s in earlier and least(units, order, a, b) for k in range(order[a], order[b - 1] + 1)}
         out.append("".join(u[0] for k, u in enumerate(units) if k not in gone))
     return out
 
@@ -244,7 +280,7 @@ def test_runs_cover_every_repeated_block():
         a, b = ([draw.randrange(6) for _ in range(draw.randint(0, 25))] for _ in range(2))
         name = np.array([xxhash.xxh64_intdigest(str(u)) for u in range(6)], np.uint64)
         doc = np.repeat([0, 1], [len(a), len(b)])
-        first, end, h = line_dedup.runs(doc, size[np.array(a + b, int)], name[np.array(a + b, int)], 20)
+        first, end, h = line_dedup.runs(doc, size[np.array(a + b, int)], name[np.array(a + b, int)], np.ones(len(doc), bool), 20)
         held = {x for i, x in zip(first, h, strict=True) if i < len(a)}
         got = {p for i, j, x in zip(first, end, h, strict=True) if i >= len(a) and x in held for p in range(i - len(a), j - len(a))}
         stretches = {tuple(a[i:j]) for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
@@ -267,7 +303,7 @@ def test_line_dedup_short_lines_and_unspaced_scripts(spark, make):
     assert max(u[1] for u in line_dedup.units_of(verse)) < line_dedup.SHORT
     chinese = "春天的早晨我们在河边散步。孩子们看见一只白色的鸟飞过水面！然后大家一起回家吃饭。"
     japanese = "これは空白のない日本語の文章の例であり単語の数を数えることができません"
-    assert [u[1] for u in line_dedup.units_of("汉字 ab 漢")] == [4] and len(pieces(chinese)) == 3
+    assert [u[1] for u in line_dedup.units_of("汉字 ab 漢")] == [4] and "".join(pieces(chinese)) == chinese and len(pieces(chinese)) >= 3
     texts = [own[0] + verse, own[1] + verse, own[2] + "item 1\nof 7 b\nas it is", chinese, japanese, chinese, "别的话。" + japanese]
     new = {r["doc_id"]: r["text"] for r in line_dedup.dedup(spark, make(texts)).collect()}
     assert new[1].strip() == own[1].strip() and [new[5], new[6]] == ["", "别的话。"]
