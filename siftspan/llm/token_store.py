@@ -38,7 +38,7 @@ ROW, TAIL = struct.Struct("<6q"), struct.Struct("<qq8s")
 #: Bounds of the sample of which the dictionary is trained, not of what is written: documents, and bytes of whole texts.
 SAMPLE_DOCS, SAMPLE_BYTES = 2000, 16 << 20
 DICT_BYTES = 64 << 10
-SHARD_BYTES = 128 << 20  # of text; there are as many shards as cores at least
+SHARD_BYTES = 128 << 20  # of text; there are four shards a core at least, so that cores share the work of small inputs
 PIECE = 8192  # bytes of serialized ids that are one sample to the trainer
 
 
@@ -177,15 +177,11 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str | None =
             ends = np.cumsum(counts)
             yield pa.record_batch([pa.array([np.append(flat[e - n : e], end_id).astype(kind).tobytes() for e, n in zip(ends, counts, strict=True)], pa.binary())], names=["ids"])
 
-    # Distinct texts in order of a hash, whole ones, until either bound is reached. `hashed` grows with the bound alone.
-    h = F.xxhash64("text", F.lit(5))
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    share = int(min(1.0, 2.0 * SAMPLE_DOCS / max(total["n"], 1)) * float(1 << 40))
-    near = rows.where(F.col("text").isNotNull() & (F.pmod(h, F.lit(1 << 40)) <= share))
-    sizes = near.groupBy(F.pmod(h, F.lit(1 << 40)).alias("h")).agg(F.max(F.octet_length("text")).alias("n")).orderBy("h").limit(SAMPLE_DOCS).collect()
-    some = int((np.cumsum([r["n"] for r in sizes]) <= SAMPLE_BYTES).sum())
-    edge = sizes[some - 1]["h"] if some else -1
-    sample = near.withColumn("h", F.pmod(h, F.lit(1 << 40))).where(F.col("h") <= edge).groupBy("h").agg(F.min("text").alias("text"))
+    # Whole texts in order of a hash, until either bound is reached. Rows that repeat id and text are one.
+    hashed = rows.where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
+    sizes = dict(map(tuple, hashed.select("h", F.octet_length("text").alias("n")).orderBy("h", "n").limit(SAMPLE_DOCS).collect()))
+    chosen = [h for h, total in zip(sizes, np.cumsum(list(sizes.values())), strict=True) if total <= SAMPLE_BYTES]
+    sample = hashed.where(F.col("h") <= chosen[-1]).groupBy("h").agg(F.min("text").alias("text")) if chosen else hashed.where("false")
     pieces = [r["ids"][at : at + PIECE] for r in sample.select("h", "text").mapInArrow(ids_of, "ids binary").collect() for at in range(0, len(r["ids"]), PIECE)]
     dictionary = train_dictionary(sorted(pieces))
     put(folder, f"{sha256(dictionary).hexdigest()}.dict", lambda out: out.write(dictionary))
@@ -212,7 +208,8 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str | None =
         put(folder, name, fill)
         yield pa.record_batch([pa.array([name]), pa.array([counted[0][0]], pa.int64()), pa.array([counted[0][1]], pa.int64())], names=["name", "docs", "ids"])
 
-    parts = max(spark.sparkContext.defaultParallelism, -(-total["bytes"] // SHARD_BYTES))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
+    parts = max(4 * spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
     ordered = rows.repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), F.col("text"))
     made = sorted(map(tuple, ordered.mapInArrow(shards, "name string, docs long, ids long").collect()))
     before, listed = 0, []
