@@ -29,8 +29,8 @@ def answer_relevance(query: Column, answer: Column, q: Column, a: Column) -> Col
 
 
 def share_near(target: Column, t: Column, contexts: Column) -> Column:
-    """Share of context vectors with a cosine of 0.5 or more to the vector t of a target text."""
-    return F.when((target == "") | (F.coalesce(F.size(contexts), F.lit(0)) <= 0), 0.0).otherwise(F.size(F.filter(contexts, lambda c: cosine(t, c) >= 0.5)) / F.size(contexts))
+    """Share of context vectors with a cosine of 0.5 or more (to nine digits) to the vector t of a target text."""
+    return F.when((target == "") | (F.coalesce(F.size(contexts), F.lit(0)) <= 0), 0.0).otherwise(F.size(F.filter(contexts, lambda c: F.round(cosine(t, c), 9) >= 0.5)) / F.size(contexts))
 
 
 def coherence(answer: Column, vectors: Column) -> Column:

@@ -183,6 +183,57 @@ def recursive_sql(size: int = 512, overlap: int = 64) -> str:
         SELECT doc_id || '_recchunk_' || i AS chunk_id, doc_id, CAST(i AS INTEGER) AS chunk_index, trim(c[i + 1], {BLANKS}) AS content, 'recursive' AS chunking_strategy FROM u WHERE trim(c[i + 1], {BLANKS}) <> ''"""
 
 
+def semantic_sql(percentile: float = 0.9, least: int = 50, most: int = 2000) -> str:
+    """Sentences in groups, distances of neighbouring groups, segments, and a fold over those: chunks are put end to end as
+    start, end and content with chr(2) between, chr(1) before each; a segment is short or not, its text and its chunks, with chr(3) between."""
+    from siftspan.plans.retrieval_queries import hashed_sql
+
+    return f"""WITH t AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(30), 'g'), chr(30)), lambda x: trim(x, {BLANKS})), lambda x: x <> '') AS s FROM documents),
+        u AS (SELECT doc_id, s, unnest(range(len(s))) AS pos FROM t WHERE len(s) > 1),
+        g AS (SELECT doc_id, pos, s[pos + 1] AS sentence, array_to_string(s[greatest(pos, 1) : pos + 2], ' ') AS grouped FROM u), {hashed_sql('h', 'g', 'doc_id, pos', 'grouped')},
+        c AS (SELECT x.doc_id, x.pos, sum(x.w * y.w) AS c FROM h x JOIN h y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 AND x.bucket = y.bucket GROUP BY 1, 2),
+        d AS (SELECT g.doc_id, g.pos, sentence, CASE WHEN lead(g.pos) OVER (PARTITION BY g.doc_id ORDER BY g.pos) IS NOT NULL THEN round(1.0::DOUBLE - coalesce(c, 0.0::DOUBLE), 6) END AS distance FROM g LEFT JOIN c ON c.doc_id = g.doc_id AND c.pos = g.pos),
+        e AS (SELECT *, quantile_cont(distance, {percentile}) OVER (PARTITION BY doc_id) AS threshold FROM d),
+        f AS (SELECT *, coalesce(sum(CASE WHEN distance >= threshold THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM e),
+        k AS (SELECT doc_id, segment, string_agg(sentence, ' ' ORDER BY pos) AS content, min(pos) AS a, max(pos) + 1 AS b FROM f GROUP BY 1, 2),
+        l AS (SELECT doc_id, list_prepend('', list(CASE WHEN length(content) < {least} THEN '1' ELSE '0' END || chr(3) || content || chr(3) || array_to_string(list_transform(range(0, length(content), {most}), lambda i: a || chr(2) || b || chr(2) || substr(content, i + 1, {most})), chr(1)) ORDER BY segment)) AS p FROM k GROUP BY 1),
+        m AS (SELECT doc_id, list_filter(string_split(list_reduce(p, lambda x, y: CASE WHEN x <> '' AND split_part(y, chr(3), 1) = '1' THEN x || ' ' || split_part(y, chr(3), 2) ELSE x || chr(1) || split_part(y, chr(3), 3) END), chr(1)), lambda x: x <> '') AS c FROM l),
+        n AS (SELECT doc_id, c, unnest(range(len(c))) AS i FROM m)
+        SELECT doc_id || '_semchunk_' || i AS chunk_id, doc_id, CAST(i AS INTEGER) AS chunk_index, split_part(c[i + 1], chr(2), 3) AS content, CAST(split_part(c[i + 1], chr(2), 1) AS INTEGER) AS sentence_start, CAST(split_part(c[i + 1], chr(2), 2) AS INTEGER) AS sentence_end, 'semantic' AS chunking_strategy FROM n
+        UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id, NULL, text, NULL, NULL, NULL FROM t WHERE len(s) <= 1"""
+
+
+def metrics_sql() -> str:
+    """A CTE m (sample_id, metric, score) of all metrics, by hashed vectors of all texts of a sample."""
+    from siftspan.plans.retrieval_queries import hashed_sql
+
+    def near(name: str, left: str, right: str, on: str = "true", cols: str = "x.sample_id") -> str:
+        return f"{name} AS (SELECT {cols}, sum(x.w * y.w) AS d FROM h x JOIN h y ON x.sample_id = y.sample_id AND x.bucket = y.bucket AND x.kind = '{left}' AND y.kind = '{right}' AND {on} GROUP BY ALL)"
+
+    def share(name: str) -> str:
+        return f"(SELECT sample_id, count(*) FILTER (round(d, 9) >= 0.5) AS n FROM {name} GROUP BY 1)"
+
+    def per(x: str) -> str:
+        return f"CASE WHEN nc = 0 THEN 0.0::DOUBLE ELSE coalesce({x}, 0)::DOUBLE / nc END"
+
+    return f"""WITH {SAMPLES}, z AS (SELECT *, list_filter(list_transform(string_split(answer, '.'), lambda x: trim(x, {BLANKS})), lambda x: x <> '') AS sent, len(contexts) AS nc, coalesce(g, '') AS truth FROM s),
+        tx AS (SELECT sample_id, 'q' AS kind, 0 AS pos, query AS text FROM z UNION ALL SELECT sample_id, 'a', 0, answer FROM z UNION ALL SELECT sample_id, 't', 0, truth FROM z UNION ALL SELECT sample_id, 'c', unnest(range(nc)), unnest(contexts) FROM z UNION ALL SELECT sample_id, 's', unnest(range(len(sent))), unnest(sent) FROM z),
+        {hashed_sql('h', 'tx', 'sample_id, kind, pos', 'text')},
+        {near('qa', 'q', 'a')}, {near('ta', 't', 'a')}, {near('qc', 'q', 'c', cols='x.sample_id, y.pos')}, {near('tc', 't', 'c', cols='x.sample_id, y.pos')}, {near('ss', 's', 's', 'y.pos = x.pos + 1', 'x.sample_id, x.pos')},
+        f AS (SELECT *, {WL.format('answer')} AS aw, list_distinct({WL.format("array_to_string(contexts, ' ')")}) AS kw, list_distinct({WL.format('truth')}) AS tw FROM z),
+        v AS (SELECT f.sample_id,
+            CASE WHEN len(aw) = 0 OR len(kw) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(aw, lambda y: list_contains(kw, y)))::DOUBLE / len(aw) END AS faithfulness,
+            CASE WHEN query = '' OR answer = '' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, coalesce(qa.d, 0)) END AS answer_relevance,
+            CASE WHEN query = '' THEN 0.0::DOUBLE ELSE {per('nq.n')} END AS context_relevance,
+            CASE WHEN answer = '' THEN 0.0::DOUBLE WHEN len(sent) <= 1 THEN 1.0::DOUBLE ELSE coalesce(co.d, 0) / (len(sent) - 1) END AS coherence,
+            CASE WHEN len(tw) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(tw, kw))::DOUBLE / len(tw) END AS context_recall,
+            CASE WHEN truth <> '' THEN {per('nt.n')} WHEN query = '' THEN 0.0::DOUBLE ELSE {per('nq.n')} END AS context_precision,
+            CASE WHEN truth = '' OR answer = '' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE * (CASE WHEN len(aw) = 0 OR len(tw) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(list_distinct(aw), tw)) / (len(list_distinct(aw)) + len(tw)) END) + 0.5::DOUBLE * greatest(0.0::DOUBLE, coalesce(ta.d, 0)) END AS answer_correctness,
+            CASE WHEN l <= 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - least(l / 10.0::DOUBLE, 1.0::DOUBLE) END AS latency_score
+            FROM f LEFT JOIN qa USING (sample_id) LEFT JOIN ta USING (sample_id) LEFT JOIN {share('qc')} nq USING (sample_id) LEFT JOIN {share('tc')} nt USING (sample_id) LEFT JOIN (SELECT sample_id, sum(greatest(0.0::DOUBLE, d)) AS d FROM ss GROUP BY 1) co USING (sample_id)),
+        m AS (SELECT sample_id, metric, round(score, 6) AS score FROM v UNPIVOT (score FOR metric IN (faithfulness, answer_relevance, context_relevance, coherence, context_recall, context_precision, answer_correctness, latency_score)))"""
+
+
 def two_sided(name: str, src: str, t: str, v: str | None) -> str:
     """A CTE: `src` with p, twice the upper tail at |t| of Student's distribution with v degrees (None: normal), by Simpson's rule."""
     x = f"(abs({t}) * i / 4000.0::DOUBLE)"
@@ -223,6 +274,10 @@ ORACLE = {
         n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i FROM k WHERE content <> '')
         SELECT doc_id || '_chunk_' || i AS chunk_id, doc_id, CAST(i AS INTEGER) AS chunk_index, content, CAST(s AS INTEGER) AS char_start, CAST(e AS INTEGER) AS char_end, 'fixed' AS chunking_strategy FROM n""",
     "chunk_recursive": recursive_sql(),
+    "chunk_semantic": semantic_sql(),
+    "metrics_all": f"{metrics_sql()} SELECT * FROM m",
+    "ragas_overall": f"""{metrics_sql()}, y AS (SELECT metric, avg(score) AS a FROM m WHERE metric IN ('faithfulness', 'answer_relevance', 'context_precision', 'context_recall') GROUP BY 1)
+        SELECT round(coalesce(count(*) FILTER (a > 0) / sum(1.0::DOUBLE / a) FILTER (a > 0), 0.0::DOUBLE), 6) AS overall FROM y""",
     "chunk_fixed_tokens": r"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS t FROM documents), w AS (SELECT doc_id, t, unnest(list_filter(range(0, len(t), 112), lambda s: s = 0 OR s - 112 + 128 < len(t))) AS s FROM t),
         n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i FROM w)
         SELECT doc_id || '_chunk_' || i AS chunk_id, doc_id, CAST(i AS INTEGER) AS chunk_index, array_to_string(t[s + 1 : s + 128], ' ') AS content, CAST(s AS INTEGER) AS token_start, CAST(least(s + 128, len(t)) AS INTEGER) AS token_end, 'fixed' AS chunking_strategy FROM n""",

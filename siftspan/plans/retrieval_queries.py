@@ -293,6 +293,47 @@ def windows_sql(text: str, size: int) -> str:
     return f"list_transform(list_filter(range(0, greatest(len({w}), 1), {stride}), lambda s: s = 0 OR s - {stride} + {size} < len({w})), lambda s: array_to_string(({w})[s + 1 : s + {size}], ' '))"
 
 
+def asked_sql(n: int, src: str, k: int) -> str:
+    """CTEs qt{n}, raw{n} and hits{n} (query_id, doc_id, score, rank): the k best by BM25 of src(query_id, query)."""
+    return f"""qt{n} AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOK.format('query')}) AS term FROM {src}) GROUP BY 1, 2),
+        raw{n} AS (SELECT query_id, doc_id, sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1.0::DOUBLE) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS s FROM qt{n} JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
+        hits{n} AS MATERIALIZED ({_ranked(f'raw{n}', k)})"""
+
+
+def evidence_sql(n: int, found: str) -> str:
+    """CTE ev{n} (query_id, found, last): how many documents a query has found, and the text of the last one."""
+    return f"ev{n} AS (SELECT query_id, count(*) AS found, arg_max(text, {{'a': step, 'b': -score, 'c': doc_id}}) AS last FROM {found} JOIN documents USING (doc_id) GROUP BY 1)"
+
+
+def rounds_sql(rounds: int, per: int, k: int, decay: float, ask_first: bool) -> str:
+    """Rounds of searches with refined queries: `ask_first` refines before each search and stops after it."""
+    out, found = [f"WITH {Q}, {TF}"], None
+    state = "q"
+    for n in range(rounds):
+        if ask_first:
+            if found:
+                out.append(evidence_sql(n, found))
+                out.append(f"a{n} AS (SELECT query_id, q.query || ' ' || coalesce(substr(last, 1, 200), '') AS query, coalesce(found, 0) >= 6 AS final FROM (SELECT query_id FROM {state}) JOIN q USING (query_id) LEFT JOIN ev{n} USING (query_id))")
+            else:
+                out.append(f"a{n} AS (SELECT query_id, query || ' ' AS query, false AS final FROM q)")
+            state = f"a{n}"
+        out.append(asked_sql(n, state, per))
+        seen = f" AND (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM {found})" if found else ""
+        out.append(f"r{n} AS (SELECT query_id, doc_id, score * (1.0::DOUBLE - {decay}::DOUBLE * {n}) AS score, {n} AS step FROM hits{n} WHERE true{seen})")
+        out.append(f"f{n} AS MATERIALIZED (SELECT * FROM r{n}{f' UNION ALL SELECT * FROM {found}' if found else ''})")
+        found = f"f{n}"
+        if ask_first:
+            out.append(f"b{n} AS (SELECT query_id FROM a{n} WHERE NOT final)")
+            state = f"b{n}"
+        else:
+            out.append(evidence_sql(n, found))
+            out.append(f"a{n} AS (SELECT query_id, q.query || ' ' || coalesce(substr(last, 1, 200), '') AS query FROM (SELECT query_id FROM {state}) JOIN q USING (query_id) LEFT JOIN ev{n} USING (query_id) WHERE coalesce(found, 0) < 6)")
+            state = f"a{n}"
+    # Products of rounded scores have halves in the seventh digit: they are rounded as the decimals that they are written as.
+    ranked = _ranked(found, k, "CAST(round(CAST(CAST(score0 AS VARCHAR) AS DECIMAL(38, 20)), 6) AS DOUBLE)", cols=", step").replace(f"FROM {found}", f"FROM (SELECT query_id, doc_id, score AS score0, step FROM {found})")
+    return ", ".join(out) + f" {ranked}"
+
+
 QUERIES = {
     "tokenize_tf": tokenize_tf, "doc_freq": doc_freq, "doc_len_stats": doc_len_stats, "bm25_topk": bm25_topk, "bm25_threshold": bm25_threshold, "bm25_custom_params": bm25_custom_params,
     "dense_topk": _search("cosine"), "dense_threshold": _search("cosine", threshold=0.2), "vector_l2_topk": _search("l2"), "vector_l2_similarity": _search("l2", kind="similarity"), "vector_dot_topk": _search("dot"),
@@ -360,6 +401,14 @@ ORACLE = {
         n AS (SELECT query_id, doc_id, br.score AS b, length('Document ' || ((rank - 1) % 5 + 1) || ' (ID: ' || doc_id || '):' || chr(10) || substr(text, 1, 500)) AS l FROM br JOIN documents USING (doc_id)),
         m AS (SELECT *, CASE WHEN l >= 400 THEN 'relevant' ELSE 'irrelevant' END AS relevance, 'complementary' AS note_type, CAST(l AS VARCHAR) AS key_info FROM n),
         f AS (SELECT *, {NOTED} AS s, b AS original_score FROM m), z AS ({_ranked('f', 8, 'round(s, 6)', cols=', relevance, key_info, note_type, original_score')}) SELECT * FROM z""",
+    "multi_hop": rounds_sql(3, 3, 10, 0.1, False),
+    "ircot": rounds_sql(3, 3, 10, 0.05, True),
+    "self_rag": f"""WITH {Q}, {TF}, {asked_sql(0, 'q', 10)},
+        j0 AS MATERIALIZED (SELECT query_id, doc_id, score * sh AS score, sh > 0.2::DOUBLE AS good, 0 AS step FROM (SELECT query_id, doc_id, score, {SHARE} AS sh FROM hits0 JOIN q USING (query_id) JOIN documents USING (doc_id))),
+        k0 AS (SELECT query_id, doc_id, score, step FROM j0 WHERE good), {evidence_sql(0, 'k0')},
+        a0 AS (SELECT q.query_id, q.query || ' ' || coalesce(substr(last, 1, 200), '') AS query FROM q LEFT JOIN ev0 USING (query_id) WHERE coalesce(found, 0) < 5), {asked_sql(1, 'a0', 10)},
+        j1 AS (SELECT query_id, doc_id, score * sh AS score, sh > 0.2::DOUBLE AS good, 1 AS step FROM (SELECT query_id, doc_id, score, {SHARE} AS sh FROM hits1 JOIN q USING (query_id) JOIN documents USING (doc_id)) WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM j0)),
+        k AS (SELECT query_id, doc_id, score AS score0, step FROM k0 UNION ALL SELECT query_id, doc_id, score, step FROM j1 WHERE good) {_ranked('k', 5, 'round(score0, 6)', cols=', step')}""",
     "optimizer_trials": f"{TRIALS} SELECT * FROM tr",
     "optimizer_best": f"{TRIALS} SELECT trial AS number, value FROM tr ORDER BY value DESC, trial LIMIT 1",
 }
