@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from siftspan.llm.common import text_slices
+from siftspan.llm.common import text_slices, tidy
 
 #: White space as Unicode has it (Python's own class also takes U+001C to U+001F).
 WS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -288,7 +288,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), pa.array([coder.decode(r.tolist()) for r in runs], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +309,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 b.append(sha256(coder.decode(ids).encode("utf-8")).hexdigest())
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def crc32(ids: np.ndarray) -> int:

@@ -18,7 +18,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +43,11 @@ def spanning(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = up
 
 
-def linked(spark: SparkSession, rows: DataFrame, block: int, find: Callable[[pd.DataFrame, pd.DataFrame], object], label: str, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(spark: SparkSession, rows: DataFrame, block: int, find: Callable[[pa.Table, pa.Table], object], label: str, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Links of `rows(id long, home boolean, cell long, ...)`: (id, n_links) of rows that have any, (node, component).
 
     A link counts as many times as the column `weight` of its other end says, once without one. `find(queries,
-    targets)` yields arrays (i, j) of row numbers of linked rows of two frames.
+    targets)` yields arrays (i, j) of row numbers of linked rows of two tables, each of one chunk.
     """
     counts = rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("h"))
     # As many numbers as cells: the callers bound them by their pivots or their grid.
@@ -64,13 +64,14 @@ def linked(spark: SparkSession, rows: DataFrame, block: int, find: Callable[[pd.
     keep = [c for c in rows.columns if c not in ("_nq", "_nt")]
     dealt = rows.select(*keep, F.explode(copies).alias("c")).select(*keep, "c.*")
 
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id", kind="stable").reset_index(drop=True)
-        ids, home, role = frame["id"].to_numpy(), frame["home"].to_numpy(bool), frame["role"].to_numpy()
-        many = frame[weight].to_numpy(np.int64) if weight else np.ones(len(frame), np.int64)
-        links, labels = np.zeros(len(frame), np.int64), np.arange(len(frame))
+    def group(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        table = table.take(pa.array(np.argsort(table.column("id").to_numpy(), kind="stable")))
+        ids, home, role = (table.column(c).to_numpy() for c in ("id", "home", "role"))
+        many = table.column(weight).to_numpy() if weight else np.ones(len(ids), np.int64)
+        links, labels = np.zeros(len(ids), np.int64), np.arange(len(ids))
         one, two = np.flatnonzero(role & QUERY), np.flatnonzero(role & TARGET)
-        for i, j in find(frame.iloc[one], frame.iloc[two]):
+        for i, j in find(table.take(pa.array(one)).combine_chunks(), table.take(pa.array(two)).combine_chunks()):
             i, j = one[i], two[j]
             new = ~home[j] | (i < j)  # rows are ordered by id, and two home rows are compared from the smaller one
             i, j = i[new], j[new]
@@ -78,8 +79,8 @@ def linked(spark: SparkSession, rows: DataFrame, block: int, find: Callable[[pd.
             np.add.at(links, j, many[i])
             spanning(labels, i, j)
         out = links > 0
-        return pd.DataFrame({"id": ids[out], "n": links[out], "root": ids[labels[out]]})
+        return pa.table({"id": ids[out], "n": links[out], "root": ids[labels[out]]})
 
-    made = dealt.groupBy("cell", "q", "t").applyInPandas(group, "id long, n long, root long")
+    made = dealt.groupBy("cell", "q", "t").applyInArrow(group, "id long, n long, root long")
     made, _ = cut(spark, made, f"{label}-links")
     return made.groupBy("id").agg(F.sum("n").alias("n_links")), components(spark, made.select(F.col("id").alias("a"), F.col("root").alias("b")), label)

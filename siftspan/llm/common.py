@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -30,17 +31,39 @@ def text_slices(batches: Iterable[pa.RecordBatch], limit: int = SLICE_BYTES) ->
             yield ids.slice(at).to_pylist(), [t or "" for t in texts.slice(at).to_pylist()]
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, whose worker gives freed memory back to the system at its end: workers live on, and an
+    executor has several of them at rest beside those that work."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 #: Rows of an Arrow batch, where the session does not ask for fewer: texts are long, and Spark's 10,000 rows of them
 #: are held several times over by the executor and its Python workers.
 BATCH_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Sets the session's Arrow batches to BATCH_ROWS rows at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
+    """Sets the session's Arrow batches to BATCH_ROWS rows at most: what is computed later runs under this setting, so the
+    registered queries leave it; `corpus_pipeline.run`, which writes all that it computes, sets it back."""
+    now = int(spark.conf.get(ARROW_ROWS))
     if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -122,7 +145,7 @@ def components(spark: SparkSession, edges: DataFrame, label: str = "cc", max_rou
     big, small = F.greatest("a", "b"), F.least("a", "b")
     e = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b"))).select(big.alias("a"), small.alias("b")).distinct()
     if e.count() <= TASK_EDGES:
-        return e.coalesce(1).mapInArrow(_forest, "node long, component long")
+        return e.coalesce(1).mapInArrow(tidy(_forest), "node long, component long")
     e, path = cut(spark, e, label)
     for _ in range(max_rounds):
         # A node with two out-edges, or a target that has an out-edge itself, means that stars have not formed yet.

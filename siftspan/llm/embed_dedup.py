@@ -19,13 +19,12 @@ import math
 from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspan.llm.cells import linked
-from siftspan.llm.common import cut
+from siftspan.llm.common import cut, tidy
 
 #: Rows of a block; vectors to a pivot; pivots at most (they are sent to every task: 4096 of 64 doubles are 2 MB).
 BLOCK, PER_PIVOT, MAX_PIVOTS = 16384, 32768, 4096
@@ -91,10 +90,10 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
 def _finder(threshold: float) -> Callable:
     """`find` of `cells.linked`: rows whose vectors have a cosine of `threshold` or more."""
 
-    def find(a: pd.DataFrame, b: pd.DataFrame):
+    def find(a: pa.Table, b: pa.Table):
         if not len(a) or not len(b):
             return
-        x, y = scaled(matrix(a["v"])), scaled(matrix(b["v"]))
+        x, y = (scaled(np.asarray(t.column("v").chunk(0).flatten(), np.float64).reshape(len(t), -1)) for t in (a, b))
         p, q = (unit(z).astype(np.float32) for z in (x, y))
         for at in range(0, len(x), 256):
             i, j = np.nonzero(p[at : at + 256] @ q.T >= threshold - MARGIN)
@@ -154,7 +153,7 @@ def _join(spark: SparkSession, classes: DataFrame, threshold: float) -> tuple[Da
 
     radius = np.full(n_pivots, -1.0)
     if n_pivots:
-        for r in classes.select("v").mapInArrow(far, "cell long, cosine double").groupBy("cell").agg(F.min("cosine").alias("cosine")).collect():
+        for r in classes.select("v").mapInArrow(tidy(far), "cell long, cosine double").groupBy("cell").agg(F.min("cosine").alias("cosine")).collect():
             radius[r["cell"]] = math.acos(max(-1.0, min(1.0, r["cosine"])))
 
     def place(batches):
@@ -175,5 +174,5 @@ def _join(spark: SparkSession, classes: DataFrame, threshold: float) -> tuple[Da
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("v").take(take), batch.column("copies").take(take), pa.array(own), pa.array(cell)], names=["id", "v", "copies", "home", "cell"])
 
     kind = classes.schema["v"].dataType.simpleString()
-    placed = classes.select("id", "v", "copies").mapInArrow(place, f"id long, v {kind}, copies long, home boolean, cell long")
+    placed = classes.select("id", "v", "copies").mapInArrow(tidy(place), f"id long, v {kind}, copies long, home boolean, cell long")
     return linked(spark, placed, BLOCK, _finder(threshold), "vectors", weight="copies")

@@ -31,14 +31,13 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from siftspan.llm.common import cut, remove, text_slices
+from siftspan.llm.common import cut, remove, text_slices, tidy
 
 MIN_WORDS = 20
 SHORT = 4
@@ -244,7 +243,7 @@ def shared_blocks(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
                 yield pa.record_batch([pa.array(doc[key]), pa.array(th[key]), pa.array(h.view(np.int64)), pa.array(begin[first].astype(np.int32)), pa.array(end[last].astype(np.int32))], names=["doc", "th", "run", "begin", "end"])
                 at += len(keys)
 
-    made, made_at = cut(spark, keyed.mapInArrow(cut_up, "doc long, th long, run long, begin int, end int"), "lines-runs")
+    made, made_at = cut(spark, keyed.mapInArrow(tidy(cut_up), "doc long, th long, run long, begin int, end int"), "lines-runs")
     # Holders are counted as their least and greatest, combined before the shuffle.
     holders = made.groupBy("run").agg(F.min("doc").alias("holder"), F.max("doc").alias("other")).where(F.col("holder") != F.col("other")).select("run", "holder")
     held, held_at = cut(spark, made.join(holders, "run"), "lines-held")
@@ -268,16 +267,16 @@ def shared_blocks(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
                 spans.append(merged([b for rows in pairs.values() for b in aligned(rows)]))
             yield pa.record_batch([batch.column("doc"), batch.column("th"), *(pa.array([[s[k] for s in x] for x in spans], pa.list_(pa.int32())) for k in (0, 1))], names=["doc", "th", "begins", "ends"])
 
-    return by_doc.mapInArrow(align, "doc long, th long, begins array<int>, ends array<int>"), [made_at, held_at]
+    return by_doc.mapInArrow(tidy(align), "doc long, th long, begins array<int>, ends array<int>"), [made_at, held_at]
 
 
-@F.pandas_udf(StringType())
-def without(texts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def without(texts: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
     """Texts without spans, which are in order and do not touch; a null text or null spans give null."""
     out = []
-    for text, gone, to in zip(texts, begins, ends, strict=True):
+    for text, gone, to in zip(texts.to_pylist(), begins.to_pylist(), ends.to_pylist(), strict=True):
         out.append(None if text is None or gone is None else "".join(text[a:b] for a, b in zip([0, *to], [*gone, len(text)], strict=True)))
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.string())
 
 
 def dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

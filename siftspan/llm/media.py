@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspan.llm.common import SLICE_BYTES, text_slices
+from siftspan.llm.common import SLICE_BYTES, text_slices, tidy
 
 UNIT = 576
 ROW = 3  # blocks in a row of blocks of a small image; larger ones get wider rows, as no side may exceed 65,535
@@ -400,7 +400,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", image
             kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * images
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")] + ["media"] * images)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA + ", media binary" * images)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), SCHEMA + ", media binary" * images)
 
 
 def thumbnails(rows: DataFrame, id_col: str = "image_id", image_col: str = "image") -> DataFrame:
@@ -443,4 +443,4 @@ def thumbnails(rows: DataFrame, id_col: str = "image_id", image_col: str = "imag
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.string()]
             yield pa.record_batch([batch.column(0), *(pa.array([r[c] for r in out], t) for c, t in enumerate(kinds))], names=["id", "width", "height", "thumbnail_hash", "thumbnail_sha256", "thumbnail", "error"])
 
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).cast("binary").alias("image")).mapInArrow(run, "id long, width int, height int, thumbnail_hash string, thumbnail_sha256 string, thumbnail binary, error string")
+    return rows.select(F.col(id_col).cast("long").alias("id"), F.col(image_col).cast("binary").alias("image")).mapInArrow(tidy(run), "id long, width int, height int, thumbnail_hash string, thumbnail_sha256 string, thumbnail binary, error string")

@@ -7,7 +7,7 @@ cut points lie more than a window apart, any place between them (a large penalty
     cost(i) = penalty(i) + min over cut points j with 0 < i - j <= size of cost(j) + size - (i - j),
 
 and since the term in j is cost(j) + j alone, the minimum over the sliding window of cut points comes from a monotone
-queue: every point enters and leaves once. The stream is cut into buffers of whole documents; what the last window of
+queue: every point enters and leaves once. The stream is cut into buffers; what the last window of
 a buffer holds is carried into the next one, so only the last window of a partition is left short.
 """
 
@@ -21,10 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from siftspan.llm import bpe
-from siftspan.llm.common import text_slices
+from siftspan.llm.common import text_slices, tidy
 
 SENTENCE, CLAUSE, INSIDE = 8, 12, 256  # penalties in tokens of padding of cuts after a sentence, a clause, any token
-BUFFER = 1 << 18  # tokens that are packed together
+BUFFER = 1 << 18  # tokens that are packed together, and up to twice as many; a longer document is packed in parts
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, doc_row long"
 
 
@@ -87,46 +87,45 @@ def pack_stream(docs, kinds: np.ndarray, size: int, first_id: int, buffer: int =
     held: list[tuple] = []  # (id, row, ids, start): what is not packed yet
     tokens, sequence = 0, first_id
 
-    def flush(last: bool):
+    def flush(last: bool) -> list[tuple]:
+        """Packs up to two buffers of what is held. But at the very end, the last window is left for what comes next."""
         nonlocal held, tokens, sequence
-        if not tokens:
-            return [], held
-        sizes = np.array([len(d[2]) - d[3] for d in held], np.int64)
-        ends = np.cumsum(sizes)
-        flat = np.concatenate([d[2][d[3] :] for d in held])
-        kind = kinds[flat[: tokens - 1]]
-        cuts = windows(*cut_points(ends, np.flatnonzero(kind == 1) + 1, size, np.flatnonzero(kind == 2) + 1), size)
+        want, flat, ends = min(tokens, 2 * buffer), [], []
+        for _, _, ids, start in held:
+            flat.append(ids[start : start + want - (ends[-1] if ends else 0)])
+            ends.append((ends[-1] if ends else 0) + len(flat[-1]))
+            if ends[-1] == want:
+                break
+        kind = kinds[np.concatenate(flat)[: want - 1]]
+        cuts = windows(*cut_points(np.array(ends), np.flatnonzero(kind == 1) + 1, size, np.flatnonzero(kind == 2) + 1), size)
         rows, k, at = [], 0, 0
-        for end in cuts if last or len(cuts) < 2 else cuts[:-1]:
-            offset, begin = 0, at
+        for end in cuts if last and want == tokens or len(cuts) < 2 else cuts[:-1]:
+            offset = 0
             while at < end:
                 doc_id, row, ids, start = held[k]
-                done = at - (int(ends[k]) - len(ids) + start) + start
-                take = min(end, int(ends[k])) - at
+                done = start + at - (ends[k] - len(flat[k]))
+                take = min(end, ends[k]) - at
                 rows.append((doc_id, done, take, bpe.crc32(ids[done : done + take]), len(ids), sequence, offset, row))
                 at += take
                 offset += take
-                if at == ends[k]:
-                    k += 1
-            sequence += int(end > begin)
-        rest = []
-        for x in range(k, len(held)):
-            doc_id, row, ids, start = held[x]
-            begin = int(ends[x]) - (len(ids) - start)
-            rest.append((doc_id, row, ids, start + max(0, at - begin)))
+                k += at == ends[k]
+            sequence += 1
+        rest, left = [], at
+        for doc_id, row, ids, start in held:
+            gone = min(left, len(ids) - start)
+            left -= gone
+            if start + gone < len(ids):
+                rest.append((doc_id, row, ids, start + gone))
         held, tokens = rest, tokens - at
-        return rows, held
+        return rows
 
     for doc_id, row, ids in docs:
         held.append((doc_id, row, ids, 0))
         tokens += len(ids)
-        if tokens >= buffer:
-            rows, _ = flush(False)
-            if rows:
-                yield rows
-    rows, _ = flush(True)
-    if rows:
-        yield rows
+        while tokens >= buffer:
+            yield flush(False)
+    while tokens:
+        yield flush(True)
 
 
 def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", max_codes: int | None = None) -> DataFrame:
@@ -134,8 +133,8 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
 
     A document is the ids of its whole text and then `end_id`, so that a null or empty text is one token. Rows with
     the same id or text are packed each for itself (doc_row tells them apart within a partition). The stream of a
-    partition is packed by its task alone: no shuffle, memory for one buffer of about BUFFER tokens or one document,
-    and sequence ids that start at 2^33 times the partition's number. An empty table gives no rows. `max_codes` bounds
+    partition is packed by its task alone: no shuffle, memory for the ids of one document and a few buffers of BUFFER
+    tokens, and sequence ids that start at 2^33 times the partition's number. An empty table gives no rows. `max_codes` bounds
     the encoder's dictionaries: fewer take less memory and more time.
     """
 
@@ -155,4 +154,4 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
         for rows in pack_stream(stream(), kinds, size, TaskContext.get().partitionId() << 33):
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), SCHEMA)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspan.llm.common import cut, text_slices
+from siftspan.llm.common import cut, text_slices, tidy
 from siftspan.llm.toxicity import logistic, training_rows
 
 #: Bounds of the fit: about so many labelled documents, by a hash of their ids, and so many lines of whole documents in
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
                 lines = lines_of(text)
                 yield pa.record_batch([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([features(lines).astype("<f4").tobytes()], pa.binary()), pa.array([np.array([len(x) + 1 for x in lines], "<f8").tobytes()], pa.binary())], names=["id", "y", "own", "length"])
 
-    found = sorted(rows.mapInArrow(run, "id long, y int, own binary, length binary").collect(), key=lambda r: (r["id"], r["own"]))
+    found = sorted(rows.mapInArrow(tidy(run), "id long, y int, own binary, length binary").collect(), key=lambda r: (r["id"], r["own"]))
     y = np.array([r["y"] for r in found])
     if not len(y) or y.min() == y.max():
         return Crf()
@@ -242,4 +242,4 @@ def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "te
             bad = np.bincount(np.repeat(np.arange(len(sizes)), sizes), p < 0.5, minlength=len(sizes)).astype(np.int64)
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(s), pa.array(sizes), pa.array(bad)], names=["doc_id", "score", "n_lines", "bad_lines"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double, n_lines long, bad_lines long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), "doc_id long, score double, n_lines long, bad_lines long")

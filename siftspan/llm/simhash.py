@@ -18,14 +18,13 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspan.llm.cells import linked
-from siftspan.llm.common import cut, text_slices
+from siftspan.llm.common import cut, text_slices, tidy
 
 BLOCK = 65536
 #: Grids to choose from, as (segments, counts of a cell's side), and what a copy and a compared pair cost, in seconds.
@@ -78,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(prints)], names=["doc_id", "bits"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, bits long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), "doc_id long, bits long")
 
 
 def _costs(size: int, width: int, radius: int) -> list[np.ndarray]:
@@ -150,14 +149,14 @@ def cells_of(prints: DataFrame, radius: int, segments: int, width: int) -> DataF
                 row, cell = row[keep], cell[keep]
                 yield pa.record_batch([pa.array(part.view(np.int64)[row]), pa.array(cell == own[row]), pa.array(cell)], names=["id", "home", "cell"])
 
-    return prints.select("id").mapInArrow(place, "id long, home boolean, cell long")
+    return prints.select("id").mapInArrow(tidy(place), "id long, home boolean, cell long")
 
 
 def _finder(radius: int):
     """`find` of `cells.linked`: fingerprints that differ in at most `radius` bits."""
 
-    def find(a: pd.DataFrame, b: pd.DataFrame):
-        x, y = a["id"].to_numpy().view(np.uint64), b["id"].to_numpy().view(np.uint64)
+    def find(a: pa.Table, b: pa.Table):
+        x, y = (t.column("id").to_numpy().view(np.uint64) for t in (a, b))
         step = max(1, (1 << 16) // max(1, len(y)))
         mixed, counts = np.empty((step, len(y)), np.uint64), np.empty((step, len(y)), np.uint8)
         for at in range(0, len(x) if len(y) else 0, step):
@@ -192,7 +191,7 @@ def sized_links(spark: SparkSession, prints: DataFrame, radius: int, jaccard: fl
             own = np.arange(len(i)) < len(home)
             yield pa.record_batch([batch.column("bits").take(pa.array(i)), pa.array(own), pa.array(home[i] - ~own)], names=["id", "home", "cell"])
 
-    rows = prints.mapInArrow(place, "id long, home boolean, cell long").distinct()
+    rows = prints.mapInArrow(tidy(place), "id long, home boolean, cell long").distinct()
     return linked(spark, rows, SIZE_BLOCK, _finder(radius), "simhash")[1]
 
 
@@ -210,13 +209,17 @@ def alike(spark: SparkSession, texts: DataFrame, radius: int, words: int, jaccar
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *found]))
             yield pa.record_batch([batch.column("th"), batch.column("bits"), batch.column("cell"), pa.ListArray.from_arrays(pa.array(at), flat)], names=["id", "bits", "cell", "shingles"])
 
-    def find(a: pd.DataFrame, b: pd.DataFrame):
-        x, y = a["bits"].to_numpy().view(np.uint64), b["bits"].to_numpy().view(np.uint64)
-        left, right = a["shingles"].tolist(), b["shingles"].tolist()
-        n, m = np.array([len(v) for v in left], np.int64), np.array([len(v) for v in right], np.int64)
-        known = {k: i for i, k in enumerate(dict.fromkeys([*a["id"].tolist(), *b["id"].tolist()]))}
-        one, two = (np.array([known[k] for k in f["id"].tolist()], np.int64) for f in (a, b))
-        label = np.arange(len(known))
+    def find(a: pa.Table, b: pa.Table):
+        if not len(a) or not len(b):
+            return
+        x, y = (t.column("bits").to_numpy().view(np.uint64) for t in (a, b))
+        lists = [t.column("shingles").chunk(0) for t in (a, b)]
+        flat = [np.asarray(v.flatten()) for v in lists]
+        n, m = (np.asarray(v.value_lengths(), np.int64) for v in lists)
+        left, right = (np.split(f, np.cumsum(k)[:-1]) for f, k in zip(flat, (n, m), strict=True))
+        ids, label = np.unique(np.concatenate([t.column("id").to_numpy() for t in (a, b)]), return_inverse=True)
+        one, two = label[: len(a)], label[len(a) :]
+        label = np.arange(len(ids))
         for i in range(len(x) if len(y) else 0):
             near = (np.bitwise_count(y ^ x[i]) <= radius) & (np.minimum(m, n[i]) >= jaccard * np.maximum(m, n[i]))
             for j in np.flatnonzero(near & (label[two] != label[one[i]])).tolist():
@@ -228,7 +231,7 @@ def alike(spark: SparkSession, texts: DataFrame, radius: int, words: int, jaccar
                     label[label == max(p, q)] = min(p, q)
                     yield np.array([i]), np.array([j])
 
-    rows = texts.mapInArrow(sets, "id long, bits long, cell long, shingles array<long>").withColumn("home", F.lit(True))
+    rows = texts.mapInArrow(tidy(sets), "id long, bits long, cell long, shingles array<long>").withColumn("home", F.lit(True))
     rows, _ = cut(spark, rows, "shingles")
     return linked(spark, rows, SHINGLE_BLOCK, find, "alike")[1]
 
@@ -261,7 +264,7 @@ def sized_prints(docs: DataFrame, text_col: str, words: int) -> DataFrame:
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(np.array(bits, np.uint64).view(np.int64)), pa.array(n, pa.int64())], names=["th", "bits", "n"])
 
     text = F.col(text_col).cast("string")
-    made = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, "th long, bits long, n long")
+    made = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(tidy(run), "th long, bits long, n long")
     return made.groupBy("th").agg(F.min("bits").alias("bits"), F.min("n").alias("n"))
 
 

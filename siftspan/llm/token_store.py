@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspan.llm import bpe
-from siftspan.llm.common import shared_dir, text_slices
+from siftspan.llm.common import shared_dir, text_slices, tidy
 
 MAGIC = b"TIDS0001"
 INDEX = np.dtype([("doc_id", "<i8"), ("valid", "<i8"), ("start", "<i8"), ("n_tokens", "<i8"), ("offset", "<i8"), ("length", "<i8")])
@@ -182,7 +182,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str | None =
     sizes = dict(map(tuple, hashed.select("h", F.octet_length("text").alias("n")).orderBy("h", "n").limit(SAMPLE_DOCS).collect()))
     chosen = [h for h, total in zip(sizes, np.cumsum(list(sizes.values())), strict=True) if total <= SAMPLE_BYTES]
     sample = hashed.where(F.col("h") <= chosen[-1]).groupBy("h").agg(F.min("text").alias("text")) if chosen else hashed.where("false")
-    pieces = [r["ids"][at : at + PIECE] for r in sample.select("h", "text").mapInArrow(ids_of, "ids binary").collect() for at in range(0, len(r["ids"]), PIECE)]
+    pieces = [r["ids"][at : at + PIECE] for r in sample.select("h", "text").mapInArrow(tidy(ids_of), "ids binary").collect() for at in range(0, len(r["ids"]), PIECE)]
     dictionary = train_dictionary(sorted(pieces))
     put(folder, f"{sha256(dictionary).hexdigest()}.dict", lambda out: out.write(dictionary))
 
@@ -211,7 +211,7 @@ def write(spark: SparkSession, docs: DataFrame, path: str, folder: str | None =
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     parts = max(4 * spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
     ordered = rows.repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), F.col("text"))
-    made = sorted(map(tuple, ordered.mapInArrow(shards, "name string, docs long, ids long").collect()))
+    made = sorted(map(tuple, ordered.mapInArrow(tidy(shards), "name string, docs long, ids long").collect()))
     before, listed = 0, []
     for name, n, ids in made:
         listed.append({"name": name, "docs": n, "ids": ids, "before": before})
@@ -238,4 +238,4 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
                 reader.close()
 
     shards = spark.createDataFrame([(s["name"], s["before"]) for s in listed], "name string, before long")
-    return shards.repartition(len(listed)).mapInArrow(run, schema)
+    return shards.repartition(len(listed)).mapInArrow(tidy(run), schema)

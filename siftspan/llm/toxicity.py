@@ -22,12 +22,11 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftspan.llm.common import cut, text_slices
+from siftspan.llm.common import cut, text_slices, tidy
 
 #: Characters that look like Latin letters, each before that letter, and signs that stand for letters.
 HOMOGLYPHS = {pair[0]: pair[1:] for pair in "аa вb еe кk мm нh оo рp сc тt уy хx ѕs іi јj һh ԁd ԛq ԝw αa βb εe ηn ιi κk νv οo ρp τt υu χx ωw ıi łl øo đd ßss".split()}
@@ -164,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         terms = list(seen)
         yield pa.record_batch([pa.array(terms, pa.string()), pa.array([seen[t][1] for t in terms], pa.int64()), pa.array([seen[t][0] for t in terms], pa.int64())], names=["term", "t", "c"])
 
-    counts = rows.select("text", "y").mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    counts = rows.select("text", "y").mapInArrow(tidy(count), "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     # As many distinct terms as a sample of this size has, on the safe side, are what chance may choose from.
     floor = 2 * math.log(50 * (n_t + n_c)) + 6
     strong = counts.where((F.col("t") >= MIN_ROWS) & (F.col("t") * n_c > 4 * F.col("c") * n_t) & (likelihood_ratio(F.col("t"), F.col("c"), n_t, n_c) > floor))
@@ -176,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
             weights[term] = odds[term]
     lexicon = Lexicon(weights)
     lexicon.exceptions = _exceptions(rows, lexicon)
-    sums = rows.select("text", "y").mapInArrow(_burdens(lexicon), "x double, y int").toPandas()
+    sums = rows.select("text", "y").mapInArrow(tidy(_burdens(lexicon)), "x double, y int").toPandas()
     lexicon.slope, lexicon.offset = logistic(sums["x"].to_numpy(), sums["y"].to_numpy(float))
     lexicon.slope = max(lexicon.slope, 0.0)
     return lexicon
@@ -207,7 +206,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
         pairs = list(seen)
         yield pa.record_batch([pa.array([p for p, _ in pairs], pa.string()), pa.array([y for _, y in pairs], pa.int32()), pa.array([seen[p] for p in pairs], pa.int64())], names=["pair", "y", "n"])
 
-    found = rows.select("text", "y").mapInArrow(run, "pair string, y int, n long").groupBy("pair").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
+    found = rows.select("text", "y").mapInArrow(tidy(run), "pair string, y int, n long").groupBy("pair").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
     return sorted(r["pair"] for r in found.where((F.col("t") == 0) & (F.col("c") >= 3)).collect())
 
 
@@ -225,17 +224,17 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
             z = np.clip(lexicon.slope * np.array([m[0] for m in made]) + lexicon.offset, -500, 500)
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(1 / (1 + np.exp(-z))), pa.array([m[1] for m in made], pa.int64())], names=["doc_id", "score", "n_terms"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, score double, n_terms long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), "doc_id long, score double, n_terms long")
 
 
 def clean(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` whose score is under the threshold, all columns as they are."""
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def of(texts: pa.Array) -> pa.Array:
         found = _kept(lexicon)
-        z = np.clip(lexicon.slope * np.array([burden(found, t or "")[0] for t in texts]) + lexicon.offset, -500, 500)
-        return pd.Series(1 / (1 + np.exp(-z)))
+        z = np.clip(lexicon.slope * np.array([burden(found, t or "")[0] for t in texts.to_pylist()]) + lexicon.offset, -500, 500)
+        return pa.array(1 / (1 + np.exp(-z)))
 
     return docs.where(of(F.col(text_col).cast("string")) < threshold)
 

@@ -307,34 +307,91 @@ def test_oracle_of_secrets(spark, make, tmp_path):
     assert sorted(map(tuple, queries.op5_secrets(spark, f"file://{tmp_path}").collect())) == want
 
 
+def plain_redaction(text):
+    """All matches of all rules by Python's expressions, marked where they overlap as one."""
+    spans = []
+    for rule in secrets.BASE + secrets.ADDED:
+        spans += [m.span() for m in re.finditer(rule.pattern, text, re.ASCII) if len(m[rule.group]) >= rule.least]
+    out, at = "", 0
+    for begin, end in sorted(spans):
+        if begin >= at:
+            out += text[at:begin] + "[SECRET]"
+        at = max(at, end)
+    return out + text[at:]
+
+
+def near_copies(rows, radius):
+    """(id, text) of the first of each group of texts with fingerprints and sets of shingles that are near, over all pairs."""
+    from siftspan.llm import simhash
+    from tests.llm.test_near_dups import classes
+
+    def shingled(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 0))} or ({tuple(w)} if w else set())
+
+    rows = sorted(rows)
+    sets, bits = [shingled(t) for _, t in rows], [simhash.fingerprint(t, 5) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= radius and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = classes(len(rows), pairs)
+    return {r for k, r in enumerate(rows) if root[k] == k}
+
+
 def test_pipeline(spark, make, tmp_path):
-    """The whole pipeline on planted rows: toxic ones go, repeated passages and secrets too, one of each copy stays."""
+    """Every stage of the pipeline, and all of them, against brute force on planted rows."""
     import corpus_pipeline
+    from tests.llm.test_near_dups import slow_dedup
     from tests.llm.test_tokens import check_pieces
 
-    rows = corpus(random.Random(3), 300)
+    rows = corpus(random.Random(3), 160)
     passage = "Here begins a passage of many words that two documents share. It goes on for a while with more of them. And it ends here at last now."
     texts = [f"{t} number {i} of {i * 7} {i * 13}" for i, t, _ in rows]
     texts[1] += "\n" + passage
     texts[2] += "\n" + passage
-    texts[3] += " password=verysecret1"
+    texts[3] += " password=verysecret1 and ghp_" + "a1" * 20
     texts[6] = texts[5]
+    near = [f"w{k * k % 997}" for k in range(90)]
+    texts += [" ".join(near), " ".join([*near[:50], "changed", *near[51:]]), "", "  ", texts[9]]
     docs = make(texts).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
-    spark.createDataFrame([(i, y, 1) for i, _, y in rows], "doc_id long, toxic int, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
-    state, sf = docs, f"file://{tmp_path}"
-    seen = []
+    labels = spark.createDataFrame([(i, y, 1) for i, _, y in rows], "doc_id long, toxic int, quality int")
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    state, sf, seen = docs, f"file://{tmp_path}", []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, state, sf).write.parquet(f"{sf}/stage{k}")
         state = spark.read.parquet(f"{sf}/stage{k}")
         seen.append(state)
-    toxic = {i for i, _, y in rows if y}
-    ids = [{r["doc_id"] for r in s.collect()} for s in seen]
-    assert not ids[0] & toxic and len(ids[0]) >= 0.99 * (300 - len(toxic)) and all(s.columns == docs.columns for s in seen[:4])
-    line = {r["doc_id"]: r["text"] for r in seen[1].collect()}
-    assert passage in line[1] and passage not in line[2]
-    assert 5 in ids[2] and 6 not in ids[2]
-    last = {r["doc_id"]: r["text"] for r in seen[3].collect()}
-    assert "[SECRET]" in last[3] and "verysecret1" not in last[3]
-    check_pieces(seen[4].collect(), last)
+    got = [{(r["doc_id"], r["text"]) for r in s.collect()} for s in seen[:4]]
+    assert all(s.columns == docs.columns for s in seen[:4])
+    # Toxicity: the lexicon is learned; what it matches is found by trying all terms at all places.
+    lexicon = toxicity.fit(docs, labels)
+    terms = lexicon.weights | {f" {p} ": 0.0 for p in lexicon.exceptions}
+    score = lambda t: lexicon.slope * sum(w for _, w in slow_matches(terms, toxicity.fold(t))) * 100 / (100 + len(toxicity.fold(t).split())) + lexicon.offset
+    want = {(i, t) for i, t in enumerate(texts) if score(t) < 0}
+    assert got[0] == want and {i for i, _, y in rows if y}.isdisjoint(i for i, _ in want) and len(want) >= 0.99 * (165 - sum(y for _, _, y in rows))
+    # Line dedup: all stretches of all earlier texts; what is left empty goes.
+    order = sorted(want)
+    new = dict(zip([i for i, _ in order], slow_dedup(order, 20), strict=True))
+    want = {(i, new[i]) for i, t in order if new[i] == t or new[i].strip()}
+    assert got[1] == want and passage in dict(want)[1] and passage not in dict(want)[2]
+    want = near_copies(want, corpus_pipeline.NEAR_BITS)
+    assert got[2] == want and 160 in dict(want) and 161 not in dict(want)
+    want = {(i, plain_redaction(t)) for i, t in want}
+    assert got[3] == want and "verysecret1" not in dict(want)[3] and dict(want)[3].count("[SECRET]") == 2
+    check_pieces(seen[4].collect(), dict(want))
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).select("doc_id", "start", "length").collect())) == sorted(map(tuple, seen[4].select("doc_id", "start", "length").collect()))
+
+
+def test_stages_with_odd_rows(spark, odd, empty, tmp_path):
+    """Nulls, empty, blank, repeated and long texts pass all stages; an empty table gives no rows."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, toxic int, quality int")
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    for docs, least in ((odd, 4), (empty, 0)):
+        state = docs
+        for name, stage in corpus_pipeline.STAGES:
+            state = stage(spark, state, f"file://{tmp_path}")
+            if name != "packing":
+                assert state.columns == docs.columns
+            state = spark.createDataFrame(state.collect(), state.schema)
+        assert (state.count() >= least) == (least >= 0) and (least or state.count() == 0)

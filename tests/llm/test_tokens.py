@@ -145,3 +145,17 @@ def test_buffers_lose_nothing():
         assert start == got.get(doc, 0) and crc == bpe.crc32(docs[doc][2][start : start + length]) and total == len(docs[doc][2])
         got[doc] = start + length
     assert all(got[d] == len(ids) for d, _, ids in docs) and rows[0][5] == 7
+    ends = {}
+    for *_, length, _, _, sequence, offset, _ in [(r[0], r[1], *r[2:]) for r in rows]:
+        assert offset == ends.get(sequence, 0)
+        ends[sequence] = offset + length
+    assert sorted(ends) == list(range(7, 7 + len(ends))) and max(ends.values()) <= 64
+
+
+def test_one_long_document_without_cuts():
+    """A stretch that nothing breaks, many buffers long, fills its windows."""
+    kinds = np.zeros(100, np.int8)
+    docs = [(1, 0, np.full(30_000, 5, np.int32)), (2, 1, np.full(7, 6, np.int32))]
+    rows = [r for part in packing.pack_stream(iter(docs), kinds, 64, 0, buffer=500) for r in part]
+    assert sum(r[2] for r in rows) == 30_007 and len({r[5] for r in rows}) <= 30_007 // 64 + 2
+    assert [r[1] for r in rows if r[0] == 1] == [sum(x[2] for x in rows[:k]) for k in range(len(rows) - 1)]
