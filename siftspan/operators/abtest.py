@@ -110,11 +110,14 @@ def welch(scores: DataFrame, alpha: float = 0.05, bonferroni: bool = True) -> Da
 
 def rank_sums(scores: DataFrame) -> DataFrame:
     """(metric, n_a, n_b, u, ties): U of A from average ranks, and the sum of t^3 - t over tied values."""
-    # Values are counted first, so a metric's window runs over its distinct values, not over all of its rows.
+    # Values are counted first and sorted in ranges: a window runs over the distinct values of a range, and what lies
+    # before it is a sum over the ranges, of which there are as many as partitions.
     values = scores.groupBy("metric", "score").agg(F.count_if(F.col("arm") == "A").alias("a"), F.count_if(F.col("arm") == "B").alias("b"))
-    t = F.col("a") + F.col("b")
-    before = F.coalesce(F.sum(t).over(W.partitionBy("metric").orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = values.withColumn("rank", before + (t + 1) / 2.0).withColumn("t", t)
+    ranged = values.repartitionByRange("metric", "score").select("*", (F.col("a") + F.col("b")).alias("t"), F.spark_partition_id().alias("part"))
+    ahead = lambda c, *by: F.coalesce(F.sum(c).over(W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = ranged.groupBy("metric", "part").agg(F.sum("t").alias("n")).select("metric", "part", ahead("n", "metric", "part").alias("base"))
+    rows = ranged.select("*", ahead("t", "metric", "part", "score").alias("inner")).join(F.broadcast(parts), ["metric", "part"])
+    rows = rows.withColumn("rank", F.col("base") + F.col("inner") + (F.col("t") + 1) / 2.0)
     sums = rows.groupBy("metric").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * F.col("rank")).alias("r"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     return sums.select("metric", "n_a", "n_b", (F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2.0).alias("u"), "ties")
 

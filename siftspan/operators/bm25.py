@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspan.functions.text import tokens
 from siftspan.operators import blocks
 from siftspan.operators.topk import by_max, topk
+from siftspan.sources.tables import cut
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -33,23 +36,49 @@ def tokenised(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("t"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """What queries need of a corpus: its terms by document, documents by term, their number and mean length."""
+
+    words: DataFrame
+    frequencies: DataFrame
+    n: int
+    mean: float
+
+
+def index(spark: SparkSession, docs: DataFrame) -> Index:
+    """Terms and frequencies of `docs(doc_id, text)` as tables of the shared folder, for any number of query batches."""
+    words = cut(spark, tokenised(docs), "terms")
+    df = cut(spark, words.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+    n, mean = words.agg(F.count("*"), F.avg(F.size("t"))).first()
+    return Index(words, df, n, mean or 1.0)
+
+
 def weigher(k1: float, b: float, mean: float) -> blocks.Weigh:
     return lambda tf, dl: tf * (k1 + 1.0) / (tf + k1 * (1.0 - b + b * dl / mean))
 
 
-def scores(docs: DataFrame, queries: DataFrame, k: int, grid: list[tuple[float, float]], normalised: bool = True) -> DataFrame:
+def scores(docs: DataFrame | Index, queries: DataFrame, k: int, grid: list[tuple[float, float]], normalised: bool = True) -> DataFrame:
     """(trial, query_id, doc_id, score): raw BM25 sums for each (k1, b) of a grid, with the k best of each query and trial.
 
     Rows beyond the k best are there as well, those that rounding could tie with them among others. Up to MAX_BLOCKS
-    blocks of queries are passes over the documents; more take the inverted-index join.
+    blocks of queries are passes over the documents; more take the inverted-index join. Without an index, the documents
+    are cut into terms twice: for the frequencies of the queries' terms, and for the scores.
     """
-    words = tokenised(docs)
+    known = isinstance(docs, Index)
+    words = docs.words if known else tokenised(docs)
     weights = query_terms(queries)
     found = blocks.blocks(weights)
     if found is None:
         return _joined(words, weights, grid)
-    n, total, df, _ = blocks.statistics(words, sorted({t for f in found for t in f.terms}))
-    mean = total / n if total else 1.0
+    terms = sorted({t for f in found for t in f.terms})
+    if known:
+        n, mean = docs.n, docs.mean
+        asked = queries.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+        df = {r["term"]: r["df"] for r in docs.frequencies.join(F.broadcast(asked), "term", "left_semi").collect()}
+    else:
+        n, total, df, _ = blocks.statistics(words, terms)
+        mean = total / n if total else 1.0
     parts = []
     for f in found:
         idf = np.array([np.log((n - df.get(t, 0) + 0.5) / (df.get(t, 0) + 0.5) + 1.0) for t in f.rows["term"]])
@@ -58,7 +87,7 @@ def scores(docs: DataFrame, queries: DataFrame, k: int, grid: list[tuple[float,
         most = np.bincount(f.rows["q"], weight, minlength=len(f.ids))
         slack = np.array([2e-6 * ((k1 + 1.0) * most if normalised else np.ones_like(most)) for k1, _ in grid])
         parts.append(blocks.search(words, f, weight, [weigher(k1, b, mean) for k1, b in grid], k, slack))
-    return blocks.union(parts) if parts else blocks.nothing(docs, queries)
+    return blocks.union(parts) if parts else blocks.nothing(words, queries)
 
 
 def _joined(words: DataFrame, weights: DataFrame, grid: list[tuple[float, float]]) -> DataFrame:
@@ -73,7 +102,7 @@ def _joined(words: DataFrame, weights: DataFrame, grid: list[tuple[float, float]
     return blocks.union([blocks.joined(words, ready, lambda r, k1=k1, b=b: r.withColumn("part", part(k1, b))).select(F.lit(trial).alias("trial"), "query_id", "doc_id", "score") for trial, (k1, b) in enumerate(grid)])
 
 
-def retrieve(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, threshold: float = 0.0) -> DataFrame:
+def retrieve(docs: DataFrame | Index, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, threshold: float = 0.0) -> DataFrame:
     """(query_id, doc_id, score, rank): scores over the best of their query, positive ones alone."""
     found = by_max(scores(docs, queries, k, [(k1, b)]).drop("trial"))
     return topk(found, k, threshold=threshold).select("query_id", "doc_id", "score", "rank")

@@ -7,8 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspan.functions.vector import hashed_vectors
 from siftspan.operators import bm25, chunkers, dense, fusion, metrics
+from siftspan.sources.providers import Embedder
 from siftspan.sources.tables import cut
 
 
@@ -29,26 +29,37 @@ class Config:
 
 
 class Pipeline:
-    """Chunks are a table of the shared folder, which every query batch reads."""
+    """Chunks, their terms and their vectors are tables of the shared folder, made once and read by every query batch."""
 
-    def __init__(self, spark: SparkSession, config: Config = Config()):
-        self.spark, self.config = spark, config
+    def __init__(self, spark: SparkSession, config: Config = Config(), embedder: Embedder = Embedder()):
+        self.spark, self.config, self.embedder = spark, config, embedder
         self.chunks: DataFrame | None = None
         self.documents = 0
+        self._index: bm25.Index | None = None
+        self._vectors: DataFrame | None = None
 
     def ingest(self, docs: DataFrame) -> int:
         """Adds `docs(doc_id, text)`; returns the number of chunks of them."""
         c = self.config
         new = cut(self.spark, chunkers.chunk(docs, c.chunker, c.chunk_size, c.chunk_overlap).select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")), "chunks")
         self.chunks = new if self.chunks is None else self.chunks.unionByName(new)
+        if c.strategy != "bm25":
+            vectors = cut(self.spark, self.embedder.encode(new, ["doc_id"], "text"), "chunk-vectors")
+            self._vectors = vectors if self._vectors is None else self._vectors.unionByName(vectors)
+        if c.strategy in ("bm25", "hybrid"):
+            self._index = bm25.index(self.spark, self.chunks)
         self.documents += docs.count()
         return new.count()
 
+    @property
+    def num_chunks(self) -> int:
+        return 0 if self.chunks is None else self.chunks.count()
+
     def query(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """(query_id, doc_id, score, rank) for `queries(query_id long, query)`."""
         c, k = self.config, top_k or self.config.top_k
-        lexical = lambda n: bm25.retrieve(self.chunks, queries, n, c.k1, c.b)
-        vectors = lambda n: dense.search(hashed_vectors(self.chunks, ["doc_id"], "text"), hashed_vectors(queries, ["query_id"], "query").withColumnRenamed("v", "q"), n)
+        lexical = lambda n: bm25.retrieve(self._index, queries, n, c.k1, c.b)
+        vectors = lambda n: dense.search(self._vectors, self.embedder.encode(queries, ["query_id"], "query").withColumnRenamed("v", "q"), n)
         if c.strategy == "bm25":
             return lexical(k)
         if c.strategy == "hybrid":
