@@ -1,7 +1,7 @@
 """Deduplication of lines across documents by pairwise alignment.
 
 A document is cut into units that end to end are its text: lines, within a line sentences, and within a sentence of more
-than twelve words pieces of four words or more, which end after a clause or a word that a hash picks. As the words alone
+than 24 words pieces of four words or more, which end after a clause or a word that a hash picks. As the words alone
 say where pieces end, a passage has the same ones wherever it stands, within other sentences too. Sentences of fewer
 than four words that follow one another on a line are one unit. Units are compared by a hash of their words. Each
 character of a script that is written without spaces (Chinese, Japanese, Thai and others) counts as a word.
@@ -42,76 +42,117 @@ from siftspan.llm.common import cut, remove, text_slices, tidy
 MIN_WORDS = 20
 SHORT = 4
 #: Words of a sentence that is cut into pieces, of a piece at most, and of how many words a hash picks one to end a piece.
-LONG, MOST, PICK = 12, 32, 5
+LONG, MOST, PICK = 24, 32, 5
 #: Bytes of deletions that are sent to every task instead of bringing all texts to them: above, the join shuffles.
 SEND_BYTES = 32 << 20
 _END = re.compile(r"[.!?] |[。！？｡]|\n")
 #: Characters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han.
 _UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
-_WORD = re.compile(r"\S+\s*")
 _LETTER = re.compile(_UNSPACED.pattern + r"\s*|[^\s" + _UNSPACED.pattern[1:] + r"+\s*")
+_WORD = re.compile(r"\S+\s*")
 #: An odd number whose powers weigh the units of a run, and its inverse modulo 2^64.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CLAUSE = ",;:，、；："
 
 
-def pieces_of(part: str, words: re.Pattern) -> list[tuple[int, int]]:
-    """(end, words) of the pieces of a long sentence."""
-    out: list[tuple[int, int]] = []
-    n = end = 0
-    for m in words.finditer(part):
-        n, end, word = n + 1, m.end(), m[0].rstrip()
-        if n >= SHORT and (word[-1] in _CLAUSE or n >= MOST or crc32(word.encode("utf-8", "surrogatepass")) % PICK == 0):
-            out.append((end, n))
-            n = 0
-    if n >= SHORT or not out:
-        out.append((len(part), n))
+class _Ends(dict):
+    """Whether a piece may end with a word, by word; as many are kept as a worker has room for."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 1 << 17:
+            self.clear()
+        ends = self[word] = word[-1] in _CLAUSE or crc32(word.encode("utf-8", "surrogatepass")) % PICK == 0
+        return ends
+
+
+_ENDS = _Ends()
+
+
+def sizes_of(words: list[str]) -> list[int]:
+    """Words of the pieces of a long sentence."""
+    ends = _ENDS
+    out, last = [], 0
+    for stop in [k for k, word in enumerate(words, 1) if ends[word]]:
+        while stop - last > MOST:
+            out.append(MOST)
+            last += MOST
+        if stop - last >= SHORT:
+            out.append(stop - last)
+            last = stop
+    while len(words) - last > MOST:
+        out.append(MOST)
+        last += MOST
+    rest = len(words) - last
+    if rest >= SHORT or not out:
+        out.append(rest)
     else:  # a short rest belongs to the piece before
-        out[-1] = (len(part), out[-1][1] + n)
+        out[-1] += rest
     return out
 
 
-def units_of(text: str) -> list[tuple[int, int, int]]:
-    """(end, words, hash) of the units of a text, which are end to end the whole text."""
+def cut_text(text: str) -> tuple[list[int], list[int], list[str]]:
+    """Ends, numbers of words and words between single spaces of the units of a text, which are end to end the text."""
     unspaced = not text.isascii() and _UNSPACED.search(text) is not None
-    count = (lambda part, words: len(_UNSPACED.sub(" x ", part).split())) if unspaced else (lambda part, words: len(words))
-    digest = xxhash.xxh64_intdigest
-    out: list[tuple[int, int, int]] = []
+    ends: list[int] = []
+    sizes: list[int] = []
+    said: list[str] = []
     at, n = 0, 0
     held: list[str] = []  # the words of short sentences that are not out yet, n of them
-
-    def put(end: int, size: int, words: list[str]) -> None:
-        out.append((end, size, digest(" ".join(words).encode("utf-8", "surrogatepass"))))
-
-    for m in [*_END.finditer(text), None]:
-        end = m.end() if m else len(text)
-        if end == at and not m:
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        if end == at:
             break
         part = text[at:end]
         words = part.split()
-        size = count(part, words)
-        if size >= SHORT:
-            if at and (not out or out[-1][0] < at):
-                put(at, n, held)
-                n, held = 0, []
-            if size <= LONG:
-                put(end, size, words)
-            else:
-                before = 0
-                for stop, size in pieces_of(part, _LETTER if unspaced else _WORD):
-                    put(at + stop, size, part[before:stop].split())
-                    before = stop
-        else:
+        size = len(_UNSPACED.sub(" x ", part).split()) if unspaced else len(words)
+        if size < SHORT:
             n += size
             held += words
-            if not m or text[end - 1] == "\n":
-                put(end, n, held)
+            if end == len(text) or text[end - 1] == "\n":
+                ends.append(end)
+                sizes.append(n)
+                said.append(" ".join(held))
                 n, held = 0, []
+            at = end
+            continue
+        if at and (not ends or ends[-1] < at):
+            ends.append(at)
+            sizes.append(n)
+            said.append(" ".join(held))
+            n, held = 0, []
+        whole = " ".join(words)
+        if size <= LONG:
+            ends.append(end)
+            sizes.append(size)
+            said.append(whole)
+        elif not unspaced and whole == (bare := part.lstrip()).rstrip():  # words between single spaces: ends are sums of lengths
+            stop, first = end - len(bare), 0
+            for k in sizes_of(words):
+                piece = " ".join(words[first : first + k])
+                first += k
+                stop += len(piece) + 1
+                ends.append(stop)
+                sizes.append(k)
+                said.append(piece)
+            ends[-1] = end
+        else:
+            found = list((_LETTER if unspaced else _WORD).finditer(part))
+            begin = first = 0
+            for k in sizes_of([m[0].rstrip() for m in found]):
+                first += k
+                stop = found[first - 1].end() if first < len(found) else len(part)
+                ends.append(at + stop)
+                sizes.append(k)
+                said.append(" ".join(part[begin:stop].split()))
+                begin = stop
         at = end
-    if at and (not out or out[-1][0] < at):
-        put(at, n, held)
-    return out
+    return ends, sizes, said
+
+
+def units_of(text: str) -> list[tuple[int, int, int]]:
+    """(end, words, hash) of the units of a text."""
+    ends, sizes, said = cut_text(text)
+    return list(zip(ends, sizes, map(xxhash.xxh64_intdigest, said), strict=True))
 
 
 def runs(doc: np.ndarray, words: np.ndarray, hashes: np.ndarray, last_ones: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,17 +259,20 @@ def shared_blocks(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
             doc, th = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "th"))
             at = 0
             for keys, texts in text_slices([pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text")], names=["doc", "text"])]):
-                made = [units_of(t) for t in texts]
-                n = np.array([len(u) for u in made], np.int64)
-                flat = [u for units in made for u in units]
-                end, words = (np.fromiter((u[k] for u in flat), np.int64, len(flat)) for k in (0, 1))
-                hashes = np.fromiter((u[2] for u in flat), np.uint64, len(flat))
+                n, ends, words, hashes, edges = [], [], [], [], []
+                for text in texts:
+                    stops, sizes, said = cut_text(text)
+                    n.append(len(stops))
+                    ends += stops
+                    words += sizes
+                    hashes += map(xxhash.xxh64_intdigest, said)
+                    edges += [text[e - 1] == "\n" for e in stops]
+                n, end, words = (np.array(x, np.int64) for x in (n, ends, words))
+                hashes, edge = np.array(hashes, np.uint64), np.array(edges, bool)
+                edge[np.cumsum(n)[n > 0] - 1] = True  # units that end a line or a text
                 which = np.repeat(np.arange(len(texts)), n)
                 begin = np.concatenate([[0], end[:-1]])[: len(end)]
                 begin[(np.cumsum(n) - n)[n > 0]] = 0
-                # Units that end a line or a text.
-                edge = np.fromiter((t[u[0] - 1] == "\n" for t, units in zip(texts, made, strict=True) for u in units), bool, len(flat))
-                edge[np.cumsum(n)[n > 0] - 1] = True
                 whole = np.flatnonzero(words > 0)
                 first, last, h = runs(which[whole], words[whole], hashes[whole], edge[whole], min_words)
                 parts = [(whole[first], whole[last - 1], h)]
@@ -246,7 +290,8 @@ def shared_blocks(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     made, made_at = cut(spark, keyed.mapInArrow(tidy(cut_up), "doc long, th long, run long, begin int, end int"), "lines-runs")
     # Holders are counted as their least and greatest, combined before the shuffle.
     holders = made.groupBy("run").agg(F.min("doc").alias("holder"), F.max("doc").alias("other")).where(F.col("holder") != F.col("other")).select("run", "holder")
-    held, held_at = cut(spark, made.join(holders, "run"), "lines-held")
+    # Each run is one row of `holders`, so hash tables of their partitions are even; the many rows of `made` need no sort.
+    held, held_at = cut(spark, made.join(holders.hint("shuffle_hash"), "run"), "lines-held")
     there = held.where(F.col("doc") == F.col("holder")).groupBy("run").agg(F.min("begin").alias("at"), F.max("begin").alias("to"), F.min("th").alias("one"), F.max("th").alias("two"))
     there = there.select("run", "at", ((F.col("at") == F.col("to")) & (F.col("one") == F.col("two"))).alias("once"))
     later = held.where(F.col("doc") != F.col("holder")).join(there, "run")
