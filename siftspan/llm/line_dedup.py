@@ -290,10 +290,12 @@ def shared_blocks(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
     made, made_at = cut(spark, keyed.mapInArrow(tidy(cut_up), "doc long, th long, run long, begin int, end int"), "lines-runs")
     # Holders are counted as their least and greatest, combined before the shuffle.
     holders = made.groupBy("run").agg(F.min("doc").alias("holder"), F.max("doc").alias("other")).where(F.col("holder") != F.col("other")).select("run", "holder")
+    # Tables on both sides of the joins, so that Spark can split the rows of a run that many documents hold.
+    holders, holders_at = cut(spark, holders, "lines-holders")
     # Each run is one row of `holders`, so hash tables of their partitions are even; the many rows of `made` need no sort.
     held, held_at = cut(spark, made.join(holders.hint("shuffle_hash"), "run"), "lines-held")
     there = held.where(F.col("doc") == F.col("holder")).groupBy("run").agg(F.min("begin").alias("at"), F.max("begin").alias("to"), F.min("th").alias("one"), F.max("th").alias("two"))
-    there = there.select("run", "at", ((F.col("at") == F.col("to")) & (F.col("one") == F.col("two"))).alias("once"))
+    there, there_at = cut(spark, there.select("run", "at", ((F.col("at") == F.col("to")) & (F.col("one") == F.col("two"))).alias("once")), "lines-there")
     later = held.where(F.col("doc") != F.col("holder")).join(there, "run")
     fields = ("holder", "begin", "end", "run", "at", "once")
     by_doc = later.groupBy("doc", "th").agg(F.collect_set(F.struct(*fields)).alias("rows"))
@@ -312,7 +314,7 @@ def shared_blocks(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
                 spans.append(merged([b for rows in pairs.values() for b in aligned(rows)]))
             yield pa.record_batch([batch.column("doc"), batch.column("th"), *(pa.array([[s[k] for s in x] for x in spans], pa.list_(pa.int32())) for k in (0, 1))], names=["doc", "th", "begins", "ends"])
 
-    return by_doc.mapInArrow(tidy(align), "doc long, th long, begins array<int>, ends array<int>"), [made_at, held_at]
+    return by_doc.mapInArrow(tidy(align), "doc long, th long, begins array<int>, ends array<int>"), [made_at, holders_at, held_at, there_at]
 
 
 @F.arrow_udf(StringType())

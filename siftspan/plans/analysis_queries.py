@@ -159,7 +159,83 @@ def latency_percentiles(spark, d):
     return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("avg_value"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
 
 
+def said(spark, d) -> DataFrame:
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def answer_checks(spark, d):
+    """What strategies look for in answers."""
+    from siftspan.functions import text as T
+
+    t = F.concat("text", F.when(F.col("turn") % 3 == 0, " [Done]").when(F.col("turn") % 3 == 1, ' so {"a": {"b": 1}} yes').otherwise(""))
+    return said(spark, d).select("conv_id", "turn", T.contains_yes(t).alias("yes"), T.says_done(t).alias("done"), T.json_part(t).alias("json"), F.size(T.dot_sentences(t)).cast("bigint").alias("sentences"), T.cache_key(t).alias("key"))
+
+
+def thoughts(spark, d):
+    from siftspan.functions import text as T
+
+    t = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit("\n query: what of "), "role", F.lit("\nand more"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("QUERY:"), "role")).otherwise(F.col("text"))
+    return said(spark, d).select("conv_id", "turn", T.thought_query(t, F.lit("as before")).alias("p")).select("conv_id", "turn", "p.thought", "p.query")
+
+
+def reading_notes(spark, d):
+    """Three blocks a nation, of which the kinds depend on its number."""
+    from siftspan.functions import text as T
+
+    k = F.col("n_nationkey")
+    pick = lambda m, *xs: F.get(F.array(*map(F.lit, xs)), k % m)
+    t = F.concat(F.lit("RELEVANCE: "), pick(4, "Relevant", "irrelevant", "none", "partially_relevant"), F.lit("\nKEY_INFO: "), "n_name", F.lit("\nTYPE: "), pick(3, "conflicting", "Complementary", "odd"), F.lit("\n\nCONNECTION: of "), "n_name", F.lit("\nTYPE: standard\nRELEVANCE: relevant\n\nno note of "), "n_name")
+    notes = table(spark, d, "nation").select("n_nationkey", F.posexplode(T.note_blocks(t)).alias("pos", "n"))
+    return notes.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), F.col("pos").cast("bigint").alias("pos"), "n.*")
+
+
+def parsed_triples(spark, d):
+    from siftspan.functions import text as T
+
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    t = F.concat(F.lit(" "), "n_name", F.lit(" | in |"), "r_name", F.lit(" | sure\n\n"), "r_name", F.lit("|holds\n| is | nothing\n"), "r_name", F.lit("|holds|"), "n_name")
+    rows = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", F.posexplode(T.triples(t)).alias("pos", "t"))
+    return rows.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), F.col("pos").cast("bigint").alias("pos"), "t.*")
+
+
+def listed_lines(spark, d):
+    """Entities and claims of lists."""
+    from siftspan.functions import text as T
+
+    t = F.concat(F.lit("- "), "n_name", F.lit("\n\n12. "), F.lower("n_name"), F.lit(" is one.\n -- end -"))
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), F.array_join(T.entity_lines(t), "#").alias("entities"), F.array_join(T.claim_lines(t), "#").alias("claims"))
+
+
+def pipeline_hits(spark, d):
+    """A whole pipeline: chunks, an index of them, and the best five of each benchmark item."""
+    from siftspan.plans.pipeline import Config, Pipeline
+    from siftspan.plans.retrieval_queries import items_of
+
+    p = Pipeline(spark, Config(chunker="fixed", chunk_size=1024, chunk_overlap=128))
+    p.ingest(docs_of(spark, d))
+    return p.query(items_of(spark, d), 5)
+
+
+def pipeline_scores(spark, d):
+    """Its evaluation by the metrics that count words, against the items themselves."""
+    from siftspan.plans.pipeline import Config, Pipeline
+    from siftspan.plans.retrieval_queries import items_of
+
+    p = Pipeline(spark, Config(chunker="fixed", chunk_size=1024, chunk_overlap=128, top_k=4))
+    p.ingest(docs_of(spark, d))
+    return p.evaluate(items_of(spark, d).withColumn("ground_truth", F.col("query")), ("faithfulness", "context_recall"))
+
+
+def ab_compare(spark, d):
+    """Samples of one half of the conversations against those of the other, scored and compared."""
+    rows = samples(spark, d)
+    low = F.substring(F.md5(F.substring_index("sample_id", "-", 1)), 1, 1) < "8"
+    out = abtest.compare(spark, rows.where(low), rows.where(~low), "welch_t", ("answer_relevance", "coherence", "latency_score"), name_a="low", name_b="high")
+    return _tested(out.drop("test", "num_samples"))
+
+
 QUERIES = {
+    "answer_checks": answer_checks, "thoughts": thoughts, "reading_notes": reading_notes, "parsed_triples": parsed_triples, "listed_lines": listed_lines, "pipeline_hits": pipeline_hits, "pipeline_scores": pipeline_scores, "ab_compare": ab_compare,
     "chunk_fixed": chunk_fixed, "chunk_fixed_tokens": chunk_fixed_tokens, "chunk_recursive": chunk_recursive, "sentence_groups": sentence_groups, "chunk_semantic": chunk_semantic, "chunk_doc_aware": chunk_doc_aware,
     "metric_tokens": metric_tokens, "metrics_all": metrics_all, "ragas_overall": ragas_overall, "ab_welch": ab_welch, "ab_welch_full": ab_welch_full, "ab_mann_whitney": ab_mann_whitney, "ab_mann_whitney_full": ab_mann_whitney_full,
     "ab_permutation": ab_permutation, "ab_paired": ab_paired, "ab_paired_full": ab_paired_full, "pareto_frontier": pareto_frontier, "pareto_optimal": pareto_optimal, "pareto_crowding": pareto_crowding, "pareto_suggest": pareto_suggest, "pareto_analyse": pareto_analyse,
@@ -221,7 +297,7 @@ def metrics_sql() -> str:
         {hashed_sql('h', 'tx', 'sample_id, kind, pos', 'text')},
         {near('qa', 'q', 'a')}, {near('ta', 't', 'a')}, {near('qc', 'q', 'c', cols='x.sample_id, y.pos')}, {near('tc', 't', 'c', cols='x.sample_id, y.pos')}, {near('ss', 's', 's', 'y.pos = x.pos + 1', 'x.sample_id, x.pos')},
         f AS (SELECT *, {WL.format('answer')} AS aw, list_distinct({WL.format("array_to_string(contexts, ' ')")}) AS kw, list_distinct({WL.format('truth')}) AS tw FROM z),
-        v AS (SELECT f.sample_id,
+        wide AS (SELECT f.sample_id,
             CASE WHEN len(aw) = 0 OR len(kw) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(aw, lambda y: list_contains(kw, y)))::DOUBLE / len(aw) END AS faithfulness,
             CASE WHEN query = '' OR answer = '' THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, coalesce(qa.d, 0)) END AS answer_relevance,
             CASE WHEN query = '' THEN 0.0::DOUBLE ELSE {per('nq.n')} END AS context_relevance,
@@ -231,7 +307,7 @@ def metrics_sql() -> str:
             CASE WHEN truth = '' OR answer = '' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE * (CASE WHEN len(aw) = 0 OR len(tw) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(list_distinct(aw), tw)) / (len(list_distinct(aw)) + len(tw)) END) + 0.5::DOUBLE * greatest(0.0::DOUBLE, coalesce(ta.d, 0)) END AS answer_correctness,
             CASE WHEN l <= 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - least(l / 10.0::DOUBLE, 1.0::DOUBLE) END AS latency_score
             FROM f LEFT JOIN qa USING (sample_id) LEFT JOIN ta USING (sample_id) LEFT JOIN {share('qc')} nq USING (sample_id) LEFT JOIN {share('tc')} nt USING (sample_id) LEFT JOIN (SELECT sample_id, sum(greatest(0.0::DOUBLE, d)) AS d FROM ss GROUP BY 1) co USING (sample_id)),
-        m AS (SELECT sample_id, metric, round(score, 6) AS score FROM v UNPIVOT (score FOR metric IN (faithfulness, answer_relevance, context_relevance, coherence, context_recall, context_precision, answer_correctness, latency_score)))"""
+        m AS (SELECT sample_id, metric, round(score, 6) AS score FROM wide UNPIVOT (score FOR metric IN (faithfulness, answer_relevance, context_relevance, coherence, context_recall, context_precision, answer_correctness, latency_score)))"""
 
 
 def two_sided(name: str, src: str, t: str, v: str | None) -> str:
@@ -268,7 +344,55 @@ TESTED = f"""SELECT metric, n_a, n_b, round(mean_a, 4) AS mean_a, round(mean_b,
         round(mean_a - mean_b - {t_975('d2')} * se, 3) AS ci_lo, round(mean_a - mean_b + {t_975('d2')} * se, 3) AS ci_hi, round(0.05::DOUBLE / count(*) OVER (), 6) AS alpha, p < 0.05::DOUBLE / count(*) OVER () AS significant,
         CASE WHEN p < 0.05::DOUBLE / count(*) OVER () THEN CASE WHEN mean_a > mean_b THEN 'A' ELSE 'B' END END AS winner, '{{test}}' AS test FROM w"""
 PTS = "p AS (SELECT s_suppkey AS point_id, CAST(s_acctbal AS DOUBLE) AS balance, CAST(s_nationkey AS DOUBLE) AS nation FROM supplier)"
+SAID = "c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations)"
+
+
+def chunks_sql(size: int, overlap: int) -> str:
+    """A CTE ch (doc_id, text) of the chunks of fixed windows, under their ids."""
+    step = size - overlap
+    return f"""ct AS (SELECT doc_id, trim(text, {BLANKS}) AS t FROM documents), cw AS (SELECT doc_id, t, unnest(list_filter(range(0, length(t), {step}), lambda s: s = 0 OR s - {step} + {size} < length(t))) AS s FROM ct WHERE length(t) > 0),
+        ck AS (SELECT doc_id, s, trim(substr(t, s + 1, {size}), {BLANKS}) AS text FROM cw),
+        ch AS (SELECT doc_id || '_chunk_' || (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1) AS doc_id, text FROM ck WHERE text <> '')"""
+
+
+def hits_sql(k: int, size: int = 1024, overlap: int = 128) -> str:
+    """CTEs up to hits0: the best chunks of each benchmark item."""
+    from siftspan.plans import retrieval_queries as R
+
+    return f"WITH {R.Q}, {chunks_sql(size, overlap)}, {R.TF.replace('FROM documents', 'FROM ch')}, {R.asked_sql(0, 'q', k)}"
+
+
+def scored_sql(k: int) -> str:
+    """Samples (sample_id, query, answer, contexts, g, l) of those hits."""
+    return f"""{hits_sql(k)}, hl AS (SELECT query_id, list(text ORDER BY rank) AS contexts FROM hits0 JOIN ch USING (doc_id) GROUP BY 1),
+        s AS (SELECT query_id AS sample_id, query, array_to_string(list_transform(coalesce(contexts, [])[1:3], lambda x: substr(x, 1, 200)), ' ') AS answer, coalesce(contexts, []) AS contexts, query AS g, 0.0::DOUBLE AS l FROM q LEFT JOIN hl USING (query_id))"""
+
+
+WORDS = f"""f AS (SELECT sample_id, l, {WL.format('answer')} AS a, list_distinct({WL.format("array_to_string(contexts, ' ')")}) AS k, list_distinct({WL.format('coalesce(g, chr(32))')}) AS t FROM s),
+        wm AS (SELECT sample_id, round(CASE WHEN len(a) = 0 OR len(k) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(a, lambda x: list_contains(k, x)))::DOUBLE / len(a) END, 6) AS faithfulness,
+        round(CASE WHEN len(t) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(t, k))::DOUBLE / len(t) END, 6) AS context_recall FROM f),
+        wl AS (SELECT sample_id, metric, score FROM wm UNPIVOT (score FOR metric IN (faithfulness, context_recall)))"""
+LAST = "coalesce(list_filter(list_transform(regexp_extract_all(b, '(?im)^\\s*{0}:[ \\t]*(.*)$', 1), lambda x: lower(trim(x))), lambda x: list_contains({1}, x))[-1], '{2}')"
+FIELD = "coalesce(trim(regexp_extract_all(b, '(?im)^\\s*{0}:[ \\t]*(.*)$', 1)[-1]), '')"
 ORACLE = {
+    "answer_checks": f"""WITH {SAID}, t AS (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' [Done]' WHEN 1 THEN ' so {{"a": {{"b": 1}}}} yes' ELSE '' END AS x FROM c)
+        SELECT conv_id, turn, contains(lower(x), 'yes') AS yes, contains(lower(x), '[done]') OR contains(lower(x), '[complete]') AS done, regexp_extract(x, '(?s)\\{{.*\\}}') AS json, len(list_filter(string_split(x, '.'), lambda y: trim(y, {BLANKS}) <> '')) AS sentences, sha256(x) AS key FROM t""",
+    "thoughts": f"""WITH {SAID}, t AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text || chr(10) || ' query: what of ' || role || chr(10) || 'and more' WHEN 1 THEN 'QUERY:' || role ELSE text END AS x FROM c),
+        p AS (SELECT *, regexp_matches(x, '(?im)^\\s*QUERY:') AS has, trim(regexp_extract(x, '(?is)^(.*?)(?:^|\\n)\\s*QUERY:', 1), {BLANKS}) AS before FROM t)
+        SELECT conv_id, turn, CASE WHEN has AND before <> '' THEN before ELSE trim(x, {BLANKS}) END AS thought, CASE WHEN has THEN trim(regexp_extract(x, '(?im)^\\s*QUERY:(.*)$', 1), {BLANKS}) ELSE 'as before' END AS query FROM p""",
+    "reading_notes": f"""WITH t AS (SELECT n_nationkey, 'RELEVANCE: ' || (['Relevant', 'irrelevant', 'none', 'partially_relevant'])[n_nationkey % 4 + 1] || chr(10) || 'KEY_INFO: ' || n_name || chr(10) || 'TYPE: ' || (['conflicting', 'Complementary', 'odd'])[n_nationkey % 3 + 1] || chr(10) || chr(10) || 'CONNECTION: of ' || n_name || chr(10) || 'TYPE: standard' || chr(10) || 'RELEVANCE: relevant' || chr(10) || chr(10) || 'no note of ' || n_name AS x FROM nation),
+        l AS (SELECT n_nationkey, string_split(x, chr(10) || chr(10)) AS l FROM t), u AS (SELECT n_nationkey, unnest(range(len(l))) AS pos, unnest(l) AS b FROM l)
+        SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, pos, {LAST.format('RELEVANCE', "['relevant', 'partially_relevant', 'irrelevant']", 'partially_relevant')} AS relevance, {FIELD.format('KEY_INFO')} AS key_info, {FIELD.format('CONNECTION')} AS connection, {LAST.format('TYPE', "['standard', 'conflicting', 'complementary']", 'standard')} AS note_type FROM u""",
+    "parsed_triples": f"""WITH t AS (SELECT n_nationkey, ' ' || n_name || ' | in |' || r_name || ' | sure' || chr(10) || chr(10) || r_name || '|holds' || chr(10) || '| is | nothing' || chr(10) || r_name || '|holds|' || n_name AS x FROM nation JOIN region ON n_regionkey = r_regionkey),
+        l AS (SELECT n_nationkey, list_filter(list_transform(string_split(x, chr(10)), lambda y: list_transform(string_split(y, '|'), lambda z: trim(z, {BLANKS}))), lambda p: len(p) >= 3 AND p[1] <> '' AND p[3] <> '') AS l FROM t),
+        u AS (SELECT n_nationkey, unnest(range(len(l))) AS pos, unnest(l) AS p FROM l) SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, pos, p[1] AS subject, p[2] AS predicate, p[3] AS object FROM u""",
+    "listed_lines": f"""WITH t AS (SELECT n_nationkey, string_split('- ' || n_name || chr(10) || chr(10) || '12. ' || lower(n_name) || ' is one.' || chr(10) || ' -- end -', chr(10)) AS l FROM nation)
+        SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, array_to_string(list_filter(list_transform(l, lambda x: trim(trim(trim(x, {BLANKS}), '-'), {BLANKS})), lambda x: x <> ''), '#') AS entities,
+        array_to_string(list_filter(list_transform(l, lambda x: trim(ltrim(ltrim(trim(x, {BLANKS}), '- '), '0123456789.)'), {BLANKS})), lambda x: x <> ''), '#') AS claims FROM t""",
+    "pipeline_hits": f"{hits_sql(5)} SELECT * FROM hits0",
+    "pipeline_scores": f"{scored_sql(4)}, {WORDS} SELECT * FROM wl",
+    "ab_compare": f"""{metrics_sql()}, arms AS (SELECT metric, CASE WHEN substr(md5(split_part(sample_id, '-', 1)), 1, 1) < '8' THEN 'A' ELSE 'B' END AS arm, score FROM m WHERE metric IN ('answer_relevance', 'coherence', 'latency_score')), {MOMENTS}, {SPREAD}, {two_sided('w', 'v', 't', 'df')}
+        SELECT * EXCLUDE (test, winner), CASE winner WHEN 'A' THEN 'low' WHEN 'B' THEN 'high' END AS winner FROM ({TESTED.format(statistic='round(t, 4)', test='')})""",
     "chunk_fixed": f"""WITH t AS (SELECT doc_id, trim(text, {BLANKS}) AS t FROM documents), w AS (SELECT doc_id, t, unnest(list_filter(range(0, length(t), 448), lambda s: s = 0 OR s - 448 + 512 < length(t))) AS s FROM t WHERE length(t) > 0),
         k AS (SELECT doc_id, s, least(s + 512, length(t)) AS e, trim(substr(t, s + 1, 512), {BLANKS}) AS content FROM w),
         n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i FROM k WHERE content <> '')
