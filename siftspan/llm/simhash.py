@@ -9,7 +9,8 @@ grid costs least depends on how many fingerprints there are (`grid`), the result
 
 Where a radius is too wide for any grid to leave something out, links also ask for a Jaccard similarity of the shingles:
 the cells are then classes of the number of shingles, as similar sets have similar sizes, and what the fingerprints
-link are candidates alone.
+link are candidates alone. A second fingerprint, of other bits of the same hashes, keeps texts apart that are near in
+the first one by chance; among many texts those chances would join all candidates to one group.
 """
 
 from __future__ import annotations
@@ -152,11 +153,12 @@ def cells_of(prints: DataFrame, radius: int, segments: int, width: int) -> DataF
     return prints.select("id").mapInArrow(tidy(place), "id long, home boolean, cell long")
 
 
-def _finder(radius: int):
-    """`find` of `cells.linked`: fingerprints that differ in at most `radius` bits."""
+def _finder(radius: int, name: str = "id", also: tuple[str, int] | None = None):
+    """`find` of `cells.linked`: fingerprints `name` that differ in at most `radius` bits, and those of `also` in as many."""
 
     def find(a: pa.Table, b: pa.Table):
-        x, y = (t.column("id").to_numpy().view(np.uint64) for t in (a, b))
+        x, y = (t.column(name).to_numpy().view(np.uint64) for t in (a, b))
+        others = [t.column(also[0]).to_numpy().view(np.uint64) for t in (a, b)] if also else None
         step = max(1, (1 << 16) // max(1, len(y)))
         mixed, counts = np.empty((step, len(y)), np.uint64), np.empty((step, len(y)), np.uint8)
         for at in range(0, len(x) if len(y) else 0, step):
@@ -164,6 +166,9 @@ def _finder(radius: int):
             np.bitwise_xor(x[at : at + k, None], y[None, :], out=mixed[:k])
             np.bitwise_count(mixed[:k], out=counts[:k])
             i, j = np.nonzero(counts[:k] <= radius)
+            if others and len(i):
+                near = np.bitwise_count(others[0][i + at] ^ others[1][j]) <= also[1]
+                i, j = i[near], j[near]
             if len(i):
                 yield i + at, j
 
@@ -176,9 +181,10 @@ def links(spark: SparkSession, prints: DataFrame, radius: int) -> tuple[DataFram
     return linked(spark, cells_of(prints, radius, segments, width), BLOCK, _finder(radius), "simhash")
 
 
-def sized_links(spark: SparkSession, prints: DataFrame, radius: int, jaccard: float) -> DataFrame:
-    """(node, component) of the `bits` of `prints(bits, n)`: at most `radius` bits apart, and sets of n shingles each
-    whose sizes allow the similarity. Classes of sizes grow by 1 / jaccard, so a partner is in the next one at most."""
+def sized_links(spark: SparkSession, prints: DataFrame, radius: int, second: int, jaccard: float) -> DataFrame:
+    """(node, component) of the `key` of `prints(key, bits, more, n)`: at most `radius` bits apart in `bits` and `second`
+    in `more`, and sets of n shingles each whose sizes allow the similarity. Classes of sizes grow by 1 / jaccard, so a
+    partner is in the next one at most. A key that two pairs of fingerprints share only joins their candidates."""
     step = 1 / jaccard * (1 + 1e-9)
     edges = [1.0]
     while edges[-1] < 1 << 40:
@@ -189,10 +195,10 @@ def sized_links(spark: SparkSession, prints: DataFrame, radius: int, jaccard: fl
             home = np.searchsorted(edges, batch.column("n").to_numpy(), "right")  # 0: without shingles
             i = np.concatenate([np.arange(len(home)), np.flatnonzero(home > 1)])
             own = np.arange(len(i)) < len(home)
-            yield pa.record_batch([batch.column("bits").take(pa.array(i)), pa.array(own), pa.array(home[i] - ~own)], names=["id", "home", "cell"])
+            yield pa.record_batch([*(batch.column(c).take(pa.array(i)) for c in ("key", "bits", "more")), pa.array(own), pa.array(home[i] - ~own)], names=["id", "bits", "more", "home", "cell"])
 
-    rows = prints.mapInArrow(tidy(place), "id long, home boolean, cell long").distinct()
-    return linked(spark, rows, SIZE_BLOCK, _finder(radius), "simhash")[1]
+    rows = prints.select("key", "bits", "more", "n").mapInArrow(tidy(place), "id long, bits long, more long, home boolean, cell long").distinct()
+    return linked(spark, rows, SIZE_BLOCK, _finder(radius, "bits", ("more", second)), "simhash")[1]
 
 
 def alike(spark: SparkSession, texts: DataFrame, radius: int, words: int, jaccard: float) -> DataFrame:
@@ -253,36 +259,53 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 4, words
 
 
 def sized_prints(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(th, bits, n) of the distinct texts: xxhash64 of the text, its fingerprint, and how many distinct shingles it has."""
+    """(th, bits, more, n) of the distinct texts: xxhash64 of the text, its fingerprint, one of the same hashes after a
+    multiplication that mixes their bits, and how many distinct shingles it has."""
 
     def run(batches):
         for keys, texts in text_slices(batches):
-            bits, n = [], []
+            made: list[tuple[int, int, int]] = []
             for t in texts:
-                bits.append(fingerprint(t, words))
-                n.append(len(np.unique(np.concatenate([np.empty(0, "<u8"), *shingles(t, words)]))))
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(np.array(bits, np.uint64).view(np.int64)), pa.array(n, pa.int64())], names=["th", "bits", "n"])
+                n, parts = 0, []
+                bits = np.zeros((2, 64), np.int64)
+                for h in shingles(t, words):
+                    n += len(h)
+                    parts.append(h)
+                    for row, x in enumerate((h, mixed(h))):
+                        bits[row] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                one, two = (int(np.packbits(b * 2 > n, bitorder="little").view("<u8")[0]) for b in bits)
+                made.append((one, two, len(np.unique(np.concatenate([np.empty(0, "<u8"), *parts])))))
+            bits, more = (pa.array(np.array([m[k] for m in made], np.uint64).view(np.int64)) for k in (0, 1))
+            yield pa.record_batch([pa.array(keys, pa.int64()), bits, more, pa.array([m[2] for m in made], pa.int64())], names=["th", "bits", "more", "n"])
 
     text = F.col(text_col).cast("string")
-    made = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(tidy(run), "th long, bits long, n long")
-    return made.groupBy("th").agg(F.min("bits").alias("bits"), F.min("n").alias("n"))
+    made = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(tidy(run), "th long, bits long, more long, n long")
+    return made.groupBy("th").agg(*[F.min(c).alias(c) for c in ("bits", "more", "n")])
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text", jaccard: float = 0.0) -> DataFrame:
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Other 64 bits from each hash."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text", jaccard: float = 0.0, second: int = 64) -> DataFrame:
     """The rows of `docs`, one for each component: the row of its smallest id.
 
     Components are those of links of at most `radius` bits between fingerprints of `words` words, with `jaccard` of
-    those links whose shingles are that similar. Texts without words are one component. Of the rows of a component, the
+    those links whose shingles are that similar, and whose second fingerprints differ in at most `second` bits. Texts without words are one component. Of the rows of a component, the
     first by id (nulls last), then by a hash of the text stays: a shared id or a null one does not make rows one. Same
     columns, which may have any names; an empty table gives no rows.
     """
     text = F.col(text_col).cast("string")
-    prints, _ = cut(spark, sized_prints(docs, text_col, words), "prints")
+    prints, _ = cut(spark, sized_prints(docs, text_col, words).withColumn("key", F.xxhash64("bits", "more") if jaccard else F.col("bits")), "prints")
     if jaccard:
-        found = sized_links(spark, prints.select("bits", "n").distinct(), radius, jaccard)
+        found = sized_links(spark, prints, radius, second, jaccard)
     else:
         found = links(spark, prints.select(F.col("bits").alias("id")).distinct(), radius)[1]
-    named = prints.join(found.select(F.col("node").alias("bits"), "component"), "bits", "left").select("th", "bits", F.coalesce("component", "bits").alias("cell"))
+    named = prints.join(found.select(F.col("node").alias("key"), "component"), "key", "left").select("th", "bits", F.coalesce("component", "key").alias("cell"))
     if jaccard:
         several = named.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("cell")
         texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text")).join(named.join(several, "cell"), "th").dropDuplicates(["th"])
