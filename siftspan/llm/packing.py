@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from siftspan.llm import bpe
-from siftspan.llm.common import text_slices, tidy
+from siftspan.llm.common import SLICE_BYTES, text_slices, tidy
 
 SENTENCE, CLAUSE, INSIDE = 8, 12, 256  # penalties in tokens of padding of cuts after a sentence, a clause, any token
 BUFFER = 1 << 18  # tokens that are packed together, and up to twice as many; a longer document is packed in parts
@@ -128,14 +128,14 @@ def pack_stream(docs, kinds: np.ndarray, size: int, first_id: int, buffer: int =
         yield flush(True)
 
 
-def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", max_codes: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", max_codes: int | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Pieces of every document in sequences of at most `size` tokens, in the order in which the rows are read.
 
     A document is the ids of its whole text and then `end_id`, so that a null or empty text is one token. Rows with
     the same id or text are packed each for itself (doc_row tells them apart within a partition). The stream of a
     partition is packed by its task alone: no shuffle, memory for the ids of one document and a few buffers of BUFFER
     tokens, and sequence ids that start at 2^33 times the partition's number. An empty table gives no rows. `max_codes` bounds
-    the encoder's dictionaries: fewer take less memory and more time.
+    the encoder's dictionaries and `slice_bytes` the texts that are encoded together: less takes less memory and more time.
     """
 
     def run(batches):
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, id_col:
 
         def stream():
             row = 0
-            for keys, texts in text_slices(batches):
+            for keys, texts in text_slices(batches, slice_bytes):
                 flat, counts = coder.encode_batch(texts)
                 ends = np.cumsum(counts)
                 for key, e, n in zip(keys, ends, counts, strict=True):
