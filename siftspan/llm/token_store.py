@@ -36,7 +36,7 @@ MAGIC = b"TIDS0001"
 INDEX = np.dtype([("doc_id", "<i8"), ("valid", "<i8"), ("start", "<i8"), ("n_tokens", "<i8"), ("offset", "<i8"), ("length", "<i8")])
 ROW, TAIL = struct.Struct("<6q"), struct.Struct("<qq8s")
 #: Bounds of the sample of which the dictionary is trained, not of what is written: documents, and bytes of whole texts.
-SAMPLE_DOCS, SAMPLE_BYTES = 2000, 16 << 20
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 8 << 20
 DICT_BYTES = 64 << 10
 SHARD_BYTES = 128 << 20  # of text; there are four shards a core at least, so that cores share the work of small inputs
 PIECE = 8192  # bytes of serialized ids that are one sample to the trainer
