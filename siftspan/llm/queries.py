@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspan.llm import bpe, embed_dedup, line_dedup, media, packing, quality, secrets, simhash, token_store, toxicity
+from siftspan.llm import bpe, collocations, embed_dedup, line_dedup, media, packing, quality, secrets, simhash, token_store, toxicity
 from siftspan.llm.common import modest_batches
 
 
@@ -74,6 +74,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(documents(spark, sf_dir))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, documents(spark, sf_dir), max_n=3, least=10, top=2000)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_media": op10_media,
+        "op12_collocations": op12_collocations,
         "pipeline": pipeline,
     }
 
@@ -127,5 +132,26 @@ OP1_SQL = """
     SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
 
 
+#: Every phrase occurrence from the lists of words of the pieces, all cuts and all longer candidates by joins.
+OP12_SQL = """
+    WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+    p AS (SELECT lang, unnest(string_split_regex(x, '[.,;:!?\\n\\x0B\\f\\r]')) AS piece FROM t),
+    w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]'), lambda z: z <> '') AS ws FROM p),
+    g AS (SELECT lang, 1 AS k, unnest(ws) AS phrase FROM w
+          UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+          UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) FROM w),
+    f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+    n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f AS a FROM f WHERE k > 1),
+    cuts AS (SELECT lang, phrase, a, 1 AS c, ws[1] AS lp, array_to_string(ws[2:], ' ') AS rp FROM c UNION ALL SELECT lang, phrase, a, 2, ws[1] || ' ' || ws[2], ws[3] FROM c WHERE k = 3),
+    s AS (SELECT cuts.*, l.f AS l, r.f AS r, CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+          FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = lp JOIN f r ON r.lang = cuts.lang AND r.phrase = rp),
+    best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+    longer AS (SELECT lang, sub, max(a) AS above FROM (SELECT lang, a, ws[1] || ' ' || ws[2] AS sub FROM c WHERE k = 3 UNION ALL SELECT lang, a, ws[2] || ' ' || ws[3] FROM c WHERE k = 3) GROUP BY ALL),
+    kept AS (SELECT best.* FROM best LEFT JOIN longer ON longer.lang = best.lang AND longer.sub = best.phrase WHERE above IS NULL OR above * 100 < a * 50)
+    SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM kept JOIN n USING (lang) QUALIFY rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": OP1_SQL, "op5_secrets": op5_sql()}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op5_secrets": op5_sql(), "op12_collocations": OP12_SQL}
