@@ -207,13 +207,12 @@ def frequencies(spark: SparkSession, docs: DataFrame, max_n: int = 3, least: int
 
 
 def score(counts: DataFrame, inside: int = 50) -> DataFrame:
-    """(lang, phrase, a, l, r, n, score) of the candidates in `counts`: phrases of two words or more.
+    """(lang, phrase, a, l, r, score) of the candidates in `counts`: phrases of two words or more.
 
     Of all cuts after k words, the one with the lowest floor(1000000 a a / (l r)) counts, ties to the smallest k;
     decimals of 38 digits hold the products exactly. Candidates whose words lie within a longer one that occurs at
     least `inside` percent as often are dropped.
     """
-    n = counts.where("k = 0").select("lang", F.col("f").alias("n"))
     words = F.split("phrase", " ")
     whole = counts.where("k > 1").select("lang", "phrase", F.col("f").alias("a"), words.alias("w"))
 
@@ -231,7 +230,7 @@ def score(counts: DataFrame, inside: int = 50) -> DataFrame:
     steps = F.flatten(F.transform(F.sequence(F.lit(2), F.size("w") - 1), lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))))
     longer = whole.where(F.size("w") > 2).select("lang", F.explode(F.array_distinct(steps)).alias("phrase"), F.col("a").alias("above")).groupBy("lang", "phrase").agg(F.max("above").alias("above"))
     kept = lowest.join(longer, ["lang", "phrase"], "left").where(F.col("above").isNull() | (F.col("above") * 100 < F.col("a") * inside))
-    return kept.join(n, "lang").select("lang", "phrase", "a", F.col("s.l").alias("l"), F.col("s.r").alias("r"), "n", F.col("s.score").alias("score"))
+    return kept.select("lang", "phrase", "a", F.col("s.l").alias("l"), F.col("s.r").alias("r"), F.col("s.score").alias("score"))
 
 
 def collocations(spark: SparkSession, docs: DataFrame, max_n: int = 3, least: int = 10, top: int = 2000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -244,4 +243,5 @@ def collocations(spark: SparkSession, docs: DataFrame, max_n: int = 3, least: in
     scored = score(counts).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)))
     near = scored.withColumn("_rank", F.row_number().over(W.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_rank") <= top).drop("_part", "_rank")
     ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    n = counts.where("k = 0").select("lang", F.col("f").alias("n"))
+    return ranked.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspan.llm import bpe, collocations, embed_dedup, line_dedup, media, packing, quality, secrets, simhash, token_store, toxicity
+from siftspan.llm import bpe, collocations, embed_dedup, line_dedup, media, packing, pii, quality, secrets, simhash, token_store, toxicity
 from siftspan.llm.common import modest_batches
 
 
@@ -74,6 +74,10 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media(documents(spark, sf_dir))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(documents(spark, sf_dir), pii.train(pii.labelled(spark)))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(spark, documents(spark, sf_dir), max_n=3, least=10, top=2000)
 
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_packing": op9_packing,
         "op10_media": op10_media,
+        "op11_pii": op11_pii,
         "op12_collocations": op12_collocations,
         "pipeline": pipeline,
     }
