@@ -273,7 +273,7 @@ def sentences(rows: int, seed: int) -> list[tuple[list[str], list[str]]]:
 
     def email():
         a, b = draw.choice(["[]", "()", "{}"])
-        gap = draw.choice(["", " "])
+        gap = draw.choice(["", " ", " "])
         at, dot = f"{gap}{a}at{b}{gap}", draw.choice([".", f"{gap}{a}dot{b}{gap}"])
         return latin() + draw.choice(["", "." + latin(), digits(2)]) + at + latin() + draw.choice(["", digits(1)]) + dot + draw.choice(["com", "org", "net", "fr"])
 
@@ -460,6 +460,8 @@ def spans(decoder: Decoder, texts: list[str]) -> list[list[tuple[int, int, int,
         base = base_spans(text)
         rows = [(s, k, e, True) for s, k, e in base]
         for s, e, kind in runs:
+            if kind == "email" and text[s] in "[({<":  # the name before a mark is any word: it belongs to the address
+                s = max(text.rfind(c, max(0, s - MAX_RUN), max(0, s - 1)) for c in " \t\n") + 1
             found = checked(kind, text[s:e])
             if found and not any(x < s + found[1] and s + found[0] < y for x, _, y in base):
                 rows.append((s + found[0], KINDS.index(kind), s + found[1], False))
