@@ -91,13 +91,19 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def cut(spark: SparkSession, df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """`df` written to the shared folder and read back, with its path: ends the lineage and survives lost executors."""
+def cut(spark: SparkSession, df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """`df` written to the shared folder and read back, with its path: ends the lineage and survives lost executors.
+
+    Rows of each value of `by`, a column of few values, have files of their own, compressed as well as can be.
+    """
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     for made in _MADE[-1:]:
         made.append(path)
     schema = df.schema
-    df.write.parquet(path)
+    if by:
+        df.write.partitionBy(by).option("compression", "zstd").parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path), path
 
 

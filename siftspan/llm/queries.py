@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspan.llm import bpe, collocations, embed_dedup, line_dedup, media, packing, pii, quality, secrets, simhash, token_store, toxicity
+from siftspan.llm import align, bpe, collocations, embed_dedup, line_dedup, media, packing, pii, quality, secrets, simhash, token_store, toxicity
 from siftspan.llm.common import modest_batches
 
 
@@ -82,6 +82,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(spark, documents(spark, sf_dir), max_n=3, least=10, top=2000)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = align.align(spark, documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return rows
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_media": op10_media,
         "op11_pii": op11_pii,
         "op12_collocations": op12_collocations,
+        "op13_token_alignment": op13_token_alignment,
         "pipeline": pipeline,
     }
 
