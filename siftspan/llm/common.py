@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -91,22 +92,27 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def cut(spark: SparkSession, df: DataFrame, label: str, by: str | None = None) -> tuple[DataFrame, str]:
+def cut(spark: SparkSession, df: DataFrame, label: str, by: str | None = None, compression: str | None = None) -> tuple[DataFrame, str]:
     """`df` written to the shared folder and read back, with its path: ends the lineage and survives lost executors.
 
-    Rows of each value of `by`, a column of few values, have files of their own, compressed as well as can be.
+    Rows of each value of `by`, a column of few values, have files of their own.
     """
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     for made in _MADE[-1:]:
         made.append(path)
     schema = df.schema
-    if by:
-        df.write.partitionBy(by).option("compression", "zstd").parquet(path)
-    else:
-        df.write.parquet(path)
+    out = df.write.option("compression", compression) if compression else df.write
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(schema).parquet(path), path
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets the driver's cleaner delete shuffle files of finished plans now, as it does whenever the driver's memory is
+    collected: a driver with little to do may not collect it for long, and the files stay on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a cut that nothing reads any more."""
     jvm = spark.sparkContext._jvm
