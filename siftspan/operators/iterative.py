@@ -130,15 +130,15 @@ def chain_of_notes(spark: SparkSession, hits: DataFrame, queries: DataFrame, doc
     notes = None
     for n in range(0 if rounds is None else rounds + 1):
         listed = F.array_sort(F.collect_list(F.struct("place", "doc_id", "text")))
-        text = F.array_join(F.transform(listed, lambda d: F.concat(F.lit("Document "), (d["place"] + 1).cast("string"), F.lit(" (ID: "), d["doc_id"].cast("string"), F.lit("):\n"), d["text"])), "\n---\n")
+        text = F.array_join(F.transform(listed, lambda d: F.concat(F.lit("<text no="), (d["place"] + 1).cast("string"), F.lit(" key="), d["doc_id"].cast("string"), F.lit(">"), d["text"])), "\n\n")
         asked = rows.where(F.col("round") == n).groupBy("query_id", "query").agg(text.alias("documents"))
         if notes is None:
             asked = asked.withColumn("before", F.lit(""))
         else:
             last = notes.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "relevance", "key_info"))).alias("l"))
-            told = F.array_join(F.transform(F.slice("l", F.greatest(F.size("l") - 2, F.lit(1)), 3), lambda x: F.concat(F.lit("- Doc "), x["doc_id"].cast("string"), F.lit(": ["), x["relevance"], F.lit("] "), F.substring(x["key_info"], 1, 100))), "\n")
-            asked = asked.join(last.select("query_id", F.concat(F.lit("\nPrevious notes:\n"), told, F.lit("\n")).alias("before")), "query_id", "left").withColumn("before", F.coalesce("before", F.lit("")))
-        prompt = F.concat(F.lit(NOTES + "Query: "), F.col("query"), F.lit("\n"), F.col("before"), F.lit("\nDocuments:\n"), F.col("documents"))
+            told = F.array_join(F.transform(F.slice("l", F.greatest(F.size("l") - 2, F.lit(1)), 3), lambda x: F.concat_ws(" / ", x["doc_id"].cast("string"), x["relevance"], F.substring(x["key_info"], 1, 100))), "; ")
+            asked = asked.join(last.select("query_id", F.concat(F.lit("\nNoted so far: "), told).alias("before")), "query_id", "left").withColumn("before", F.coalesce("before", F.lit("")))
+        prompt = F.concat(F.lit(NOTES + "Query: "), F.col("query"), F.lit("\n"), F.col("before"), F.lit("\nTexts:\n"), F.col("documents"))
         said = completer.complete(asked.select("query_id", prompt.alias("prompt")))
         found = said.select("query_id", F.posexplode(note_blocks(F.col("response.content"))).alias("place", "note"))
         here = rows.where(F.col("round") == n).join(found, ["query_id", "place"], "left")

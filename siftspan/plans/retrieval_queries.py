@@ -6,14 +6,17 @@ take all benchmark items.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspan.functions.vector import hashed_vectors
 from siftspan.operators import bm25, dense, fusion, graph, iterative
+from siftspan.operators.postings import Postings
 from siftspan.operators.topk import topk
 from siftspan.sources.providers import Completer
-from siftspan.sources.tables import cut, table
+from siftspan.sources.tables import cut, shared_dir, table
 from siftspan.sources.vector_table import delete, probe, upsert
 
 
@@ -49,6 +52,21 @@ def bm25_topk(spark, d):
     return bm25.retrieve(docs_of(spark, d), items_of(spark, d), 10)
 
 
+def bm25_postings(spark, d):
+    """Through an inverted index: a query reads the buckets of its terms."""
+    made = Postings(spark, f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}")
+    made.add(docs_of(spark, d))
+    return made.retrieve(items_of(spark, d), 10)
+
+
+def bm25_growing(spark, d):
+    """An index that three parts of the documents are added to, one of them twice under its name."""
+    made = Postings(spark, f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}")
+    for k in (0, 1, 2, 1):
+        made.add(docs_of(spark, d).where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k), f"part-{k}")
+    return made.retrieve(items_of(spark, d), 10)
+
+
 def bm25_threshold(spark, d):
     return bm25.retrieve(docs_of(spark, d), items_of(spark, d), 10, threshold=0.5)
 
@@ -185,7 +203,7 @@ def chain_of_note(spark, d):
 def chain_of_note_batches(spark, d):
     """Two rounds of requests, answered by a rule: a note a document, by whether its first characters say item."""
     q, docs = items_of(spark, d), docs_of(spark, d)
-    rule = lambda p: F.array_join(F.transform(F.split(F.element_at(F.split(p, "Documents:\n"), -1), "\n---\n"), lambda x: F.concat(F.lit("RELEVANCE: "), F.when(F.length(x) >= 400, "relevant").otherwise("irrelevant"), F.lit("\nKEY_INFO: "), F.length(x).cast("string"), F.lit("\nTYPE: complementary"))), "\n\n")
+    rule = lambda p: F.array_join(F.transform(F.split(F.element_at(F.split(p, "Texts:\n"), -1), "\n\n(?=<text no=)"), lambda x: F.concat(F.lit("RELEVANCE: "), F.when(F.length(x) >= 400, "relevant").otherwise("irrelevant"), F.lit("\nKEY_INFO: "), F.length(x).cast("string"), F.lit("\nTYPE: complementary"))), "\n\n")
     rows = iterative.chain_of_notes(spark, cut(spark, bm25.retrieve(docs, q, 8), "hits"), q, docs, Completer(rule=rule), 8, 5)
     return rows.select("query_id", "doc_id", "score", "rank", "relevance", "key_info", "note_type", "original_score")
 
@@ -335,7 +353,7 @@ def rounds_sql(rounds: int, per: int, k: int, decay: float, ask_first: bool) ->
 
 
 QUERIES = {
-    "tokenize_tf": tokenize_tf, "doc_freq": doc_freq, "doc_len_stats": doc_len_stats, "bm25_topk": bm25_topk, "bm25_threshold": bm25_threshold, "bm25_custom_params": bm25_custom_params,
+    "tokenize_tf": tokenize_tf, "doc_freq": doc_freq, "doc_len_stats": doc_len_stats, "bm25_topk": bm25_topk, "bm25_postings": bm25_postings, "bm25_growing": bm25_growing, "bm25_threshold": bm25_threshold, "bm25_custom_params": bm25_custom_params,
     "dense_topk": _search("cosine"), "dense_threshold": _search("cosine", threshold=0.2), "vector_l2_topk": _search("l2"), "vector_l2_similarity": _search("l2", kind="similarity"), "vector_dot_topk": _search("dot"),
     "vector_prefilter": vector_prefilter, "vector_postfilter": vector_postfilter, "vector_delete_count": vector_delete_count, "vector_upsert": vector_upsert, "ivf_topk": ivf_topk,
     "text_embed_topk": text_embed_topk, "hybrid_rrf": hybrid_rrf, "splade_topk": splade_topk, "colbert_maxsim": colbert_maxsim, "graph_bfs_docs": graph_bfs_docs, "graph_entity_link": graph_entity_link, "graph_fallback": graph_fallback,
@@ -347,7 +365,7 @@ ORACLE = {
     "tokenize_tf": f"WITH {TF} SELECT * FROM tf",
     "doc_freq": f"WITH {TF} SELECT * FROM df",
     "doc_len_stats": f"WITH {TF} SELECT n, round(avgdl, 6) AS avgdl FROM st",
-    "bm25_topk": bm25_sql(),
+    "bm25_topk": bm25_sql(), "bm25_postings": bm25_sql(), "bm25_growing": bm25_sql(),
     "bm25_threshold": bm25_sql(where="WHERE score >= 0.5"),
     "bm25_custom_params": bm25_sql(2, 2.0, 0.5),
     "dense_topk": vector_sql(COS),
@@ -398,7 +416,7 @@ ORACLE = {
         m AS (SELECT *, CASE WHEN sh >= 0.5 THEN 'relevant' WHEN sh >= 0.3 THEN 'partially_relevant' ELSE 'irrelevant' END AS relevance, CASE WHEN sh >= 0.7 THEN 'complementary' WHEN sh < 0.1 THEN 'conflicting' ELSE 'standard' END AS note_type FROM n),
         f AS (SELECT *, {NOTED} AS s FROM m), z AS ({_ranked('f', 5, 'round(s, 6)', cols=', relevance, note_type')}) SELECT * FROM z""",
     "chain_of_note_batches": f"""WITH {Q}, {TF}, {QT}, raw AS ({_raw('1.5::DOUBLE', '0.75::DOUBLE')} GROUP BY 1, 2), br AS ({_ranked('raw', 8)}),
-        n AS (SELECT query_id, doc_id, br.score AS b, length('Document ' || ((rank - 1) % 5 + 1) || ' (ID: ' || doc_id || '):' || chr(10) || substr(text, 1, 500)) AS l FROM br JOIN documents USING (doc_id)),
+        n AS (SELECT query_id, doc_id, br.score AS b, length('<text no=' || ((rank - 1) % 5 + 1) || ' key=' || doc_id || '>' || substr(text, 1, 500)) AS l FROM br JOIN documents USING (doc_id)),
         m AS (SELECT *, CASE WHEN l >= 400 THEN 'relevant' ELSE 'irrelevant' END AS relevance, 'complementary' AS note_type, CAST(l AS VARCHAR) AS key_info FROM n),
         f AS (SELECT *, {NOTED} AS s, b AS original_score FROM m), z AS ({_ranked('f', 8, 'round(s, 6)', cols=', relevance, key_info, note_type, original_score')}) SELECT * FROM z""",
     "multi_hop": rounds_sql(3, 3, 10, 0.1, False),

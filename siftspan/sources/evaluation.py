@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,22 +41,24 @@ def frontier_by(points: DataFrame, objectives: list[str], minimise: tuple[str, .
     return pareto.optimal(points, objectives, minimise).withColumn("place", F.row_number().over(W.orderBy(by, "point_id")))
 
 
-def corpus(spark: SparkSession, n: int, mean_words: int = 500, seed: int = 42, words: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text): n seeded texts of half to twice the mean number of words, made where they are needed."""
-    chosen = words or tuple("the of and to a in is it machine learning neural network data model training retrieval document vector search index query score ranking metric language text attention".split())
-
-    def texts(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            made = []
-            for i in ids:
-                draw = random.Random(f"{seed}-{i}")
-                made.append(" ".join(draw.choices(chosen, k=draw.randint(mean_words // 2, mean_words * 2))))
-            yield pa.record_batch([batch.column(0), pa.array(made)], names=["doc_id", "text"])
-
-    return spark.range(n).mapInArrow(texts, "doc_id long, text string")
+def invented(spark: SparkSession, vocabulary: list[str], rows: int, shortest: int, longest: int, seed: int = 0) -> DataFrame:
+    """(doc_id, text): texts of `shortest` to `longest` words of the caller's vocabulary, each place drawn by a hash of
+    seed, row and place: expressions alone, so tasks make them where they are read."""
+    if not vocabulary or not 1 <= shortest <= longest:
+        raise ValueError("a vocabulary and lengths of 1 or more are needed")
+    words = F.array(*map(F.lit, vocabulary))
+    length = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(longest - shortest + 1)) + shortest).cast("int")
+    text = F.array_join(F.transform(F.sequence(F.lit(1), length), lambda j: F.get(words, F.pmod(F.xxhash64(F.lit(seed), "id", j), F.lit(len(vocabulary))).cast("int"))), " ")
+    return spark.range(rows).select(F.col("id").alias("doc_id"), text.alias("text"))
+
+
+def excerpts(docs: DataFrame, rows: int, words: int, seed: int = 0) -> DataFrame:
+    """(query_id, query): as many queries, each some neighbouring words of another document of `docs(doc_id, text)`, with
+    its id; the documents are the first by a hash, those without words are left out."""
+    w = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")
+    chosen = docs.select(F.col("doc_id").alias("query_id"), w.alias("w"), F.xxhash64(F.lit(seed), "doc_id").alias("h")).where(F.size("w") > 0).orderBy("h", "query_id").limit(rows)
+    start = F.pmod("h", F.greatest(F.size("w") - words + 1, F.lit(1))).cast("int") + 1
+    return chosen.select("query_id", F.array_join(F.slice("w", start, words), " ").alias("query"))
 
 
 def table_definition(name: str, dimension: int, metric: str = "cosine", index: str = "hnsw", lists: int = 100, m: int = 16, ef: int = 64) -> list[str]:

@@ -29,10 +29,18 @@ def test_frontier_line(spark):
     assert [r["point_id"] for r in evaluation.frontier_by(p, ["quality", "latency"], ("latency",), "latency").orderBy("place").collect()] == [2, 3, 1]
 
 
-def test_corpus(spark):
-    rows = evaluation.corpus(spark, 6, 20).orderBy("doc_id").collect()
-    assert [tuple(r) for r in rows] == [tuple(r) for r in evaluation.corpus(spark, 6, 20).repartition(3).orderBy("doc_id").collect()]
-    assert all(10 <= len(r["text"].split()) <= 40 for r in rows) and len({r["text"] for r in rows}) == 6
+def test_invented_texts_and_their_queries(spark):
+    made = evaluation.invented(spark, ["oak", "elm", "ash"], 50, 3, 6, seed=4)
+    rows = sorted(map(tuple, made.collect()))
+    assert rows == sorted(map(tuple, made.repartition(7).collect())) and len(rows) == 50
+    assert {len(t.split()) for _, t in rows} == {3, 4, 5, 6} and {w for _, t in rows for w in t.split()} == {"oak", "elm", "ash"}
+    assert len({t for _, t in evaluation.invented(spark, ["oak", "elm", "ash"], 50, 3, 6, seed=5).collect()} & {t for _, t in rows}) < 25
+    asked = evaluation.excerpts(made, 10, 2).collect()
+    texts = dict(rows)
+    assert len(asked) == 10 and all(r["query"] in texts[r["query_id"]] and len(r["query"].split()) == 2 for r in asked)
+    assert evaluation.excerpts(spark.createDataFrame([(1, None), (2, " "), (3, "one")], "doc_id long, text string"), 10, 4).collect()[0]["query"] == "one"
+    with pytest.raises(ValueError):
+        evaluation.invented(spark, [], 5, 1, 2)
 
 
 def test_table_definition():

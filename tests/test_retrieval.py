@@ -124,8 +124,8 @@ def test_chain_of_notes(spark, docs, queries):
     def call(request):
         asked.add(1)
         p = request["prompt"]
-        if "Previous notes" in p:
-            assert "- Doc 0: [relevant] first" in p or "- Doc 4: [relevant] first" in p or "- Doc 1:" in p
+        if "Noted so far" in p:
+            assert "0 / relevant / first" in p or "4 / relevant / first" in p or "1 / " in p
             return {"content": "RELEVANCE: irrelevant\nTYPE: complementary", "prompt_tokens": len(p)}
         return "RELEVANCE: relevant\nKEY_INFO: first\n\nno note here"
 
