@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspan.llm.common import cut, forget_shuffles, remove, text_slices, tidy
+from siftspan.llm.common import cut, remove, short_shuffles, text_slices, tidy
 
 #: Bytes of text of a slice, and units that are encoded together.
 SLICE, UNITS = 16 << 20, 20_000
@@ -217,6 +217,14 @@ def groups(links: str = "links") -> Column:
     return F.rtrim(joined, F.lit(";"))
 
 
+def summed(links: DataFrame, counted: DataFrame, send: bool) -> DataFrame:
+    """(uid, n_a, n_b, n_groups, n_links, groups, n_best, count_sum) of each unit; with `send`, pairs go to all links."""
+    each = links.select("uid", F.explode("links").alias("x")).select("uid", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
+    sums = each.join(F.broadcast(counted) if send else counted, ["a", "b"]).groupBy("uid").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    cuts = F.size(F.filter("links", lambda x: x["last_a"] & x["last_b"]))
+    return links.select("uid", "n_a", "n_b", cuts.alias("n_groups"), F.size("links").alias("n_links"), groups().alias("groups")).join(sums, "uid")
+
+
 def align(spark: SparkSession, docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Tables of a corpus: (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row, and `pairs`.
 
@@ -224,20 +232,15 @@ def align(spark: SparkSession, docs: DataFrame, a: str, b: str, id_col: str = "d
     empty string. Repeated rows count as often as they are there; null ids stay null; an empty table gives no rows;
     other columns are not read.
     """
-    slices, _ = cut(spark, sliced(docs, a, b, id_col, text_col), "align-slices", "kind", "zstd")
-    named = slices.where("kind = 1")
-    units, units_path = cut(spark, encoded(named.groupBy("unit").agg(F.sum("n").alias("n")), a, b), "align-units", None, "zstd")
-    links, links_path = cut(spark, linked(spark, units, a, b), "align-links", None, "zstd")
-    forget_shuffles(spark)
-    counted, _ = cut(spark, pairs(links), "align-pairs")
-    small = counted.count() <= SEND_PAIRS
-    each = links.select("uid", F.explode("links").alias("x")).select("uid", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-    sums = each.join(F.broadcast(counted) if small else counted, ["a", "b"]).groupBy("uid").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    whole = links.select("uid", "n_a", "n_b", F.size(F.filter("links", lambda x: x["last_a"] & x["last_b"])).alias("n_groups"), F.size("links").alias("n_links"), groups().alias("groups")).join(sums, "uid")
-    whole, _ = cut(spark, whole.join(units.select("uid", "unit"), "uid"), "align-whole", None, "zstd")
+    with short_shuffles(spark):
+        slices, _ = cut(spark, sliced(docs, a, b, id_col, text_col), "align-slices", "kind", "zstd")
+        named = slices.where("kind = 1")
+        units, units_path = cut(spark, encoded(named.groupBy("unit").agg(F.sum("n").alias("n")), a, b), "align-units", None, "zstd")
+        links, links_path = cut(spark, linked(spark, units, a, b), "align-links", None, "zstd")
+        counted, _ = cut(spark, pairs(links), "align-pairs")
+        whole, _ = cut(spark, summed(links, counted, counted.count() <= SEND_PAIRS).join(units.select("uid", "unit"), "uid"), "align-whole", None, "zstd")
     remove(spark, units_path)
     remove(spark, links_path)
-    forget_shuffles(spark)
     numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
     rows = named.select("slice", "code", "unit").join(whole.drop("uid"), "unit").select(F.col("slice").alias("of"), "code", *[F.col(c).cast("long").alias(c) for c in numbers], "groups")
 

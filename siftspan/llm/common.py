@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -106,11 +105,19 @@ def cut(spark: SparkSession, df: DataFrame, label: str, by: str | None = None, c
     return spark.read.schema(schema).parquet(path), path
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Lets the driver's cleaner delete shuffle files of finished plans now, as it does whenever the driver's memory is
-    collected: a driver with little to do may not collect it for long, and the files stay on the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Spark's own switch: shuffle files go at the end of the action that made them, not when the driver's memory is collected.
+SHORT_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Actions inside leave no shuffle files behind: each has to write what others need of it."""
+    before = spark.conf.get(SHORT_SHUFFLES)
+    spark.conf.set(SHORT_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHORT_SHUFFLES, before)
 
 
 def remove(spark: SparkSession, path: str) -> None:
