@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from siftspan.functions import distributions as D
+from siftspan.sources.tables import cut
 
 FIELDS = "metric, n_a, n_b, mean_a, mean_b, std_a, std_b, effect_size, statistic, ci_lo, ci_hi"
 
@@ -147,23 +148,26 @@ def mann_whitney(scores: DataFrame, alpha: float = 0.05, bonferroni: bool = True
     return _decide(rows.drop("ties", "se"), alpha, bonferroni, "mann_whitney")
 
 
-#: The prime of the rounds' hash, and the scores that are sent to every task (16 bytes each).
-PRIME, SEND_ROWS = 2147483647, 1 << 20
+#: Fixed value: the prime of the rounds' hash.
+PRIME = 2147483647
+#: Scores that are sent to every task (16 bytes each); parts of an interval of keys in a pass of the selection; scores
+#: of an interval that are looked at one by one; numbers that a task holds at once.
+SEND_ROWS, PARTS, FEW, HELD = 1 << 20, 32, 64, 1 << 21
 
 
-def permutation(spark: SparkSession, scores: DataFrame, rounds: int = 10_000, seed: int = 42) -> DataFrame:
+def permutation(spark: SparkSession, scores: DataFrame, rounds: int = 10_000, seed: int = 42, send_rows: int | None = None) -> DataFrame:
     """(metric, observed, p_value, ci_lo, ci_hi) of `scores(metric, arm, pos, score)`; differences are A - B.
 
     A round orders all scores of a metric by (a x + b) mod PRIME, with x from md5(seed, arm, pos) and a and b from
     md5(seed, round), then by arm and pos, and calls the first n_a of them A. p is the share of rounds with a difference
-    as large as the observed one; the interval is that of the rounds' differences. Up to SEND_ROWS scores (counted) are
-    sent to tasks that share the rounds; with more, every round of a metric is a shuffled group of its own.
+    as large as the observed one; the interval is that of the rounds' differences. Up to SEND_ROWS (or `send_rows`)
+    scores (counted) are sent to tasks that share the rounds; more of them stay where they are, and each round's n_a-th key is selected.
     """
     number = lambda text, first: F.conv(F.substring(F.md5(text), first, 7), 16, 10).cast("long")
     dealt = scores.where(F.col("score").isNotNull()).select("metric", "arm", "pos", F.col("score").cast("double").alias("score"), number(F.concat_ws("-", F.lit(seed), F.col("arm"), F.col("pos")), 1).alias("x"))
     reps = spark.range(rounds).select(F.col("id").alias("rep"), (number(F.concat_ws("-", F.lit(seed), F.col("id")), 1) + 1).alias("a"), number(F.concat_ws("-", F.lit(seed), F.col("id")), 9).alias("b"))
     counts = dealt.groupBy("metric").agg(F.count_if(F.col("arm") == "A").alias("n_a"), F.count("*").alias("n"), F.sum("score").alias("total"), (F.avg(F.when(F.col("arm") == "A", F.col("score"))) - F.avg(F.when(F.col("arm") == "B", F.col("score")))).alias("observed")).where((F.col("n_a") > 0) & (F.col("n_a") < F.col("n")))
-    if dealt.count() <= SEND_ROWS:
+    if dealt.count() <= (SEND_ROWS if send_rows is None else send_rows):
         arrays = {name: (part["score"].to_numpy(), part["x"].to_numpy(), int((part["arm"] == "A").sum())) for name, part in dealt.toPandas().sort_values(["arm", "pos"], kind="stable").groupby("metric")}
 
         def run(batches):
@@ -175,14 +179,93 @@ def permutation(spark: SparkSession, scores: DataFrame, rounds: int = 10_000, se
 
         sums = reps.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "metric string, rep long, s double")
     else:
-        order = W.partitionBy("metric", "rep").orderBy((F.col("a") * F.col("x") + F.col("b")) % PRIME, "arm", "pos")
-        every = dealt.crossJoin(F.broadcast(reps)).withColumn("k", F.row_number().over(order)).join(counts.select("metric", "n_a"), "metric")
-        sums = every.where(F.col("k") <= F.col("n_a")).groupBy("metric", "rep").agg(F.sum("score").alias("s"))
+        sums = _selected(dealt, reps, counts)
     rest = (F.col("total") - F.col("s")) / (F.col("n") - F.col("n_a"))
     diffs = sums.join(F.broadcast(counts), "metric").withColumn("d", F.round(F.col("s") / F.col("n_a") - rest, 9))
     return diffs.groupBy("metric").agg(F.round(F.first("observed"), 6).alias("observed"), F.avg((F.abs("d") >= F.round(F.abs("observed"), 9)).cast("double")).alias("p_value"), F.expr("percentile(d, 0.025)").alias("ci_lo"), F.expr("percentile(d, 0.975)").alias("ci_hi"))
 
 
+def _selected(dealt: DataFrame, reps: DataFrame, counts: DataFrame) -> DataFrame:
+    """(metric, rep, s): the sum of the first n_a scores of every round, wherever the scores lie.
+
+    Each round has an interval of keys that its n_a-th one lies in. A pass over the scores counts the keys in PARTS
+    parts of every interval, added up within a task and over tasks, and the part that holds the n_a-th takes its place,
+    until FEW scores or one key are left. The last pass adds the scores below the interval up and returns those within,
+    which a window by round puts in order. A task holds counts of all rounds, and a driver the intervals: neither
+    grows with the scores.
+    """
+    dealt = cut(dealt.sparkSession, dealt, "permutation")
+    keys = reps.orderBy("rep").toPandas()
+    a, b = keys["a"].to_numpy(np.int64), keys["b"].to_numpy(np.int64)
+    n_a = {r["metric"]: r["n_a"] for r in counts.collect()}
+    rounds = len(keys)
+    low = {m: np.zeros(rounds, np.int64) for m in n_a}
+    high = {m: np.full(rounds, PRIME, np.int64) for m in n_a}
+    below = {m: np.zeros(rounds, np.int64) for m in n_a}
+    inside = {m: np.full(rounds, np.iinfo(np.int64).max) for m in n_a}
+
+    def each(batches):
+        """(metric, rounds, keys of these rounds by score, positions of the scores in the batch) in pieces of HELD numbers."""
+        for batch in batches:
+            metric, x = np.array(batch.column("metric").to_pylist(), object), np.asarray(batch.column("x"), np.int64)
+            for m in sorted(set(metric.tolist()) & set(n_a)):
+                at = np.flatnonzero(metric == m)
+                step = max(1, HELD // len(at))
+                for k in range(0, rounds, step):
+                    some = slice(k, k + step)
+                    yield batch, m, some, (a[some, None] * x[at] + b[some, None]) % PRIME, at
+
+    while any(((inside[m] > FEW) & (high[m] - low[m] > 1)).any() for m in n_a):
+        lo, hi = dict(low), dict(high)
+
+        def count(batches, lo=lo, hi=hi):
+            total = {m: np.zeros((rounds, PARTS), np.int64) for m in n_a}
+            for _, m, some, key, _ in each(batches):
+                width = hi[m][some] - lo[m][some]
+                part = (key - lo[m][some, None]) * PARTS // width[:, None]
+                part = np.where((key >= lo[m][some, None]) & (key < hi[m][some, None]), part, PARTS)
+                flat = part + (np.arange(len(part)) * (PARTS + 1))[:, None]
+                total[m][some] += np.bincount(flat.ravel(), minlength=len(part) * (PARTS + 1)).reshape(len(part), PARTS + 1)[:, :PARTS]
+            for m, t in total.items():
+                i, j = np.nonzero(t)
+                yield pa.record_batch([pa.array([m] * len(i), pa.string()), pa.array(i), pa.array(j), pa.array(t[i, j])], names=["metric", "rep", "part", "n"])
+
+        found = dealt.mapInArrow(count, "metric string, rep long, part long, n long").groupBy("metric", "rep", "part").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+        for m, rows in found.groupby("metric"):
+            table = np.zeros((rounds, PARTS), np.int64)
+            table[rows["rep"], rows["part"]] = rows["n"]
+            sums = below[m][:, None] + np.cumsum(table, axis=1)
+            part = (sums < n_a[m]).sum(axis=1)
+            here = np.arange(rounds)
+            width = high[m] - low[m]
+            inside[m] = table[here, part]
+            below[m] = sums[here, part] - inside[m]
+            # The keys of a part: those whose place times PARTS over the width is its number.
+            low[m], high[m] = low[m] + -(-part * width // PARTS), low[m] + -(-(part + 1) * width // PARTS)
+
+    def close(batches):
+        total = {m: np.zeros(rounds) for m in n_a}
+        for batch, m, some, key, at in each(batches):
+            score = np.asarray(batch.column("score"))[at]
+            total[m][some] += (key < low[m][some, None]) @ score
+            i, j = np.nonzero((key >= low[m][some, None]) & (key < high[m][some, None]))
+            if len(i):
+                rows = batch.select(["arm", "pos", "score"]).take(pa.array(at[j]))
+                yield pa.RecordBatch.from_arrays([pa.array([m] * len(i), pa.string()), pa.array(i + some.start), pa.array(key[i, j]), *rows.columns], names=["metric", "rep", "key", "arm", "pos", "score"])
+        for m, t in total.items():
+            none = pa.nulls(rounds)
+            kinds = [f.type for f in schema]
+            yield pa.RecordBatch.from_arrays([pa.array([m] * rounds, pa.string()), pa.array(np.arange(rounds)), none.cast(pa.int64()), none.cast(kinds[0]), none.cast(kinds[1]), pa.array(t)], names=["metric", "rep", "key", "arm", "pos", "score"])
+
+    schema = dealt.limit(0).select("arm", "pos").toArrow().schema
+    kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
+    rows = dealt.mapInArrow(close, f"metric string, rep long, key long, arm {kinds['arm']}, pos {kinds['pos']}, score double")
+    wanted = dealt.sparkSession.createDataFrame(pa.table({"metric": pa.array([m for m in n_a for _ in range(rounds)], pa.string()), "rep": pa.array(np.tile(np.arange(rounds), len(n_a))), "take": pa.array(np.concatenate([n_a[m] - below[m] for m in n_a]) if n_a else np.zeros(0, np.int64))}))
+    order = W.partitionBy("metric", "rep").orderBy(F.col("key").asc_nulls_last(), "arm", "pos")
+    ranked = rows.withColumn("k", F.row_number().over(order)).join(wanted, ["metric", "rep"])
+    return ranked.where(F.col("key").isNull() | (F.col("k") <= F.col("take"))).groupBy("metric", "rep").agg(F.sum("score").alias("s"))
+
+
 def paired_statistic(scores: DataFrame) -> DataFrame:
     """(metric, n, mean_diff, std_diff, statistic) of A - B over positions that both arms have, up to the shorter one's end."""
     pairs = scores.groupBy("metric", "pos").agg(F.max(F.when(F.col("arm") == "A", F.col("score"))).alias("a"), F.max(F.when(F.col("arm") == "B", F.col("score"))).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())

@@ -23,20 +23,50 @@ def entity_docs(triples: DataFrame) -> DataFrame:
     return edges(triples).select("entity", "doc_id").distinct()
 
 
+def gram_sets(strings: DataFrame, name: str) -> DataFrame:
+    """`strings` with `grams`: the distinct trigrams of a string; of one that is too short, itself with a sign before."""
+    c = F.col(name)
+    return strings.withColumn("grams", F.when(F.length(c) >= 3, trigrams(c)).otherwise(F.array(F.concat(F.lit("="), c))))
+
+
+def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
+    """(x, y) of `a(x, grams)` and `b(y, grams)`, distinct strings: pairs whose sets may have that Jaccard similarity.
+
+    Grams are put in order of rarity, over both sides. Two sets that are similar enough share one of the first
+    n - ceil(threshold n) + 1 of each; their sizes are within a factor of the threshold; and what can follow a shared
+    gram has to make up for the rest. So common grams, which nearly all strings have, are seldom looked up. No pair
+    that is similar enough is left out; without a threshold, all that share a gram are candidates.
+    """
+    both = a.select("grams").unionByName(b.select("grams"))
+    often = both.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
+
+    def prefixes(side: DataFrame, name: str) -> DataFrame:
+        rows = side.select(F.col(name), F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(often, "gram")
+        place = F.row_number().over(W.partitionBy(name).orderBy("often", "gram"))
+        # A little is taken off before rounding up, as products of decimals are not exact.
+        keep = F.col("n") - F.greatest(F.ceil(F.col("n") * threshold - 1e-9), F.lit(1)) + 1
+        return rows.withColumn("i", place).where(F.col("i") <= keep).select("gram", name, F.col("n").alias(f"n_{name}"), F.col("i").alias(f"i_{name}"))
+
+    met = prefixes(a, "x").join(prefixes(b, "y"), "gram")
+    sizes = (F.col("n_x") >= F.col("n_y") * threshold - 1e-9) & (F.col("n_y") >= F.col("n_x") * threshold - 1e-9)
+    rest = 1 + F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
+    first = met.where(sizes).groupBy("x", "y").agg(F.min(F.struct("i_x", rest.alias("rest"), "n_x", "n_y")).alias("s"))
+    # At the first gram that both have, all that they share is it and what follows.
+    return first.where(F.col("s.rest") * (1 + threshold) >= threshold * (F.col("s.n_x") + F.col("s.n_y")) - 1e-9).select("x", "y")
+
+
 def link(mentions: DataFrame, entities: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(query_id, mention, entity, similarity): for each (query_id, mention) the most similar entity, if near enough.
 
-    Candidates share a trigram; strings without trigrams match only themselves. Equal similarities: the smaller name.
+    Strings without trigrams match only themselves. Equal similarities: the smaller name. Each distinct mention is
+    compared once, with its `candidates`.
     """
     m = mentions.select("query_id", entity(F.col("mention")).alias("mention")).where(F.col("mention") != "").distinct()
     e = entities.select("entity").where(F.col("entity") != "").distinct()
-    keys = lambda c: F.when(F.length(c) >= 3, trigrams(F.col(c))).otherwise(F.array(F.concat(F.lit("="), F.col(c))))
-    a = m.select("query_id", "mention", F.explode(keys("mention")).alias("g"))
-    b = e.select("entity", F.explode(keys("entity")).alias("g"))
-    pairs = a.join(b, "g").select("query_id", "mention", "entity").distinct()
-    near = pairs.withColumn("similarity", trigram_jaccard(F.col("mention"), F.col("entity"))).where(F.col("similarity") >= threshold)
-    best = W.partitionBy("query_id", "mention").orderBy(F.round("similarity", 6).desc(), "entity")
-    return near.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == 1).drop("_n")
+    pairs = candidates(gram_sets(m.select(F.col("mention").alias("x")).distinct(), "x"), gram_sets(e.select(F.col("entity").alias("y")), "y"), threshold)
+    near = pairs.withColumn("similarity", trigram_jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= threshold)
+    best = near.groupBy("x").agg(F.min(F.struct((-F.round("similarity", 6)).alias("s"), "y", "similarity")).alias("b"))
+    return m.join(best, F.col("mention") == F.col("x")).select("query_id", "mention", F.col("b.y").alias("entity"), F.col("b.similarity").alias("similarity"))
 
 
 def bfs(spark: SparkSession, seeds: DataFrame, graph: DataFrame, max_hops: int = 2) -> DataFrame:

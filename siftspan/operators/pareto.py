@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,18 +15,94 @@ def _signed(points: DataFrame, objectives: list[str], minimise: tuple[str, ...])
     return points.select("point_id", *[(-F.coalesce(o, F.lit(0.0)) if o in minimise else F.coalesce(o, F.lit(0.0))).cast("double").alias(o) for o in objectives])
 
 
+#: Distinct points of a slab, about, by which the number of slabs is chosen; cells of the grid at most; rows that edges are taken from.
+SLAB, CELLS, SAMPLE = 1 << 15, 1 << 18, 1 << 13
+
+
+def weigh_above(data: np.ndarray, weight: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """For each row of `asked` the weight of the rows of `data` that are as great in every column, by divide and conquer.
+
+    Rows are split at the middle of the first column: all of the upper data count for the lower questions, with one
+    column less, and each half is asked for itself.
+    """
+    if not len(data) or not len(asked):
+        return np.zeros(len(asked), np.int64)
+    columns = data.shape[1]
+    if columns == 1:
+        order = np.argsort(data[:, 0], kind="stable")
+        above = np.append(np.cumsum(weight[order][::-1])[::-1], 0)
+        return above[np.searchsorted(data[order, 0], asked[:, 0], "left")]
+    if len(data) * len(asked) <= 1 << 18:
+        hit = np.ones((len(asked), len(data)), bool)
+        for k in range(columns):
+            hit &= data[None, :, k] >= asked[:, None, k]
+        return hit @ weight
+    both = np.concatenate([data[:, 0], asked[:, 0]])
+    middle = np.partition(both, len(both) // 2)[len(both) // 2]
+    up, ask_up = data[:, 0] >= middle, asked[:, 0] >= middle
+    if up.all() and ask_up.all():
+        if both.max() == middle:  # all are equal in this column
+            return weigh_above(data[:, 1:], weight, asked[:, 1:])
+        # Half of all are the least value: those above it are the upper half instead.
+        up, ask_up = data[:, 0] > middle, asked[:, 0] > middle
+    out = np.zeros(len(asked), np.int64)
+    out[~ask_up] = weigh_above(data[up][:, 1:], weight[up], asked[~ask_up][:, 1:]) + weigh_above(data[~up], weight[~up], asked[~ask_up])
+    out[ask_up] = weigh_above(data[up], weight[up], asked[ask_up])
+    return out
+
+
 def frontier(points: DataFrame, objectives: list[str], minimise: tuple[str, ...] = ()) -> DataFrame:
     """(point_id, n_dominating, is_optimal): a point is optimal if none is as good in all and better in one objective.
 
-    Points of equal values are one row in the comparison, which is an inequality join of the distinct values with
-    themselves, as every point needs its count; `optimal` finds the frontier of two objectives without pairs.
+    Counts without pairs. Points of equal values are one row with a weight. Each objective is cut into ranges, of which
+    ties are split by the other objectives, so that no value fills one. A point that dominates another lies in a higher
+    range of every objective, which the grid of the ranges counts, or shares a range with it: the first objective in
+    which it does gives the slab that counts the pair, a task's divide and conquer over about SLAB points. A point goes
+    to one slab an objective; the grid has CELLS cells at most.
     """
     rows = _signed(points, objectives, minimise)
+    d = len(objectives)
     values = rows.groupBy(*objectives).agg(F.count("*").alias("copies"))
-    other = values.select(*[F.col(o).alias(f"o_{o}") for o in objectives], F.col("copies").alias("o_copies"))
-    as_good = reduce(lambda a, b: a & b, [F.col(f"o_{o}") >= F.col(o) for o in objectives])
-    better = reduce(lambda a, b: a | b, [F.col(f"o_{o}") > F.col(o) for o in objectives])
-    counts = values.join(other, as_good & better, "left").groupBy(*objectives).agg(F.coalesce(F.sum("o_copies"), F.lit(0)).alias("n_dominating"))
+    n = values.count()
+    ranges = max(1, min(-(-n // SLAB), int(CELLS ** (1 / d) + 1e-9)))
+    # Edges from a sample decide where points are counted, not how often.
+    some = np.array(sorted(map(tuple, values.select(*objectives).orderBy(F.xxhash64(*objectives)).limit(SAMPLE).collect()))).reshape(-1, d) if ranges > 1 else np.zeros((0, d))
+    edges = []
+    for j in range(d):
+        turned = sorted(map(tuple, np.roll(some, -j, axis=1).tolist()))
+        edges.append([turned[len(turned) * k // ranges] for k in range(1, ranges)] if turned else [])
+
+    def place(j: int) -> Column:
+        if not edges[j]:
+            return F.lit(0)
+        names = objectives[j:] + objectives[:j]
+        key = F.struct(*[F.col(o).alias(f"c{i}") for i, o in enumerate(names)])
+        return F.size(F.filter(F.array(*[F.struct(*[F.lit(v).alias(f"c{i}") for i, v in enumerate(e)]) for e in edges[j]]), lambda e: e <= key))
+
+    placed = values.select(*objectives, "copies", F.array(*[place(j) for j in range(d)]).alias("at"))
+    grid = np.zeros((ranges,) * d, np.int64)
+    for r in placed.groupBy("at").agg(F.sum("copies").alias("n")).collect():  # a row a cell
+        grid[tuple(r["at"])] = r["n"]
+    for j in range(d):
+        grid = np.flip(np.cumsum(np.flip(grid, j), j), j)
+    above = np.zeros((ranges + 1,) * d, np.int64)
+    above[(slice(0, ranges),) * d] = grid
+
+    def slab(table: pa.Table) -> pa.Table:
+        j = table["slab"][0].as_py()
+        v = np.stack([np.asarray(table[o]) for o in objectives], axis=1)
+        at, copies = np.asarray(table["at"].combine_chunks().flatten()).reshape(len(v), d), np.asarray(table["copies"])
+        # Before the slab's objective a higher range is asked for, from it on values as great.
+        data, asked = v.copy(), v.copy()
+        data[:, :j], asked[:, :j] = at[:, :j], at[:, :j] + 1
+        counts = weigh_above(data, copies, asked)
+        if j == 0:
+            counts = counts - copies + above[tuple((at + 1).T)]
+        return pa.table([table[o] for o in objectives] + [pa.array(counts)], names=[*objectives, "n"])
+
+    parts = placed.select("*", F.explode(F.array(*[F.lit(j) for j in range(d)])).alias("slab")).withColumn("range", F.element_at("at", F.col("slab") + 1))
+    schema = ", ".join(f"`{o}` double" for o in objectives) + ", n long"
+    counts = parts.groupBy("slab", "range").applyInArrow(slab, schema).groupBy(*objectives).agg(F.sum("n").alias("n_dominating"))
     return rows.join(counts, objectives).select("point_id", "n_dominating", (F.col("n_dominating") == 0).alias("is_optimal"))
 
 

@@ -12,6 +12,7 @@ k-th best score that the task has found for it skips the block.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +24,6 @@ from pyspark.sql import functions as F
 from siftspan.operators import blocks
 from siftspan.operators.bm25 import query_terms, tokenised, weigher
 from siftspan.operators.topk import by_max, topk
-from siftspan.sources.tables import claim
 
 #: Documents of a block, and folders that terms are dealt to.
 BLOCK, BUCKETS = 2048, 64
@@ -65,12 +65,12 @@ class Postings:
         """Adds `docs(doc_id, text)`, each a new document, as a segment; its name.
 
         A segment with a name is added once: adding it again, as a repeated micro-batch does, changes nothing. Other
-        segments get the next free number, which no two writers share. A segment counts from when it is whole; the work
+        segments get a name that no two writers share. A segment counts from when it is whole; the work
         is in proportion to its documents. For a stream: `writer` for foreachBatch.
         """
         if name is not None and self._is_whole(name):
             return name
-        name = name if name is not None else claim(self.spark, self.path)
+        name = name if name is not None else f"segment-{uuid.uuid4().hex}"
         where = f"{self.path}/{name}"
         words = tokenised(docs).persist()
         try:

@@ -105,6 +105,18 @@ def ab_permutation(spark, d):
     return _rounded(abtest.permutation(spark, s), ["ci_lo", "ci_hi"])
 
 
+def ab_permutation_selected(spark, d):
+    """The same by the way for many scores: the n_a-th key of every round is selected where the scores lie."""
+    s = table(spark, d, "supplier").select(F.lit("balance").alias("metric"), F.when(F.col("s_nationkey") % 2 == 0, "A").otherwise("B").alias("arm"), F.col("s_suppkey").alias("pos"), F.col("s_acctbal").cast("double").alias("score"))
+    return _rounded(abtest.permutation(spark, s, send_rows=0), ["ci_lo", "ci_hi"])
+
+
+def pareto_orders(spark, d):
+    """Dominance counts of three objectives over all orders, grouped by customer and priority."""
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("orders"), F.round(F.sum(F.col("o_totalprice").cast("double"))).alias("spent"), F.max(F.datediff("o_orderdate", F.lit("1992-01-01"))).cast("double").alias("latest"))
+    return pareto.frontier(o.withColumnRenamed("o_custkey", "point_id"), ["orders", "spent", "latest"], ("orders",))
+
+
 def pairs(spark, d) -> DataFrame:
     """Mean finished and mean open order prices of a customer, where they have both."""
     return arms_by_customer(spark, d).groupBy("metric", "arm", "pos").agg(F.avg("score").alias("score"))
@@ -238,7 +250,7 @@ QUERIES = {
     "answer_checks": answer_checks, "thoughts": thoughts, "reading_notes": reading_notes, "parsed_triples": parsed_triples, "listed_lines": listed_lines, "pipeline_hits": pipeline_hits, "pipeline_scores": pipeline_scores, "ab_compare": ab_compare,
     "chunk_fixed": chunk_fixed, "chunk_fixed_tokens": chunk_fixed_tokens, "chunk_recursive": chunk_recursive, "sentence_groups": sentence_groups, "chunk_semantic": chunk_semantic, "chunk_doc_aware": chunk_doc_aware,
     "metric_tokens": metric_tokens, "metrics_all": metrics_all, "ragas_overall": ragas_overall, "ab_welch": ab_welch, "ab_welch_full": ab_welch_full, "ab_mann_whitney": ab_mann_whitney, "ab_mann_whitney_full": ab_mann_whitney_full,
-    "ab_permutation": ab_permutation, "ab_paired": ab_paired, "ab_paired_full": ab_paired_full, "pareto_frontier": pareto_frontier, "pareto_optimal": pareto_optimal, "pareto_crowding": pareto_crowding, "pareto_suggest": pareto_suggest, "pareto_analyse": pareto_analyse,
+    "ab_permutation": ab_permutation, "ab_permutation_selected": ab_permutation_selected, "pareto_orders": pareto_orders, "ab_paired": ab_paired, "ab_paired_full": ab_paired_full, "pareto_frontier": pareto_frontier, "pareto_optimal": pareto_optimal, "pareto_crowding": pareto_crowding, "pareto_suggest": pareto_suggest, "pareto_analyse": pareto_analyse,
     "synthetic_qa": synthetic_qa, "latency_percentiles": latency_percentiles,
 }
 
@@ -374,6 +386,16 @@ WORDS = f"""f AS (SELECT sample_id, l, {WL.format('answer')} AS a, list_distinct
         wl AS (SELECT sample_id, metric, score FROM wm UNPIVOT (score FOR metric IN (faithfulness, context_recall)))"""
 LAST = "coalesce(list_filter(list_transform(regexp_extract_all(b, '(?im)^\\s*{0}:[ \\t]*(.*)$', 1), lambda x: lower(trim(x))), lambda x: list_contains({1}, x))[-1], '{2}')"
 FIELD = "coalesce(trim(regexp_extract_all(b, '(?im)^\\s*{0}:[ \\t]*(.*)$', 1)[-1]), '')"
+#: Both ways of the permutation test.
+PERMUTED = """WITH s AS (SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'A' ELSE 'B' END AS arm, s_suppkey AS pos, CAST(s_acctbal AS DOUBLE) AS score FROM supplier),
+        g AS (SELECT *, CAST('0x' || substr(md5('42-' || arm || '-' || pos), 1, 7) AS BIGINT) AS x FROM s),
+        r AS (SELECT rep, CAST('0x' || substr(md5('42-' || rep), 1, 7) AS BIGINT) + 1 AS a, CAST('0x' || substr(md5('42-' || rep), 9, 7) AS BIGINT) AS b FROM range(10000) r(rep)),
+        k AS (SELECT count(*) FILTER (arm = 'A') AS n_a, count(*) AS n, sum(score) AS total, avg(score) FILTER (arm = 'A') - avg(score) FILTER (arm = 'B') AS obs FROM s),
+        o AS (SELECT rep, score, row_number() OVER (PARTITION BY rep ORDER BY (a * x + b) % 2147483647, arm, pos) AS i FROM g, r),
+        y AS (SELECT rep, sum(CASE WHEN i <= n_a THEN score ELSE 0 END) AS a, any_value(n_a) AS n_a, any_value(n) AS n, any_value(total) AS total, any_value(obs) AS obs FROM o, k GROUP BY rep),
+        d AS (SELECT obs, round(a / n_a - (total - a) / (n - n_a), 9) AS d FROM y)
+        SELECT 'balance' AS metric, round(any_value(obs), 6) AS observed, avg(CASE WHEN abs(d) >= round(abs(obs), 9) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_value, round(quantile_cont(d, 0.025), 4) AS ci_lo, round(quantile_cont(d, 0.975), 4) AS ci_hi FROM d"""
+
 ORACLE = {
     "answer_checks": f"""WITH {SAID}, t AS (SELECT conv_id, turn, text || CASE turn % 3 WHEN 0 THEN ' [Done]' WHEN 1 THEN ' so {{"a": {{"b": 1}}}} yes' ELSE '' END AS x FROM c)
         SELECT conv_id, turn, contains(lower(x), 'yes') AS yes, contains(lower(x), '[done]') OR contains(lower(x), '[complete]') AS done, regexp_extract(x, '(?s)\\{{.*\\}}') AS json, len(list_filter(string_split(x, '.'), lambda y: trim(y, {BLANKS}) <> '')) AS sentences, sha256(x) AS key FROM t""",
@@ -421,17 +443,14 @@ ORACLE = {
         {two_sided('w', 'z', 'x', None)} {TESTED.format(statistic='round(us, 4)', test='mann_whitney')}""",
     "ab_mann_whitney": f"""WITH {ARMS}, {RANKS}
         SELECT metric, n_a, n_b, round(s - n_a * (n_a + 1) / 2.0::DOUBLE, 1) AS u, ties FROM u JOIN t USING (metric)""",
-    "ab_permutation": """WITH s AS (SELECT CASE WHEN s_nationkey % 2 = 0 THEN 'A' ELSE 'B' END AS arm, s_suppkey AS pos, CAST(s_acctbal AS DOUBLE) AS score FROM supplier),
-        g AS (SELECT *, CAST('0x' || substr(md5('42-' || arm || '-' || pos), 1, 7) AS BIGINT) AS x FROM s),
-        r AS (SELECT rep, CAST('0x' || substr(md5('42-' || rep), 1, 7) AS BIGINT) + 1 AS a, CAST('0x' || substr(md5('42-' || rep), 9, 7) AS BIGINT) AS b FROM range(10000) r(rep)),
-        k AS (SELECT count(*) FILTER (arm = 'A') AS n_a, count(*) AS n, sum(score) AS total, avg(score) FILTER (arm = 'A') - avg(score) FILTER (arm = 'B') AS obs FROM s),
-        o AS (SELECT rep, score, row_number() OVER (PARTITION BY rep ORDER BY (a * x + b) % 2147483647, arm, pos) AS i FROM g, r),
-        y AS (SELECT rep, sum(CASE WHEN i <= n_a THEN score ELSE 0 END) AS a, any_value(n_a) AS n_a, any_value(n) AS n, any_value(total) AS total, any_value(obs) AS obs FROM o, k GROUP BY rep),
-        d AS (SELECT obs, round(a / n_a - (total - a) / (n - n_a), 9) AS d FROM y)
-        SELECT 'balance' AS metric, round(any_value(obs), 6) AS observed, avg(CASE WHEN abs(d) >= round(abs(obs), 9) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_value, round(quantile_cont(d, 0.025), 4) AS ci_lo, round(quantile_cont(d, 0.975), 4) AS ci_hi FROM d""",
+    "ab_permutation": PERMUTED,
     "ab_paired": f"""WITH {PAIRED} SELECT metric, n, round(m, 4) AS mean_diff, round(s, 4) AS std_diff, round(t, 4) AS statistic FROM m""",
     "ab_paired_full": f"""WITH {PAIRED}, {two_sided('w', 'm', 't', 'df')}
         SELECT metric, n, round(m, 4) AS mean_diff, round(s, 4) AS std_diff, round(t, 4) AS statistic, round(p, 6) AS p_value, round(m - {t_975('df')} * s / sqrt(n), 3) AS ci_lo, round(m + {t_975('df')} * s / sqrt(n), 3) AS ci_hi FROM w""",
+    "ab_permutation_selected": PERMUTED,
+    "pareto_orders": """WITH p AS (SELECT o_custkey AS point_id, CAST(count(*) AS DOUBLE) AS orders, round(sum(CAST(o_totalprice AS DOUBLE))) AS spent, CAST(max(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))) AS DOUBLE) AS latest FROM orders GROUP BY 1),
+        n AS (SELECT a.point_id, count(b.point_id) AS n FROM p a LEFT JOIN p b ON b.orders <= a.orders AND b.spent >= a.spent AND b.latest >= a.latest AND (b.orders < a.orders OR b.spent > a.spent OR b.latest > a.latest) GROUP BY 1)
+        SELECT point_id, n AS n_dominating, n = 0 AS is_optimal FROM n""",
     "pareto_frontier": f"WITH {PTS}, n AS (SELECT a.point_id, count(b.point_id) AS n FROM p a LEFT JOIN p b ON b.balance >= a.balance AND b.nation <= a.nation AND (b.balance > a.balance OR b.nation < a.nation) GROUP BY 1) SELECT point_id, n AS n_dominating, n = 0 AS is_optimal FROM n",
     "pareto_optimal": "WITH p AS (SELECT p_partkey AS point_id, CAST(p_size AS DOUBLE) AS size, CAST(p_retailprice AS DOUBLE) AS price FROM part) SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.size >= a.size AND b.price <= a.price AND (b.size > a.size OR b.price < a.price))",
     "pareto_crowding": f"""WITH {PTS}, l AS (SELECT point_id, 'balance' AS o, balance AS v FROM p UNION ALL SELECT point_id, 'nation', nation FROM p),

@@ -17,7 +17,7 @@ from siftspan.operators.postings import Postings
 from siftspan.operators.topk import topk
 from siftspan.sources.providers import Completer
 from siftspan.sources.tables import cut, shared_dir, table
-from siftspan.sources.vector_table import delete, probe, upsert
+from siftspan.sources.vector_table import VectorTable, delete, probe, upsert
 
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
@@ -162,6 +162,25 @@ def graph_bfs_docs(spark, d):
     return graph.scored_docs(found, graph.entity_docs(t), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank", "depth")
 
 
+def graph_entity_link_names(spark, d):
+    """Misspelt names of all customers against all their names."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("query_id"), F.concat("c_name", F.lit("#")).alias("mention"), F.lower("c_name").alias("entity"))
+    return graph.link(c.select("query_id", "mention"), c.select("entity"), 0.8).select("query_id", "mention", "entity", F.round("similarity", 6).alias("similarity"))
+
+
+def ivf_trained(spark, d):
+    """A vector table with 16 trained cells of which 8 are probed: how many of the exact ten nearest it finds."""
+    v = vectors_of(spark, d)
+    made = VectorTable(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}", nlist=16, nprobe=8)
+    made.add(v.select(F.col("doc_id").cast("string").alias("id"), F.col("v").alias("vector"), F.create_map().cast("map<string,string>").alias("metadata")))
+    made.compact()
+    q = vector_queries(v)
+    exact = dense.search(v.select("doc_id", "v"), q, 10).select("query_id", F.col("doc_id").cast("string").alias("doc_id"))
+    found = made.search(q, 10).select("query_id", "doc_id", F.lit(1).alias("hit"))
+    rows = exact.join(found, ["query_id", "doc_id"], "left").agg(F.countDistinct("query_id").alias("n_queries"), F.count("*").alias("n_pairs"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    return rows.select("n_queries", "n_pairs", (F.col("recall") >= 0.7).alias("recall_reached"))
+
+
 def graph_entity_link(spark, d):
     m = table(spark, d, "nation").select(F.col("n_nationkey").cast("bigint").alias("query_id"), F.concat("n_name", F.lit("land")).alias("mention"))
     e = table(spark, d, "nation").select(F.lower("n_name").alias("entity"))
@@ -356,7 +375,7 @@ QUERIES = {
     "tokenize_tf": tokenize_tf, "doc_freq": doc_freq, "doc_len_stats": doc_len_stats, "bm25_topk": bm25_topk, "bm25_postings": bm25_postings, "bm25_growing": bm25_growing, "bm25_threshold": bm25_threshold, "bm25_custom_params": bm25_custom_params,
     "dense_topk": _search("cosine"), "dense_threshold": _search("cosine", threshold=0.2), "vector_l2_topk": _search("l2"), "vector_l2_similarity": _search("l2", kind="similarity"), "vector_dot_topk": _search("dot"),
     "vector_prefilter": vector_prefilter, "vector_postfilter": vector_postfilter, "vector_delete_count": vector_delete_count, "vector_upsert": vector_upsert, "ivf_topk": ivf_topk,
-    "text_embed_topk": text_embed_topk, "hybrid_rrf": hybrid_rrf, "splade_topk": splade_topk, "colbert_maxsim": colbert_maxsim, "graph_bfs_docs": graph_bfs_docs, "graph_entity_link": graph_entity_link, "graph_fallback": graph_fallback,
+    "text_embed_topk": text_embed_topk, "hybrid_rrf": hybrid_rrf, "splade_topk": splade_topk, "colbert_maxsim": colbert_maxsim, "graph_bfs_docs": graph_bfs_docs, "graph_entity_link": graph_entity_link, "graph_entity_link_names": graph_entity_link_names, "ivf_trained": ivf_trained, "graph_fallback": graph_fallback,
     "hyde": hyde, "rerank": rerank, "chain_of_note": chain_of_note, "chain_of_note_batches": chain_of_note_batches, "multi_hop": multi_hop, "ircot": ircot, "self_rag": self_rag, "optimizer_trials": optimizer_trials, "optimizer_best": optimizer_best,
 }
 
@@ -400,6 +419,10 @@ ORACLE = {
     "graph_entity_link": f"""WITH m AS (SELECT CAST(n_nationkey AS BIGINT) AS query_id, lower(n_name) || 'land' AS mention FROM nation), e AS (SELECT DISTINCT lower(n_name) AS entity FROM nation),
         p AS (SELECT *, len(list_intersect({GRAMS.format('mention')}, {GRAMS.format('entity')}))::DOUBLE / len(list_distinct(list_concat({GRAMS.format('mention')}, {GRAMS.format('entity')}))) AS j FROM m, e)
         SELECT query_id, mention, entity, round(j, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(j, 6) DESC, entity) AS k FROM p WHERE j >= 0.3) WHERE k = 1""",
+    "graph_entity_link_names": f"""WITH m AS (SELECT CAST(c_custkey AS BIGINT) AS query_id, lower(c_name) || '#' AS mention FROM customer), e AS (SELECT DISTINCT lower(c_name) AS entity FROM customer),
+        p AS (SELECT *, len(list_intersect({GRAMS.format('mention')}, {GRAMS.format('entity')}))::DOUBLE / len(list_distinct(list_concat({GRAMS.format('mention')}, {GRAMS.format('entity')}))) AS j FROM m, e)
+        SELECT query_id, mention, entity, round(j, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(j, 6) DESC, entity) AS k FROM p WHERE j >= 0.8) WHERE k = 1""",
+    "ivf_trained": f"WITH {VQ} SELECT count(*) AS n_queries, count(*) * 10 AS n_pairs, true AS recall_reached FROM vq",
     "graph_fallback": f"""WITH {Q}, qw AS (SELECT query_id, len(w) AS n, unnest(w) AS word FROM (SELECT query_id, {WS.format('query')} AS w FROM q)), dw AS (SELECT doc_id, unnest({WS.format('text')}) AS word FROM documents),
         h AS (SELECT query_id, doc_id, count(*)::DOUBLE / n AS s FROM qw JOIN dw USING (word) GROUP BY query_id, doc_id, n) {_ranked('h', 10, 'round(s, 6)')}""",
     "hyde": f"""WITH {Q}, dr AS (SELECT query_id, 0 AS n, query FROM q UNION ALL SELECT query_id, 1, substr(query, 101) || ' ' || substr(query, 1, 100) FROM q),

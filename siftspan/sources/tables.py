@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,21 +30,3 @@ def cut(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
-
-
-def claim(spark: SparkSession, path: str, label: str = "segment") -> str:
-    """A name `label-number` under `path` that no one else has: whoever makes the empty file of that name has it."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{path}/_claims")
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(root)
-    taken = [f.getPath().getName() for f in files.listStatus(root)]
-    number = max((int(t.rsplit("-", 1)[1]) for t in taken if t.startswith(f"{label}-")), default=-1) + 1
-    while True:
-        try:
-            if files.createNewFile(jvm.org.apache.hadoop.fs.Path(root, f"{label}-{number:09d}")):
-                return f"{label}-{number:09d}"
-        except Py4JJavaError as e:  # another writer was between the look and the making
-            if "FileAlreadyExists" not in e.java_exception.getClass().getName():
-                raise
-        number += 1

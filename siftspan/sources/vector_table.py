@@ -9,6 +9,7 @@ are many. A table with one base is read as it is, without a shuffle.
 from __future__ import annotations
 
 import json
+import random
 from typing import Protocol
 
 import numpy as np
@@ -17,13 +18,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftspan.functions.vector import normalise
-from siftspan.operators import dense
+from siftspan.operators import blocks, dense
 from siftspan.operators.topk import topk
 
 #: id, vector, metadata, the cell of a clustered table; change: the number of the segment; last: whether it replaces what
 #: was there under its id; gone: whether it is a mark of a deletion.
 SCHEMA = "id string, vector array<double>, metadata map<string,string>, cell int"
-STORED = SCHEMA + ", change int, last boolean, gone boolean"
+STORED = SCHEMA + ", change long, last boolean, gone boolean"
+#: Bits below the number of a change, by which two changes of one number, made at the same time, differ.
+BITS = 20
 
 
 class VectorStore(Protocol):
@@ -138,40 +141,57 @@ class VectorTable:
     def _stored(self, parts: list[tuple[int, bool]]) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], STORED)
-        return self.spark.read.schema(STORED).parquet(*[self._name(*p) for p in parts])
+        return blocks.union([self.spark.read.schema(STORED).parquet(self._name(*p)) for p in parts])
 
     def _name(self, number: int, base: bool) -> str:
-        return f"{self.path}/segment-{number:09d}-{'base' if base else 'part'}"
+        return f"{self.path}/segment-{number:019d}-{'base' if base else 'part'}"
 
     def _cells(self) -> DataFrame | None:
         where = f"{self.path}/cells"
         return self.spark.read.schema("cell int, c array<double>").parquet(where) if self.nlist and self._files.exists(self._path(f"{where}/_SUCCESS")) else None
 
-    def rows(self) -> DataFrame:
-        """(id, vector, metadata, cell): what is in the table."""
+    def rows(self, cells: list[int] | None = None) -> DataFrame:
+        """(id, vector, metadata, cell): what is in the table; with `cells`, of those and of no cell alone.
+
+        A clustered table has a folder a cell in each segment, so the folders of other cells are not read but for the
+        ids of later changes, which may hide what is in these.
+        """
         parts = self._segments()
         stored = self._stored(parts)
+        here = stored if cells is None else stored.where(F.col("cell").isNull() | F.col("cell").isin(cells))
         if all(base for _, base in parts):
-            return stored.select("id", "vector", "metadata", "cell")
+            return here.select("id", "vector", "metadata", "cell")
+        if cells is not None:
+            marks = stored.where("last").groupBy("id").agg(F.max("change").alias("since"))
+            return here.join(marks, "id", "left").where((F.col("since").isNull() | (F.col("change") >= F.col("since"))) & ~F.col("gone")).select("id", "vector", "metadata", "cell")
         # The last change that replaces an id hides what was before it.
         since = F.max(F.when(F.col("last"), F.col("change"))).over(W.partitionBy("id"))
         return stored.withColumn("since", since).where((F.col("since").isNull() | (F.col("change") >= F.col("since"))) & ~F.col("gone")).select("id", "vector", "metadata", "cell")
 
+    def _save(self, rows: DataFrame, change: int, base: bool, last: bool, gone: bool) -> None:
+        """A segment: an error if there is one of that change, as nothing may be written over."""
+        made = rows.select("id", "vector", "metadata", "cell", F.lit(change).cast("long").alias("change"), F.lit(last).alias("last"), F.lit(gone).alias("gone"))
+        if self.nlist:  # a cell may hold many of the rows: it is four files
+            made.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(4))).write.partitionBy("cell").parquet(self._name(change, base))
+        else:
+            made.write.parquet(self._name(change, base))
+
     def _write(self, rows: DataFrame, last: bool, gone: bool) -> None:
         parts = self._segments()
-        number = parts[-1][0] + 1 if parts else 0
-        made = rows.select("id", "vector", "metadata", "cell", F.lit(number).alias("change"), F.lit(last).alias("last"), F.lit(gone).alias("gone"))
-        made.write.mode("overwrite").parquet(self._name(number, False))
+        number = (parts[-1][0] >> BITS) + 1 if parts else 0
+        self._save(rows, (number << BITS) + random.getrandbits(BITS), False, last, gone)
         if len(parts) >= self.MOST:
             self.compact()
 
     def compact(self) -> None:
-        """The rows of the table as one base. Segments before it are deleted: readers of those must have ended."""
+        """The rows of the table as one base. Segments before it are deleted: readers of those must have ended.
+
+        The base comes right after the last segment that it holds, so a change that is written meanwhile stays after it.
+        """
         parts = self._segments()
-        if not parts:
+        if not parts or (len(parts) == 1 and parts[0][1]):
             return
-        number = parts[-1][0] + 1
-        self.rows().select("*", F.lit(number).alias("change"), F.lit(False).alias("last"), F.lit(False).alias("gone")).write.mode("overwrite").parquet(self._name(number, True))
+        self._save(self.rows(), parts[-1][0] + 1, True, False, False)
         for part in parts:
             self._files.delete(self._path(self._name(*part)), True)
 
@@ -214,9 +234,10 @@ class VectorTable:
 
     def search(self, queries: DataFrame, k: int = 10, filters: dict[str, str] | None = None, post_filter: bool = False, score_kind: str = "raw") -> DataFrame:
         """Top k of `queries(query_id, q)`. Filters hold before the ranking, or with post_filter after it."""
-        rows = self.rows()
+        trained = self._cells()
+        rows = self.rows() if trained is None else self.rows(self.probed(queries))
         use = rows if post_filter or not filters else where_metadata(rows, filters)
-        vectors, cells = use.select(F.col("id").alias("doc_id"), F.col("vector").alias("v"), "cell"), self._cells()
+        vectors, cells = use.select(F.col("id").alias("doc_id"), F.col("vector").alias("v"), "cell"), trained
         if cells is None:
             hits = dense.search(vectors.drop("cell"), queries, k, self.metric, score_kind=score_kind)
         else:  # rows from before the cells were trained are in none: they are searched whole
@@ -228,6 +249,14 @@ class VectorTable:
         out = hits.join(rows.select(F.col("id").alias("doc_id"), "metadata"), "doc_id")
         return where_metadata(out, filters) if post_filter and filters else out
 
+    def probed(self, queries: DataFrame) -> list[int] | None:
+        """The cells that a search of these queries looks at, of which there are `nlist` at most; None before training."""
+        cells = self._cells()
+        if cells is None:
+            return None
+        near = dense.search(cells.select(F.col("cell").alias("doc_id"), F.col("c").alias("v")), queries, self.nprobe, self.metric)
+        return sorted(r["doc_id"] for r in near.select("doc_id").distinct().collect())
+
     def save(self, path: str) -> None:
         """A copy of the rows at another path, which `load` reads."""
         self.rows().write.mode("overwrite").parquet(path)
@@ -235,9 +264,8 @@ class VectorTable:
     def load(self, path: str) -> None:
         """The rows of a copy in the place of what is here."""
         parts = self._segments()
-        number = parts[-1][0] + 1 if parts else 0
-        rows = self.spark.read.schema(SCHEMA).parquet(path).select("id", "vector", "metadata", "cell", F.lit(number).alias("change"), F.lit(False).alias("last"), F.lit(False).alias("gone"))
-        rows.write.mode("overwrite").parquet(self._name(number, True))
+        rows = self.spark.read.schema(SCHEMA).parquet(path)
+        self._save(rows, parts[-1][0] + 1 if parts else 0, True, False, False)
         for part in parts:
             self._files.delete(self._path(self._name(*part)), True)
 
