@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from siftspan.llm.common import cut, remove, short_shuffles, text_slices, tidy
 
 #: Bytes of text of a slice, and units that are encoded together.
-SLICE, UNITS = 16 << 20, 20_000
+SLICE, UNITS = 32 << 20, 20_000
 #: Pairs of ids that are sent to the links at once; more of them are joined by a shuffle.
 SEND_PAIRS = 1 << 19
 SPACE = "▁"
