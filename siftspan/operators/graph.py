@@ -8,8 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftspan.functions.text import entity, trigram_jaccard, trigrams, ws_tokens
+from siftspan.functions.text import triples as parsed
 from siftspan.operators import blocks
 from siftspan.operators.topk import by_max, topk
+from siftspan.sources.providers import Completer
 from siftspan.sources.tables import cut
 
 
@@ -23,6 +25,20 @@ def entity_docs(triples: DataFrame) -> DataFrame:
     return edges(triples).select("entity", "doc_id").distinct()
 
 
+#: Fixed value: the request for triples. The parser of answers relies on the bars.
+TRIPLES = "List what the passage states, a line for each: subject | predicate | object. Nothing else.\n<passage>"
+
+
+def extracted(docs: DataFrame, completer: Completer) -> DataFrame:
+    """(subject, predicate, object, doc_id) of `docs(doc_id, text)`: what a provider says that each passage states.
+
+    One request a distinct text; lines without three parts are left out, and repeated ones of a document count once.
+    """
+    asked = docs.where(F.col("text").isNotNull()).select("doc_id", F.concat(F.lit(TRIPLES), F.col("text"), F.lit("</passage>")).alias("prompt"))
+    said = completer.complete(asked).select("doc_id", F.explode(parsed(F.col("response.content"))).alias("t"))
+    return said.select("t.subject", "t.predicate", "t.object", "doc_id").distinct()
+
+
 def gram_sets(strings: DataFrame, name: str) -> DataFrame:
     """`strings` with `grams`: the distinct trigrams of a string; of one that is too short, itself with a sign before."""
     c = F.col(name)

@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspan.functions.text import note_blocks
+from siftspan.functions.text import note_blocks, thought_query
 from siftspan.operators.topk import topk
 from siftspan.sources.providers import Completer
-from siftspan.sources.tables import cut
+from siftspan.sources.tables import cut, is_whole
 
 Search = Callable[[DataFrame, int], DataFrame]
 
@@ -55,6 +55,42 @@ def _rounds(spark, queries, docs, search, next_query, stop, k, rounds, per_round
     return topk(found, k).select("query_id", "doc_id", "score", "rank", "step")
 
 
+#: Fixed value: what a thinker is asked for. The parser of answers relies on QUERY:.
+THINK = "\nSay in a sentence what is still missing, then on a line of its own QUERY: and the next search, or QUERY: alone if nothing is."
+
+
+def thinking(spark: SparkSession, queries: DataFrame, docs: DataFrame, search: Search, completer: Completer, path: str, k: int = 10, max_steps: int = 4, per_step: int = 3) -> DataFrame:
+    """(query_id, doc_id, score, rank, step): rounds of a thought, by a provider, and a search for what it asks.
+
+    A request holds the query and the first 200 characters of the last five texts found. An answer without a QUERY:
+    line searches for the query itself; an empty one ends the query. Scores are those of the first step that found a
+    document x (1 - 0.05 step). Requests, answers and hits of each step are tables under `path` in a shared folder: a
+    run that was lost, or that had fewer steps, goes on after its last whole table, without asking anything again.
+    """
+    found = None
+    active = queries.select("query_id", "query")
+    for step in range(max_steps):
+        asked_at, hits_at = f"{path}/{step}/asked", f"{path}/{step}/hits"
+        if not is_whole(spark, asked_at):
+            seen = F.array_join(F.transform("evidence", lambda t: F.concat(F.lit("\n* "), F.substring(t, 1, 200))), "")
+            prompt = F.concat(F.lit("Question: "), F.col("query"), F.format_string("\nStep %d, %d texts so far:", F.lit(step + 1), F.col("found")), seen, F.lit(THINK))
+            said = completer.complete(_with_evidence(active, found, docs).select("query_id", "query", prompt.alias("prompt")))
+            thought = thought_query(F.col("response.content"), F.col("query"))
+            said.select("query_id", "query", "prompt", thought["thought"].alias("thought"), thought["query"].alias("ask")).write.mode("overwrite").parquet(asked_at)
+        asked = spark.read.parquet(asked_at).where(F.col("ask") != "")
+        if not is_whole(spark, hits_at):
+            hits = search(asked.select("query_id", F.col("ask").alias("query")), per_step).select("query_id", "doc_id", (F.col("score") * (1.0 - 0.05 * step)).alias("score"), F.lit(step).alias("step"))
+            if found is not None:
+                hits = hits.join(found.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+            hits.write.mode("overwrite").parquet(hits_at)
+        hits = spark.read.parquet(hits_at)
+        found = hits if found is None else found.unionByName(hits)
+        active = asked.select("query_id", "query")
+        if active.isEmpty():
+            break
+    return topk(found, k).select("query_id", "doc_id", "score", "rank", "step")
+
+
 def _with_evidence(state: DataFrame, found: DataFrame | None, docs: DataFrame) -> DataFrame:
     if found is None:
         return state.withColumn("evidence", F.array().cast("array<string>")).withColumn("found", F.lit(0))

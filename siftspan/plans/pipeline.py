@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspan.operators import bm25, chunkers, dense, fusion, metrics
+from siftspan.operators import chunkers, dense, fusion, metrics
+from siftspan.operators.postings import Postings
 from siftspan.sources.providers import Embedder
-from siftspan.sources.tables import cut
+from siftspan.sources.tables import cut, shared_dir
 
 
 @dataclass(frozen=True)
@@ -35,11 +37,12 @@ class Pipeline:
         self.spark, self.config, self.embedder = spark, config, embedder
         self.chunks: DataFrame | None = None
         self.documents = 0
-        self._index: bm25.Index | None = None
+        self._index: Postings | None = None
         self._vectors: DataFrame | None = None
 
     def ingest(self, docs: DataFrame) -> int:
-        """Adds `docs(doc_id, text)`; returns the number of chunks of them."""
+        """Adds `docs(doc_id, text)`; returns the number of chunks of them. What is there already is not read again: the
+        index gets a segment, the vectors a table."""
         c = self.config
         new = cut(self.spark, chunkers.chunk(docs, c.chunker, c.chunk_size, c.chunk_overlap).select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text")), "chunks")
         self.chunks = new if self.chunks is None else self.chunks.unionByName(new)
@@ -47,7 +50,8 @@ class Pipeline:
             vectors = cut(self.spark, self.embedder.encode(new, ["doc_id"], "text"), "chunk-vectors")
             self._vectors = vectors if self._vectors is None else self._vectors.unionByName(vectors)
         if c.strategy in ("bm25", "hybrid"):
-            self._index = bm25.index(self.spark, self.chunks)
+            self._index = self._index or Postings(self.spark, f"{shared_dir(self.spark)}/postings-{uuid.uuid4().hex}")
+            self._index.add(new)
         self.documents += docs.count()
         return new.count()
 
@@ -58,7 +62,7 @@ class Pipeline:
     def query(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """(query_id, doc_id, score, rank) for `queries(query_id long, query)`."""
         c, k = self.config, top_k or self.config.top_k
-        lexical = lambda n: bm25.retrieve(self._index, queries, n, c.k1, c.b)
+        lexical = lambda n: self._index.retrieve(queries, n, c.k1, c.b)
         vectors = lambda n: dense.search(self._vectors, self.embedder.encode(queries, ["query_id"], "query").withColumnRenamed("v", "q"), n)
         if c.strategy == "bm25":
             return lexical(k)

@@ -121,13 +121,18 @@ class Completer:
 
 @dataclass(frozen=True)
 class Embedder:
-    """Vectors of texts. `known`: a table (text_key, v) by sha-256; `call`: texts to vectors; else the hashed embedder."""
+    """Vectors of texts. `known`: a table (text_key, v) by sha-256; `call`: texts to vectors; else the hashed embedder.
+
+    `cache`: a shared folder that keeps what `call` gave, by sha-256 of the text: texts that it has are not asked for
+    again, by this or a later run. A cache is of one model: the folder's name should say which.
+    """
 
     dimension: int = DIM
     call: Callable[[Sequence[str]], Sequence[Sequence[float]]] | None = None
     known: DataFrame | None = None
     batch: int = 32
     unit: bool = True
+    cache: str | None = None
 
     def encode(self, rows: DataFrame, key: list[str], text: str) -> DataFrame:
         """(key..., v array<double>) of every row with a vector: texts without words have none from the hashed embedder,
@@ -150,5 +155,21 @@ class Embedder:
 
         keyed = rows.select(*key, F.col(text).alias("text"), cache_key(F.col(text)).alias("text_key")).where(F.col("text").isNotNull())
         distinct = cut(spark, keyed.select("text_key", "text").dropDuplicates(["text_key"]), "texts")
-        made = cut(spark, distinct.mapInArrow(run, "text_key string, v array<double>"), "vectors")
+        if self.cache is None:
+            made = cut(spark, distinct.mapInArrow(run, "text_key string, v array<double>"), "vectors")
+        else:
+            made = self._cached(distinct, run)
         return keyed.select(*key, "text_key").join(made, "text_key").select(*key, "v")
+
+    def _cached(self, distinct: DataFrame, run) -> DataFrame:
+        """(text_key, v) of the texts: those that the cache lacks are asked for and added to it, in a file a task.
+
+        Two runs at the same time may both ask for a text; its first vector by value counts then, for both.
+        """
+        spark, schema = distinct.sparkSession, "text_key string, v array<double>"
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.cache)
+        there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        lacked = distinct.join(spark.read.schema(schema).parquet(self.cache).select("text_key"), "text_key", "left_anti") if there else distinct
+        lacked.select("text_key", "text").mapInArrow(run, schema).write.mode("append").parquet(self.cache)
+        # Only the keys that are asked for travel; vectors of others are left where they are.
+        return spark.read.schema(schema).parquet(self.cache).join(distinct.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.min("v").alias("v"))

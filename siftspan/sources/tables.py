@@ -30,3 +30,9 @@ def cut(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

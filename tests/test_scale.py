@@ -7,7 +7,8 @@ import pyspark.sql.functions as F
 import pytest
 
 from siftspan.functions.text import trigram_jaccard
-from siftspan.operators import abtest, graph, pareto
+from siftspan.operators import abtest, bm25, graph, iterative, pareto
+from siftspan.sources.providers import Completer, Embedder
 from siftspan.sources.vector_table import VectorTable
 
 
@@ -131,3 +132,50 @@ def test_changes_at_the_same_time(spark, tmp_path):
     one.compact()
     del one._segments
     assert sorted(r["id"] for r in two.rows().collect()) == ["a", "b", "c"]
+
+
+def test_vectors_are_kept_by_text(spark, tmp_path):
+    """What was encoded once is not asked for again; other texts are."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def call(texts):
+        asked.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    made = Embedder(2, call=call, unit=False, cache=f"{tmp_path}/vectors")
+    rows = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "a"), (4, None)], "k long, text string")
+    want = [(1, [1.0, 1.0]), (2, [2.0, 1.0]), (3, [1.0, 1.0])]
+    for k in range(2):
+        assert sorted(map(tuple, made.encode(rows, ["k"], "text").collect())) == want and asked.value == 2
+    more = spark.createDataFrame([(1, "bb"), (9, "ccc")], "k long, text string")
+    assert sorted(map(tuple, Embedder(2, call=call, unit=False, cache=made.cache).encode(more, ["k"], "text").collect())) == [(1, [2.0, 1.0]), (9, [3.0, 1.0])]
+    assert asked.value == 3
+
+
+def test_thinking_goes_on(spark, tmp_path):
+    """Steps that a lost run has finished are read; only later ones ask."""
+    docs = spark.createDataFrame([(1, "red fox den"), (2, "blue fox"), (3, "den of bears"), (4, "bears eat fish"), (5, "fish swim")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "fox"), (2, "swim")], "query_id long, query string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def call(request):
+        asked.add(1)
+        p = request["prompt"]
+        if p.startswith("Question: swim"):
+            return "nothing is missing\nQUERY:" if "Step 2" in p else "no such line"
+        return {"Step 1": "a fox\nQUERY: fox", "Step 2": "its den\nQUERY: den", "Step 3": "who else\nQUERY: bears"}[p.split("\n")[1].split(",")[0]]
+
+    def run(steps):
+        return sorted((r["query_id"], r["doc_id"], r["step"]) for r in iterative.thinking(spark, queries, docs, lambda q, k: bm25.retrieve(docs, q, k), Completer(call=call), f"{tmp_path}/run", 10, steps).collect())
+
+    assert run(2) == [(1, 1, 0), (1, 2, 0), (1, 3, 1), (2, 5, 0)] and asked.value == 4
+    assert run(2) == run(2) and asked.value == 4
+    assert run(3) == [(1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 2), (2, 5, 0)] and asked.value == 5
+    step = spark.read.parquet(f"{tmp_path}/run/1/asked").where("query_id = 1").first()
+    assert step["thought"] == "its den" and step["ask"] == "den" and "2 texts so far" in step["prompt"] and "red fox den" in step["prompt"]
+
+
+def test_triples_of_texts(spark):
+    docs = spark.createDataFrame([(1, "the fox eats"), (2, "the fox eats"), (3, None), (4, "x")], "doc_id long, text string")
+    rule = lambda p: F.when(F.contains(p, F.lit("fox")), "Fox | eats | hen\nbroken line\nFox | eats | hen").otherwise("")
+    assert sorted(map(tuple, graph.extracted(docs, Completer(rule=rule)).collect())) == [("Fox", "eats", "hen", 1), ("Fox", "eats", "hen", 2)]
