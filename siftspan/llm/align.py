@@ -238,11 +238,13 @@ def align(spark: SparkSession, docs: DataFrame, a: str, b: str, id_col: str = "d
         units, units_path = cut(spark, encoded(named.groupBy("unit").agg(F.sum("n").alias("n")), a, b), "align-units", None, "zstd")
         links, links_path = cut(spark, linked(spark, units, a, b), "align-links", None, "zstd")
         counted, _ = cut(spark, pairs(links), "align-pairs")
-        whole, _ = cut(spark, summed(links, counted, counted.count() <= SEND_PAIRS).join(units.select("uid", "unit"), "uid"), "align-whole", None, "zstd")
-    remove(spark, units_path)
-    remove(spark, links_path)
-    numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    rows = named.select("slice", "code", "unit").join(whole.drop("uid"), "unit").select(F.col("slice").alias("of"), "code", *[F.col(c).cast("long").alias(c) for c in numbers], "groups")
+        whole, whole_path = cut(spark, summed(links, counted, counted.count() <= SEND_PAIRS).join(units.select("uid", "unit"), "uid"), "align-whole", None, "zstd")
+        remove(spark, units_path)
+        remove(spark, links_path)
+        numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+        rows = named.select("slice", "code", "unit").join(whole.drop("uid"), "unit").select(F.col("slice").alias("of"), "code", *[F.col(c).cast("long").alias(c) for c in numbers], "groups")
+        rows, _ = cut(spark, rows, "align-rows", None, "zstd")
+        remove(spark, whole_path)
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         code = np.asarray(right["code"]).astype(np.int64)
