@@ -444,8 +444,8 @@ ORACLE = {
         SELECT query_id, doc_id, score, rank, depth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM m) WHERE rank <= 10""",
     "graph_entity_link_names": f"""WITH m AS (SELECT CAST(c_custkey AS BIGINT) AS query_id, lower(c_name) || '#' AS mention FROM customer), e AS (SELECT DISTINCT lower(c_name) AS entity FROM customer),
         mg AS (SELECT query_id, mention, {GRAMS.format('mention')} AS g FROM m), eg AS (SELECT entity, {GRAMS.format('entity')} AS g FROM e),
-        c AS (SELECT query_id, mention, entity, any_value(x.n) + any_value(y.n) AS n, count(*) AS both FROM (SELECT query_id, mention, len(g) AS n, unnest(g) AS t FROM mg) x JOIN (SELECT entity, len(g) AS n, unnest(g) AS t FROM eg) y USING (t) GROUP BY 1, 2, 3),
-        p AS (SELECT *, both::DOUBLE / (n - both) AS j FROM c)
+        c AS (SELECT query_id, mention, entity, any_value(x.n) + any_value(y.n) AS n, count(*) AS shared FROM (SELECT query_id, mention, len(g) AS n, unnest(g) AS t FROM mg) x JOIN (SELECT entity, len(g) AS n, unnest(g) AS t FROM eg) y USING (t) GROUP BY 1, 2, 3),
+        p AS (SELECT *, shared::DOUBLE / (n - shared) AS j FROM c)
         SELECT query_id, mention, entity, round(j, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(j, 6) DESC, entity) AS k FROM p WHERE j >= 0.8) WHERE k = 1""",
     "ivf_trained": f"WITH {VQ} SELECT count(*) AS n_queries, count(*) * 10 AS n_pairs, true AS recall_reached FROM vq",
     "graph_fallback": f"""WITH {Q}, qw AS (SELECT query_id, len(w) AS n, unnest(w) AS word FROM (SELECT query_id, {WS.format('query')} AS w FROM q)), dw AS (SELECT doc_id, unnest({WS.format('text')}) AS word FROM documents),
