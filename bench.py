@@ -14,8 +14,9 @@ import os
 import resource
 import sys
 import time
+import uuid
 
-HEADLINE = ["bm25_topk", "dense_topk", "text_embed_topk", "hybrid_rrf", "splade_topk", "colbert_maxsim", "hyde", "rerank", "self_rag", "chunk_fixed", "chunk_recursive", "metric_tokens", "ab_welch", "ab_permutation", "pareto_frontier", "optimizer_trials", "latency_percentiles"]
+HEADLINE = ["bm25_topk", "dense_topk", "text_embed_topk", "hybrid_rrf", "splade_topk", "colbert_maxsim", "hyde", "rerank", "self_rag", "chunk_fixed", "chunk_recursive", "metric_tokens", "ab_welch", "ab_permutation", "pareto_frontier", "optimizer_trials", "latency_percentiles", "bm25_postings", "graph_entity_link_names", "pareto_orders"]
 SEARCHES = ("bm25_topk", "text_embed_topk", "hybrid_rrf", "splade_topk", "colbert_maxsim", "hyde", "rerank", "self_rag")
 SINGLE = 12  # batches of one query
 
@@ -32,8 +33,9 @@ def indexed(spark, sf: str) -> dict:
 
     from siftspan.functions.vector import hashed_vectors
     from siftspan.operators import bm25, dense, fusion
+    from siftspan.operators.postings import Postings
     from siftspan.plans.retrieval_queries import docs_of, items_of, window_vectors
-    from siftspan.sources.tables import cut
+    from siftspan.sources.tables import cut, shared_dir
 
     docs, items = docs_of(spark, sf), items_of(spark, sf)
     embedded = lambda q: hashed_vectors(q, ["query_id"], "query").withColumnRenamed("v", "q")
@@ -46,12 +48,15 @@ def indexed(spark, sf: str) -> dict:
         return out
 
     lexical = build("bm25", lambda: bm25.index(spark, docs))
+    inverted = Postings(spark, f"{shared_dir(spark)}/bench-postings-{uuid.uuid4().hex}")
+    build("bm25_postings", lambda: inverted.add(docs))
     vectors = build("dense", lambda: cut(spark, hashed_vectors(docs, ["doc_id"], "text"), "bench-vectors"))
     windows = build("colbert", lambda: cut(spark, window_vectors(docs, "doc_id", "text", 180), "bench-windows"))
     took["hybrid"] = round(took["bm25"] + took["dense"], 3)
     tokens = lambda q: window_vectors(q, "query_id", "query", 32).select("query_id", F.col("i").alias("qi"), F.col("v").alias("q"))
     search = {
         "bm25": lambda q: bm25.retrieve(lexical, q, 10),
+        "bm25_postings": lambda q: inverted.retrieve(q, 10),
         "dense": lambda q: dense.search(vectors, embedded(q), 10),
         "hybrid": lambda q: fusion.rrf([(dense.search(vectors, embedded(q), 30), "dense", 0.5), (bm25.retrieve(lexical, q, 30), "bm25", 0.5)], 10),
         "colbert": lambda q: fusion.max_sim(windows, tokens(q), 10),

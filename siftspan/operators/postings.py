@@ -58,8 +58,9 @@ class Postings:
     path: str
     buckets: int = BUCKETS
     block: int = BLOCK
-    #: Document frequencies that this object has read, by the segments that they are of.
+    #: Document frequencies, and number and mean length, that this object has read, with the segments that they are of.
     _known: tuple = field(default=((), {}), repr=False)
+    _about: tuple = field(default=((), (0, 1.0)), repr=False)
 
     def add(self, docs: DataFrame, name: str | None = None) -> str:
         """Adds `docs(doc_id, text)`, each a new document, as a segment; its name.
@@ -107,11 +108,11 @@ class Postings:
 
     def about(self) -> tuple[int, float]:
         """The number of documents, and their mean length (1 without any word)."""
-        names = self.segments()
-        if not names:
-            return 0, 1.0
-        n, total = self.spark.read.parquet(*[f"{self.path}/{s}/about" for s in names]).agg(F.sum("n"), F.sum("total")).first()
-        return n, (total / n if n and total else 1.0)
+        names = tuple(self.segments())
+        if self._about[0] != names:
+            n, total = self.spark.read.parquet(*[f"{self.path}/{s}/about" for s in names]).agg(F.sum("n"), F.sum("total")).first()
+            self._about = (names, (n, total / n if n and total else 1.0))
+        return self._about[1]
 
     def _table(self, segment: str, kind: str) -> DataFrame:
         """A table of a segment; that of one without any word has no files."""
@@ -123,7 +124,7 @@ class Postings:
     def _read(self, kind: str, names: list[str], terms: list[str]) -> DataFrame:
         """The rows of `terms` in a table of segments: the folders of their buckets are the ones that are read."""
         asked = self.spark.createDataFrame([(t,) for t in terms], "term string").select("term", bucket(self.buckets).alias("bucket"))
-        numbers = sorted({r["bucket"] for r in asked.select("bucket").distinct().collect()})
+        numbers = sorted({r["bucket"] for r in asked.collect()})
         parts = [self._table(s, kind).withColumn("segment", F.lit(s)) for s in names]
         rows = blocks.union(parts).where(F.col("bucket").isin(numbers))
         # Few terms are a filter that the files' statistics answer too; many are a set that is sent to the rows.
