@@ -95,19 +95,22 @@ def search(docs: DataFrame, block: Queries, weight: np.ndarray, weigh: list[Weig
     terms = block.terms
 
     def run(batches):
-        matrices = []
-        for at in range(0, n_queries, step):
-            here = (of_query >= at) & (of_query < at + step)
-            m = np.zeros((n_terms, min(step, n_queries - at)))
-            m[of_term[here], of_query[here] - at] = weight[here]
-            matrices.append((at, m))
+        def pieces():
+            for at in range(0, n_queries, step):
+                here = (of_query >= at) & (of_query < at + step)
+                m = np.zeros((n_terms, min(step, n_queries - at)))
+                m[of_term[here], of_query[here] - at] = weight[here]
+                yield at, m
+
+        # One piece is kept; several are made anew for each batch, so that a task holds one at a time.
+        kept = list(pieces()) if n_queries <= step else None
         for batch in batches:
             doc, of, count, lengths = counted(batch.column(1), terms)
             some, first = np.unique(doc, return_index=True)
             stop = np.append(first[1:], len(doc))
-            for trial, f in enumerate(weigh):
-                w = f(count, lengths[doc])
-                for at, m in matrices:
+            weights = [f(count, lengths[doc]) for f in weigh]
+            for at, m in kept if kept is not None else pieces():
+                for trial, w in enumerate(weights):
                     scores = np.stack([w[a:b] @ m[of[a:b]] for a, b in zip(first, stop, strict=True)]) if len(some) else np.zeros((0, m.shape[1]))
                     keep = min(k, len(scores))
                     if not keep:
