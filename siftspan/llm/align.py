@@ -20,6 +20,7 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ from siftspan.llm.common import cut, remove, short_shuffles, text_slices, tidy
 
 #: Bytes of text of a slice, and units that are encoded together.
 SLICE, UNITS = 32 << 20, 20_000
+#: Rows of units that are put together by slice before they travel.
+PACK_ROWS = 1 << 19
+#: What a document's row adds up from its units.
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: Pairs of ids that are sent to the links at once; more of them are joined by a shuffle.
 SEND_PAIRS = 1 << 19
 SPACE = "▁"
@@ -225,6 +230,64 @@ def summed(links: DataFrame, counted: DataFrame, send: bool) -> DataFrame:
     return links.select("uid", "n_a", "n_b", cuts.alias("n_groups"), F.size("links").alias("n_links"), groups().alias("groups")).join(sums, "uid")
 
 
+def laid_out(strings: pa.LargeStringArray) -> tuple[np.ndarray, memoryview]:
+    """Where strings that aren't null begin, and at last end, in the bytes of all of them."""
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    return at, memoryview(data if data is not None else b"")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(of, rows binary) from (of, code, NUMBERS, groups): the rows of a slice that a task has, by column and compressed."""
+
+    def blobs(held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held).sort_by([("of", "ascending"), ("code", "ascending")]).combine_chunks()
+        of, code = np.asarray(table["of"]), np.asarray(table["code"])
+        numbers = np.stack([np.asarray(table[c]) for c in NUMBERS])
+        at, text = laid_out(pa.concat_arrays(table["groups"].chunks).cast(pa.large_string()))
+        sizes = np.diff(at).astype("<i4")
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else of
+        bodies = [
+            np.int64(j - i).astype("<i8").tobytes() + np.diff(code[i:j], prepend=np.int32(0)).astype("<i4").tobytes() + sizes[i:j].tobytes()
+            + np.ascontiguousarray(numbers[:, i:j]).astype("<i8").tobytes() + bytes(text[at[i] : at[j]])
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(of)], strict=False)
+        ]
+        squeeze = zstandard.ZstdCompressor()
+        return pa.record_batch([pa.array(of[first], pa.int64()), pa.array([squeeze.compress(b) for b in bodies], pa.binary())], names=["of", "rows"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PACK_ROWS:
+                yield blobs(held)
+                held, n = [], 0
+        if n:
+            yield blobs(held)
+
+    return rows.select("of", "code", *NUMBERS, "groups").mapInArrow(tidy(run), "of long, rows binary")
+
+
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """The numbers (by code, then by NUMBERS) and the texts of groups of a slice's units by code."""
+    codes, numbers, texts = [], [], []
+    for blob in blobs:
+        body = memoryview(zstandard.ZstdDecompressor().decompress(blob))
+        n = int(np.frombuffer(body, "<i8", 1)[0])
+        codes.append(np.cumsum(np.frombuffer(body, "<i4", n, 8), dtype=np.int64))
+        ends = np.append(0, np.cumsum(np.frombuffer(body, "<i4", n, 8 + 4 * n), dtype=np.int64))
+        numbers.append(np.frombuffer(body, "<i8", n * len(NUMBERS), 8 + 8 * n).reshape(len(NUMBERS), n).T)
+        data = pa.py_buffer(body[8 + (8 + 8 * len(NUMBERS)) * n :])
+        texts.append(pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), data))
+    if not codes:
+        return np.zeros((0, len(NUMBERS)), np.int64), pa.array([], pa.large_string())
+    code = np.concatenate(codes)
+    place = np.zeros(int(code.max()) + 1, np.int64)
+    place[code] = np.arange(len(code))
+    return np.concatenate(numbers)[place], pa.concat_arrays(texts).take(pa.array(place))
+
+
 def align(spark: SparkSession, docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Tables of a corpus: (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row, and `pairs`.
 
@@ -241,28 +304,20 @@ def align(spark: SparkSession, docs: DataFrame, a: str, b: str, id_col: str = "d
         whole, whole_path = cut(spark, summed(links, counted, counted.count() <= SEND_PAIRS).join(units.select("uid", "unit"), "uid"), "align-whole", None, "zstd")
         remove(spark, units_path)
         remove(spark, links_path)
-        numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-        rows = named.select("slice", "code", "unit").join(whole.drop("uid"), "unit").select(F.col("slice").alias("of"), "code", *[F.col(c).cast("long").alias(c) for c in numbers], "groups")
-        rows, _ = cut(spark, rows, "align-rows", None, "zstd")
+        rows = named.select("slice", "code", "unit").join(whole.drop("uid"), "unit").select(F.col("slice").alias("of"), "code", *[F.col(c).cast("long").alias(c) for c in NUMBERS], F.concat("groups", F.lit(";")).alias("groups"))
+        rows, _ = cut(spark, packed(rows), "align-rows", None, "uncompressed")
         remove(spark, whole_path)
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        code = np.asarray(right["code"]).astype(np.int64)
-        size = int(code.max(initial=-1)) + 1
-        values = np.zeros((size, len(numbers)), np.int64)
-        for k, c in enumerate(numbers):
-            values[code, k] = np.asarray(right[c])
-        text = [""] * size
-        for c, g in zip(code.tolist(), right["groups"].to_pylist(), strict=True):
-            text[c] = g
-        totals, hashes = [], []
-        for raw in left["codes"].to_pylist():
+        values, text = unpacked(right["rows"].to_pylist())
+        totals, hashes = np.zeros((left.num_rows, len(NUMBERS)), np.int64), []
+        for k, raw in enumerate(left["codes"].to_pylist()):
             at = np.frombuffer(raw, "<i4")
-            totals.append(values[at].sum(axis=0))
-            hashes.append(sha256(";".join(map(text.__getitem__, at.tolist())).encode()).hexdigest() if len(at) else "")
-        out = np.stack(totals) if totals else np.zeros((0, len(numbers)), np.int64)
-        return pa.table([left["doc_id"], *[pa.array(out[:, k]) for k in range(len(numbers))], pa.array(hashes, pa.string())], names=["doc_id", *numbers, "groups_sha256"])
+            totals[k] = values[at].sum(axis=0)
+            ends, said = laid_out(text.take(pa.array(at)))
+            hashes.append(sha256(said[: ends[-1] - 1]).hexdigest() if len(at) else "")
+        return pa.table([left["doc_id"], *[pa.array(totals[:, k]) for k in range(len(NUMBERS))], pa.array(hashes, pa.string())], names=["doc_id", *NUMBERS, "groups_sha256"])
 
     texts = slices.where("kind = 0").select("slice", "doc_id", "codes")
-    columns = ", ".join(f"{c} long" for c in ("doc_id", *numbers))
+    columns = ", ".join(f"{c} long" for c in ("doc_id", *NUMBERS))
     return texts.groupBy("slice").cogroup(rows.groupBy("of")).applyInArrow(add, f"{columns}, groups_sha256 string"), counted
