@@ -19,6 +19,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -30,6 +31,9 @@ WS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT_LETTERS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WS}\p{{L}}\p{{N}}]+"
 SPLIT_SPACED = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 
+#: Ends in something that is surely not white space.
+SOLID = r"[\p{L}\p{N}\p{P}\p{S}\p{M}]$"
+
 #: Chunks and words whose ids are kept by a worker; past it the dictionaries start anew.
 MAX_CODES = 600_000
 NONE = np.iinfo(np.int32).max
@@ -85,6 +89,45 @@ class _Table:
         return self.flat[places], counts
 
 
+def spaced_chunks(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct chunks of one text or more, the number of each occurrence's chunk, and the chunks of each text.
+
+    A text is cut before every space that follows something else than white space: there a match of SPLIT_SPACED
+    begins, as none holds a space after another character.
+    """
+    split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    per = np.asarray(pc.list_value_length(split)).astype(np.int64)
+    parts = split.flatten().dictionary_encode()
+    names, code = parts.dictionary, np.asarray(parts.indices).astype(np.int64)
+    ends = np.cumsum(per)
+    begins = np.ones(len(code), bool)
+    begins[1:] = np.asarray(pc.match_substring_regex(names, SOLID), bool)[code[:-1]]
+    opens = np.zeros(len(code), bool)
+    opens[ends - per] = True
+    begins |= opens
+    start = np.flatnonzero(begins)
+    length = np.diff(np.append(start, len(code)))
+    opens = opens[start]
+    # Two numbers a part: in the middle of a text (a space before it) and at its beginning; then those of joined parts.
+    chunk = 2 * code[start] + opens
+    extra: dict[str, int] = {}
+    long = np.flatnonzero(length > 1)
+    if len(long):
+        inside = names.take(pa.array(code[np.repeat(length > 1, length)])).cast(pa.string())
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length[long])), pa.int32()), inside), " ").to_pylist()
+        chunk[long] = [2 * len(names) + extra.setdefault(s if first else " " + s, len(extra)) for s, first in zip(joined, opens[long].tolist(), strict=True)]
+    used = np.flatnonzero(np.bincount(chunk))
+    single = used[used < 2 * len(names)]
+    added = list(extra)
+    before = pa.array(["", " "], pa.large_string()).take(pa.array(1 - single % 2))
+    strings = pc.binary_join_element_wise(before, names.take(pa.array(single // 2)), pa.scalar("", pa.large_string())).to_numpy(zero_copy_only=False).tolist()
+    strings += [added[i - 2 * len(names)] for i in used[len(single) :].tolist()]
+    place = np.zeros(2 * len(names) + len(added), np.int64)
+    place[used] = np.arange(len(used))
+    sums = np.append(0, np.cumsum(begins))
+    return strings, place[chunk], sums[ends] - sums[ends - per]
+
+
 class Bpe:
     """An encoder and decoder of one tokenizer file."""
 
@@ -219,14 +262,19 @@ class Bpe:
         if len(self.chunk_codes) > self.max_codes or len(self.word_codes) > self.max_codes:
             self.reset()
         look = self.chunk_codes.__getitem__
-        codes = []
-        for text in texts:
-            keys = self.keys_of(text)
-            codes.append(np.fromiter(map(look, keys), np.int64, len(keys)))
+        if texts and not self.lower and not (self.specials and any(map(self.specials.search, texts))):
+            keys, chunk, per = spaced_chunks(texts)
+            codes = np.fromiter(map(look, keys), np.int64, len(keys))[chunk]
+        else:
+            parts = [self.keys_of(text) for text in texts]
+            per = np.array([len(keys) for keys in parts], np.int64)
+            codes = np.fromiter((look(key) for keys in parts for key in keys), np.int64, int(per.sum()))
+        of_texts = per
         new, self.chunk_codes.new = self.chunk_codes.new, []
         if new:
             word = self.word_codes.__getitem__
-            words = [[word(key)] if isinstance(key, tuple) else [word(w) for w in self.split(key)] for key in new]
+            # Most chunks are one word, letters with a space before them at most.
+            words = [[word(key)] if isinstance(key, tuple) or key.isascii() and key.removeprefix(" ").isalpha() else [word(w) for w in self.split(key)] for key in new]
             fresh, self.word_codes.new = self.word_codes.new, []
             flat, counts = self.merge(["" if isinstance(w, tuple) else w for w in fresh])
             tuples = [i for i, w in enumerate(fresh) if isinstance(w, tuple)]
@@ -240,11 +288,10 @@ class Bpe:
             sums = np.concatenate([[0], np.cumsum(counts)])
             ends = np.cumsum(per)
             self.chunk_ids.append(flat, sums[ends] - sums[ends - per])
-        per = np.array([len(c) for c in codes], np.int64)
-        flat, counts = self.chunk_ids.gather(np.concatenate(codes) if codes else np.zeros(0, np.int64))
+        flat, counts = self.chunk_ids.gather(codes)
         sums = np.concatenate([[0], np.cumsum(counts)])
-        ends = np.cumsum(per)
-        return flat, sums[ends] - sums[ends - per]
+        ends = np.cumsum(of_texts)
+        return flat, sums[ends] - sums[ends - of_texts]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([text])[0].tolist()
