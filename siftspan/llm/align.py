@@ -8,8 +8,9 @@ both sides matched on (unit, end), windows that carry a token back over the ends
 the one stretch that its A and its B token share, so the ends are the links, without any pairs of tokens being tried;
 an end of both sides is a cut, and the cuts number the groups.
 
-A text is the sequence of its units. Slices of texts keep a dictionary of their units, of which each is joined with its
-row once a slice; then the texts of a slice add the rows of their units up.
+A text is the sequence of its units. Slices of texts keep a dictionary of their units, and a unit's row says which
+slices hold it and under what code; it travels to each of them, where texts add the rows of their units up. So that no
+row grows with the corpus, a unit has a row of its own for every LOT input splits.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from siftspan.llm.common import cut, remove, short_shuffles, text_slices, tidy
 
 #: Bytes of text of a slice, and units that are encoded together.
 SLICE, UNITS = 32 << 20, 20_000
+#: Input splits whose slices one row of a unit names, as a power of two.
+LOT = 10
 #: Rows of units that are put together by slice before they travel.
 PACK_ROWS = 1 << 19
 #: What a document's row adds up from its units.
@@ -158,7 +161,7 @@ def sliced(docs: DataFrame, a: str, b: str, id_col: str, text_col: str) -> DataF
 
 
 def encoded(units: DataFrame, a: str, b: str) -> DataFrame:
-    """(uid, unit, n, a array<int>, b array<int>) of distinct units; uid is a number that the cut of this table fixes."""
+    """(uid, n, places, a array<int>, b array<int>) of (unit, n, places); uid is a number that the cut of this table fixes."""
 
     def lists(rows):
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array([i for r in rows for i in r], pa.int32()))
@@ -174,10 +177,10 @@ def encoded(units: DataFrame, a: str, b: str) -> DataFrame:
                 whole = "".join(strings).encode()
                 if any(b"".join(names[i] for ids in side for i in ids) != whole for side, names in ((x, pair.a_bytes), (y, pair.b_bytes))):
                     raise ValueError("tokens of a unit of common characters don't give its bytes")
-                yield pa.record_batch([pa.array(np.arange(at, at + len(strings))), part.column(0), part.column(1), lists(x), lists(y)], names=["uid", "unit", "n", "a", "b"])
+                yield pa.record_batch([pa.array(np.arange(at, at + len(strings))), part.column(1), part.column(2), lists(x), lists(y)], names=["uid", "n", "places", "a", "b"])
                 at += len(strings)
 
-    return units.mapInArrow(tidy(run), "uid long, unit string, n long, a array<int>, b array<int>")
+    return units.mapInArrow(tidy(run), "uid long, n long, places array<struct<of: long, code: int>>, a array<int>, b array<int>")
 
 
 def linked(spark: SparkSession, units: DataFrame, a: str, b: str) -> DataFrame:
@@ -298,14 +301,15 @@ def align(spark: SparkSession, docs: DataFrame, a: str, b: str, id_col: str = "d
     with short_shuffles(spark):
         slices, _ = cut(spark, sliced(docs, a, b, id_col, text_col), "align-slices", "kind", "zstd")
         named = slices.where("kind = 1")
-        units, units_path = cut(spark, encoded(named.groupBy("unit").agg(F.sum("n").alias("n")), a, b), "align-units", None, "zstd")
-        links, links_path = cut(spark, linked(spark, units, a, b), "align-links", None, "zstd")
+        distinct = named.groupBy("unit", F.shiftright("slice", 32 + LOT).alias("lot")).agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col("slice").alias("of"), "code")).alias("places"))
+        units, units_path = cut(spark, encoded(distinct.select("unit", "n", "places"), a, b), "align-units", None, "zstd")
+        links, links_path = cut(spark, linked(spark, units.drop("places"), a, b), "align-links", None, "zstd")
         counted, _ = cut(spark, pairs(links), "align-pairs")
-        whole, whole_path = cut(spark, summed(links, counted, counted.count() <= SEND_PAIRS).join(units.select("uid", "unit"), "uid"), "align-whole", None, "zstd")
-        remove(spark, units_path)
+        whole, whole_path = cut(spark, summed(links, counted, counted.count() <= SEND_PAIRS), "align-whole", None, "zstd")
         remove(spark, links_path)
-        rows = named.select("slice", "code", "unit").join(whole.drop("uid"), "unit").select(F.col("slice").alias("of"), "code", *[F.col(c).cast("long").alias(c) for c in NUMBERS], F.concat("groups", F.lit(";")).alias("groups"))
+        rows = units.select("uid", "places").join(whole, "uid").select(F.inline("places"), *[F.col(c).cast("long").alias(c) for c in NUMBERS], F.concat("groups", F.lit(";")).alias("groups"))
         rows, _ = cut(spark, packed(rows), "align-rows", None, "uncompressed")
+        remove(spark, units_path)
         remove(spark, whole_path)
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:

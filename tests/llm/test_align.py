@@ -57,10 +57,11 @@ def got(df):
     return [tuple(r)[1:] for r in sorted(df.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256").collect(), key=lambda r: r["doc_id"])]
 
 
-@pytest.mark.parametrize("send, slice_bytes", [(1 << 19, 16 << 20), (0, 300)])
-def test_brute_force(spark, make, monkeypatch, send, slice_bytes):
-    """With pairs sent and shuffled, in one slice and in many."""
+@pytest.mark.parametrize("send, slice_bytes, lot", [(1 << 19, 16 << 20, 10), (0, 300, 0)])
+def test_brute_force(spark, make, monkeypatch, send, slice_bytes, lot):
+    """With pairs sent and shuffled, in one slice and in many, a row a unit and one for every input split."""
     monkeypatch.setattr(align, "SEND_PAIRS", send)
+    monkeypatch.setattr(align, "LOT", lot)
     monkeypatch.setattr(align, "SLICE", slice_bytes)
     draw = random.Random(send)
     parts = ["the", "Then", "unhappily", "naïveté", "漢字漢", "😀", "123456", "can't", "...", "a_b", "<|endoftext|>", "</s>", "<s>", "<0x0A>", "▁", "x\x00y", "\x1c", " ", "　", "é", "ſ", "Straße", "http://a.b/c?d=e", "﻿"]
