@@ -63,12 +63,15 @@ def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
         keep = F.col("n") - F.greatest(F.ceil(F.col("n") * threshold - 1e-9), F.lit(1)) + 1
         return rows.withColumn("i", place).where(F.col("i") <= keep).select("gram", name, F.col("n").alias(f"n_{name}"), F.col("i").alias(f"i_{name}"))
 
-    met = prefixes(a, "x").join(prefixes(b, "y"), "gram")
+    # A gram's pairs are more than the rows that a shuffle of prefixes shows: they are dealt out to all partitions, and
+    # no side, which is small when compressed alone, is sent to the driver.
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = prefixes(a, "x").repartition(parts, "gram").join(prefixes(b, "y").repartition(parts, "gram").hint("merge"), "gram")
     sizes = (F.col("n_x") >= F.col("n_y") * threshold - 1e-9) & (F.col("n_y") >= F.col("n_x") * threshold - 1e-9)
+    # At the first gram that both have, all that they share is it and what follows; at later ones less follows, so a pair
+    # passes at any of its grams only if it does at the first.
     rest = 1 + F.least(F.col("n_x") - F.col("i_x"), F.col("n_y") - F.col("i_y"))
-    first = met.where(sizes).groupBy("x", "y").agg(F.min(F.struct("i_x", rest.alias("rest"), "n_x", "n_y")).alias("s"))
-    # At the first gram that both have, all that they share is it and what follows.
-    return first.where(F.col("s.rest") * (1 + threshold) >= threshold * (F.col("s.n_x") + F.col("s.n_y")) - 1e-9).select("x", "y")
+    return met.where(sizes & (rest * (1 + threshold) >= threshold * (F.col("n_x") + F.col("n_y")) - 1e-9)).select("x", "y").distinct()
 
 
 def link(mentions: DataFrame, entities: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -82,7 +85,7 @@ def link(mentions: DataFrame, entities: DataFrame, threshold: float = 0.8) -> Da
     pairs = candidates(gram_sets(m.select(F.col("mention").alias("x")).distinct(), "x"), gram_sets(e.select(F.col("entity").alias("y")), "y"), threshold)
     near = pairs.withColumn("similarity", trigram_jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= threshold)
     best = near.groupBy("x").agg(F.min(F.struct((-F.round("similarity", 6)).alias("s"), "y", "similarity")).alias("b"))
-    return m.join(best, F.col("mention") == F.col("x")).select("query_id", "mention", F.col("b.y").alias("entity"), F.col("b.similarity").alias("similarity"))
+    return m.join(best.hint("merge"), F.col("mention") == F.col("x")).select("query_id", "mention", F.col("b.y").alias("entity"), F.col("b.similarity").alias("similarity"))
 
 
 def bfs(spark: SparkSession, seeds: DataFrame, graph: DataFrame, max_hops: int = 2) -> DataFrame:

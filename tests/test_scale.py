@@ -66,6 +66,13 @@ def test_similar_strings(spark, threshold):
     assert got == want and len(want) > 20
 
 
+def test_names_stay_off_the_driver(spark):
+    """Mentions and prefixes, which are as many as the names, are shuffled: only the grams' counts may be sent around."""
+    names = spark.range(50).select(F.col("id").alias("query_id"), F.concat(F.lit("customer#"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("mention"))
+    plan = graph.link(names, names.select(F.col("mention").alias("entity")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and plan.count("BroadcastHashJoin") <= 2
+
+
 def test_few_candidates(spark):
     """Names that all share their common grams: candidates are those of rare ones, a small part of all pairs."""
     n = 400
