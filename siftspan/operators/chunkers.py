@@ -140,7 +140,8 @@ def breakpoints(docs: DataFrame, percentile: float = 90.0, buffer: int = 1, embe
     """(doc_id, n, pos, sentence, distance, threshold, segment): where consecutive groups are far apart, a segment ends."""
     by = W.partitionBy("doc_id").orderBy("pos")
     rows = sentence_groups(docs, buffer).withColumn("v", embedder(F.col("grouped")))
-    rows = rows.withColumn("distance", F.round(1.0 - cosine(F.col("v"), F.lead("v").over(by)), 6)).drop("v")
+    # The last sentence has no distance, also where its group has no words (its vector is zero, to which all are at 1).
+    rows = rows.withColumn("next", F.lead("v").over(by)).withColumn("distance", F.when(F.col("next").isNotNull(), F.round(1.0 - cosine(F.col("v"), F.col("next")), 6))).drop("v", "next")
     rows = rows.withColumn("threshold", F.expr(f"percentile(distance, {percentile / 100.0})").over(W.partitionBy("doc_id")))
     ends = F.coalesce((F.col("distance") >= F.col("threshold")).cast("int"), F.lit(0))
     return rows.withColumn("segment", F.coalesce(F.sum(ends).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("int"))

@@ -94,6 +94,14 @@ def test_fixed(spark):
     assert [r["content"] for r in C.fixed_tokens(docs.where("doc_id = 1"), 150, 50).orderBy("chunk_index").collect()] == [" ".join(["word"] * 150), " ".join(["word"] * 100)]
 
 
+def test_last_sentence_without_words(spark):
+    docs = spark.createDataFrame([(1, "Alpha beta. Gamma delta. Alpha beta. --. --!")], "doc_id long, text string")
+    rows = C.breakpoints(docs).orderBy("pos").collect()
+    assert [r["distance"] is None for r in rows] == [False, False, False, False, True]
+    known = sorted(r["distance"] for r in rows[:-1])
+    assert abs(rows[0]["threshold"] - (known[2] + 0.7 * (known[3] - known[2]))) < 1e-9
+
+
 def test_semantic(spark):
     docs = spark.createDataFrame([(1, "Cats sleep here. Cats sleep there. Cats sleep now. Rockets burn fuel. Rockets burn hot."), (2, "Only one.")], "doc_id long, text string")
     rows = C.semantic(docs, 70.0, 5, 2000).orderBy("doc_id", "chunk_index").collect()
