@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -65,19 +64,20 @@ def hashed_weights(rows: DataFrame, key: list[str], text: str, dim: int = DIM) -
     return counts.join(sums, key).select(*key, "bucket", (F.col("c") / F.col("_norm")).alias("w"))
 
 
-def _hash_texts(texts, dim: int) -> list[np.ndarray]:
-    """The hashed vectors of texts, each distinct token digested once."""
+def _hash_texts(texts, dim: int) -> np.ndarray:
+    """The hashed vectors of texts, one a row, each distinct token digested once."""
     places: dict[str, tuple[int, float]] = {}
-    out = []
-    for text in texts:
-        v = np.zeros(dim)
-        for t in _TOKEN((text or "").lower()):
+    out = np.zeros((len(texts), dim))
+    for v, text in zip(out, texts, strict=True):
+        for t in _TOKEN((text.as_py() or "").lower()):
             if t not in places:
                 h = hashlib.md5(t.encode("utf-8")).hexdigest()
                 places[t] = int(h[:8], 16) % dim, 1.0 if int(h[8], 16) < 8 else -1.0
             at, sign_ = places[t]
             v[at] += sign_
-        out.append(v / max(float(np.sqrt(v @ v)), 1e-10))
+        v /= max(float(np.sqrt(v @ v)), 1e-10)
+        if len(places) > 1 << 18:
+            places.clear()
     return out
 
 
@@ -87,12 +87,15 @@ _TOKEN = regex.compile(r"[\p{L}\p{N}_]+").findall
 def embed_all(texts: Column, dim: int = DIM) -> Column:
     """The hashed vectors of an array of texts, as array<array<double>>, in Arrow batches.
 
-    This is the stand-in for an embedding model: lexical, not semantic. A model's own pandas UDF takes its place.
+    This is the stand-in for an embedding model: lexical, not semantic. A model's own UDF takes its place.
     """
 
-    @F.pandas_udf(ArrayType(ArrayType(DoubleType())))
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else [v.tolist() for v in _hash_texts(x, dim)] for x in batch])
+    @F.arrow_udf(ArrayType(ArrayType(DoubleType())))
+    def run(batch: pa.Array) -> pa.Array:
+        made = _hash_texts(batch.flatten(), dim)
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, made.size + 1, dim, dtype=np.int32)), pa.array(made.ravel()))
+        ends = np.append(0, np.cumsum(np.asarray(batch.value_lengths().fill_null(0)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), vectors, mask=batch.is_null())
 
     return run(texts)
 

@@ -86,8 +86,8 @@ def statistics(docs: DataFrame, terms: list[str]) -> tuple[int, int, dict[str, i
 def search(docs: DataFrame, block: Queries, weight: np.ndarray, weigh: list[Weigh], k: int, slack: np.ndarray) -> DataFrame:
     """(trial, query_id, doc_id, score) of `docs(doc_id, t array<string>)`: positive sums of products of weights.
 
-    `weight`: of the rows of the block. A trial is a number of `weigh`. Each task returns the rows of each batch that
-    are among the k best of their query there, and those within `slack` (by trial and query) of the last of them.
+    `weight`: of the rows of the block. A trial is a number of `weigh`. Each task returns rows that are among the k best
+    of their query that it has seen by then, and those within `slack` (by trial and query) of the last of them.
     """
     n_queries, n_terms = len(block.ids), len(block.terms)
     step = max(1, CELLS // max(n_terms, 1))
@@ -104,6 +104,8 @@ def search(docs: DataFrame, block: Queries, weight: np.ndarray, weigh: list[Weig
 
         # One piece is kept; several are made anew for each batch, so that a task holds one at a time.
         kept = list(pieces()) if n_queries <= step else None
+        # The k best scores of each trial and query so far, the least one first.
+        best = np.full((len(weigh), k, n_queries), -np.inf)
         for batch in batches:
             doc, of, count, lengths = counted(batch.column(1), terms)
             some, first = np.unique(doc, return_index=True)
@@ -115,7 +117,10 @@ def search(docs: DataFrame, block: Queries, weight: np.ndarray, weigh: list[Weig
                     keep = min(k, len(scores))
                     if not keep:
                         continue
-                    edge = np.partition(scores, len(scores) - keep, axis=0)[len(scores) - keep] - slack[trial, at : at + m.shape[1]]
+                    here = slice(at, at + m.shape[1])
+                    top = np.partition(scores, len(scores) - keep, axis=0)[len(scores) - keep :]
+                    best[trial, :, here] = np.partition(np.vstack([best[trial, :, here], top]), keep, axis=0)[keep:]
+                    edge = best[trial, 0, here] - slack[trial, here]
                     i, j = np.nonzero((scores >= edge[None]) & (scores > 0))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), trial, np.int32)), ids.take(pa.array(j + at)), batch.column(0).take(pa.array(some[i])), pa.array(scores[i, j])], names=["trial", "query_id", "doc_id", "score"])
 

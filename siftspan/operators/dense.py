@@ -13,6 +13,8 @@ from siftspan.operators.topk import topk
 
 #: Query vectors that a task holds: 4096 of 64 doubles are 2 MB. More queries are searched in as many passes.
 BLOCK = 4096
+#: Scores that a task computes at once, so that its memory is the same for any number of queries.
+CELLS = 1 << 20
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -51,22 +53,30 @@ def _search(vectors: DataFrame, queries: DataFrame, k: int, metric: str, thresho
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-10)
 
     def score(batches: Iterator[pa.RecordBatch]):
+        # The k least losses of each query that this task has seen, the last one the edge of what can be among the best.
+        best = np.full((k, len(ids)), np.inf)
+        numbers = np.array(ids, np.int64)
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
             x = _matrix(batch.column(1), matrix.shape[1])
-            if metric == "l2":
-                s = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ matrix.T + (matrix * matrix).sum(1)[None], 0))
-                s = s if ascending else 1 / (1 + s)
-            else:
-                s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10) if metric == "cosine" else x) @ matrix.T
-            s = np.round(s, 6) + 0.0
-            keep = min(k, len(x))
-            doc = batch.column(0)
-            # The best `keep` of each query in this batch, ties at the edge included.
-            edge = np.partition(s if ascending else -s, keep - 1, axis=0)[keep - 1]
-            i, j = np.nonzero((s if ascending else -s) <= edge[None])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[j]), doc.take(pa.array(i)), pa.array(s[i, j])], names=["query_id", "doc_id", "score"])
+            if metric == "cosine":
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
+            step, keep = max(1, CELLS // len(x)), min(k, len(x))
+            for at in range(0, len(ids), step):
+                part, here = matrix[at : at + step], slice(at, at + step)
+                if metric == "l2":
+                    s = np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ part.T + (part * part).sum(1)[None], 0))
+                    s = s if ascending else 1 / (1 + s)
+                else:
+                    s = x @ part.T
+                s = np.round(s, 6) + 0.0
+                loss = s if ascending else -s
+                least = np.partition(loss, keep - 1, axis=0)[:keep]
+                best[:, here] = np.partition(np.vstack([best[:, here], least]), k - 1, axis=0)[:k]
+                # Ties at the edge are included.
+                i, j = np.nonzero(loss <= best[k - 1, here][None])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[j + at]), batch.column(0).take(pa.array(i)), pa.array(s[i, j])], names=["query_id", "doc_id", "score"])
 
     doc_type = vectors.schema["doc_id"].dataType.simpleString()
     best = vectors.where(F.col("v").isNotNull()).select("doc_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(score, f"query_id long, doc_id {doc_type}, score double")

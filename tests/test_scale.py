@@ -186,3 +186,34 @@ def test_triples_of_texts(spark):
     docs = spark.createDataFrame([(1, "the fox eats"), (2, "the fox eats"), (3, None), (4, "x")], "doc_id long, text string")
     rule = lambda p: F.when(F.contains(p, F.lit("fox")), "Fox | eats | hen\nbroken line\nFox | eats | hen").otherwise("")
     assert sorted(map(tuple, graph.extracted(docs, Completer(rule=rule)).collect())) == [("Fox", "eats", "hen", 1), ("Fox", "eats", "hen", 2)]
+
+
+def test_batches_of_registered_queries(spark):
+    """A query computes its rows in Arrow batches of modest size, so that a worker's memory doesn't grow with partitions."""
+    from siftspan.plans import registry
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(rows), spark.conf.get(size)
+    try:
+        spark.conf.set(rows, "10000")
+        spark.conf.set(size, str(64 << 20))
+        registry.queries()["chunk_recursive"](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(rows)) == 1000 and int(spark.conf.get(size).removesuffix("b")) == 16 << 20
+    finally:
+        spark.conf.set(rows, before[0])
+        spark.conf.set(size, before[1])
+
+
+def test_vectors_of_arrays(spark):
+    """Null and empty arrays and null texts, in batches of two rows."""
+    from siftspan.functions.vector import embed_all
+
+    texts = spark.createDataFrame([(0, ["one two", None, "one"]), (1, None), (2, []), (3, ["two"]), (4, ["", "one"])], "id long, t array<string>").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        got = {r["id"]: r["v"] for r in texts.select("id", embed_all(F.col("t")).alias("v")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert [None if got[k] is None else len(got[k]) for k in range(5)] == [3, None, 0, 1, 2]
+    assert got[0][1] == got[4][0] == [0.0] * 64 and got[0][2] == got[4][1] and sum(x * x for x in got[3][0]) == pytest.approx(1)
