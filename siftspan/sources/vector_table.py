@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from siftspan.functions.vector import normalise
 from siftspan.operators import blocks, dense
 from siftspan.operators.topk import topk
+from siftspan.sources.tables import cut
 
 #: id, vector, metadata, the cell of a clustered table; change: the number of the segment; last: whether it replaces what
 #: was there under its id; gone: whether it is a mark of a deletion.
@@ -90,14 +91,13 @@ def assign_cells(vectors: DataFrame, centroids: DataFrame, vector: str = "v") ->
 def probe(vectors: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, nprobe: int = 8, metric: str = "cosine") -> DataFrame:
     """Search in the nearest `nprobe` cells alone: `vectors(doc_id, v, cell)`, `centroids(cell, c)`, `queries(query_id, q)`.
 
-    Cells are joined by number, so each query meets the vectors of its cells.
+    Queries are sent to the vectors with the numbers of their cells, so that each meets the vectors of its cells alone,
+    by matrix products; null vectors are in no result.
     """
-    from siftspan.functions.vector import cosine, dot, l2_distance
-
-    near = dense.search(centroids.select(F.col("cell").alias("doc_id"), F.col("c").alias("v")), queries, nprobe, metric)
-    pairs = near.select("query_id", F.col("doc_id").alias("cell")).join(queries, "query_id").join(vectors, "cell")
-    score = {"cosine": cosine, "dot": dot, "l2": l2_distance}[metric](F.col("v"), F.col("q"))
-    return topk(pairs.select("query_id", "doc_id", score.alias("score")), k, ascending=metric == "l2").select("query_id", "doc_id", "score", "rank")
+    spark = vectors.sparkSession
+    centers = cut(spark, centroids.select(F.col("cell").alias("doc_id"), F.col("c").alias("v")), "centers")
+    near = cut(spark, dense.search(centers, queries, nprobe, metric).select("query_id", F.col("doc_id").alias("cell")), "probed")
+    return dense.search(vectors, queries, k, metric, near=near).select("query_id", "doc_id", "score", "rank")
 
 
 class VectorTable:

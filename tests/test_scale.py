@@ -217,3 +217,24 @@ def test_vectors_of_arrays(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert [None if got[k] is None else len(got[k]) for k in range(5)] == [3, None, 0, 1, 2]
     assert got[0][1] == got[4][0] == [0.0] * 64 and got[0][2] == got[4][1] and sum(x * x for x in got[3][0]) == pytest.approx(1)
+
+
+def test_probe_without_pairs(spark):
+    """A search in cells against brute force, with ties and null vectors; no row a query and vector is made by a join."""
+    from siftspan.sources.vector_table import probe
+
+    draw = np.random.default_rng(5)
+    v = np.round(draw.normal(size=(300, 4)), 1)
+    cells = draw.integers(0, 5, 300)
+    vectors = spark.createDataFrame([(k, [float(x) for x in v[k]], int(cells[k])) for k in range(300)] + [(900, None, 1)], "doc_id long, v array<double>, cell int").repartition(3)
+    c = np.array([v[cells == k].mean(axis=0) for k in range(5)])
+    centers = spark.createDataFrame([(k, [float(x) for x in c[k]]) for k in range(5)], "cell int, c array<double>")
+    queries = vectors.where("doc_id % 10 = 0 and doc_id < 300").select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
+    found = probe(vectors, queries, centers, 7, 2, "l2")
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    want = set()
+    for q in range(0, 300, 10):
+        near = sorted(range(5), key=lambda k: (round(float(np.linalg.norm(c[k] - v[q])), 6), k))[:2]
+        best = sorted((round(float(np.linalg.norm(v[k] - v[q])), 6), k) for k in range(300) if cells[k] in near)[:7]
+        want |= {(q, k, s, i + 1) for i, (s, k) in enumerate(best)}
+    assert {(r["query_id"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in found.collect()} == want
