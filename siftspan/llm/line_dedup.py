@@ -33,11 +33,12 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from siftspan.llm.common import cut, remove, text_slices, tidy
+from siftspan.llm.common import cut, text_slices, tidy
 
 MIN_WORDS = 20
 SHORT = 4
@@ -244,8 +245,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def shared_blocks(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """(doc, th, begins array<int>, ends array<int>): the spans of characters that a document loses; cuts to remove.
+def shared_blocks(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """(doc, th, begins array<int>, ends array<int>): the spans of characters that a document loses; tables to unpersist.
+
+    Tables that are read again stay on the executors' disks. Files of the shared folder would cost a process that the
+    JVM starts for each of them (two with its checksum), which holds the JVM's memory once more until it runs.
 
     `doc` is the id, or a hash of the text where the id is null; th is xxhash64 of the text. Rows of equal id are never
     held against one another; those of different texts are told apart by th. Repeated rows of equal id and text count
@@ -287,15 +291,15 @@ def shared_blocks(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
                 yield pa.record_batch([pa.array(doc[key]), pa.array(th[key]), pa.array(h.view(np.int64)), pa.array(begin[first].astype(np.int32)), pa.array(end[last].astype(np.int32))], names=["doc", "th", "run", "begin", "end"])
                 at += len(keys)
 
-    made, made_at = cut(spark, keyed.mapInArrow(tidy(cut_up), "doc long, th long, run long, begin int, end int"), "lines-runs")
+    made = keyed.mapInArrow(tidy(cut_up), "doc long, th long, run long, begin int, end int").persist(StorageLevel.DISK_ONLY)
     # Holders are counted as their least and greatest, combined before the shuffle.
     holders = made.groupBy("run").agg(F.min("doc").alias("holder"), F.max("doc").alias("other")).where(F.col("holder") != F.col("other")).select("run", "holder")
     # Tables on both sides of the joins, so that Spark can split the rows of a run that many documents hold.
-    holders, holders_at = cut(spark, holders, "lines-holders")
+    holders = holders.persist(StorageLevel.DISK_ONLY)
     # Each run is one row of `holders`, so hash tables of their partitions are even; the many rows of `made` need no sort.
-    held, held_at = cut(spark, made.join(holders.hint("shuffle_hash"), "run"), "lines-held")
+    held = made.join(holders.hint("shuffle_hash"), "run").persist(StorageLevel.DISK_ONLY)
     there = held.where(F.col("doc") == F.col("holder")).groupBy("run").agg(F.min("begin").alias("at"), F.max("begin").alias("to"), F.min("th").alias("one"), F.max("th").alias("two"))
-    there, there_at = cut(spark, there.select("run", "at", ((F.col("at") == F.col("to")) & (F.col("one") == F.col("two"))).alias("once")), "lines-there")
+    there = there.select("run", "at", ((F.col("at") == F.col("to")) & (F.col("one") == F.col("two"))).alias("once")).persist(StorageLevel.DISK_ONLY)
     later = held.where(F.col("doc") != F.col("holder")).join(there, "run")
     fields = ("holder", "begin", "end", "run", "at", "once")
     by_doc = later.groupBy("doc", "th").agg(F.collect_set(F.struct(*fields)).alias("rows"))
@@ -314,7 +318,7 @@ def shared_blocks(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WOR
                 spans.append(merged([b for rows in pairs.values() for b in aligned(rows)]))
             yield pa.record_batch([batch.column("doc"), batch.column("th"), *(pa.array([[s[k] for s in x] for x in spans], pa.list_(pa.int32())) for k in (0, 1))], names=["doc", "th", "begins", "ends"])
 
-    return by_doc.mapInArrow(tidy(align), "doc long, th long, begins array<int>, ends array<int>"), [made_at, holders_at, held_at, there_at]
+    return by_doc.mapInArrow(tidy(align), "doc long, th long, begins array<int>, ends array<int>"), [made, holders, held, there]
 
 
 @F.arrow_udf(StringType())
@@ -335,10 +339,10 @@ def dedup(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, id_c
     or dropped_chars are replaced); an empty table gives no rows. The deletions meet the texts by key: where they are
     small (SEND_BYTES, checked) they are sent to the texts, otherwise both are shuffled.
     """
-    blocks, cuts = shared_blocks(spark, docs, min_words, id_col, text_col)
+    blocks, held = shared_blocks(docs, min_words, id_col, text_col)
     found, _ = cut(spark, blocks, "lines-blocks")
-    for path in cuts:
-        remove(spark, path)
+    for table in held:
+        table.unpersist()
     size = found.agg(F.coalesce(F.sum(F.size("begins") * 8 + 64), F.lit(0)).alias("bytes")).first()["bytes"]
     found = found.select(F.struct("doc", "th").alias("key"), "begins", "ends")
     kept = [c for c in docs.columns if c not in ("dropped_blocks", "dropped_chars")]

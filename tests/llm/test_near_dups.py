@@ -383,3 +383,15 @@ def test_vectors_of_many_lengths(spark, monkeypatch, per):
     assert len(found) == 266 and all((got[k]["n_links"], got[k]["component_id"]) == (1, k - k % 2) for k in range(2, 262) if k not in (6, 7))
     assert [(r["n_links"], r["component_id"]) for r in found if r["vec_id"] == 900] == [(2, 900)] * 2 and got[None]["n_links"] == 2 and got[None]["component_id"] == 900
     assert [(r["n_links"], r["component_id"]) for r in found if r["vec_id"] == 901] == [(1, 901)] * 2 and got[902]["n_links"] == 0
+
+
+def test_line_dedup_writes_one_table(spark, make, monkeypatch):
+    """Each file of the shared folder starts a process from the JVM: only the blocks are written, and nothing stays persisted."""
+    labels, write = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda spark, df, label: labels.append(label) or write(spark, df, label))
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    passage = " ".join(f"w{k}" for k in range(30)) + "\n"
+    got = line_dedup.dedup(spark, make([f"one {passage}", f"two {passage}", "three"]))
+    assert sorted(r["dropped_blocks"] for r in got.collect()) == [0, 0, 1]
+    assert labels == ["lines-blocks"]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
