@@ -299,10 +299,12 @@ def align(spark: SparkSession, docs: DataFrame, a: str, b: str, id_col: str = "d
     other columns are not read.
     """
     with short_shuffles(spark):
-        slices, _ = cut(spark, sliced(docs, a, b, id_col, text_col), "align-slices", "kind", "zstd")
+        slices, slices_path = cut(spark, sliced(docs, a, b, id_col, text_col), "align-slices", "kind", "zstd")
         named = slices.where("kind = 1")
         distinct = named.groupBy("unit", F.shiftright("slice", 32 + LOT).alias("lot")).agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col("slice").alias("of"), "code")).alias("places"))
         units, units_path = cut(spark, encoded(distinct.select("unit", "n", "places"), a, b), "align-units", None, "zstd")
+        # The units' strings and places are in `units` now; the texts are read from what is left of the slices.
+        remove(spark, f"{slices_path}/kind=1")
         links, links_path = cut(spark, linked(spark, units.drop("places"), a, b), "align-links", None, "zstd")
         counted, _ = cut(spark, pairs(links), "align-pairs")
         whole, whole_path = cut(spark, summed(links, counted, counted.count() <= SEND_PAIRS), "align-whole", None, "zstd")
@@ -322,6 +324,6 @@ def align(spark: SparkSession, docs: DataFrame, a: str, b: str, id_col: str = "d
             hashes.append(sha256(said[: ends[-1] - 1]).hexdigest() if len(at) else "")
         return pa.table([left["doc_id"], *[pa.array(totals[:, k]) for k in range(len(NUMBERS))], pa.array(hashes, pa.string())], names=["doc_id", *NUMBERS, "groups_sha256"])
 
-    texts = slices.where("kind = 0").select("slice", "doc_id", "codes")
+    texts = spark.read.schema(slices.schema).parquet(slices_path).where("kind = 0").select("slice", "doc_id", "codes")
     columns = ", ".join(f"{c} long" for c in ("doc_id", *NUMBERS))
     return texts.groupBy("slice").cogroup(rows.groupBy("of")).applyInArrow(add, f"{columns}, groups_sha256 string"), counted

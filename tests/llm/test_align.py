@@ -90,3 +90,16 @@ def test_long_unbroken_text(spark, make):
     row = align.align(spark, make([text]), A, B)[0].first()
     pair = align.load(A, B)
     assert row["n_a"] == len(pair.a.encode(" " + text).ids) and row["n_b"] == len(pair.b.encode(text)) and row["n_links"] == row["n_a"] + row["n_b"] - row["n_groups"]
+
+
+def test_units_of_slices_go(spark, make):
+    """Once the units are a table, the rows of slices that named them are off the disk, and the texts are read all the same."""
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("align-slices-*/kind=*"))
+    texts = ["one two three", "two three", None, ""]
+    rows, _ = align.align(spark, make(texts), A, B)
+    assert {p.name for p in set(shared.glob("align-slices-*/kind=*")) - before} == {"kind=0"}
+    got = {r["doc_id"]: r["groups_sha256"] for r in rows.collect()}
+    assert [bool(got[k]) for k in range(4)] == [True, True, False, False]
