@@ -101,8 +101,18 @@ def bfs(spark: SparkSession, seeds: DataFrame, graph: DataFrame, max_hops: int =
 
 
 def scored_docs(reached: DataFrame, docs_of: DataFrame, k: int = 10, threshold: float = 0.0) -> DataFrame:
-    """Top k of 1 / (1 + least depth of an entity of the document), over the best of the query."""
-    depth = reached.join(docs_of, "entity").groupBy("query_id", "doc_id").agg(F.min("depth").alias("depth"))
+    """Top k of 1 / (1 + least depth of an entity of the document), over the best of the query.
+
+    Documents of one depth rank by id, so of an entity's documents only the k with the least ids can be among the k
+    best of a query; and where an entity has k, what is deeper than it can't be. Both go before they are paired.
+    """
+    place = F.dense_rank().over(W.partitionBy("entity").orderBy("doc_id"))
+    lists = docs_of.withColumn("_place", place).where(F.col("_place") <= k).groupBy("entity").agg(F.collect_set(F.struct("doc_id")).alias("_docs"))
+    full = lists.where(F.size("_docs") >= k).select("entity")
+    limit = reached.join(full, "entity").groupBy("query_id").agg(F.min("depth").alias("_limit"))
+    near = reached.join(limit, "query_id", "left").where(F.col("_limit").isNull() | (F.col("depth") <= F.col("_limit")))
+    met = near.join(lists, "entity").select("query_id", "depth", F.explode("_docs").alias("_doc")).select("query_id", "depth", F.col("_doc.doc_id").alias("doc_id"))
+    depth = met.groupBy("query_id", "doc_id").agg(F.min("depth").alias("depth"))
     return topk(by_max(depth.withColumn("score", 1.0 / (1.0 + F.col("depth")))), k, threshold=threshold).select("query_id", "doc_id", "score", "rank", "depth")
 
 

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspan.functions.text import let
 from siftspan.functions.vector import hashed_vectors
 from siftspan.operators import bm25, dense, fusion, graph, iterative
 from siftspan.operators.postings import Postings
@@ -167,7 +168,8 @@ def graph_from_text(spark, d):
     first words of the items."""
     words = lambda c: F.filter(F.split(c, r"[ \t\n\x0B\f\r]+"), lambda x: (x != "") & ~F.contains(x, F.lit("|")))
     line = lambda w, i: F.concat(F.get(w, F.lit(i)), F.lit(" | before | "), F.get(w, F.lit(i + 1)))
-    rule = lambda p: F.array_join(F.array_compact(F.array(*[line(words(F.regexp_extract(p, r"(?s)<passage>(.*)</passage>", 1)), i) for i in range(3)])), "\n")
+    # The words of a passage are cut once, not once for each place where a line uses them.
+    rule = lambda p: let(F.slice(words(F.regexp_extract(p, r"(?s)<passage>(.*)</passage>", 1)), 1, 4), lambda w: F.array_join(F.array_compact(F.array(*[line(w, i) for i in range(3)])), "\n"))
     t = cut(spark, graph.extracted(docs_of(spark, d), Completer(rule=rule)), "triples")
     seeds = items_of(spark, d).select("query_id", F.lower(F.get(words(F.col("query")), F.lit(0))).alias("entity"))
     found = graph.bfs(spark, seeds, graph.edges(t), 2)

@@ -289,3 +289,23 @@ def test_pipeline(spark, docs, chunker):
     assert p.ingest(docs) > 0 and p.documents == 5
     scores = p.evaluate(spark.createDataFrame([(1, "machine learning", "a field")], "query_id long, query string, ground_truth string")).collect()
     assert len(scores) == 8 and all(0 <= r["score"] <= 1 for r in scores)
+
+
+def test_graph_ranks_few_documents(spark, monkeypatch):
+    """Against all pairs of a query and a document: the same k best, of no more rows than entities of a depth have."""
+    rnd, given, rank = random.Random(3), [], graph.topk
+    monkeypatch.setattr(graph, "topk", lambda scored, *a, **b: given.append(scored.count()) or rank(scored, *a, **b))
+    reached = [(q, f"e{n}", rnd.randrange(3)) for q in range(6) for n in rnd.sample(range(40), 12)] + [(7, "hub", 1), (7, "deep", 2), (8, "deep", 2)]
+    docs = [(f"e{rnd.randrange(40)}", rnd.randrange(60)) for _ in range(150)] + [("hub", n) for n in range(300)] + [("deep", n) for n in range(100, 900)]
+    docs = sorted(set(docs))
+    got = graph.scored_docs(spark.createDataFrame(reached, "query_id long, entity string, depth int"), spark.createDataFrame(docs, "entity string, doc_id long"), 4)
+    assert given[0] <= 6 * 12 * 4 + 4 + 4
+    want = set()
+    for q in {q for q, _, _ in reached}:
+        depth = {}
+        for _, e, n in (r for r in reached if r[0] == q):
+            for _, doc in (d for d in docs if d[0] == e):
+                depth[doc] = min(n, depth.get(doc, n))
+        best = sorted((n, doc) for doc, n in depth.items())[:4]
+        want |= {(q, doc, round((1 + best[0][0]) / (1 + n), 6), k) for k, (n, doc) in enumerate(best, 1)}
+    assert {(r["query_id"], r["doc_id"], r["score"], r["rank"]) for r in got.collect()} == want
