@@ -15,7 +15,7 @@ row grows with the corpus, a unit has a row of its own for every LOT input split
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 from hashlib import sha256
 
 import numpy as np
@@ -34,6 +34,9 @@ SLICE, UNITS = 32 << 20, 20_000
 LOT = 10
 #: Rows of units that are put together by slice before they travel.
 PACK_ROWS = 1 << 19
+#: Passes in which units of slices are brought together, in which rows of units are joined, and in which slices meet
+#: their rows: what is shuffled at once is that share of all, and the shuffle's files go with the pass.
+UNIONS, JOINS, SUMS = 2, 4, 2
 #: What a document's row adds up from its units.
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: Pairs of ids that are sent to the links at once; more of them are joined by a shuffle.
@@ -160,18 +163,22 @@ def sliced(docs: DataFrame, a: str, b: str, id_col: str, text_col: str) -> DataF
     return rows.mapInArrow(tidy(run), "kind int, slice long, doc_id long, codes binary, code int, unit string, n long")
 
 
-def encoded(units: DataFrame, a: str, b: str) -> DataFrame:
-    """(uid, n, places, a array<int>, b array<int>) of (unit, n, places); uid is a number that the cut of this table fixes."""
+def encoded(units: DataFrame, a: str, b: str, k: int = 0) -> DataFrame:
+    """(uid, n, places, a array<int>, b array<int>) of (unit, n, places); uid is a number that the cut of this table fixes.
+
+    Tables of the same corpus have different `k`, under UNIONS, and so no uid in common.
+    """
+    apart = max(UNIONS, k + 1)
 
     def lists(rows):
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array([i for r in rows for i in r], pa.int32()))
 
     def run(batches):
         pair = load(a, b)
-        at = TaskContext.get().partitionId() << 33
+        at = TaskContext.get().partitionId() * apart + k << 33
         for batch in batches:
-            for k in range(0, batch.num_rows, UNITS):
-                part = batch.slice(k, UNITS)
+            for first in range(0, batch.num_rows, UNITS):
+                part = batch.slice(first, UNITS)
                 strings = part.column(0).to_pylist()
                 x, y = pair.encode(strings)
                 whole = "".join(strings).encode()
@@ -240,6 +247,16 @@ def laid_out(strings: pa.LargeStringArray) -> tuple[np.ndarray, memoryview]:
     return at, memoryview(data if data is not None else b"")
 
 
+def by_place(numbers: np.ndarray) -> bytes:
+    """Numbers as their lowest bytes, then the next ones and so on: high bytes are mostly zero, and compress as a run."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def from_places(body: memoryview, kind: str, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(body, np.uint8, n * size, at).reshape(size, n).T).view(kind).reshape(n)
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """(of, rows binary) from (of, code, NUMBERS, groups): the rows of a slice that a task has, by column and compressed."""
 
@@ -251,8 +268,8 @@ def packed(rows: DataFrame) -> DataFrame:
         sizes = np.diff(at).astype("<i4")
         first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else of
         bodies = [
-            np.int64(j - i).astype("<i8").tobytes() + np.diff(code[i:j], prepend=np.int32(0)).astype("<i4").tobytes() + sizes[i:j].tobytes()
-            + np.ascontiguousarray(numbers[:, i:j]).astype("<i8").tobytes() + bytes(text[at[i] : at[j]])
+            np.int64(j - i).astype("<i8").tobytes() + by_place(np.diff(code[i:j], prepend=np.int32(0)).astype("<i4")) + by_place(sizes[i:j])
+            + by_place(numbers[:, i:j].ravel().astype("<i8")) + bytes(text[at[i] : at[j]])
             for i, j in zip(first.tolist(), [*first[1:].tolist(), len(of)], strict=False)
         ]
         squeeze = zstandard.ZstdCompressor()
@@ -278,9 +295,9 @@ def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     for blob in blobs:
         body = memoryview(zstandard.ZstdDecompressor().decompress(blob))
         n = int(np.frombuffer(body, "<i8", 1)[0])
-        codes.append(np.cumsum(np.frombuffer(body, "<i4", n, 8), dtype=np.int64))
-        ends = np.append(0, np.cumsum(np.frombuffer(body, "<i4", n, 8 + 4 * n), dtype=np.int64))
-        numbers.append(np.frombuffer(body, "<i8", n * len(NUMBERS), 8 + 8 * n).reshape(len(NUMBERS), n).T)
+        codes.append(np.cumsum(from_places(body, "<i4", n, 8), dtype=np.int64))
+        ends = np.append(0, np.cumsum(from_places(body, "<i4", n, 8 + 4 * n), dtype=np.int64))
+        numbers.append(from_places(body, "<i8", n * len(NUMBERS), 8 + 8 * n).reshape(len(NUMBERS), n).T)
         data = pa.py_buffer(body[8 + (8 + 8 * len(NUMBERS)) * n :])
         texts.append(pa.LargeStringArray.from_buffers(n, pa.py_buffer(ends), data))
     if not codes:
@@ -291,6 +308,28 @@ def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     return np.concatenate(numbers)[place], pa.concat_arrays(texts).take(pa.array(place))
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def added(texts: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(doc_id, NUMBERS, groups_sha256) of the texts in the k-th share of the slices: `texts(slice, doc_id, codes)`, and `packed` rows."""
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        values, text = unpacked(right["rows"].to_pylist())
+        totals, hashes = np.zeros((left.num_rows, len(NUMBERS)), np.int64), []
+        for i, raw in enumerate(left["codes"].to_pylist()):
+            at = np.frombuffer(raw, "<i4")
+            totals[i] = values[at].sum(axis=0)
+            ends, said = laid_out(text.take(pa.array(at)))
+            hashes.append(sha256(said[: ends[-1] - 1]).hexdigest() if len(at) else "")
+        return pa.table([left["doc_id"], *[pa.array(totals[:, c]) for c in range(len(NUMBERS))], pa.array(hashes, pa.string())], names=["doc_id", *NUMBERS, "groups_sha256"])
+
+    columns = ", ".join(f"{c} long" for c in ("doc_id", *NUMBERS))
+    share = lambda of: F.pmod(F.xxhash64(of), F.lit(SUMS)) == k
+    return texts.where(share("slice")).groupBy("slice").cogroup(rows.where(share("of")).groupBy("of")).applyInArrow(add, f"{columns}, groups_sha256 string")
+
+
 def align(spark: SparkSession, docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Tables of a corpus: (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row, and `pairs`.
 
@@ -301,29 +340,27 @@ def align(spark: SparkSession, docs: DataFrame, a: str, b: str, id_col: str = "d
     with short_shuffles(spark):
         slices, slices_path = cut(spark, sliced(docs, a, b, id_col, text_col), "align-slices", "kind", "zstd")
         named = slices.where("kind = 1")
-        distinct = named.groupBy("unit", F.shiftright("slice", 32 + LOT).alias("lot")).agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col("slice").alias("of"), "code")).alias("places"))
-        units, units_path = cut(spark, encoded(distinct.select("unit", "n", "places"), a, b), "align-units", None, "zstd")
+        parts = []
+        for k in range(UNIONS):
+            here = named.where(F.pmod(F.xxhash64("unit"), F.lit(UNIONS)) == k)
+            distinct = here.groupBy("unit", F.shiftright("slice", 32 + LOT).alias("lot")).agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col("slice").alias("of"), "code")).alias("places"))
+            parts.append(cut(spark, encoded(distinct.select("unit", "n", "places"), a, b, k), "align-units", None, "zstd"))
+        units = together([df for df, _ in parts])
         # The units' strings and places are in `units` now; the texts are read from what is left of the slices.
         remove(spark, f"{slices_path}/kind=1")
         links, links_path = cut(spark, linked(spark, units.drop("places"), a, b), "align-links", None, "zstd")
         counted, _ = cut(spark, pairs(links), "align-pairs")
         whole, whole_path = cut(spark, summed(links, counted, counted.count() <= SEND_PAIRS), "align-whole", None, "zstd")
         remove(spark, links_path)
-        rows = units.select("uid", "places").join(whole, "uid").select(F.inline("places"), *[F.col(c).cast("long").alias(c) for c in NUMBERS], F.concat("groups", F.lit(";")).alias("groups"))
-        rows, _ = cut(spark, packed(rows), "align-rows", None, "uncompressed")
-        remove(spark, units_path)
-        remove(spark, whole_path)
-
-    def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        values, text = unpacked(right["rows"].to_pylist())
-        totals, hashes = np.zeros((left.num_rows, len(NUMBERS)), np.int64), []
-        for k, raw in enumerate(left["codes"].to_pylist()):
-            at = np.frombuffer(raw, "<i4")
-            totals[k] = values[at].sum(axis=0)
-            ends, said = laid_out(text.take(pa.array(at)))
-            hashes.append(sha256(said[: ends[-1] - 1]).hexdigest() if len(at) else "")
-        return pa.table([left["doc_id"], *[pa.array(totals[:, k]) for k in range(len(NUMBERS))], pa.array(hashes, pa.string())], names=["doc_id", *NUMBERS, "groups_sha256"])
-
-    texts = spark.read.schema(slices.schema).parquet(slices_path).where("kind = 0").select("slice", "doc_id", "codes")
-    columns = ", ".join(f"{c} long" for c in ("doc_id", *NUMBERS))
-    return texts.groupBy("slice").cogroup(rows.groupBy("of")).applyInArrow(add, f"{columns}, groups_sha256 string"), counted
+        rows = []
+        for k in range(JOINS):
+            here = F.pmod("uid", F.lit(JOINS)) == k
+            joined = units.select("uid", "places").where(here).join(whole.where(here), "uid")
+            joined = joined.select(F.inline("places"), *[F.col(c).cast("long").alias(c) for c in NUMBERS], F.concat("groups", F.lit(";")).alias("groups"))
+            rows.append(cut(spark, packed(joined), "align-rows", None, "uncompressed")[0])
+        for path in (whole_path, *[path for _, path in parts]):
+            remove(spark, path)
+        texts = spark.read.schema(slices.schema).parquet(slices_path).where("kind = 0").select("slice", "doc_id", "codes")
+        # The last share is computed when the result is.
+        done = [cut(spark, added(texts, together(rows), k), "align-docs", None, "zstd")[0] for k in range(SUMS - 1)]
+    return together([*done, added(texts, together(rows), SUMS - 1)]), counted

@@ -103,3 +103,26 @@ def test_units_of_slices_go(spark, make):
     assert {p.name for p in set(shared.glob("align-slices-*/kind=*")) - before} == {"kind=0"}
     got = {r["doc_id"]: r["groups_sha256"] for r in rows.collect()}
     assert [bool(got[k]) for k in range(4)] == [True, True, False, False]
+
+
+def test_rows_travel_in_shares(spark, make, monkeypatch):
+    """No shuffle of units, of their rows or of slices has all of them, and the shares together are the whole."""
+    made = {}
+
+    def cut(spark, df, label, *rest):
+        out = align_cut(spark, df, label, *rest)
+        made.setdefault(label, []).append(out[0].collect())
+        return out
+
+    align_cut = align.cut
+    monkeypatch.setattr(align, "cut", cut)
+    monkeypatch.setattr(align, "SLICE", 200)
+    texts = [" ".join(f"word{(k * j) % 211}" for j in range(20)) for k in range(120)]
+    rows, _ = align.align(spark, make(texts).repartition(4), A, B)
+    assert got(rows) == slow(texts)[0]
+    units = [[r["uid"] for r in part] for part in made["align-units"]]
+    assert max(map(len, units)) < 0.7 * sum(map(len, units))
+    assert len({u for part in units for u in part}) == sum(map(len, units)) == len({w for t in texts for w in t.split()})
+    sizes = [sum(len(r["rows"]) for r in part) for part in made["align-rows"]]
+    assert max(sizes) < 0.5 * sum(sizes)
+    assert 0 < sum(map(len, made["align-docs"])) < len(texts)
