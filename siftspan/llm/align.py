@@ -6,7 +6,7 @@ into units that are encoded and aligned by themselves, and each distinct unit is
 occurs. Over the units, all is relational: tokens by posexplode, running sums of their lengths as ends, the ends of
 both sides matched on (unit, end), windows that carry a token back over the ends within it. Each distinct end closes
 the one stretch that its A and its B token share, so the ends are the links, without any pairs of tokens being tried;
-an end of both sides is a cut, and the cuts number the groups.
+an end of both sides is a cut, and the cuts number the groups. Only the text of the groups is written out by batch.
 
 A text is the sequence of its units. Slices of texts keep a dictionary of their units, and a unit's row says which
 slices hold it and under what code; it travels to each of them, where texts add the rows of their units up. So that no
@@ -17,16 +17,17 @@ from __future__ import annotations
 
 from functools import cache, reduce
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspan.llm.common import cut, remove, short_shuffles, text_slices, tidy
+from siftspan.llm.common import cut, remove, setting, short_shuffles, text_slices, tidy
 
 #: Bytes of text of a slice, and units that are encoded together.
 SLICE, UNITS = 32 << 20, 20_000
@@ -34,9 +35,9 @@ SLICE, UNITS = 32 << 20, 20_000
 LOT = 10
 #: Rows of units that are put together by slice before they travel.
 PACK_ROWS = 1 << 19
-#: Passes in which units of slices are brought together, in which rows of units are joined, and in which slices meet
+#: Shares of the units, which are brought together and later joined one after the other, and of the slices, as they meet
 #: their rows: what is shuffled at once is that share of all, and the shuffle's files go with the pass.
-UNIONS, JOINS, SUMS = 2, 4, 2
+SHARES, SUMS = 4, 2
 #: What a document's row adds up from its units.
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: Pairs of ids that are sent to the links at once; more of them are joined by a shuffle.
@@ -71,6 +72,10 @@ class Pair:
         if [t for t, _ in self.a.pre_tokenizer.pre_tokenize_str(" a b'c  d")] != ["Ġa", "Ġb", "'", "c", "Ġ", "Ġd"]:
             raise ValueError(f"{a}: not a byte-level file that splits before spaces")
         self.lone = self.b.piece_to_id(SPACE)
+        self.names = tuple(pa.array(names, pa.large_binary()) for names in (self.a_bytes, self.b_bytes))
+        # Each id of A, then of B, with the sign after it: in a group, then where its side of the group is over.
+        signed = [f"{i}{sign}" for names, signs in zip(self.names, (",|", ",;"), strict=True) for sign in signs for i in range(len(names))]
+        self.signed = pa.array(signed, pa.large_string())
 
     def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of units, each of which begins with a space (to B, the one that it adds itself)."""
@@ -129,7 +134,8 @@ def units_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def sliced(docs: DataFrame, a: str, b: str, id_col: str, text_col: str) -> DataFrame:
-    """Of slices of texts: rows with kind 0 (slice, doc_id, codes of the units in order) and 1 (slice, code, unit, n occurrences).
+    """Of slices of texts: rows with kind 0 (slice, doc_id, codes of the units in order) and 1 up to SHARES, by the unit
+    (slice, code, unit, n occurrences).
 
     A text with a unit whose bytes are not those of its tokens has no codes, and its units are not counted.
     """
@@ -160,18 +166,24 @@ def sliced(docs: DataFrame, a: str, b: str, id_col: str, text_col: str) -> DataF
             ], names=["kind", "slice", "doc_id", "codes", "code", "unit", "n"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(tidy(run), "kind int, slice long, doc_id long, codes binary, code int, unit string, n long")
+    found = rows.mapInArrow(tidy(run), "kind int, slice long, doc_id long, codes binary, code int, unit string, n long")
+    return found.withColumn("kind", F.when(F.col("kind") > 0, F.pmod(F.xxhash64("unit"), F.lit(SHARES)).cast("int") + 1).otherwise(0))
+
+
+def laid_out(strings: pa.LargeStringArray) -> tuple[np.ndarray, memoryview]:
+    """Where strings that aren't null begin, and at last end, in the bytes of all of them."""
+    _, offsets, data = strings.buffers()
+    at = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    return at, memoryview(data if data is not None else b"")
 
 
 def encoded(units: DataFrame, a: str, b: str, k: int = 0) -> DataFrame:
-    """(uid, n, places, a array<int>, b array<int>) of (unit, n, places); uid is a number that the cut of this table fixes.
+    """(uid, n, places, n_a, tokens) of (unit, n, places): the tokens of A, then of B, each as bytes << 32 | id.
 
-    Tables of the same corpus have different `k`, under UNIONS, and so no uid in common.
+    uid is a number that the cut of this table fixes; tables of the same corpus have different `k`, under SHARES, and so
+    no uid in common.
     """
-    apart = max(UNIONS, k + 1)
-
-    def lists(rows):
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array([i for r in rows for i in r], pa.int32()))
+    apart = max(SHARES, k + 1)
 
     def run(batches):
         pair = load(a, b)
@@ -179,72 +191,88 @@ def encoded(units: DataFrame, a: str, b: str, k: int = 0) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, UNITS):
                 part = batch.slice(first, UNITS)
-                strings = part.column(0).to_pylist()
-                x, y = pair.encode(strings)
-                whole = "".join(strings).encode()
-                if any(b"".join(names[i] for ids in side for i in ids) != whole for side, names in ((x, pair.a_bytes), (y, pair.b_bytes))):
-                    raise ValueError("tokens of a unit of common characters don't give its bytes")
-                yield pa.record_batch([pa.array(np.arange(at, at + len(strings))), part.column(1), part.column(2), lists(x), lists(y)], names=["uid", "n", "places", "a", "b"])
-                at += len(strings)
+                start, text = laid_out(part.column(0).cast(pa.large_string()))
+                whole, sizes, tokens = text[start[0] : start[-1]], [], []
+                for lists, names in zip(pair.encode(part.column(0).to_pylist()), pair.names, strict=True):
+                    sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+                    ids = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes[-1].sum()))
+                    end, said = laid_out(names.take(pa.array(ids)))
+                    if said[: end[-1]] != whole:
+                        raise ValueError("tokens of a unit of common characters don't give its bytes")
+                    tokens.append(np.diff(end) << 32 | ids)
+                of = np.concatenate([2 * np.repeat(np.arange(len(sizes[0])), sizes[0]), 2 * np.repeat(np.arange(len(sizes[1])), sizes[1]) + 1])
+                flat = np.concatenate(tokens)[np.argsort(of, kind="stable")]
+                rows = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes[0] + sizes[1])), pa.int32()), pa.array(flat))
+                uid = np.arange(at, at := at + part.num_rows)
+                yield pa.record_batch([pa.array(uid), part.column(1), part.column(2), pa.array(sizes[0].astype(np.int32)), rows], names=["uid", "n", "places", "n_a", "tokens"])
+
+    return units.mapInArrow(tidy(run), "uid long, n long, places array<struct<of: long, code: int>>, n_a int, tokens array<long>")
+
 
-    return units.mapInArrow(tidy(run), "uid long, n long, places array<struct<of: long, code: int>>, a array<int>, b array<int>")
+#: Spark's own switch: lists are collected over rows that a window has sorted, which hashing would sort once more.
+HASHED_LISTS = "spark.sql.execution.useObjectHashAggregateExec"
 
 
-def linked(spark: SparkSession, units: DataFrame, a: str, b: str) -> DataFrame:
-    """(uid, n, n_a, n_b, links array<struct<end, a, b, last_a, last_b, back>>): of each unit all pairs of tokens that overlap.
+def linked(units: DataFrame) -> DataFrame:
+    """(uid, n, links array<struct<end, a, b, last_a, last_b, back>>): of each unit all pairs of tokens that overlap.
 
     `last_a` and `last_b` say which of the two tokens end there; both do at a cut. `back` numbers the groups from the
     last one: it is the running count of cuts from the end of the unit.
     """
-    pair = load(a, b)
-    # One row a token id of either side: as many as the vocabularies have.
-    sides = (pair.a_bytes, pair.b_bytes)
-    lengths = spark.createDataFrame(pa.table({"side": pa.array(np.repeat([0, 1], [len(x) for x in sides]), pa.int32()), "id": pa.array(np.concatenate([np.arange(len(x)) for x in sides]), pa.int32()), "size": pa.array([len(x) for side in sides for x in side], pa.int32())}))
-    # One shuffle by unit serves the running sums, the ends and the links.
-    dealt = units.repartition("uid")
-    tokens = dealt.select("uid", "n", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.posexplode(F.concat("a", "b")).alias("pos", "id"))
-    tokens = tokens.withColumn("side", (F.col("pos") >= F.col("n_a")).cast("int")).join(F.broadcast(lengths), ["side", "id"])
-    ends = tokens.selectExpr("uid", "n", "n_a", "n_b", "side", "id", "sum(size) OVER (PARTITION BY uid, side ORDER BY pos) AS end")
-    met = ends.groupBy("uid", "end", "n", "n_a", "n_b").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("own_a"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("own_b"))
+    # One shuffle by unit serves the running sums, the ends and the links. Units are sorted before they are many rows: what
+    # the windows sort is nearly in order then.
+    tokens = units.repartition("uid").sortWithinPartitions("uid").select("uid", "n", "n_a", F.posexplode("tokens").alias("pos", "token"))
+    tokens = tokens.selectExpr("uid", "n", "pos >= n_a AS of_b", "pos", "cast(token & 4294967295 AS int) AS id", "shiftright(token, 32) AS size")
+    ends = tokens.selectExpr("uid", "n", "of_b", "id", "sum(size) OVER (PARTITION BY uid, of_b ORDER BY pos) AS end")
+    met = ends.groupBy("uid", "end").agg(F.max("n").alias("n"), F.max(F.when(~F.col("of_b"), F.col("id"))).alias("own_a"), F.max(F.when(F.col("of_b"), F.col("id"))).alias("own_b"))
     filled = met.selectExpr(
-        "uid", "n", "n_a", "n_b", "end", "own_a IS NOT NULL AS last_a", "own_b IS NOT NULL AS last_b",
-        "sum(if(own_a IS NOT NULL AND own_b IS NOT NULL, 1, 0)) OVER (PARTITION BY uid ORDER BY end DESC) AS back",
+        "uid", "n", "end", "own_a IS NOT NULL AS last_a", "own_b IS NOT NULL AS last_b",
+        "cast(sum(if(own_a IS NOT NULL AND own_b IS NOT NULL, 1, 0)) OVER (PARTITION BY uid ORDER BY end DESC) AS int) AS back",
         "last(own_a, true) OVER (PARTITION BY uid ORDER BY end DESC) AS a", "last(own_b, true) OVER (PARTITION BY uid ORDER BY end DESC) AS b",
     )
-    return filled.groupBy("uid", "n", "n_a", "n_b").agg(F.array_sort(F.collect_list(F.struct("end", "a", "b", "last_a", "last_b", F.col("back").cast("int").alias("back")))).alias("links"))
-
-
-def pairs(links: DataFrame) -> DataFrame:
-    """(a, b, count, best): links that hold an id pair in the whole corpus, and whether no pair of its B id has more."""
-    counted = links.select("n", F.explode("links").alias("x")).groupBy(F.col("x.a").alias("a"), F.col("x.b").alias("b")).agg(F.sum("n").alias("count"))
-    most = counted.groupBy(F.col("b").alias("of")).agg(F.max("count").alias("most"))
-    return counted.join(most, F.col("b") == F.col("of")).select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
+    return filled.groupBy("uid").agg(F.max("n").alias("n"), F.collect_list(F.struct("end", "a", "b", "last_a", "last_b", "back")).alias("links"))
 
 
-def groups(links: str = "links") -> Column:
-    """The text of a unit's groups, `a1,a2|b1;a3|b2`: ids by group, side and end, each with the sign that follows it."""
+def written(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(uid, n, n_a, n_b, n_groups, n_links, groups, links) of `linked` rows: the text of a unit's groups, `a1,a2|b1;a3|b2;`,
+    and its links as A's id << 32 | B's."""
 
-    def ids(side, other, at_cut, rank):
-        ended = F.filter(links, lambda x: x[f"last_{side}"])
-        return F.transform(ended, lambda x: F.struct((-x["back"]).alias("g"), F.lit(rank).alias("side"), x["end"].alias("end"), F.concat(x[side].cast("string"), F.when(x[f"last_{other}"], F.lit(at_cut)).otherwise(F.lit(","))).alias("text")))
-
-    joined = F.array_join(F.transform(F.array_sort(F.concat(ids("a", "b", "|", 0), ids("b", "a", ";", 1))), lambda x: x["text"]), "")
-    return F.rtrim(joined, F.lit(";"))
-
-
-def summed(links: DataFrame, counted: DataFrame, send: bool) -> DataFrame:
-    """(uid, n_a, n_b, n_groups, n_links, groups, n_best, count_sum) of each unit; with `send`, pairs go to all links."""
-    each = links.select("uid", F.explode("links").alias("x")).select("uid", F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-    sums = each.join(F.broadcast(counted) if send else counted, ["a", "b"]).groupBy("uid").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    cuts = F.size(F.filter("links", lambda x: x["last_a"] & x["last_b"]))
-    return links.select("uid", "n_a", "n_b", cuts.alias("n_groups"), F.size("links").alias("n_links"), groups().alias("groups")).join(sums, "uid")
+    def run(batches):
+        pair = load(a, b)
+        for batch in batches:
+            n_links = np.asarray(pc.list_value_length(batch.column(2))).astype(np.int64)
+            end, *ids, last_a, last_b, back = (np.asarray(x) if x.type != pa.bool_() else x.to_numpy(zero_copy_only=False) for x in batch.column(2).flatten().flatten())
+            unit = np.repeat(np.arange(batch.num_rows), n_links)
+            cut, last = last_a & last_b, (last_a, last_b)
+            n_a, n_b, n_groups = (np.bincount(unit[x], minlength=batch.num_rows) for x in (*last, cut))
+            # Ids that end, each with its sign, by unit, group, side and end.
+            sign = [x[f].astype(np.int64) + len(names) * cut[f] for x, f, names in zip(ids, last, pair.names, strict=True)]
+            side = np.repeat([0, 1], [len(x) for x in sign])
+            end, group, unit = (np.concatenate([x[last_a], x[last_b]]) for x in (end, -back, unit))
+            order = np.lexsort((end, side, group, unit))
+            starts, said = laid_out(pair.signed.take(pa.array(np.concatenate([sign[0], sign[1] + 2 * len(pair.names[0])])[order])))
+            bounds = starts[np.append(0, np.cumsum(n_a + n_b))]
+            groups = pa.LargeStringArray.from_buffers(batch.num_rows, pa.py_buffer(bounds), pa.py_buffer(said)).cast(pa.string())
+            found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_links)), pa.int32()), pa.array(ids[0].astype(np.int64) << 32 | ids[1]))
+            yield pa.record_batch([batch.column(0), batch.column(1), *map(pa.array, (n_a, n_b, n_groups, n_links)), groups, found], names=["uid", "n", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
+
+    return links.mapInArrow(tidy(run), "uid long, n long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<long>")
+
+
+def pairs(units: DataFrame) -> DataFrame:
+    """(link, a, b, count, best): links that hold an id pair in the whole corpus, and whether no pair of its B id has more."""
+    counted = units.select("n", F.explode("links").alias("link")).groupBy("link").agg(F.sum("n").alias("count"))
+    counted = counted.select("link", F.shiftright("link", 32).cast("int").alias("a"), F.col("link").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("b"), "count")
+    most = counted.groupBy(F.col("b").alias("of")).agg(F.max("count").alias("most"))
+    return counted.join(most, F.col("b") == F.col("of")).select("link", "a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def laid_out(strings: pa.LargeStringArray) -> tuple[np.ndarray, memoryview]:
-    """Where strings that aren't null begin, and at last end, in the bytes of all of them."""
-    _, offsets, data = strings.buffers()
-    at = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
-    return at, memoryview(data if data is not None else b"")
+def summed(units: DataFrame, links: DataFrame, counted: DataFrame, send: bool) -> DataFrame:
+    """(of, code, NUMBERS, groups): of each unit a row for every slice that holds it; with `send`, pairs go to all links."""
+    counted = counted.select("link", "count", F.col("best").cast("long").alias("best"))
+    each = links.select("uid", F.explode("links").alias("link"))
+    sums = each.join(F.broadcast(counted) if send else counted, "link").groupBy("uid").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    return units.select("uid", "places").join(links.drop("n", "links"), "uid").join(sums, "uid").select(F.inline("places"), *NUMBERS, "groups")
 
 
 def by_place(numbers: np.ndarray) -> bytes:
@@ -286,7 +314,7 @@ def packed(rows: DataFrame) -> DataFrame:
         if n:
             yield blobs(held)
 
-    return rows.select("of", "code", *NUMBERS, "groups").mapInArrow(tidy(run), "of long, rows binary")
+    return rows.mapInArrow(tidy(run), "of long, rows binary")
 
 
 def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, pa.Array]:
@@ -339,27 +367,25 @@ def align(spark: SparkSession, docs: DataFrame, a: str, b: str, id_col: str = "d
     """
     with short_shuffles(spark):
         slices, slices_path = cut(spark, sliced(docs, a, b, id_col, text_col), "align-slices", "kind", "zstd")
-        named = slices.where("kind = 1")
-        parts = []
-        for k in range(UNIONS):
-            here = named.where(F.pmod(F.xxhash64("unit"), F.lit(UNIONS)) == k)
+        units, links, paths = [], [], []
+        for k in range(SHARES):
+            here = slices.where(F.col("kind") == k + 1)
             distinct = here.groupBy("unit", F.shiftright("slice", 32 + LOT).alias("lot")).agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col("slice").alias("of"), "code")).alias("places"))
-            parts.append(cut(spark, encoded(distinct.select("unit", "n", "places"), a, b, k), "align-units", None, "zstd"))
-        units = together([df for df, _ in parts])
-        # The units' strings and places are in `units` now; the texts are read from what is left of the slices.
-        remove(spark, f"{slices_path}/kind=1")
-        links, links_path = cut(spark, linked(spark, units.drop("places"), a, b), "align-links", None, "zstd")
-        counted, _ = cut(spark, pairs(links), "align-pairs")
-        whole, whole_path = cut(spark, summed(links, counted, counted.count() <= SEND_PAIRS), "align-whole", None, "zstd")
-        remove(spark, links_path)
+            df, path = cut(spark, encoded(distinct.select("unit", "n", "places"), a, b, k), "align-units", None, "zstd")
+            # The strings and places are in the units' table now; the texts are read from what is left of the slices.
+            remove(spark, f"{slices_path}/kind={k + 1}")
+            with setting(spark, HASHED_LISTS, "false"):
+                met, links_path = cut(spark, written(linked(df.drop("places")), a, b), "align-links", None, "zstd")
+            units.append(df)
+            links.append(met)
+            paths.append((path, links_path))
+        counted, _ = cut(spark, pairs(together(links)), "align-pairs")
+        send = counted.count() <= SEND_PAIRS
         rows = []
-        for k in range(JOINS):
-            here = F.pmod("uid", F.lit(JOINS)) == k
-            joined = units.select("uid", "places").where(here).join(whole.where(here), "uid")
-            joined = joined.select(F.inline("places"), *[F.col(c).cast("long").alias(c) for c in NUMBERS], F.concat("groups", F.lit(";")).alias("groups"))
-            rows.append(cut(spark, packed(joined), "align-rows", None, "uncompressed")[0])
-        for path in (whole_path, *[path for _, path in parts]):
-            remove(spark, path)
+        for df, met, gone in zip(units, links, paths, strict=True):
+            rows.append(cut(spark, packed(summed(df, met, counted, send)), "align-rows", None, "uncompressed")[0])
+            for path in gone:
+                remove(spark, path)
         texts = spark.read.schema(slices.schema).parquet(slices_path).where("kind = 0").select("slice", "doc_id", "codes")
         # The last share is computed when the result is.
         done = [cut(spark, added(texts, together(rows), k), "align-docs", None, "zstd")[0] for k in range(SUMS - 1)]

@@ -110,14 +110,19 @@ SHORT_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
-def short_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Actions inside leave no shuffle files behind: each has to write what others need of it."""
-    before = spark.conf.get(SHORT_SHUFFLES)
-    spark.conf.set(SHORT_SHUFFLES, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Actions inside run with a setting of the session that is put back after them."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(SHORT_SHUFFLES, before)
+        spark.conf.set(key, before)
+
+
+def short_shuffles(spark: SparkSession):
+    """Actions inside leave no shuffle files behind: each has to write what others need of it."""
+    return setting(spark, SHORT_SHUFFLES, "true")
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -75,6 +75,38 @@ def test_brute_force(spark, make, monkeypatch, send, slice_bytes, lot):
     assert sum(not r[0] for r in want) < 30
 
 
+def test_units_together(spark):
+    """Units of a batch have the numbers, groups and links that each has by itself."""
+    texts = ["unhappily", "naïveté", "漢字漢", "😀", "can't", "a_b<|endoftext|>", "é", "x" * 40, "http://a.b/c?d=e", "\n"]
+    units = spark.createDataFrame([(" " + t, n + 1, [(0, n)]) for n, t in enumerate(texts)], "unit string, n long, places array<struct<of: long, code: int>>").coalesce(1)
+    with align.setting(spark, align.HASHED_LISTS, "false"):
+        rows = sorted(align.written(align.linked(align.encoded(units, A, B)), A, B).collect(), key=lambda r: r["n"])
+    assert [r["n"] for r in rows] == list(range(1, len(texts) + 1))
+    for r, text in zip(rows, texts, strict=True):
+        (want,), count = slow([text])
+        assert r["groups"][-1] == ";"
+        assert (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], sha256(r["groups"][:-1].encode()).hexdigest()) == (*want[:4], want[6])
+        assert Counter((k >> 32, k & 0xFFFFFFFF) for k in r["links"]) == count
+
+
+def test_shares_are_read_once(spark, make, monkeypatch):
+    """A share of the units has files of its own that no other share's pass reads, and texts of groups are written once."""
+    made = []
+
+    def cut(spark, df, label, *rest):
+        read = {f for f in df.inputFiles() if "align-pairs" not in f}
+        out = align_cut(spark, df, label, *rest)
+        made.append((label, read, out[0].columns))
+        return out
+
+    align_cut = align.cut
+    monkeypatch.setattr(align, "cut", cut)
+    align.align(spark, make([" ".join(f"word{k}" for k in range(60))]), A, B)
+    passes = [read for label, read, _ in made if label == "align-rows"]
+    assert len(passes) > 1 and all(passes) and sum(map(len, passes)) == len(set().union(*passes))
+    assert {label for label, _, columns in made if "groups" in columns} == {"align-links"}
+
+
 def test_odd_tables(spark, odd, empty, make):
     rows, pairs = align.align(spark, empty, A, B)
     assert rows.count() == pairs.count() == 0
