@@ -61,9 +61,13 @@ def trigrams(c: Column) -> Column:
 
 def trigram_jaccard(a: Column, b: Column) -> Column:
     """Shared trigrams over all trigrams; empty strings 0; strings without trigrams 1 if equal, else 0."""
-    x, y = trigrams(a), trigrams(b)
-    whole = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    return F.when((a == "") | (b == ""), 0.0).when((F.size(x) == 0) | (F.size(y) == 0), (a == b).cast("double")).otherwise(whole)
+
+    def of(g: Column) -> Column:
+        x, y = g["x"], g["y"]
+        whole = let(F.size(F.array_intersect(x, y)), lambda k: k / (F.size(x) + F.size(y) - k))
+        return F.when((a == "") | (b == ""), 0.0).when((F.size(x) == 0) | (F.size(y) == 0), (a == b).cast("double")).otherwise(whole)
+
+    return let(F.struct(trigrams(a).alias("x"), trigrams(b).alias("y")), of)
 
 
 def token_f1(a: Column, b: Column) -> Column:

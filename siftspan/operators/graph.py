@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftspan.functions.text import entity, trigram_jaccard, trigrams, ws_tokens
+from siftspan.functions.text import entity, let, trigram_jaccard, trigrams, ws_tokens
 from siftspan.functions.text import triples as parsed
 from siftspan.operators import blocks
 from siftspan.operators.topk import by_max, topk
@@ -57,7 +57,8 @@ def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     often = both.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("often"))
 
     def prefixes(side: DataFrame, name: str) -> DataFrame:
-        rows = side.select(F.col(name), F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(often, "gram")
+        # Names compress so well that their rows can seem small enough for the driver; a gram has one count.
+        rows = side.select(F.col(name), F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(often.hint("shuffle_hash"), "gram")
         place = F.row_number().over(W.partitionBy(name).orderBy("often", "gram"))
         # A little is taken off before rounding up, as products of decimals are not exact.
         keep = F.col("n") - F.greatest(F.ceil(F.col("n") * threshold - 1e-9), F.lit(1)) + 1
@@ -74,18 +75,61 @@ def candidates(a: DataFrame, b: DataFrame, threshold: float) -> DataFrame:
     return met.where(sizes & (rest * (1 + threshold) >= threshold * (F.col("n_x") + F.col("n_y")) - 1e-9)).select("x", "y").distinct()
 
 
+def gram_key(c: Column) -> Column:
+    """A string's distinct trigrams in one string, the same for equal sets; of one that is too short, itself."""
+    return F.when(F.length(c) >= 3, F.array_join(F.sort_array(trigrams(c)), "")).otherwise(c)
+
+
+def one_apart(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(x, y) of `a(x, grams)` and `b(y, grams)`, distinct sets: equal ones, and those where one has a gram more.
+
+    A set's mark is the XOR of its grams' hashes. The mark of one side is looked up among those of the other side, whole
+    or without one of the grams. A mark has one whole set, so rows are no more than the grams; hashes that are equal by
+    chance add pairs, which the similarity sorts out.
+    """
+
+    def marks(side: DataFrame, name: str, whole_as: tuple[int, int], less_as: int) -> DataFrame:
+        mark = lambda kind, m: F.struct(F.lit(kind).alias("kind"), m.alias("mark"))
+        made = lambda h: let(F.aggregate(h, F.lit(0).cast("bigint"), lambda s, g: s.bitwiseXOR(g)), lambda m: F.concat(F.array(*[mark(k, m) for k in whole_as]), F.transform(h, lambda g: mark(less_as, m.bitwiseXOR(g)))))
+        # No set is empty; the plain explode would make the marks once more for its filter.
+        rows = side.select(name, F.explode_outer(let(F.transform("grams", lambda g: F.xxhash64(g)), made)).alias("m"))
+        return rows.select(name, "m.kind", "m.mark")
+
+    return marks(a, "x", (0, 1), 2).join(marks(b, "y", (0, 2), 1).hint("merge"), ["kind", "mark"]).select("x", "y")
+
+
+def nearest(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(x, y, similarity): the most similar `y` of each `x` in `pairs(x, y)`; equal similarities: the smaller one."""
+    best = F.min(let(trigram_jaccard(F.col("x"), F.col("y")), lambda j: F.when(j >= threshold, F.struct((-F.round(j, 6)).alias("s"), F.col("y").alias("y"), j.alias("similarity")))))
+    return pairs.groupBy("x").agg(best.alias("b")).where(F.col("b").isNotNull()).select("x", "b.y", "b.similarity")
+
+
 def link(mentions: DataFrame, entities: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(query_id, mention, entity, similarity): for each (query_id, mention) the most similar entity, if near enough.
 
-    Strings without trigrams match only themselves. Equal similarities: the smaller name. Each distinct mention is
-    compared once, with its `candidates`.
+    Strings without trigrams match only themselves. Equal similarities: the smaller name. Strings with equal sets of
+    grams are compared once, by the smallest. Those that have an entity `one_apart` are done with it where none further
+    away can be as similar; only the others meet their `candidates`, whose pairs can grow with the square of the names.
     """
+    spark = mentions.sparkSession
     m = mentions.select("query_id", entity(F.col("mention")).alias("mention")).where(F.col("mention") != "").distinct()
     e = entities.select("entity").where(F.col("entity") != "").distinct()
-    pairs = candidates(gram_sets(m.select(F.col("mention").alias("x")).distinct(), "x"), gram_sets(e.select(F.col("entity").alias("y")), "y"), threshold)
-    near = pairs.withColumn("similarity", trigram_jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= threshold)
-    best = near.groupBy("x").agg(F.min(F.struct((-F.round("similarity", 6)).alias("s"), "y", "similarity")).alias("b"))
-    return m.join(best.hint("merge"), F.col("mention") == F.col("x")).select("query_id", "mention", F.col("b.y").alias("entity"), F.col("b.similarity").alias("similarity"))
+    names = cut(spark, m.select("mention").distinct().withColumn("key", gram_key(F.col("mention"))), "mentions")
+    xs = names.groupBy("key").agg(F.min("mention").alias("x"))
+    ys = cut(spark, e.withColumn("key", gram_key(F.col("entity"))).groupBy("key").agg(F.min("entity").alias("y")).select("y"), "entities")
+    first = nearest(one_apart(gram_sets(xs.select("x"), "x"), gram_sets(ys, "y")), threshold)
+    # Of two more or fewer grams, the most similar are all of x and two more.
+    n = F.greatest(F.length("key") / 3, F.lit(1.0))
+    beyond = n / (n + 2)
+    done = (beyond < threshold - 1e-9) | (F.coalesce(F.round("similarity", 6), F.lit(-1.0)) > F.round(beyond, 6))
+    found = cut(spark, xs.join(first.hint("merge"), "x", "left").withColumn("done", done), "near")
+    best = found.where(F.col("done") & F.col("y").isNotNull()).select("key", "y", "similarity")
+    rest = found.where(~F.col("done")).select("key", "x")
+    if not rest.isEmpty():
+        further = nearest(candidates(gram_sets(rest.select("x"), "x"), gram_sets(ys, "y"), threshold), threshold)
+        best = best.unionByName(rest.join(further.hint("merge"), "x").select("key", "y", "similarity"))
+    linked = names.join(best.hint("merge"), "key").select("mention", F.col("y").alias("entity"), "similarity")
+    return m.join(linked.hint("merge"), "mention").select("query_id", "mention", "entity", "similarity")
 
 
 def bfs(spark: SparkSession, seeds: DataFrame, graph: DataFrame, max_hops: int = 2) -> DataFrame:

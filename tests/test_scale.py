@@ -238,3 +238,44 @@ def test_probe_without_pairs(spark):
         best = sorted((round(float(np.linalg.norm(v[k] - v[q])), 6), k) for k in range(300) if cells[k] in near)[:7]
         want |= {(q, k, s, i + 1) for i, (s, k) in enumerate(best)}
     assert {(r["query_id"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in found.collect()} == want
+
+
+def best_links(asked, names, threshold):
+    grams = {s: {s[i : i + 3] for i in range(len(s) - 2)} for s in [*asked, *names]}
+    out = set()
+    for m in asked:
+        near = [(-round(j, 6), n) for n in names if (j := len(grams[m] & grams[n]) / len(grams[m] | grams[n])) >= threshold]
+        out |= {(m, min(near)[1], -min(near)[0])} if near else set()
+    return out
+
+
+def links_of(spark, asked, names, threshold):
+    rows = graph.link(spark.createDataFrame(list(enumerate(asked)), "query_id long, mention string"), spark.createDataFrame([(n,) for n in names], "entity string"), threshold).collect()
+    return {(r["mention"], r["entity"], round(r["similarity"], 6)) for r in rows}
+
+
+def test_names_one_gram_apart_make_no_pairs(spark, monkeypatch):
+    """Numbered names with a sign after them, among them some with equal sets of grams: nothing meets by a rare gram."""
+    monkeypatch.setattr(graph, "candidates", None)
+    names = [f"customer#{k:09d}" for k in [*range(90, 130), *range(990, 1020), 1111, 11111, 20000, *range(100000, 100100, 7)]]
+    asked = [n + "#" for n in names] + [n[1:] for n in names[::5]] + names[::7]
+    assert links_of(spark, asked, names, 0.8) == best_links(asked, names, 0.8)
+
+
+def test_names_further_apart(spark):
+    """Mentions that are equal, one gram and several grams away from the nearest name, or from all too many."""
+    draw = random.Random(8)
+    names = ["".join(draw.choice("abc") for _ in range(draw.randint(6, 14))) for _ in range(150)]
+    asked = sorted({n[: draw.randint(3, 14)] + draw.choice(["", "a", "xy", "xyzxyz"]) for n in names})
+    for threshold in (0.2, 0.6):
+        want = best_links(asked, names, threshold)
+        assert links_of(spark, asked, names, threshold) == want and len({s for _, _, s in want}) > 8
+
+
+def test_names_are_not_sent_to_the_driver_when_they_look_small(spark):
+    """Also as run, where rows of names are so few bytes in the shuffle that they could be sent around."""
+    names = spark.range(300).select(F.concat(F.lit("customer#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("x"))
+    pairs = graph.candidates(graph.gram_sets(names, "x"), graph.gram_sets(names.select(F.col("x").alias("y")), "y"), 0.9)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
